@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 # tables use (alphabetical).
 ATTRIBUTES = ["coherence", "complexity", "correctness", "helpfulness", "verbosity"]
 
-NAN = F.lit(float("nan"))
+def nan() -> Column:
+    """A NaN double literal (built lazily: literals need an active session)."""
+    return F.lit(float("nan"))
 
 
 def _c(x) -> Column:

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prefspark.functions.core import ATTRIBUTES, NAN, ieee_ge, require_columns
+from prefspark.functions.core import ATTRIBUTES, nan, ieee_ge, require_columns
 
 CELL = ["split", "attribute", "prompt_id", "completion_idx"]
 
@@ -40,7 +40,7 @@ def reward_summary(rewards: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_rewards"),
         nan.alias("nan_count"),
         F.avg(F.when(~F.isnan(r), r)).alias("mean_reward"),
-        F.when(nan > 0, NAN).otherwise(F.max(r) - F.min(r)).alias("reward_range"),
+        F.when(nan > 0, nan()).otherwise(F.max(r) - F.min(r)).alias("reward_range"),
     )
 
 
@@ -224,13 +224,13 @@ def correction_matrix(corr: DataFrame, models: Sequence[str]) -> DataFrame:
         F.max(F.when(F.col("completion_idx") == 1, F.col("reward"))).alias("r1"))
     rate = cell.groupBy("leader", "follower").agg(
         _ratio(F.sum(_i(ieee_ge("r1", "r0"))), F.count(F.lit(1))).alias("winrate"))
-    aggs = [F.coalesce(F.max(F.when(F.col("leader") == m, F.col("winrate"))), NAN).alias(m) for m in models]
+    aggs = [F.coalesce(F.max(F.when(F.col("leader") == m, F.col("winrate"))), nan()).alias(m) for m in models]
     wide = rate.groupBy("follower").agg(*aggs)
     # every configured follower gets a row, even without any finished cell
     spark = corr.sparkSession
     rows = spark.createDataFrame([(m,) for m in models], "follower string")
     return rows.join(wide, "follower", "left").select(
-        "follower", *[F.coalesce(F.col(m), NAN).alias(m) for m in models])
+        "follower", *[F.coalesce(F.col(m), nan()).alias(m) for m in models])
 
 
 def pending_work(done: DataFrame, leaders: Sequence[str], followers: Sequence[str]) -> DataFrame:

@@ -145,3 +145,268 @@ def q_sinks(spark, sf):
 @query("cycle_stats")
 def q_cycle_stats(spark, sf):
     return gr.cycle_stats(gr.graph_report(_players(spark, sf), N_PLAYERS))
+
+
+# ------------------------------------------------------------ label chain
+from prefspark.functions import chat as ch  # noqa: E402
+from prefspark.operators import ids as idx  # noqa: E402
+from prefspark.operators import labels as lb  # noqa: E402
+from prefspark.operators import shape as sh  # noqa: E402
+from prefspark.operators import text as tx  # noqa: E402
+
+SEED = 42
+LABEL_ATTRIBUTE = "helpfulness"
+TRAIN_FRACTION = 0.8
+
+
+def _pairs(spark, sf):
+    return lb.pair_consecutive(fx.rated_responses(spark, sf))[0]
+
+
+def _labels(spark, sf, compat=False):
+    return lb.disagreement_labels(lb.side_stats(fx.annotation_ratings(spark, sf)), SEED, compat)
+
+
+@query("pair_consecutive")
+def q_pair_consecutive(spark, sf):
+    return _pairs(spark, sf)
+
+
+@query("disagreement_labels")
+def q_disagreement_labels(spark, sf):
+    return _labels(spark, sf)
+
+
+@query("disagreement_labels_compat")
+def q_disagreement_labels_compat(spark, sf):
+    return _labels(spark, sf, compat=True)
+
+
+@query("dense_ids")
+def q_dense_ids(spark, sf):
+    docs = fx.table(spark, sf, "documents", "doc_id")
+    return idx.dense_ids(docs, "doc_id", "prompt_id")
+
+
+@query("seeded_shuffle")
+def q_seeded_shuffle(spark, sf):
+    docs = fx.table(spark, sf, "documents", "doc_id")
+    return idx.seeded_shuffle(docs, "doc_id", SEED)
+
+
+@query("train_validation_split")
+def q_train_validation_split(spark, sf):
+    return idx.train_validation_split(_pairs(spark, sf).select("prompt_id"), "prompt_id", TRAIN_FRACTION, SEED)
+
+
+@query("chosen_rejected")
+def q_chosen_rejected(spark, sf):
+    return lb.chosen_rejected(_pairs(spark, sf), _labels(spark, sf), LABEL_ATTRIBUTE)
+
+
+@query("chat_structure")
+def q_chat_structure(spark, sf):
+    cr = lb.chosen_rejected(_pairs(spark, sf), _labels(spark, sf), LABEL_ATTRIBUTE)
+    pm = ch.user_message(F.col("prompt"))
+    return cr.select("prompt_id", pm.alias("prompt"), ch.with_assistant(pm, F.col("chosen")).alias("chosen"),
+                     ch.with_assistant(pm, F.col("rejected")).alias("rejected"))
+
+
+@query("source_rated_pairs")
+def q_source_rated_pairs(spark, sf):
+    """Preference-set build: pair -> label -> exact split -> chosen/rejected -> chat."""
+    pairs = idx.train_validation_split(_pairs(spark, sf), "prompt_id", TRAIN_FRACTION, SEED)
+    cr = lb.chosen_rejected(pairs, _labels(spark, sf), LABEL_ATTRIBUTE)
+    pm = ch.user_message(F.col("prompt"))
+    return cr.select("prompt_id", "split", ch.with_assistant(pm, F.col("chosen")).alias("chosen"),
+                     ch.with_assistant(pm, F.col("rejected")).alias("rejected"))
+
+
+# ------------------------------------------------------------ TL;DR text chain
+MAX_PROMPT_TOKENS = 512
+MAX_RESPONSE_TOKENS = 64
+MIN_PER_WORKER = 43
+TARGET_WORKER = "src3"
+TARGET_WEIGHT = 2.0
+
+
+def _tldr(spark, sf):
+    return fx.tldr_raw(spark, sf)
+
+
+@query("tldr_prompt")
+def q_tldr_prompt(spark, sf):
+    return _tldr(spark, sf).select("id", ch.tldr_prompt("site", "subreddit", "title", "post", "article")
+                                   .alias("prompt"))
+
+
+@query("truncate_lines")
+def q_truncate_lines(spark, sf):
+    return tx.tldr_prompts(_tldr(spark, sf), MAX_PROMPT_TOKENS).select("id", "prompt")
+
+
+@query("token_count")
+def q_token_count(spark, sf):
+    return _tldr(spark, sf).select("id", ch.token_count(F.col("article")).alias("n_tokens"))
+
+
+@query("filter_prompt_length")
+def q_filter_prompt_length(spark, sf):
+    keep, _ = tx.filter_prompt_length(_tldr(spark, sf), MAX_PROMPT_TOKENS, "article")
+    return keep.select("id", "split")
+
+
+@query("prompt_length_stats")
+def q_prompt_length_stats(spark, sf):
+    return tx.filter_prompt_length(_tldr(spark, sf), MAX_PROMPT_TOKENS, "article")[1]
+
+
+@query("filter_pair_length")
+def q_filter_pair_length(spark, sf):
+    return tx.filter_pair_length(lb.choice_pairs(_tldr(spark, sf)), MAX_RESPONSE_TOKENS).select(
+        "id", "chosen", "rejected")
+
+
+@query("filter_message_length")
+def q_filter_message_length(spark, sf):
+    return tx.filter_message_length(fx.conversation_turns(spark, sf), 100, "text").select("conv_id", "turn")
+
+
+@query("filter_empty_post")
+def q_filter_empty_post(spark, sf):
+    return tx.filter_empty_post(_tldr(spark, sf)).select("id")
+
+
+@query("choice_pairs")
+def q_choice_pairs(spark, sf):
+    return lb.choice_pairs(_tldr(spark, sf)).select("id", "chosen", "rejected")
+
+
+@query("worker_semi_join")
+def q_worker_semi_join(spark, sf):
+    return lb.worker_semi_join(_tldr(spark, sf), MIN_PER_WORKER).select("id", "split", "worker")
+
+
+@query("worker_count_join")
+def q_worker_count_join(spark, sf):
+    return lb.worker_count_join(_tldr(spark, sf))
+
+
+@query("worker_counts")
+def q_worker_counts(spark, sf):
+    return lb.worker_counts(_tldr(spark, sf))
+
+
+@query("loss_weight")
+def q_loss_weight(spark, sf):
+    return lb.loss_weight(_tldr(spark, sf), TARGET_WORKER, TARGET_WEIGHT).select("id", "split", "loss_weight")
+
+
+@query("source_annotated_summaries")
+def q_source_annotated_summaries(spark, sf):
+    # a single target worker (must pass the >= 1 train annotation test) gets the loss weight
+    return tx.source_annotated_summaries(_tldr(spark, sf), 1, MAX_PROMPT_TOKENS, MAX_RESPONSE_TOKENS,
+                                         SEED, TARGET_WORKER, TARGET_WEIGHT)
+
+
+@query("head_n")
+def q_head_n(spark, sf):
+    return sh.head_n(_tldr(spark, sf).select("id", "split"), 50, "id")
+
+
+# ------------------------------------------------------------ generations / chat shaping
+SYSTEM_PROMPT = "You are a helpful assistant."
+FOLLOWER_INSTRUCTION = "Improve the answer above."
+JUDGE_TEMPLATE = ("Which response answers the prompt better?\n\nPrompt: {prompt}\n\n"
+                  "Response A: {response0}\n\nResponse B: {response1}\n\nAnswer A or B.")
+
+
+def _gen(spark, sf):
+    return fx.generations(spark, sf)
+
+
+@query("chat_prompt_with_system")
+def q_chat_prompt_with_system(spark, sf):
+    g = _gen(spark, sf)
+    return g.select("prompt_id", ch.chat_prompt_with_system(F.col("prompt"), SYSTEM_PROMPT, FOLLOWER_INSTRUCTION,
+                                                            ch.first_completion("comps")["text"]).alias("messages"))
+
+
+@query("follower_prompt")
+def q_follower_prompt(spark, sf):
+    g = _gen(spark, sf).filter(F.size("comps") > 0)
+    return g.select("prompt_id", ch.follower_prompt(ch.user_message(F.col("prompt")),
+                                                    ch.first_completion("comps")["text"],
+                                                    FOLLOWER_INSTRUCTION).alias("messages"))
+
+
+@query("correction_rounds")
+def q_correction_rounds(spark, sf):
+    return tx.correction_rounds(_gen(spark, sf), FOLLOWER_INSTRUCTION)
+
+
+@query("render_chat")
+def q_render_chat(spark, sf):
+    g = _gen(spark, sf)
+    msgs = ch.chat_prompt_with_system(F.col("prompt"), SYSTEM_PROMPT)
+    return g.select("prompt_id", ch.render_chat(msgs).alias("text"))
+
+
+@query("judge_prompt")
+def q_judge_prompt(spark, sf):
+    g = _gen(spark, sf).filter(F.size("comps") >= 2)
+    return g.select("prompt_id", ch.judge_prompt(JUDGE_TEMPLATE, F.col("prompt"), F.col("comps")[0]["text"],
+                                                 F.col("comps")[1]["text"], SYSTEM_PROMPT).alias("messages"))
+
+
+@query("first_completion")
+def q_first_completion(spark, sf):
+    return _gen(spark, sf).select("prompt_id", ch.first_completion("comps")["text"].alias("leader_completion"))
+
+
+@query("message_content")
+def q_message_content(spark, sf):
+    g = _gen(spark, sf)
+    msgs = F.when(F.col("sys").isNotNull(), F.array(ch.msg("system", F.col("sys")), ch.msg("user", F.col("prompt")))
+                  ).otherwise(ch.user_message(F.col("prompt")))
+    return g.select("prompt_id", ch.message_content(msgs).alias("content"))
+
+
+@query("flatten_completions")
+def q_flatten_completions(spark, sf):
+    return sh.flatten_completions(_gen(spark, sf))
+
+
+@query("unflatten_rewards")
+def q_unflatten_rewards(spark, sf):
+    return sh.unflatten_rewards(_rl(spark, sf), "reward", ("model", "split", "attribute", "prompt_id"))
+
+
+@query("group_return_sequences")
+def q_group_return_sequences(spark, sf):
+    flat = fx.table(spark, sf, "embeddings", "vec_id", "label").select(
+        F.col("vec_id").alias("seq_idx"), F.col("label").cast("string").alias("text"))
+    return sh.group_return_sequences(flat, 4)
+
+
+@query("repeat_rows")
+def q_repeat_rows(spark, sf):
+    return sh.repeat_rows(fx.rollouts(spark, sf).select("step", "prompt_id", "sample_idx", "score"), 2)
+
+
+@query("last_wins_dedup")
+def q_last_wins_dedup(spark, sf):
+    docs = fx.table(spark, sf, "documents", "doc_id", "source", "n_chars")
+    return sh.last_wins_dedup(docs, "source", "n_chars", "doc_id")
+
+
+@query("follower_reference_sequence")
+def q_follower_reference_sequence(spark, sf):
+    t = fx.token_ids(spark, sf).withColumnRenamed("seq_id", "pair_id")
+    follower = t.select("pair_id", F.reverse("ids").alias("ids"), (F.col("ctx") + 2).alias("ctx"))
+    return sh.follower_reference_sequence(t, follower)
+
+
+@query("export_eval_json")
+def q_export_eval_json(spark, sf):
+    return sh.export_eval_rows(_gen(spark, sf).select("prompt_id", "prompt", "comps"), "prefspark")

@@ -204,3 +204,183 @@ _o("cycle_stats", """SELECT a.split, count(*) AS n_prompts,
        CAST(sum(CASE WHEN c.condorcet_idx IS NULL THEN 1 ELSE 0 END) AS DOUBLE) / count(*) AS no_condorcet_share
 FROM acy a JOIN cond c ON a.split = c.split AND a.prompt_id = c.prompt_id GROUP BY a.split""",
    ["rewards_long"], _GRAPH_CTES + [_REACH, INDEG, ("acy", ACYCLIC), ("cond", CONDORCET)], recursive=True)
+
+
+# ------------------------------------------------------------------ label chain
+def h(*parts: str, seed: str = "42") -> str:
+    args = ", ".join([f"'{seed}'"] + [f"CAST({p} AS VARCHAR)" for p in parts])
+    return f"('0x' || substr(md5(concat_ws('|', {args})), 1, 8))::BIGINT"
+
+
+PAIRS = """SELECT prompt_id, max(CASE WHEN completion_idx = 0 THEN prompt END) AS prompt,
+       max(CASE WHEN completion_idx = 0 THEN response END) AS response0,
+       max(CASE WHEN completion_idx = 1 THEN response END) AS response1
+FROM rated_responses GROUP BY prompt_id
+HAVING count(*) = 2 AND count(DISTINCT prompt) = 1
+   AND max(CASE WHEN completion_idx = 0 THEN response END) IS NOT NULL
+   AND max(CASE WHEN completion_idx = 1 THEN response END) IS NOT NULL"""
+_o("pair_consecutive", PAIRS, ["rated_responses"])
+
+STATS = """SELECT prompt_id, completion_idx, attribute, count(rating) AS n,
+       sum(rating) / count(rating) AS mean,
+       sqrt(greatest(sum(rating * rating) / count(rating) - (sum(rating) / count(rating)) * (sum(rating) / count(rating)),
+                     0.0::DOUBLE)) AS std
+FROM annotation_ratings GROUP BY prompt_id, completion_idx, attribute"""
+SIDES = """SELECT prompt_id, attribute,
+       max(CASE WHEN completion_idx = 0 THEN mean END) AS mean0, max(CASE WHEN completion_idx = 1 THEN mean END) AS mean1,
+       max(CASE WHEN completion_idx = 0 THEN std END) AS std0, max(CASE WHEN completion_idx = 1 THEN std END) AS std1
+FROM stats GROUP BY prompt_id, attribute
+HAVING max(CASE WHEN completion_idx = 0 THEN mean END) IS NOT NULL AND max(CASE WHEN completion_idx = 1 THEN mean END) IS NOT NULL"""
+
+
+def _labels_sql(compat: bool) -> str:
+    tie = "(std0 - std1) <= 1e-8" if compat else "abs(std0 - std1) <= 1e-8"
+    raw = (f"CASE WHEN abs(mean0 - mean1) <= 1e-8 THEN (CASE WHEN {tie} THEN CAST({h('prompt_id', 'attribute')} % 2 AS INTEGER)"
+           " WHEN std0 - std1 > 0 THEN 0 ELSE 1 END) WHEN mean0 - mean1 > 0 THEN 1 ELSE 0 END")
+    return (f"SELECT prompt_id, attribute, CAST(CASE WHEN attribute IN ('verbosity', 'complexity') THEN 1 - ({raw}) "
+            f"ELSE ({raw}) END AS INTEGER) AS label FROM sides")
+
+
+LABEL_CTES = [("stats", STATS), ("sides", SIDES)]
+_o("disagreement_labels", _labels_sql(False), ["annotation_ratings"], LABEL_CTES)
+_o("disagreement_labels_compat", _labels_sql(True), ["annotation_ratings"], LABEL_CTES)
+
+_o("dense_ids", "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS prompt_id FROM documents")
+_o("seeded_shuffle", f"""SELECT doc_id, row_number() OVER (ORDER BY hh, doc_id) - 1 AS shuffle_rank
+FROM (SELECT doc_id, {h('doc_id')} AS hh FROM documents)""")
+SPLIT = f"""SELECT *, CASE WHEN row_number() OVER (ORDER BY hh, prompt_id) - 1 < floor(0.8 * count(*) OVER ())
+                 THEN 'train' ELSE 'validation' END AS split
+FROM (SELECT *, {h('prompt_id')} AS hh FROM pairs)"""
+_o("train_validation_split", "SELECT prompt_id, split FROM sp", ["rated_responses"], [("pairs", PAIRS), ("sp", SPLIT)])
+CR = """SELECT p.*, CASE WHEN l.label = 1 THEN p.response0 ELSE p.response1 END AS chosen,
+       CASE WHEN l.label = 1 THEN p.response1 ELSE p.response0 END AS rejected
+FROM {src} p JOIN labels l ON p.prompt_id = l.prompt_id AND l.attribute = 'helpfulness'"""
+_LCTES = LABEL_CTES + [("labels", _labels_sql(False))]
+_o("chosen_rejected", "SELECT prompt_id, prompt, chosen, rejected FROM cr", ["rated_responses", "annotation_ratings"],
+   [("pairs", PAIRS)] + _LCTES + [("cr", CR.format(src="pairs"))])
+
+
+def umsg(x: str) -> str:
+    return f"[{{'role': 'user', 'content': {x}}}]"
+
+
+def amsg(x: str) -> str:
+    return f"{{'role': 'assistant', 'content': {x}}}"
+
+
+_o("chat_structure", f"""SELECT prompt_id, {umsg('prompt')} AS prompt,
+       list_concat({umsg('prompt')}, [{amsg('chosen')}]) AS chosen,
+       list_concat({umsg('prompt')}, [{amsg('rejected')}]) AS rejected FROM cr""",
+   ["rated_responses", "annotation_ratings"], [("pairs", PAIRS)] + _LCTES + [("cr", CR.format(src="pairs"))])
+_o("source_rated_pairs", f"""SELECT prompt_id, split,
+       list_concat({umsg('prompt')}, [{amsg('chosen')}]) AS chosen,
+       list_concat({umsg('prompt')}, [{amsg('rejected')}]) AS rejected FROM cr""",
+   ["rated_responses", "annotation_ratings"],
+   [("pairs", PAIRS), ("sp", SPLIT)] + _LCTES + [("cr", CR.format(src="sp"))])
+
+# ------------------------------------------------------------------ TL;DR chain
+NL2 = "chr(10) || chr(10)"
+TOKEN = "'[^ \\t\\n\\r\\f\\x0B]+'"
+TLDR_P = (f"CASE WHEN site IS NOT NULL THEN 'SITE: ' || site || {NL2} || 'ARTICLE: ' || article "
+          f"WHEN subreddit IS NOT NULL THEN 'SUBREDDIT: r/' || subreddit || {NL2} || 'TITLE: ' || title || {NL2} "
+          f"|| 'POST: ' || post END")
+
+
+def ntok(x: str) -> str:
+    return f"CAST(len(regexp_extract_all({x}, {TOKEN})) AS INTEGER)"
+
+
+def trunc_ctes(src: str, max_tokens: int) -> list[tuple[str, str]]:
+    return [
+        ("tl", f"SELECT *, string_split({TLDR_P}, chr(10)) AS lines FROM {src}"),
+        ("tc", f"SELECT *, list_transform(lines, lambda l: len(regexp_extract_all(l, {TOKEN}))) AS cnt FROM tl"),
+        ("tk", f"""SELECT *, len(list_filter(list_transform(range(1, len(cnt) + 1), lambda i: list_sum(cnt[1:i])),
+                                  lambda c: c <= {max_tokens})) AS k FROM tc"""),
+        ("tp", f"SELECT *, array_to_string(lines[1:k], chr(10)) || {NL2} || 'TL;DR:' AS prompt FROM tk"),
+    ]
+
+
+_o("tldr_prompt", f"SELECT id, {TLDR_P} AS prompt FROM tldr_raw", ["tldr_raw"])
+_o("truncate_lines", "SELECT id, prompt FROM tp", ["tldr_raw"], trunc_ctes("tldr_raw", 512))
+_o("token_count", f"SELECT id, {ntok('article')} AS n_tokens FROM tldr_raw", ["tldr_raw"])
+_o("filter_prompt_length", f"SELECT id, split FROM tldr_raw WHERE {ntok('article')} <= 512", ["tldr_raw"])
+_o("prompt_length_stats", f"""SELECT count(*) AS n_rows,
+       CAST(coalesce(sum(CASE WHEN {ntok('article')} > 512 THEN 1 ELSE 0 END), 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(sum(CASE WHEN {ntok('article')} > 512 THEN 1 ELSE 0 END), 0) AS DOUBLE) * 100.0::DOUBLE / count(*)
+         AS removed_pct FROM tldr_raw""", ["tldr_raw"])
+CHOICE = ("SELECT *, CASE WHEN choice = 0 THEN s0 ELSE s1 END AS chosen, "
+          "CASE WHEN choice = 0 THEN s1 ELSE s0 END AS rejected FROM {src}")
+_o("filter_pair_length", f"""SELECT id, chosen, rejected FROM ({CHOICE.format(src='tldr_raw')})
+WHERE {ntok('chosen')} <= 64 AND {ntok('rejected')} <= 64""", ["tldr_raw"])
+_o("filter_message_length", f"SELECT conv_id, turn FROM conversations WHERE {ntok('text')} <= 100")
+EMPTY_POST = "(post IS NULL OR length(trim(post)) > 0 OR site IS NOT NULL)"
+_o("filter_empty_post", f"SELECT id FROM tldr_raw WHERE {EMPTY_POST}", ["tldr_raw"])
+_o("choice_pairs", f"SELECT id, chosen, rejected FROM ({CHOICE.format(src='tldr_raw')})", ["tldr_raw"])
+WC = """SELECT worker, count(*) FILTER (WHERE split = 'train') AS t, count(*) FILTER (WHERE split = 'validation') AS v
+FROM tldr_raw GROUP BY worker"""
+SEMI = """SELECT * FROM tldr_raw WHERE split <> 'validation'
+   OR worker IN (SELECT worker FROM wc WHERE t >= {min_n} AND v > 0 {only})"""
+_o("worker_semi_join", "SELECT id, split, worker FROM kept", ["tldr_raw"], [("wc", WC), ("kept", SEMI.format(min_n=43, only=""))])
+_o("worker_count_join", """SELECT worker, CASE WHEN t > 0 THEN t END AS train, CASE WHEN v > 0 THEN v END AS valid
+FROM wc""", ["tldr_raw"], [("wc", WC)])
+_o("worker_counts", "SELECT split, worker, count(*) AS n FROM tldr_raw GROUP BY split, worker", ["tldr_raw"])
+LW = ("CASE WHEN split = 'train' THEN (CASE WHEN worker = 'src3' THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END) "
+      "END AS loss_weight")
+_o("loss_weight", f"SELECT id, split, {LW} FROM tldr_raw", ["tldr_raw"])
+_o("source_annotated_summaries", f"""SELECT prompt_id, split, worker, prompt, chosen, rejected,
+       row_number() OVER (ORDER BY {h('prompt_id')}, prompt_id) - 1 AS shuffle_rank, {LW}
+FROM (SELECT id AS prompt_id, split, worker, {umsg('prompt')} AS prompt,
+             list_concat({umsg('prompt')}, [{amsg('chosen')}]) AS chosen,
+             list_concat({umsg('prompt')}, [{amsg('rejected')}]) AS rejected
+      FROM ({CHOICE.format(src='tp')}) WHERE {EMPTY_POST} AND {ntok('chosen')} <= 64 AND {ntok('rejected')} <= 64)""",
+   ["tldr_raw"], [("wc", WC), ("kept", SEMI.format(min_n=1, only="AND worker = 'src3'"))] + trunc_ctes("kept", 512))
+_o("head_n", """SELECT id, split FROM (SELECT id, split, row_number() OVER (PARTITION BY split ORDER BY id) AS rn
+FROM tldr_raw) WHERE rn <= 50""", ["tldr_raw"])
+
+# ------------------------------------------------------------------ generations / chat shaping
+SYS = "'You are a helpful assistant.'"
+FOLLOW = "'Improve the answer above.'"
+
+
+def smsg(x: str) -> str:
+    return f"{{'role': 'system', 'content': {x}}}"
+
+
+def umsg1(x: str) -> str:
+    return f"{{'role': 'user', 'content': {x}}}"
+
+
+_o("chat_prompt_with_system", f"""SELECT prompt_id,
+       [{smsg(SYS)}, {umsg1('prompt')}, {amsg('comps[1].text')}, {umsg1(FOLLOW)}] AS messages FROM generations""",
+   ["generations"])
+_o("follower_prompt", f"""SELECT prompt_id, [{umsg1('prompt')}, {amsg('comps[1].text')}, {umsg1(FOLLOW)}] AS messages
+FROM generations WHERE len(comps) > 0""", ["generations"])
+_o("correction_rounds", f"""SELECT prompt_id, 0 AS round, [{umsg1('prompt')}] AS messages FROM generations
+UNION ALL
+SELECT prompt_id, CAST(i + 1 AS INTEGER) AS round, [{umsg1('prompt')}, {amsg('comps[i + 1].text')}, {umsg1(FOLLOW)}]
+FROM (SELECT prompt_id, prompt, comps, unnest(range(len(comps))) AS i FROM generations)""", ["generations"])
+_o("render_chat", f"""SELECT prompt_id, '<|system|>' || chr(10) || {SYS} || chr(10) || '<|user|>' || chr(10) || prompt
+       || chr(10) AS text FROM generations""", ["generations"])
+JT = (f"'Which response answers the prompt better?' || {NL2} || 'Prompt: ' || prompt || {NL2} || "
+      f"'Response A: ' || comps[1].text || {NL2} || 'Response B: ' || comps[2].text || {NL2} || 'Answer A or B.'")
+_o("judge_prompt", f"SELECT prompt_id, [{smsg(SYS)}, {umsg1(JT)}] AS messages FROM generations WHERE len(comps) >= 2",
+   ["generations"])
+_o("first_completion", "SELECT prompt_id, comps[1].text AS leader_completion FROM generations", ["generations"])
+_o("message_content", "SELECT prompt_id, CASE WHEN sys IS NOT NULL THEN sys ELSE prompt END AS content FROM generations",
+   ["generations"])
+_o("flatten_completions", """SELECT prompt_id, prompt, CAST(i AS INTEGER) AS completion_idx, comps[i + 1].text AS completion
+FROM (SELECT prompt_id, prompt, comps, unnest(range(len(comps))) AS i FROM generations)""", ["generations"])
+_o("unflatten_rewards", """SELECT model, split, attribute, prompt_id, count(*) AS n_completions,
+       list(reward ORDER BY completion_idx) AS rewards FROM rewards_long GROUP BY model, split, attribute, prompt_id""",
+   ["rewards_long"])
+_o("group_return_sequences", """SELECT vec_id // 4 AS prompt_idx, list(CAST(label AS VARCHAR) ORDER BY vec_id) AS completions
+FROM embeddings GROUP BY vec_id // 4""")
+_o("repeat_rows", """SELECT step, prompt_id, sample_idx, score, CAST(r AS INTEGER) AS repeat_idx
+FROM rollouts, range(2) t(r)""", ["rollouts"])
+_o("last_wins_dedup", "SELECT source, arg_max(n_chars, doc_id) AS n_chars FROM documents GROUP BY source")
+_o("follower_reference_sequence", """SELECT seq_id AS pair_id,
+       list_concat(ids[1:ctx], list_reverse(ids)[(ctx + 3):]) AS ids, ctx FROM token_ids""", ["token_ids"])
+_o("export_eval_json", """SELECT prompt_id, prompt AS instruction, comps[i + 1].text AS output,
+       'prefspark_completion_' || CAST(i AS VARCHAR) AS generator, 'prefspark' AS dataset, 'eval' AS datasplit,
+       CAST(i AS INTEGER) AS completion_idx
+FROM (SELECT prompt_id, prompt, comps, unnest(range(len(comps))) AS i FROM generations)""", ["generations"])

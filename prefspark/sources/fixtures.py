@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefspark.functions.core import ATTRIBUTES, NAN, sigmoid
+from prefspark.functions.core import ATTRIBUTES, nan, sigmoid
 from prefspark.sources.tables import table
 
 # Fixture models and completions per model.
@@ -45,7 +45,7 @@ def rewards_long(spark: SparkSession, sf_dir: str) -> DataFrame:
         _attr_name(a).alias("attribute"),
         F.col("vec_id").alias("prompt_id"),
         (F.col("k") % 3).cast("int").alias("completion_idx"),
-        F.when((F.col("vec_id") % 50 == 7) & (a == 2) & (m == 1), NAN).otherwise(r).alias("reward"),
+        F.when((F.col("vec_id") % 50 == 7) & (a == 2) & (m == 1), nan()).otherwise(r).alias("reward"),
     )
 
 
@@ -90,7 +90,9 @@ def tldr_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(
         F.col("doc_id").alias("id"),
         F.col("source").alias("worker"),
-        _split_of(F.col("doc_id")).alias("split"),
+        # doc_id % 7 (not % 5): the worker is doc_id % 20, so % 5 would put
+        # every worker in one split only
+        F.when(F.col("doc_id") % 7 == 0, F.lit("validation")).otherwise(F.lit("train")).alias("split"),
         F.when(F.col("doc_id") % 3 == 0, F.col("source")).alias("site"),
         F.col("lang").alias("subreddit"),
         F.substring("text", 1, 40).alias("title"),
