@@ -410,3 +410,219 @@ def q_follower_reference_sequence(spark, sf):
 @query("export_eval_json")
 def q_export_eval_json(spark, sf):
     return sh.export_eval_rows(_gen(spark, sf).select("prompt_id", "prompt", "comps"), "prefspark")
+
+
+# ------------------------------------------------------------ token arrays / rollouts
+from prefspark.functions import seq as sq  # noqa: E402
+from prefspark.operators import judge as jd  # noqa: E402
+from prefspark.operators import rollout as ro  # noqa: E402
+
+EOS, PAD = 0, 9
+BETA = 0.05
+KL_KIND = "k3"
+EOS_PENALTY = 1.0
+KL_COEF = 0.05
+CLIP = 0.2
+CENTER_COEF = 0.01
+TIS = 2.0
+REWARD_CLIP = 3.0
+LEADER_FREQ = 3
+FOLLOWER_WEIGHT = 0.5
+ROLL_KEYS = ["step", "prompt_id", "sample_idx"]
+
+
+def _roll(spark, sf):
+    return fx.rollouts(spark, sf)
+
+
+def _R(c):
+    return F.round(c, 6)
+
+
+@query("truncate_at_stop")
+def q_truncate_at_stop(spark, sf):
+    t = fx.token_ids(spark, sf)
+    tr = sq.truncate_at_stop(sq.completion("ids", "ctx"), EOS)
+    return t.select("seq_id", tr.alias("completion"), F.size(tr).alias("length"))
+
+
+@query("contains_eos")
+def q_contains_eos(spark, sf):
+    return fx.token_ids(spark, sf).select("seq_id", sq.contains_eos("ids", "ctx", EOS).alias("has_eos"))
+
+
+@query("sequence_length")
+def q_sequence_length(spark, sf):
+    return fx.token_ids(spark, sf).select("seq_id", sq.sequence_length(sq.completion("ids", "ctx"), PAD)
+                                          .alias("seq_len"))
+
+
+@query("selected_log_softmax")
+def q_selected_log_softmax(spark, sf):
+    return fx.logits(spark, sf).select("seq_id", "pos", _R(sq.selected_log_softmax("logits", "target")).alias("logp"))
+
+
+@query("softmax_entropy")
+def q_softmax_entropy(spark, sf):
+    return fx.logits(spark, sf).select("seq_id", "pos", _R(sq.softmax_entropy("logits")).alias("entropy"))
+
+
+@query("masked_logprob_sum")
+def q_masked_logprob_sum(spark, sf):
+    return ro.logprob_stats(_roll(spark, sf)).select(*ROLL_KEYS, "logp_sum", "entropy")
+
+
+@query("kl_estimate")
+def q_kl_estimate(spark, sf):
+    r = _roll(spark, sf)
+    return r.select(*ROLL_KEYS, *[_R(sq.kl_estimate("model_logps", "ref_logps", k)).alias(f"kl_{k}")
+                                  for k in ("k1", "k2", "k3")])
+
+
+@query("policy_loss")
+def q_policy_loss(spark, sf):
+    x = ro.policy_loss(_roll(spark, sf), BETA, KL_KIND, 0.5, True, TIS)
+    return x.select(*ROLL_KEYS, _R(F.col("seq_loss")).alias("seq_loss"), _R(F.col("score")).alias("score"),
+                    _R(F.col("kl")).alias("kl"))
+
+
+@query("eos_probability_penalty")
+def q_eos_probability_penalty(spark, sf):
+    r = _roll(spark, sf)
+    return r.select(*ROLL_KEYS, _R(ro.eos_probability_penalty("prob", "has_eos", EOS_PENALTY)).alias("p_leader"),
+                    _R(ro.eos_probability_penalty("prob", "has_eos", EOS_PENALTY, True)).alias("p_follower"))
+
+
+@query("missing_eos_penalty")
+def q_missing_eos_penalty(spark, sf):
+    return _roll(spark, sf).select(*ROLL_KEYS, ro.missing_eos_penalty("score", "has_eos", EOS_PENALTY)
+                                   .alias("score_pen"))
+
+
+@query("kl_penalized_reward")
+def q_kl_penalized_reward(spark, sf):
+    r = _roll(spark, sf).withColumn("score_pen", ro.missing_eos_penalty("score", "has_eos", EOS_PENALTY))
+    x = ro.kl_penalized_reward(r, KL_COEF, "score_pen")
+    return x.select(*ROLL_KEYS, *[_R(F.col(c)).alias(c) for c in ("seq_kl", "non_score_reward", "rlhf_reward")])
+
+
+@query("rloo_advantage")
+def q_rloo_advantage(spark, sf):
+    return ro.rloo_advantage(_roll(spark, sf), "score").select(*ROLL_KEYS, _R(F.col("advantage")).alias("advantage"))
+
+
+@query("batch_rloo_baseline")
+def q_batch_rloo_baseline(spark, sf):
+    return ro.batch_rloo_baseline(_roll(spark, sf), "prob", 0.5).select(*ROLL_KEYS, _R(F.col("p_adj")).alias("p_adj"))
+
+
+@query("normalize_reward")
+def q_normalize_reward(spark, sf):
+    return ro.normalize(_roll(spark, sf), "score", "score_norm", REWARD_CLIP).select(
+        *ROLL_KEYS, _R(F.col("score_norm")).alias("score_norm"))
+
+
+@query("normalize_advantage")
+def q_normalize_advantage(spark, sf):
+    x = ro.rloo_advantage(_roll(spark, sf), "score")
+    return ro.normalize(x, "advantage", "adv_norm").select(*ROLL_KEYS, _R(F.col("adv_norm")).alias("adv_norm"))
+
+
+def _step_losses(spark, sf):
+    x = ro.policy_loss(_roll(spark, sf), BETA, KL_KIND, 0.5, True, None)
+    return x.groupBy("step").agg(F.avg(F.when(F.col("sample_idx") == 0, F.col("seq_loss"))).alias("loss_leader"),
+                                 F.avg(F.when(F.col("sample_idx") == 1, F.col("seq_loss"))).alias("loss_follower"))
+
+
+@query("alternating_update")
+def q_alternating_update(spark, sf):
+    x = ro.alternating_update(_step_losses(spark, sf), LEADER_FREQ, FOLLOWER_WEIGHT)
+    return x.select("step", *[_R(F.col(c)).alias(c) for c in ("loss_leader", "loss_follower", "total_loss")])
+
+
+@query("clipped_policy_loss")
+def q_clipped_policy_loss(spark, sf):
+    x = ro.clipped_policy_loss(ro.rloo_advantage(_roll(spark, sf), "score"), "advantage", CLIP)
+    return x.select(*ROLL_KEYS, *[_R(F.col(c)).alias(c) for c in ("ratio", "pg_loss", "approxkl")], "clipped")
+
+
+@query("rollout_metrics")
+def q_rollout_metrics(spark, sf):
+    r = _roll(spark, sf)
+    return ro.rollout_metrics(r.filter(F.col("sample_idx") == 0), r.filter(F.col("sample_idx") == 1),
+                              BETA, EOS_PENALTY, KL_KIND)
+
+
+@query("policy_metrics")
+def q_policy_metrics(spark, sf):
+    return ro.policy_metrics(_roll(spark, sf), KL_COEF, EOS_PENALTY, CLIP)
+
+
+def _pairs_sc(spark, sf):
+    return fx.scored_pairs(spark, sf)
+
+
+@query("bradley_terry_loss")
+def q_bradley_terry_loss(spark, sf):
+    return ro.bradley_terry_loss(_pairs_sc(spark, sf), CENTER_COEF)
+
+
+@query("weighted_bce_loss")
+def q_weighted_bce_loss(spark, sf):
+    return ro.weighted_bce_loss(_pairs_sc(spark, sf))
+
+
+@query("preference_accuracy")
+def q_preference_accuracy(spark, sf):
+    return ro.preference_accuracy(_pairs_sc(spark, sf))
+
+
+# ------------------------------------------------------------ judging
+JUDGE_KEYS = ["model", "split", "prompt_id"]
+
+
+def _judge_scores(spark, sf):
+    r = _rl(spark, sf).filter(F.col("completion_idx") <= 1)
+    return r.select(*JUDGE_KEYS, "attribute", "completion_idx", F.col("reward").alias("score"),
+                    ((F.col("prompt_id") + F.col("completion_idx")) % 7 != 0).alias("has_eos"))
+
+
+@query("multi_attribute_vote")
+def q_multi_attribute_vote(spark, sf):
+    return jd.multi_attribute_vote(_judge_scores(spark, sf), JUDGE_KEYS, EOS_PENALTY)
+
+
+@query("sampled_attribute_vote")
+def q_sampled_attribute_vote(spark, sf):
+    return jd.sampled_attribute_vote(_judge_scores(spark, sf), JUDGE_KEYS, SEED, penalty=EOS_PENALTY)
+
+
+@query("judge_probability")
+def q_judge_probability(spark, sf):
+    return jd.judge_probability(fx.judge_logprobs(spark, sf))
+
+
+@query("position_debias")
+def q_position_debias(spark, sf):
+    p = jd.position_unflip(jd.position_flip(jd.judge_probability(fx.judge_logprobs(spark, sf)), SEED))
+    return p.select("pair_id", "flip", "p")
+
+
+def _sched_input(spark, sf):
+    return _rl(spark, sf).filter((F.col("model") == BASELINE) & (F.col("completion_idx") == 0)).select(
+        F.col("prompt_id").alias("step"), "split", "attribute", "reward")
+
+
+@query("attribute_schedule")
+def q_attribute_schedule(spark, sf):
+    return jd.attribute_schedule(_sched_input(spark, sf), "step", "round_robin")
+
+
+@query("attribute_schedule_random")
+def q_attribute_schedule_random(spark, sf):
+    return jd.attribute_schedule(_sched_input(spark, sf), "step", "random", SEED)
+
+
+@query("attribute_schedule_average")
+def q_attribute_schedule_average(spark, sf):
+    return jd.attribute_schedule(_sched_input(spark, sf), "step", "average")

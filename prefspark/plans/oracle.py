@@ -384,3 +384,181 @@ _o("export_eval_json", """SELECT prompt_id, prompt AS instruction, comps[i + 1].
        'prefspark_completion_' || CAST(i AS VARCHAR) AS generator, 'prefspark' AS dataset, 'eval' AS datasplit,
        CAST(i AS INTEGER) AS completion_idx
 FROM (SELECT prompt_id, prompt, comps, unnest(range(len(comps))) AS i FROM generations)""", ["generations"])
+
+
+# ------------------------------------------------------------------ token arrays / rollouts
+def asum(x: str) -> str:
+    return f"list_reduce({x}, lambda a, v: a + v, 0.0::DOUBLE)"
+
+
+def zipw(a: str, b: str, expr: str) -> str:
+    """list of expr(x, y) over two equal-length lists (x from a, y from b)."""
+    return f"list_transform(range(len({a})), lambda i: (lambda x, y: {expr})({a}[i + 1], {b}[i + 1]))"
+
+
+def zipf(a: str, b: str, expr: str) -> str:
+    """like zipw but with ``x``/``y`` substituted textually (DuckDB has no lambda application)."""
+    return f"list_transform(range(len({a})), lambda i: {expr.replace('x', f'{a}[i + 1]').replace('y', f'{b}[i + 1]')})"
+
+
+def r6(x: str) -> str:
+    return f"round({x}, 6)"
+
+
+ROLL_KEYS = "step, prompt_id, sample_idx"
+COMP = "ids[(ctx + 1):]"
+_o("truncate_at_stop", f"""SELECT seq_id, c AS completion, CAST(len(c) AS INTEGER) AS length FROM (
+  SELECT seq_id, CASE WHEN list_position({COMP}, 0) IS NOT NULL THEN ({COMP})[1:list_position({COMP}, 0)]
+                      ELSE {COMP} END AS c FROM token_ids)""", ["token_ids"])
+_o("contains_eos", f"SELECT seq_id, list_contains({COMP}, 0) AS has_eos FROM token_ids", ["token_ids"])
+_o("sequence_length", f"""SELECT seq_id, CAST(CASE WHEN list_position({COMP}, 9) IS NOT NULL THEN list_position({COMP}, 9) - 2
+                  ELSE len({COMP}) - 1 END AS INTEGER) AS seq_len FROM token_ids""", ["token_ids"])
+LSE = "(list_max({l}) + ln(list_reduce(list_transform({l}, lambda v: exp(v - list_max({l}))), lambda a, v: a + v, 0.0::DOUBLE)))"
+_o("selected_log_softmax", f"""SELECT seq_id, pos, {r6("s[target + 1] - " + LSE.format(l="s"))} AS logp
+FROM (SELECT seq_id, pos, target, list_transform(logits, lambda v: v / 1.0::DOUBLE) AS s FROM logits)""", ["logits"])
+_o("softmax_entropy", f"""SELECT seq_id, pos,
+  {r6("lse - list_reduce(list_transform(logits, lambda v: exp(v - lse) * v), lambda a, v: a + v, 0.0::DOUBLE)")} AS entropy
+FROM (SELECT seq_id, pos, logits, {LSE.format(l="logits")} AS lse FROM logits)""", ["logits"])
+_o("masked_logprob_sum", f"SELECT {ROLL_KEYS}, {asum('model_logps')} AS logp_sum, -{asum('model_logps')} AS entropy FROM rollouts",
+   ["rollouts"])
+LOGR = "list_transform(range(len(model_logps)), lambda i: ref_logps[i + 1] - model_logps[i + 1])"
+K3 = "list_transform(logr, lambda v: (exp(least(greatest(v, -40.0::DOUBLE), 40.0::DOUBLE)) - 1.0::DOUBLE) - least(greatest(v, -40.0::DOUBLE), 40.0::DOUBLE))"
+_o("kl_estimate", f"""SELECT {ROLL_KEYS}, {r6(asum('list_transform(logr, lambda v: -v)'))} AS kl_k1,
+       {r6(asum('list_transform(logr, lambda v: 0.5::DOUBLE * v * v)'))} AS kl_k2, {r6(asum(K3))} AS kl_k3
+FROM (SELECT *, {LOGR} AS logr FROM rollouts)""", ["rollouts"])
+
+
+def padj(src: str, prob: str = "prob") -> str:
+    return f"""SELECT *, v - CASE WHEN count(*) OVER (PARTITION BY step) > 1
+                 THEN (sum(v) OVER (PARTITION BY step) - v) / (count(*) OVER (PARTITION BY step) - 1)
+                 ELSE 'NaN'::DOUBLE END AS p_adj
+FROM (SELECT *, {prob} - 0.5::DOUBLE AS v FROM {src})"""
+
+
+def ploss(src: str, tis: bool) -> str:
+    tok = (f"list_transform(range(len(model_logps)), lambda i: (0.05::DOUBLE * kk[i + 1] - p_adj) * model_logps[i + 1]"
+           + (" * least(exp(model_logps[i + 1] - gen_logps[i + 1]), 2.0::DOUBLE)" if tis else "") + ")")
+    return f"""SELECT * EXCLUDE (score), {asum(tok)} AS seq_loss, p_adj * {asum('model_logps')} AS score, {asum('kk')} AS kl
+FROM (SELECT *, {K3} AS kk FROM (SELECT *, {LOGR} AS logr FROM ({src})))"""
+
+
+_o("policy_loss", f"SELECT {ROLL_KEYS}, {r6('seq_loss')} AS seq_loss, {r6('score')} AS score, {r6('kl')} AS kl FROM pl",
+   ["rollouts"], [("pa", padj("rollouts")), ("pl", ploss("pa", True))])
+NOEOS = "CAST(NOT has_eos AS DOUBLE)"
+_o("eos_probability_penalty", f"""SELECT {ROLL_KEYS}, {r6(f'prob - 1.0::DOUBLE * {NOEOS}')} AS p_leader,
+       {r6(f'(1.0::DOUBLE - prob) - 1.0::DOUBLE * {NOEOS}')} AS p_follower FROM rollouts""", ["rollouts"])
+SPEN = f"score - 1.0::DOUBLE * {NOEOS}"
+_o("missing_eos_penalty", f"SELECT {ROLL_KEYS}, {SPEN} AS score_pen FROM rollouts", ["rollouts"])
+SEQKL = asum("list_transform(range(len(model_logps)), lambda i: model_logps[i + 1] - ref_logps[i + 1])")
+KLR = f"""SELECT *, -0.05::DOUBLE * seq_kl AS non_score_reward, -0.05::DOUBLE * seq_kl + score_pen AS rlhf_reward
+FROM (SELECT *, {SEQKL} AS seq_kl, {SPEN} AS score_pen FROM rollouts)"""
+_o("kl_penalized_reward", f"""SELECT {ROLL_KEYS}, {r6('seq_kl')} AS seq_kl, {r6('non_score_reward')} AS non_score_reward,
+       {r6('rlhf_reward')} AS rlhf_reward FROM k""", ["rollouts"], [("k", KLR)])
+
+
+def adv(src: str, value: str) -> str:
+    return f"""SELECT *, {value} - CASE WHEN count(*) OVER (PARTITION BY step, prompt_id) > 1
+        THEN (sum({value}) OVER (PARTITION BY step, prompt_id) - {value}) / (count(*) OVER (PARTITION BY step, prompt_id) - 1)
+        ELSE 'NaN'::DOUBLE END AS advantage FROM {src}"""
+
+
+_o("rloo_advantage", f"SELECT {ROLL_KEYS}, {r6('advantage')} AS advantage FROM a", ["rollouts"],
+   [("a", adv("rollouts", "score"))])
+_o("batch_rloo_baseline", f"SELECT {ROLL_KEYS}, {r6('p_adj')} AS p_adj FROM pa", ["rollouts"], [("pa", padj("rollouts"))])
+
+
+def norm(value: str, clip: float | None) -> str:
+    z = f"({value} - avg({value}) OVER (PARTITION BY step)) / (stddev_samp({value}) OVER (PARTITION BY step) + 1e-8)"
+    if clip is not None:
+        z = f"least(greatest({z}, -{clip}::DOUBLE), {clip}::DOUBLE)"
+    return z
+
+
+_o("normalize_reward", f"SELECT {ROLL_KEYS}, {r6(norm('score', 3.0))} AS score_norm FROM rollouts", ["rollouts"])
+_o("normalize_advantage", f"SELECT {ROLL_KEYS}, {r6(norm('advantage', None))} AS adv_norm FROM a", ["rollouts"],
+   [("a", adv("rollouts", "score"))])
+_o("alternating_update", f"""SELECT step, {r6('loss_leader')} AS loss_leader, {r6('loss_follower')} AS loss_follower,
+       {r6("CASE WHEN (step + 1) % 3 = 0 THEN loss_leader ELSE 0.5::DOUBLE * loss_follower END")} AS total_loss
+FROM (SELECT step, avg(CASE WHEN sample_idx = 0 THEN seq_loss END) AS loss_leader,
+             avg(CASE WHEN sample_idx = 1 THEN seq_loss END) AS loss_follower FROM pl GROUP BY step)""",
+   ["rollouts"], [("pa", padj("rollouts")), ("pl", ploss("pa", False))])
+
+
+def clipped(src: str) -> str:
+    return f"""SELECT *, greatest(-advantage * ratio, -advantage * least(greatest(ratio, 0.8::DOUBLE), 1.2::DOUBLE)) AS pg_loss,
+       (-advantage * least(greatest(ratio, 0.8::DOUBLE), 1.2::DOUBLE)) > (-advantage * ratio) AS clipped,
+       0.5::DOUBLE * d * d AS approxkl
+FROM (SELECT *, exp(d) AS ratio FROM (SELECT *, {asum('model_logps')} - {asum('gen_logps')} AS d FROM {src}))"""
+
+
+_o("clipped_policy_loss", f"""SELECT {ROLL_KEYS}, {r6('ratio')} AS ratio, {r6('pg_loss')} AS pg_loss,
+       {r6('approxkl')} AS approxkl, clipped FROM c""", ["rollouts"],
+   [("a", adv("rollouts", "score")), ("c", clipped("a"))])
+
+
+def side(name: str, sample: int, prob: str) -> list[tuple[str, str]]:
+    return [(f"{name}_in", f"SELECT * EXCLUDE (prob), prob AS prob_raw, {prob} AS prob FROM rollouts WHERE sample_idx = {sample}"),
+            (f"{name}_pa", padj(f"{name}_in")), (name, ploss(f"{name}_pa", False))]
+
+
+_m = [("l.score", "score_leader"), ("f.score", "score_follower"), ("l.kl", "kl_leader"), ("f.kl", "kl_follower"),
+      ("l.seq_loss", "loss_leader"), ("f.seq_loss", "loss_follower"),
+      (f"{asum('l.model_logps')}", "logps_leader"), (f"{asum('f.model_logps')}", "logps_follower"),
+      ("l.prob_raw", "probabilities"), (f"-{asum('l.model_logps')}", "entropy_leader"),
+      (f"-{asum('f.model_logps')}", "entropy_follower"),
+      (f"{asum('l.model_logps')} - {asum('f.model_logps')}", "margins"),
+      ("CAST(l.has_eos AS DOUBLE)", "leader_contain_eos"), ("CAST(f.has_eos AS DOUBLE)", "follower_contain_eos"),
+      ("CAST(len(l.model_logps) AS DOUBLE)", "leader_completion_length"),
+      ("CAST(len(f.model_logps) AS DOUBLE)", "follower_completion_length")]
+_o("rollout_metrics", "SELECT l.step, " + ", ".join(f"{r6(f'avg({e})')} AS {n}" for e, n in _m)
+   + " FROM ls l JOIN fs f ON l.step = f.step AND l.prompt_id = f.prompt_id GROUP BY l.step", ["rollouts"],
+   side("ls", 0, f"prob - 1.0::DOUBLE * {NOEOS}") + side("fs", 1, f"(1.0::DOUBLE - prob) - 1.0::DOUBLE * {NOEOS}"))
+_o("policy_metrics", f"""SELECT step, {r6('avg(seq_kl)')} AS kl, {r6(f"avg(-{asum('model_logps')})")} AS entropy,
+       {r6('avg(non_score_reward)')} AS non_score_reward, {r6('avg(rlhf_reward)')} AS rlhf_reward,
+       {r6('avg(score_pen)')} AS scores, {r6('avg(CAST(clipped AS DOUBLE))')} AS clipfrac,
+       {r6('avg(approxkl)')} AS approxkl, {r6('avg(pg_loss)')} AS policy_loss, {r6('avg(ratio)')} AS ratio,
+       {r6('var_samp(ratio)')} AS ratio_var, CAST(sum(CAST(has_eos AS BIGINT)) AS BIGINT) AS num_eos
+FROM c GROUP BY step""", ["rollouts"], [("k", KLR), ("a", adv("k", "rlhf_reward")), ("c", clipped("a"))])
+
+LOGSIG = "(least({d}, 0.0::DOUBLE) - ln(1.0::DOUBLE + exp(-abs({d}))))"
+_D = "(chosen - rejected - margin)"
+_o("bradley_terry_loss", f"""SELECT model, attribute,
+       {r6(f"sum(loss_weight * -{LOGSIG.format(d=_D)}) / sum(loss_weight) + 0.01::DOUBLE * avg((chosen + rejected) * (chosen + rejected))")} AS bt_loss,
+       count(*) AS n_pairs FROM scored_pairs GROUP BY model, attribute""", ["scored_pairs"])
+_X = "(chosen - margin)"
+_o("weighted_bce_loss", f"""SELECT model, attribute,
+       {r6(f"sum(loss_weight * (greatest({_X}, 0.0::DOUBLE) - {_X} * CAST(label AS DOUBLE) + ln(1.0::DOUBLE + exp(-abs({_X}))))) / sum(loss_weight)")} AS bce_loss
+FROM scored_pairs GROUP BY model, attribute""", ["scored_pairs"])
+_o("preference_accuracy", f"""SELECT model, attribute,
+       CAST(sum(CASE WHEN NOT isnan(chosen) AND NOT isnan(rejected) AND chosen > rejected THEN 1 ELSE 0 END) AS DOUBLE) / count(*) AS accuracy,
+       {r6('avg(1.0::DOUBLE / (1.0::DOUBLE + exp(-(chosen - rejected))))')} AS mean_p_chosen
+FROM scored_pairs GROUP BY model, attribute""", ["scored_pairs"])
+
+# ------------------------------------------------------------------ judging
+VOTES = f"""SELECT model, split, prompt_id, attribute, s0, s1, CAST({ge('s0', 's1')} AS INTEGER) AS vote FROM (
+  SELECT model, split, prompt_id, attribute,
+         max(CASE WHEN completion_idx = 0 THEN s END) AS s0, max(CASE WHEN completion_idx = 1 THEN s END) AS s1
+  FROM (SELECT *, reward - 1.0::DOUBLE * CAST(NOT ((prompt_id + completion_idx) % 7 <> 0) AS DOUBLE) AS s
+        FROM rewards_long WHERE completion_idx <= 1)
+  GROUP BY model, split, prompt_id, attribute)"""
+_o("multi_attribute_vote", """SELECT model, split, prompt_id, CAST(sum(vote) AS DOUBLE) / count(*) AS p,
+       count(*) AS n_attributes FROM votes GROUP BY model, split, prompt_id""", ["rewards_long"], [("votes", VOTES)])
+_ATTR_LIST = "['coherence', 'complexity', 'correctness', 'helpfulness', 'verbosity']"
+_o("sampled_attribute_vote", f"""SELECT model, split, prompt_id, attribute, vote FROM votes
+WHERE attribute = {_ATTR_LIST}[({h('model', 'split', 'prompt_id')} % 5) + 1]""", ["rewards_long"], [("votes", VOTES)])
+JP = """SELECT pair_id, round(CASE WHEN failed = 1 THEN 0.5::DOUBLE ELSE pa / (pa + pb + 1e-6) END, 6) AS p,
+       lp_a IS NULL AND lp_b IS NULL AND failed = 0 AS both_missing, failed = 1 AS call_failed
+FROM (SELECT *, coalesce(exp(lp_a / 1.0::DOUBLE), 0.0::DOUBLE) AS pa, coalesce(exp(lp_b / 1.0::DOUBLE), 0.0::DOUBLE) AS pb
+      FROM (SELECT pair_id, max(CASE WHEN token = 'A' THEN logprob END) AS lp_a,
+                   max(CASE WHEN token = 'B' THEN logprob END) AS lp_b, max(CAST(call_failed AS INTEGER)) AS failed
+            FROM judge_logprobs GROUP BY pair_id))"""
+_o("judge_probability", JP, ["judge_logprobs"])
+_o("position_debias", f"""SELECT pair_id, flip, CASE WHEN flip THEN 1.0::DOUBLE - p ELSE p END AS p
+FROM (SELECT *, {h('pair_id')} % 2 = 1 AS flip FROM jp)""", ["judge_logprobs"], [("jp", JP)])
+SCHED = "SELECT prompt_id AS step, split, attribute, reward FROM rewards_long WHERE model = 'm0' AND completion_idx = 0"
+_o("attribute_schedule", f"""SELECT step, reward AS scheduled_reward FROM sched
+WHERE attribute = {_ATTR_LIST}[(step % 5) + 1]""", ["rewards_long"], [("sched", SCHED)])
+_o("attribute_schedule_random", f"""SELECT step, reward AS scheduled_reward FROM sched
+WHERE attribute = {_ATTR_LIST}[({h('step')} % 5) + 1]""", ["rewards_long"], [("sched", SCHED)])
+_o("attribute_schedule_average", "SELECT step, avg(reward) AS scheduled_reward FROM sched GROUP BY step", ["rewards_long"],
+   [("sched", SCHED)])
