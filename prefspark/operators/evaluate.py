@@ -291,3 +291,18 @@ def model_pair_join(rewards: DataFrame, models: Sequence[str]) -> DataFrame:
                 F.lit(models[i]).alias("model_a"), F.lit(models[j]).alias("model_b"),
                 ra.alias("reward_a"), rb.alias("reward_b"), ieee_ge(ra, rb).alias("a_ge_b"))))
     return cell.select(*CELL, F.inline(F.array_compact(F.array(*pairs))))
+
+
+# ---------------------------------------------------------------- E10
+def instruction_accuracy(results: DataFrame) -> DataFrame:
+    """Per completion index, prompt accuracy (all instructions of the
+    prompt followed) and instruction accuracy, strict and loose."""
+    per_prompt = results.groupBy("completion_idx", "prompt_id").agg(
+        F.bool_and("followed_strict").alias("ps"), F.bool_and("followed_loose").alias("pl"),
+        F.sum(_i(F.col("followed_strict"))).alias("is_"), F.sum(_i(F.col("followed_loose"))).alias("il"),
+        F.count(F.lit(1)).alias("n"))
+    return per_prompt.groupBy("completion_idx").agg(
+        _ratio(F.sum(_i(F.col("ps"))), F.count(F.lit(1))).alias("prompt_strict"),
+        _ratio(F.sum(_i(F.col("pl"))), F.count(F.lit(1))).alias("prompt_loose"),
+        _ratio(F.sum("is_"), F.sum("n")).alias("instruction_strict"),
+        _ratio(F.sum("il"), F.sum("n")).alias("instruction_loose"))

@@ -209,3 +209,16 @@ def policy_metrics(df: DataFrame, kl_coef: float, penalty: float, clip: float) -
         m(F.col("approxkl"), "approxkl"), m(F.col("pg_loss"), "policy_loss"), m(F.col("ratio"), "ratio"),
         _r(F.var_samp("ratio")).alias("ratio_var"),
         F.sum(F.col("has_eos").cast("long")).alias("num_eos"))
+
+
+def random_permutation_batches(df: DataFrame, seed: int, epochs: int, mini_batch: int, micro_batch: int,
+                               key: str = "sample_idx", by: str = "step") -> DataFrame:
+    """A fresh seeded permutation of each batch per epoch, cut into mini
+    and micro batches: rank by md5(seed|step|epoch|key) within (step, epoch)."""
+    from prefspark.functions.core import hash_bigint
+    x = df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
+    h = hash_bigint(F.lit(str(seed)), F.col(by), F.col("epoch"), F.col(key))
+    w = Window.partitionBy(by, "epoch").orderBy(h, F.col(key))
+    r = F.row_number().over(w) - 1
+    return x.withColumn("perm_rank", r).withColumn("mini_batch", F.floor(F.col("perm_rank") / mini_batch)) \
+            .withColumn("micro_batch", F.floor((F.col("perm_rank") % mini_batch) / micro_batch))

@@ -626,3 +626,158 @@ def q_attribute_schedule_random(spark, sf):
 @query("attribute_schedule_average")
 def q_attribute_schedule_average(spark, sf):
     return jd.attribute_schedule(_sched_input(spark, sf), "step", "average")
+
+
+# ------------------------------------------------------------ sources / sinks
+import uuid  # noqa: E402
+
+from prefspark.operators import udf as uf  # noqa: E402
+from prefspark.session import ensure_checkpoint_dir  # noqa: E402
+from prefspark.sources import io as sio  # noqa: E402
+from prefspark.streaming import metrics as sm  # noqa: E402
+
+
+def _scratch(spark, name):
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}/{uuid.uuid4().hex[:12]}"
+
+
+@query("read_table")
+def q_read_table(spark, sf):
+    return sio.read_table(spark, sf, "documents", "doc_id", "lang", "source", "n_chars")
+
+
+@query("write_splits")
+def q_write_splits(spark, sf):
+    path = _scratch(spark, "splits")
+    sio.write_splits(_tldr(spark, sf).select("id", "worker", "split"), path)
+    return sio.read_splits(spark, path).select("id", "worker", "split")
+
+
+@query("read_splits")
+def q_read_splits(spark, sf):
+    path = _scratch(spark, "splits")
+    sio.write_splits(_tldr(spark, sf).select("id", "worker", "split"), path)
+    return sio.read_splits(spark, path, ["validation"]).select("id", "worker", "split")
+
+
+@query("read_jsonl")
+def q_read_jsonl(spark, sf):
+    ev = fx.table(spark, sf, "events", "event_id", "props")
+    return sio.parse_json_records(ev, "props", "k long").select("event_id", "k")
+
+
+@query("expand_attribute_paths")
+def q_expand_attribute_paths(spark, sf):
+    tagged = sio.read_attribute_tables(spark, f"{sf.rstrip('/')}/(labels|documents).parquet", ["doc_id"])
+    return tagged.groupBy("attribute").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@query("split_row_counts")
+def q_split_row_counts(spark, sf):
+    raw = _tldr(spark, sf)
+    return sio.split_row_counts(raw, "raw").unionByName(
+        sio.split_row_counts(lb.worker_semi_join(raw, MIN_PER_WORKER), "worker_filter"))
+
+
+def _bench_items(spark, sf):
+    return fx.table(spark, sf, "benchmark", "item_id", "text")
+
+
+@query("source_preference_mixture")
+def q_source_preference_mixture(spark, sf):
+    cp = lb.choice_pairs(_tldr(spark, sf)).select("id", F.col("title").alias("prompt"), "chosen", "rejected")
+    return sio.normalize_source("preference_mixture", cp, prompts_only=True)
+
+
+@query("source_instruction_eval")
+def q_source_instruction_eval(spark, sf):
+    return sio.normalize_source("instruction_eval", _bench_items(spark, sf).withColumnRenamed("text", "instruction"))
+
+
+@query("source_constraint_eval")
+def q_source_constraint_eval(spark, sf):
+    return sio.normalize_source("constraint_eval", _bench_items(spark, sf).withColumnRenamed("text", "prompt"),
+                                prompts_only=True)
+
+
+@query("normalize_source")
+def q_normalize_source(spark, sf):
+    """All prompt-only sources in one common schema (source, prompt_id, prompt, split)."""
+    items = _bench_items(spark, sf)
+    a = sio.normalize_source("Instruction_Eval", items.withColumnRenamed("text", "instruction")).withColumn(
+        "source", F.lit("instruction_eval"))
+    pairs = idx.train_validation_split(_pairs(spark, sf), "prompt_id", TRAIN_FRACTION, SEED)
+    b = sio.normalize_source("rated_pairs", pairs, prompts_only=True).withColumn("source", F.lit("rated_pairs"))
+    return a.unionByName(b).select("source", "prompt_id", "prompt", "split")
+
+
+@query("random_permutation_batches")
+def q_random_permutation_batches(spark, sf):
+    r = _roll(spark, sf).select("step", "prompt_id", "sample_idx",
+                                (F.col("prompt_id") * 4 + F.col("sample_idx")).alias("row_key"))
+    return ro.random_permutation_batches(r, SEED, 2, 16, 4, key="row_key").select(
+        "step", "row_key", "sample_idx", "epoch", "perm_rank", "mini_batch", "micro_batch")
+
+
+@query("instruction_accuracy")
+def q_instruction_accuracy(spark, sf):
+    return ev.instruction_accuracy(fx.instruction_results(spark, sf))
+
+
+@query("score_with")
+def q_score_with(spark, sf):
+    return uf.score_native(sh.flatten_completions(_gen(spark, sf)))
+
+
+def _length_scorers():
+    return {"length": lambda p, c: c.fillna("").str.split().str.len().astype("float64"),
+            "prompt_ratio": lambda p, c: c.fillna("").str.len() / (1.0 + p.fillna("").str.len())}
+
+
+@query("score_with_udf")
+def q_score_with_udf(spark, sf):
+    return uf.score_with(sh.flatten_completions(_gen(spark, sf)), _length_scorers, ["length", "prompt_ratio"])
+
+
+@query("judge_with")
+def q_judge_with(spark, sf):
+    g = _gen(spark, sf).filter(F.size("comps") >= 2).select(
+        F.col("prompt_id").alias("pair_id"), "prompt", F.col("comps")[0]["text"].alias("response0"),
+        F.col("comps")[1]["text"].alias("response1"))
+    return uf.judge_with(g, uf.length_judge, SEED).select("pair_id", "flip", "p")
+
+
+@query("tokenize_with")
+def q_tokenize_with(spark, sf):
+    return uf.tokenize_with(fx.table(spark, sf, "documents", "doc_id", "text"), "text", uf.hashing_tokenizer
+                            ).select("doc_id", F.size("input_ids").alias("n_ids"), "input_ids")
+
+
+@query("fit_reward_model")
+def q_fit_reward_model(spark, sf):
+    """Linear BT reward model on annotation means: chosen/rejected by the helpfulness label."""
+    st = lb.side_stats(fx.annotation_ratings(spark, sf))
+    wide = st.groupBy("prompt_id").agg(*[F.max(F.when((F.col("completion_idx") == s) & (F.col("attribute") == a),
+                                                      F.col("mean"))).alias(f"s{s}_{a}")
+                                         for s in (0, 1) for a in ATTRS])
+    lab = _labels(spark, sf).filter(F.col("attribute") == LABEL_ATTRIBUTE).select("prompt_id", "label")
+    j = wide.join(lab, "prompt_id").dropna()
+    first = F.col("label") == 1
+    feats = [c for c in ATTRS if c != LABEL_ATTRIBUTE]
+    pairs = j.select(*[F.when(first, F.col(f"s0_{a}")).otherwise(F.col(f"s1_{a}")).alias(f"chosen_{a}") for a in feats],
+                     *[F.when(first, F.col(f"s1_{a}")).otherwise(F.col(f"s0_{a}")).alias(f"rejected_{a}") for a in feats])
+    _, coefs = uf.fit_reward_model(pairs, feats, max_iter=50)
+    return coefs
+
+
+from prefspark.functions.core import ATTRIBUTES as ATTRS  # noqa: E402
+
+
+@query("metric_rollup")
+def q_metric_rollup(spark, sf):
+    return sm.metric_rollup(fx.table(spark, sf, "events", "ts", "user_id", "event_type", "value"))
+
+
+@query("metric_rollup_stream")
+def q_metric_rollup_stream(spark, sf):
+    return sm.metric_rollup_stream(spark, f"{sf.rstrip('/')}/events*.parquet")

@@ -562,3 +562,52 @@ _o("attribute_schedule_random", f"""SELECT step, reward AS scheduled_reward FROM
 WHERE attribute = {_ATTR_LIST}[({h('step')} % 5) + 1]""", ["rewards_long"], [("sched", SCHED)])
 _o("attribute_schedule_average", "SELECT step, avg(reward) AS scheduled_reward FROM sched GROUP BY step", ["rewards_long"],
    [("sched", SCHED)])
+
+
+# ------------------------------------------------------------------ sources / sinks
+_o("read_table", "SELECT doc_id, lang, source, n_chars FROM documents")
+_o("write_splits", "SELECT id, worker, split FROM tldr_raw", ["tldr_raw"])
+_o("read_splits", "SELECT id, worker, split FROM tldr_raw WHERE split = 'validation'", ["tldr_raw"])
+_o("read_jsonl", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+_o("expand_attribute_paths", """SELECT 'labels' AS attribute, count(*) AS n_rows FROM labels
+UNION ALL SELECT 'documents', count(*) FROM documents""")
+_o("split_row_counts", """SELECT split, count(*) AS n_rows, 'raw' AS stage FROM tldr_raw GROUP BY split
+UNION ALL SELECT split, count(*), 'worker_filter' FROM kept GROUP BY split""", ["tldr_raw"],
+   [("wc", WC), ("kept", SEMI.format(min_n=43, only=""))])
+_o("source_preference_mixture", f"SELECT id AS prompt_id, {umsg('title')} AS prompt FROM tldr_raw", ["tldr_raw"])
+IEVAL = f"""SELECT row_number() OVER (ORDER BY item_id) - 1 AS prompt_id, {umsg('text')} AS prompt,
+       'validation' AS split FROM benchmark"""
+_o("source_instruction_eval", IEVAL)
+_o("source_constraint_eval", IEVAL)
+_o("normalize_source", f"""SELECT 'instruction_eval' AS source, prompt_id, prompt, split FROM ({IEVAL})
+UNION ALL SELECT 'rated_pairs', prompt_id, {umsg('prompt')}, split FROM sp""", ["rated_responses"],
+   [("pairs", PAIRS), ("sp", SPLIT)])
+_o("random_permutation_batches", f"""SELECT step, row_key, sample_idx, epoch, perm_rank,
+       CAST(floor(perm_rank / 16) AS BIGINT) AS mini_batch, CAST(floor((perm_rank % 16) / 4) AS BIGINT) AS micro_batch
+FROM (SELECT step, row_key, sample_idx, epoch,
+             CAST(row_number() OVER (PARTITION BY step, epoch ORDER BY {h('step', 'epoch', 'row_key')}, row_key) - 1 AS INTEGER) AS perm_rank
+      FROM (SELECT step, prompt_id * 4 + sample_idx AS row_key, sample_idx, CAST(e AS INTEGER) AS epoch FROM rollouts, range(2) t(e)))""",
+   ["rollouts"])
+_o("instruction_accuracy", """SELECT completion_idx,
+       CAST(sum(CAST(ps AS BIGINT)) AS DOUBLE) / count(*) AS prompt_strict,
+       CAST(sum(CAST(pl AS BIGINT)) AS DOUBLE) / count(*) AS prompt_loose,
+       CAST(sum(is_) AS DOUBLE) / sum(n) AS instruction_strict, CAST(sum(il) AS DOUBLE) / sum(n) AS instruction_loose
+FROM (SELECT completion_idx, prompt_id, bool_and(followed_strict) AS ps, bool_and(followed_loose) AS pl,
+             sum(CAST(followed_strict AS BIGINT)) AS is_, sum(CAST(followed_loose AS BIGINT)) AS il, count(*) AS n
+      FROM instruction_results GROUP BY completion_idx, prompt_id) GROUP BY completion_idx""", ["instruction_results"])
+_o("score_with", f"""SELECT prompt_id, completion_idx, 'length' AS attribute, CAST(len(tc) AS DOUBLE) AS reward FROM tk
+UNION ALL
+SELECT prompt_id, completion_idx, 'lexical_overlap',
+       CASE WHEN len(list_distinct(tc)) > 0 THEN len(list_distinct(list_intersect(tp, tc))) / len(list_distinct(tc))
+            ELSE 0.0::DOUBLE END FROM tk""", ["generations"], [
+    ("fl", """SELECT prompt_id, prompt, CAST(i AS INTEGER) AS completion_idx, comps[i + 1].text AS completion
+              FROM (SELECT prompt_id, prompt, comps, unnest(range(len(comps))) AS i FROM generations)"""),
+    ("tk", f"""SELECT prompt_id, completion_idx, regexp_extract_all(prompt, {TOKEN}) AS tp,
+               regexp_extract_all(completion, {TOKEN}) AS tc FROM fl""")])
+ROLLUP = """SELECT time_bucket(INTERVAL '1 day', CAST(ts AS TIMESTAMP)) AS window_start,
+       time_bucket(INTERVAL '1 day', CAST(ts AS TIMESTAMP)) + INTERVAL '1 day' AS window_end,
+       event_type AS metric, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS sum_cents,
+       CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) / (count(*) * 100.0::DOUBLE) AS mean_value
+FROM events GROUP BY 1, 2, 3"""
+_o("metric_rollup", ROLLUP)
+_o("metric_rollup_stream", ROLLUP)
