@@ -35,12 +35,12 @@ def reward_summary(rewards: DataFrame) -> DataFrame:
     """
     require_columns(rewards, "model", "split", "attribute", "reward")
     r = F.col("reward")
-    nan = F.sum(_i(F.isnan(r)))
+    n_nan = F.sum(_i(F.isnan(r)))
     return rewards.groupBy("model", "split", "attribute").agg(
         F.count(F.lit(1)).alias("n_rewards"),
-        nan.alias("nan_count"),
+        n_nan.alias("nan_count"),
         F.avg(F.when(~F.isnan(r), r)).alias("mean_reward"),
-        F.when(nan > 0, nan()).otherwise(F.max(r) - F.min(r)).alias("reward_range"),
+        F.when(n_nan > 0, nan()).otherwise(F.max(r) - F.min(r)).alias("reward_range"),
     )
 
 

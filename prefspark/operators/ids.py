@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from decimal import Decimal
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,29 +50,67 @@ def seeded_shuffle(df: DataFrame, id_col: str, seed: int, out: str = "shuffle_ra
     return dense_rank_ids(x, ["_h", id_col], out).drop("_h")
 
 
+def top_histogram(keys: DataFrame) -> list[tuple[int, int]]:
+    """Counts per top-16-bit bucket of ``_h`` (at most 65,536 rows)."""
+    return [(r["b"], r["count"]) for r in keys.groupBy(F.shiftright("_h", 16).alias("b")).count().collect()]
+
+
+def kth_smallest_key(keys: DataFrame, k: int, top: list[tuple[int, int]] | None = None) -> tuple[int, object]:
+    """The k-th smallest (0-based) ``(_h, _id)`` of a key table whose ``_h`` is a
+    uniform 32-bit hash and ``_id`` a unique id, without sorting the table.
+
+    Two histogram passes (top 16 bits, then low 16 bits inside one bucket;
+    each returns at most 65,536 counts to the driver) locate the exact hash
+    value; only the keys sharing that one 32-bit value (about n / 2^32 of
+    them) are ordered by id, and only the first few are fetched.
+    """
+    def pick(counts, target):
+        acc = 0
+        for b, c in sorted(counts):
+            if acc + c > target:
+                return b, acc
+            acc += c
+        raise ValueError("k out of range")
+
+    top = top if top is not None else top_histogram(keys)
+    b1, below1 = pick(top, k)
+    low = (keys.filter(F.shiftright("_h", 16) == b1)
+           .groupBy(F.col("_h").bitwiseAND(F.lit(0xFFFF)).alias("b")).count().collect())
+    b2, below2 = pick([(r["b"], r["count"]) for r in low], k - below1)
+    hv = (b1 << 16) | b2
+    rest = k - below1 - below2
+    ids = keys.filter(F.col("_h") == hv).select("_id").orderBy("_id").limit(rest + 1).collect()
+    return hv, ids[rest]["_id"]
+
+
 def train_validation_split(df: DataFrame, id_col: str, train_fraction: float = 0.8, seed: int = 42,
                            exact: bool = True) -> DataFrame:
     """Add ``split``: the first floor(frac * n) rows of the seeded permutation
-    are 'train', the rest 'validation' (exact sizes).
+    (order by md5(seed|id), then id) are 'train', the rest 'validation'.
 
-    Only the narrow key is ranked; the cut-off key (one row) is then applied as
-    a filter predicate to the full table, so the wide rows are never sorted or
-    joined. ``exact=False`` uses a hash threshold instead (no sort, sizes
-    approximately ``frac``).
+    Exact sizes without a global sort: the cut-off key is found by histogram
+    selection (``kth_smallest_key``) on the narrow key, then applied to the
+    full table as a plain filter predicate (no join, no shuffle of wide rows).
+    ``id_col`` must be unique. ``exact=False`` uses a hash threshold (sizes
+    approximately ``frac``, no extra pass).
     """
     h = hash_bigint(F.lit(str(seed)), F.col(id_col))
     if not exact:
         return df.withColumn("split", F.when(h < F.lit(int(train_fraction * (1 << 32))), F.lit("train"))
                              .otherwise(F.lit("validation")))
-    keys = df.select(h.alias("_h"), F.col(id_col).alias("_id")).distinct()
-    n = keys.count()
-    k = int(Decimal(str(train_fraction)) * n)  # exact floor, no binary rounding
-    if k <= 0:
-        return df.withColumn("split", F.lit("validation"))
-    if k >= n:
-        return df.withColumn("split", F.lit("train"))
-    ranked = dense_rank_ids(keys, ["_h", "_id"], "_r")
-    cut = ranked.filter(F.col("_r") == k).select("_h", "_id").first()
-    below = (h < F.lit(cut["_h"])) | ((h == F.lit(cut["_h"])) & (F.col(id_col) < F.lit(cut["_id"])))
+    # narrow keys, kept for the three small selection passes only (an
+    # executor loss just recomputes them from lineage)
+    keys = df.select(h.alias("_h"), F.col(id_col).alias("_id")).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        top = top_histogram(keys)
+        n = sum(c for _, c in top)
+        k = int(Decimal(str(train_fraction)) * n)  # exact floor, no binary rounding
+        if k <= 0:
+            return df.withColumn("split", F.lit("validation"))
+        if k >= n:
+            return df.withColumn("split", F.lit("train"))
+        ch, cid = kth_smallest_key(keys, k, top)
+    finally:
+        keys.unpersist()
+    below = (h < F.lit(ch)) | ((h == F.lit(ch)) & (F.col(id_col) < F.lit(cid)))
     return df.withColumn("split", F.when(below, F.lit("train")).otherwise(F.lit("validation")))
-

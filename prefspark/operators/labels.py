@@ -55,18 +55,58 @@ def pair_consecutive(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     g = responses.groupBy("prompt_id").agg(
         F.count(F.lit(1)).alias("n_rows"),
-        F.count_distinct("prompt").alias("n_prompts"),
+        (F.min("prompt") == F.max("prompt")).alias("same_prompt"),
         F.max(F.when(F.col("completion_idx") == 0, F.col("prompt"))).alias("prompt"),
         F.max(F.when(F.col("completion_idx") == 0, F.col("response"))).alias("response0"),
         F.max(F.when(F.col("completion_idx") == 1, F.col("response"))).alias("response1"),
     )
-    ok = (F.col("n_rows") == 2) & (F.col("n_prompts") == 1) & F.col("response0").isNotNull() \
+    ok = (F.col("n_rows") == 2) & F.col("same_prompt") & F.col("response0").isNotNull() \
         & F.col("response1").isNotNull()
     pairs = g.filter(ok).select("prompt_id", "prompt", "response0", "response1")
-    errors = g.filter(~ok).select("prompt_id", "n_rows", "n_prompts")
+    errors = g.filter(~ok).select("prompt_id", "n_rows", "same_prompt")
     return pairs, errors
 
 
+def _label_expr(mean0, mean1, std0, std1, attribute, prompt_id, seed: int, compat: bool):
+    md = mean0 - mean1
+    sd = std0 - std1
+    tie_std = (sd <= TIE_EPS) if compat else (F.abs(sd) <= TIE_EPS)
+    toss = coin(seed, prompt_id, attribute)
+    label = (F.when(F.abs(md) <= TIE_EPS,
+                    F.when(tie_std, toss).when(sd > 0, F.lit(0)).otherwise(F.lit(1)))
+             .when(md > 0, F.lit(1)).otherwise(F.lit(0)))
+    return F.when(attribute.isin(list(FLIPPED)), F.lit(1) - label).otherwise(label).cast("int")
+
+
+def disagreement_labels_wide(ann: DataFrame, seed: int = 42, compat: bool = False,
+                             attributes: Sequence[str] = ATTRIBUTES) -> DataFrame:
+    """E1 from wide annotator rows (one row per annotator and response, one
+    column per attribute): ONE keyed aggregation per prompt collects count,
+    sum and sum of squares for both sides of every attribute (partial
+    aggregation map-side, so a prompt with very many annotations is folded
+    before the shuffle); the labels are then computed row-locally and
+    unpivoted to (prompt_id, attribute, label)."""
+    aggs = []
+    for s_ in (0, 1):
+        side = F.col("completion_idx") == s_
+        for a in attributes:
+            x = F.col(a)
+            aggs += [F.count(F.when(side, x)).alias(f"n{s_}_{a}"), F.sum(F.when(side, x)).alias(f"s{s_}_{a}"),
+                     F.sum(F.when(side, x * x)).alias(f"q{s_}_{a}")]
+    g = ann.groupBy("prompt_id").agg(*aggs)
+    rows = []
+    for a in attributes:
+        st = {}
+        for s_ in (0, 1):
+            n, sm, q = F.col(f"n{s_}_{a}"), F.col(f"s{s_}_{a}"), F.col(f"q{s_}_{a}")
+            mean = sm / n
+            st[s_] = (mean, F.sqrt(F.greatest(q / n - mean * mean, F.lit(0.0))), n)
+        lab = _label_expr(st[0][0], st[1][0], st[0][1], st[1][1], F.lit(a), F.col("prompt_id"), seed, compat)
+        rows.append(F.when((st[0][2] > 0) & (st[1][2] > 0),
+                           F.struct(F.lit(a).alias("attribute"), lab.alias("label"))))
+    return g.select("prompt_id", F.inline(F.array_compact(F.array(*rows))))
+
+
 def disagreement_labels(stats: DataFrame, seed: int = 42, compat: bool = False) -> DataFrame:
     """Label 1 when response 0 wins attribute a, else 0.
 
@@ -81,15 +121,9 @@ def disagreement_labels(stats: DataFrame, seed: int = 42, compat: bool = False)
         F.max(F.when(F.col("completion_idx") == 0, F.col("std"))).alias("std0"),
         F.max(F.when(F.col("completion_idx") == 1, F.col("std"))).alias("std1"),
     ).filter(F.col("mean0").isNotNull() & F.col("mean1").isNotNull())
-    md = F.col("mean0") - F.col("mean1")
-    sd = F.col("std0") - F.col("std1")
-    tie_std = (sd <= TIE_EPS) if compat else (F.abs(sd) <= TIE_EPS)
-    toss = coin(seed, F.col("prompt_id"), F.col("attribute"))
-    label = (F.when(F.abs(md) <= TIE_EPS,
-                    F.when(tie_std, toss).when(sd > 0, F.lit(0)).otherwise(F.lit(1)))
-             .when(md > 0, F.lit(1)).otherwise(F.lit(0)))
-    label = F.when(F.col("attribute").isin(list(FLIPPED)), F.lit(1) - label).otherwise(label)
-    return p.select("prompt_id", "attribute", label.cast("int").alias("label"))
+    label = _label_expr(F.col("mean0"), F.col("mean1"), F.col("std0"), F.col("std1"), F.col("attribute"),
+                        F.col("prompt_id"), seed, compat)
+    return p.select("prompt_id", "attribute", label.alias("label"))
 
 
 def chosen_rejected(pairs: DataFrame, labels: DataFrame, attribute: str) -> DataFrame:

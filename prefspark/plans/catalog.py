@@ -164,7 +164,13 @@ def _pairs(spark, sf):
 
 
 def _labels(spark, sf, compat=False):
-    return lb.disagreement_labels(lb.side_stats(fx.annotation_ratings(spark, sf)), SEED, compat)
+    return lb.disagreement_labels_wide(fx.annotations_wide(spark, sf), SEED, compat)
+
+
+@query("disagreement_labels_long")
+def q_disagreement_labels_long(spark, sf):
+    """E1 from long (one row per rating) annotations: per-side stats, then pairing."""
+    return lb.disagreement_labels(lb.side_stats(fx.annotation_ratings(spark, sf)), SEED)
 
 
 @query("pair_consecutive")

@@ -244,6 +244,7 @@ def _labels_sql(compat: bool) -> str:
 LABEL_CTES = [("stats", STATS), ("sides", SIDES)]
 _o("disagreement_labels", _labels_sql(False), ["annotation_ratings"], LABEL_CTES)
 _o("disagreement_labels_compat", _labels_sql(True), ["annotation_ratings"], LABEL_CTES)
+_o("disagreement_labels_long", _labels_sql(False), ["annotation_ratings"], LABEL_CTES)
 
 _o("dense_ids", "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS prompt_id FROM documents")
 _o("seeded_shuffle", f"""SELECT doc_id, row_number() OVER (ORDER BY hh, doc_id) - 1 AS shuffle_rank

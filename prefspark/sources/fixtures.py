@@ -70,6 +70,22 @@ def annotation_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("prompt_id", "completion_idx", "attribute", F.col("rating").cast("double").alias("rating"))
 
 
+def annotations_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One annotator's five ratings of one response per row:
+    (prompt_id, completion_idx, coherence, complexity, correctness, helpfulness, verbosity)."""
+    li = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_quantity",
+               "l_discount", "l_tax", "l_partkey", "l_suppkey")
+    return li.select(
+        F.col("l_orderkey").alias("prompt_id"),
+        (F.col("l_linenumber") % 2).cast("int").alias("completion_idx"),
+        (F.round(F.col("l_tax") * 100) % 5).cast("double").alias("coherence"),
+        (F.col("l_partkey") % 5).cast("double").alias("complexity"),
+        (F.round(F.col("l_discount") * 100) % 5).cast("double").alias("correctness"),
+        (F.col("l_quantity") % 5).cast("double").alias("helpfulness"),
+        (F.col("l_suppkey") % 5).cast("double").alias("verbosity"),
+    )
+
+
 def rated_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw rated responses: (prompt_id, prompt, completion_idx, response)."""
     li = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber")
