@@ -113,25 +113,29 @@ def round_robin_tournament(rewards: DataFrame, players: Sequence[tuple[str, str,
     x = rewards.select("split", "attribute", "prompt_id", "reward", idx.alias("p")).filter(F.col("p").isNotNull())
     cells = x.groupBy("split", "attribute", "prompt_id").agg(
         *[F.max(F.when(F.col("p") == k, F.col("reward"))).alias(f"r{k}") for k in range(P)])
+    # P(P-1)/2 indicator sums; written as SQL text so the plan is built with
+    # one call per expression (the Column DSL needs dozens each)
+    ge = "CASE WHEN isnan(r{i}) OR isnan(r{j}) THEN 0L ELSE CAST(r{i} >= r{j} AS BIGINT) END"
     aggs = []
     for i in range(P):
         for j in range(i + 1, P):
-            ri, rj = F.col(f"r{i}"), F.col(f"r{j}")
-            both = ri.isNotNull() & rj.isNotNull()
-            aggs.append(F.sum(F.when(both, _i(ieee_ge(ri, rj)))).alias(f"w_{i}_{j}"))
-            aggs.append(F.sum(_i(both)).alias(f"n_{i}_{j}"))
+            both = f"r{i} IS NOT NULL AND r{j} IS NOT NULL"
+            aggs.append(F.expr(f"sum(CASE WHEN {both} THEN {ge.format(i=i, j=j)} END) AS w_{i}_{j}"))
+            aggs.append(F.expr(f"sum(CAST({both} AS BIGINT)) AS n_{i}_{j}"))
     tot = cells.groupBy("split").agg(*aggs)
-    rows = []
+
+    def q(name):
+        return "'" + name.replace("'", "''") + "'"
+
+    parts = []
     for i in range(P):
-        rows.append(F.struct(F.lit(players[i][0]).alias("player_i"), F.lit(players[i][0]).alias("player_j"),
-                             F.lit(0.0).alias("win_rate")))
+        parts.append(f"{q(players[i][0])}, {q(players[i][0])}, CAST(0.0 AS DOUBLE)")
         for j in range(i + 1, P):
-            w = _ratio(F.col(f"w_{i}_{j}"), F.col(f"n_{i}_{j}"))
-            rows.append(F.struct(F.lit(players[i][0]).alias("player_i"), F.lit(players[j][0]).alias("player_j"),
-                                 w.alias("win_rate")))
-            rows.append(F.struct(F.lit(players[j][0]).alias("player_i"), F.lit(players[i][0]).alias("player_j"),
-                                 (F.lit(1.0) - w).alias("win_rate")))
-    return tot.select("split", F.inline(F.array(*rows)))
+            w = f"CASE WHEN n_{i}_{j} > 0 THEN CAST(w_{i}_{j} AS DOUBLE) / n_{i}_{j} END"
+            parts.append(f"{q(players[i][0])}, {q(players[j][0])}, {w}")
+            parts.append(f"{q(players[j][0])}, {q(players[i][0])}, 1.0D - ({w})")
+    stack = f"stack({len(parts)}, {', '.join(parts)}) AS (player_i, player_j, win_rate)"
+    return tot.selectExpr("split", stack)
 
 
 def tournament_matrix(long: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -141,17 +145,21 @@ def tournament_matrix(long: DataFrame, names: Sequence[str]) -> DataFrame:
 
 # ---------------------------------------------------------------- D11 / E5
 def baseline_join(rewards: DataFrame, baseline: str, models: Sequence[str] | None = None) -> DataFrame:
-    """Each model's reward next to the baseline model's reward in the same cell.
-
-    Equi inner join on (split, attribute, prompt_id, completion_idx); the
-    baseline side is 1/M of the rows, so AQE broadcasts it when small and
-    otherwise sort-merges (skew split enabled).
+    """Each model's reward next to the baseline model's reward in the same
+    (split, attribute, prompt_id, completion_idx) cell (inner-join semantics).
+
+    Plan: instead of joining the table with its own baseline slice (a two-sided
+    sort-merge join once the baseline is too big to broadcast), the baseline
+    value is attached with a window over the cell: one exchange on the cell
+    key, then a row-local filter. A cell holds one row per model, so a window
+    partition is bounded by the model list.
     """
-    base = rewards.filter(F.col("model") == baseline).select(*CELL, F.col("reward").alias("base_reward"))
-    other = rewards.filter(F.col("model") != baseline)
+    w = Window.partitionBy(*CELL)
+    x = rewards.withColumn("base_reward", F.max(F.when(F.col("model") == baseline, F.col("reward"))).over(w))
+    keep = (F.col("model") != baseline) & F.col("base_reward").isNotNull()
     if models is not None:
-        other = other.filter(F.col("model").isin(list(models)))
-    return other.join(base, CELL, "inner").select("model", *CELL, "reward", "base_reward")
+        keep = keep & F.col("model").isin(list(models))
+    return x.filter(keep).select("model", *CELL, "reward", "base_reward")
 
 
 def winrate_vs_baseline(rewards: DataFrame, baseline: str, models: Sequence[str] | None = None,
@@ -163,15 +171,13 @@ def winrate_vs_baseline(rewards: DataFrame, baseline: str, models: Sequence[str]
     Output one row per model with columns ``{role}_{split}``.
     """
     j = baseline_join(rewards.filter(F.col("completion_idx").isin([r[0] for r in roles])), baseline, models)
-    g = j.groupBy("model", "split", "completion_idx").agg(
-        F.sum(_i(ieee_ge("reward", "base_reward"))).alias("wins"), F.count(F.lit(1)).alias("n"))
     aggs = []
     for c, role in roles:
-        for s in splits:
-            hit = (F.col("completion_idx") == c) & (F.col("split") == s)
-            aggs.append(_ratio(F.sum(F.when(hit, F.col("wins"))), F.sum(F.when(hit, F.col("n"))))
-                        .alias(f"{role}_{s}"))
-    return g.groupBy("model").agg(*aggs)
+        for s_ in splits:
+            hit = (F.col("completion_idx") == c) & (F.col("split") == s_)
+            aggs.append(_ratio(F.sum(F.when(hit, _i(ieee_ge("reward", "base_reward")))),
+                               F.count(F.when(hit, F.lit(1)))).alias(f"{role}_{s_}"))
+    return j.groupBy("model").agg(*aggs)
 
 
 # ---------------------------------------------------------------- F1 / E6 / E7
@@ -195,15 +201,22 @@ def best_of_n_curve(rewards: DataFrame) -> DataFrame:
 def best_of_n_winrate(rewards: DataFrame, baseline: str, models: Sequence[str] | None = None) -> DataFrame:
     """Per (split, model, attribute, N) share of prompts where the model's
     best-of-N is at least the baseline's best-of-N; attribute 'Average' pools
-    all attributes (grouping sets, one pass)."""
-    rb = running_best(rewards).withColumn("n", F.col("completion_idx") + 1)
-    base = rb.filter(F.col("model") == baseline).select(
-        "split", "attribute", "prompt_id", "n", F.col("best_so_far").alias("base_best"))
-    other = rb.filter(F.col("model") != baseline)
+    all attributes (grouping sets, one pass).
+
+    Plan: one exchange on (split, attribute, prompt_id). The baseline's
+    best-of-N comes from a RANGE frame over completion_idx on that partition
+    (every model's rows with index <= N), the model's own from a finer window
+    whose clustering the same exchange already satisfies; no join.
+    """
+    coarse = Window.partitionBy("split", "attribute", "prompt_id").orderBy("completion_idx") \
+        .rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    x = rewards.withColumn("base_best", F.max(F.when(F.col("model") == baseline, F.col("reward"))).over(coarse))
+    x = running_best(x)
+    keep = (F.col("model") != baseline) & F.col("base_best").isNotNull()
     if models is not None:
-        other = other.filter(F.col("model").isin(list(models)))
-    j = other.join(base, ["split", "attribute", "prompt_id", "n"], "inner").withColumn(
-        "win", _i(ieee_ge("best_so_far", "base_best")))
+        keep = keep & F.col("model").isin(list(models))
+    j = x.filter(keep).select("split", "model", "attribute", (F.col("completion_idx") + 1).alias("n"),
+                              _i(ieee_ge("best_so_far", "base_best")).alias("win"))
     g = j.groupingSets([["split", "model", "n", "attribute"], ["split", "model", "n"]],
                        "split", "model", "n", "attribute").agg(
         F.sum("win").alias("wins"), F.count(F.lit(1)).alias("cnt"), F.grouping("attribute").alias("_g"))
