@@ -3,10 +3,13 @@
 Plan for every operator here: ONE keyed aggregation turns the long player
 rewards into a row per (split, prompt) holding an A x P reward matrix
 (``R[a][p]``, conditional max, partial aggregation map-side). All pairwise
-work then happens inside that row with array higher-order functions
-(whole-stage codegen, no shuffle, no self-join, no pair rows). P comes from an
-explicit player list and must be <= 63, because a node's out-edges are one
-bigint bitmask; that is the proven bound on what one row holds.
+work then happens inside that row with array higher-order functions (no
+shuffle, no self-join, no pair rows). P comes from an explicit player list
+and must be <= 63, because a node's out-edges are one bigint bitmask; that is
+the proven bound on what one row holds.
+
+The kernels are written as Spark SQL text (``F.expr``): the same expressions
+as the Column DSL, but the plan is built with one call instead of hundreds.
 """
 
 from __future__ import annotations
@@ -21,26 +24,12 @@ from prefspark.functions.core import ATTRIBUTES
 MAX_PLAYERS = 63
 
 
-def _L(v: int) -> Column:
-    return F.lit(v).cast("long")
-
-
-def _bit(j) -> Column:
-    """1 << j as bigint for a column j in 0..62 (powers of two are exact doubles)."""
-    return F.pow(F.lit(2.0), j).cast("long")
-
-
-def _has(mask: Column, j) -> Column:
-    return mask.bitwiseAND(_bit(j)) != 0
-
+def _seq(P: int) -> str:
+    return f"sequence(0, {P - 1})"
 
-def _sig(x: Column) -> Column:
-    return F.lit(1.0) / (F.lit(1.0) + F.exp(-x))
 
-
-def _let(expr: Column, fn) -> Column:
-    """Evaluate ``expr`` once and pass it to ``fn`` (a one-element transform)."""
-    return F.get(F.transform(F.array(expr), fn), 0)
+def _sig(x: str) -> str:
+    return f"(1D / (1D + exp(-({x}))))"
 
 
 def prompt_matrix(players_long: DataFrame, n_players: int,
@@ -49,100 +38,112 @@ def prompt_matrix(players_long: DataFrame, n_players: int,
     if not 1 <= n_players <= MAX_PLAYERS:
         raise ValueError(f"player count must be 1..{MAX_PLAYERS}, got {n_players}")
     x = players_long.filter(F.col("attribute").isin(list(attributes)))
-    aggs = [F.max(F.when((F.col("attribute") == a) & (F.col("player") == p), F.col("reward"))).alias(f"_{ai}_{p}")
+    aggs = [F.expr(f"max(CASE WHEN attribute = '{a}' AND player = {p} THEN reward END) AS _{ai}_{p}")
             for ai, a in enumerate(attributes) for p in range(n_players)]
     g = x.groupBy("split", "prompt_id").agg(*aggs)
-    R = F.array(*[F.array(*[F.col(f"_{ai}_{p}") for p in range(n_players)]) for ai in range(len(attributes))])
-    return g.select("split", "prompt_id", R.alias("R"))
+    rows = ", ".join("array(" + ", ".join(f"_{ai}_{p}" for p in range(n_players)) + ")"
+                     for ai in range(len(attributes)))
+    return g.select("split", "prompt_id", F.expr(f"array({rows})").alias("R"))
 
 
-def _seq(P: int) -> Column:
-    return F.sequence(F.lit(0), F.lit(P - 1))
+# ---------------------------------------------------------------- SQL kernels
+def diff_sql(v: str, P: int) -> str:
+    """D13 core: D[i][j] = v[i] - v[j]."""
+    return f"transform({_seq(P)}, i -> transform({_seq(P)}, j -> {v}[i] - {v}[j]))"
 
 
-def diff_matrix(v: Column, P: int) -> Column:
-    """D13 core: D[i][j] = v[i] - v[j] for one attribute vector."""
-    return F.transform(_seq(P), lambda i: F.transform(_seq(P), lambda j: v[i] - v[j]))
+def bt_probability_sql(R: str, P: int, digits: int = 6) -> str:
+    """E8 core: P[i][j] = mean over attributes of sigmoid(R[a][i] - R[a][j]) (fixed order)."""
+    s = f"aggregate({R}, 0D, (acc, v) -> acc + {_sig('v[i] - v[j]')}) / size({R})"
+    return f"transform({_seq(P)}, i -> transform({_seq(P)}, j -> round({s}, {digits})))"
 
 
-def player_cross(players_long: DataFrame, n_players: int) -> DataFrame:
-    """All ordered player pairs of a (split, attribute, prompt) as a P x P
-    difference matrix in one row (instead of P^2 rows)."""
-    P = n_players
-    g = players_long.groupBy("split", "attribute", "prompt_id").agg(
-        *[F.max(F.when(F.col("player") == p, F.col("reward"))).alias(f"_p{p}") for p in range(P)])
-    v = F.array(*[F.col(f"_p{p}") for p in range(P)])
-    return g.select("split", "attribute", "prompt_id", diff_matrix(v, P).alias("diff"))
+def adjacency_sql(R: str, P: int) -> str:
+    """H6 core: out-edge bitmask per node. i -> j when strictly more than half of
+    the attributes give sigmoid(r_i - r_j) < 0.5 (exactly half: no edge)."""
+    votes = f"size(filter({R}, v -> {_sig('v[i] - v[j]')} < 0.5D))"
+    return (f"transform({_seq(P)}, i -> aggregate({_seq(P)}, 0L, "
+            f"(m, j) -> m | IF({votes} * 2 > size({R}), shiftleft(1L, j), 0L)))")
 
 
-def bt_probability(R: Column, P: int, digits: int | None = 6) -> Column:
-    """E8 core: P[i][j] = mean over attributes of sigmoid(R[a][i] - R[a][j])."""
-    def cell(i, j):
-        s = F.aggregate(R, F.lit(0.0), lambda acc, v: acc + _sig(v[i] - v[j])) / F.size(R)
-        return F.round(s, digits) if digits is not None else s
-    return F.transform(_seq(P), lambda i: F.transform(_seq(P), lambda j: cell(i, j)))
+def in_degree_sql(adj: str, j: str) -> str:
+    return f"aggregate({adj}, 0, (c, x) -> c + CAST((x & shiftleft(1L, {j})) != 0 AS INT))"
 
 
-def adjacency(R: Column, P: int) -> Column:
-    """H6 core: out-edge bitmask per node. i -> j when strictly more than half of
-    the attributes give sigmoid(r_i - r_j) < 0.5 (exactly half: no edge)."""
-    A = F.size(R)
+def acyclic_sql(adj: str, P: int) -> str:
+    """H7 core: peel all sinks (no out-edge into the alive set) P times; a DAG
+    ends with nothing alive."""
+    full = (1 << P) - 1
+    sinks = (f"aggregate({_seq(P)}, 0L, (s, k) -> s | IF(({adj}[k] & alive) = 0 AND (alive & shiftleft(1L, k)) != 0,"
+             f" shiftleft(1L, k), 0L))")
+    return f"(aggregate(sequence(1, {P}), {full}L, (alive, r) -> alive & ~{sinks}) = 0)"
 
-    def bit(i, j):
-        votes = F.size(F.filter(R, lambda v: _sig(v[i] - v[j]) < F.lit(0.5)))
-        return F.when(votes * 2 > A, _bit(j)).otherwise(_L(0))
 
-    return F.transform(_seq(P), lambda i: F.aggregate(_seq(P), _L(0), lambda m, j: m.bitwiseOR(bit(i, j))))
+def condorcet_sql(adj: str, P: int) -> str:
+    """H8 core: the node every other node points to (in-degree P-1), else null."""
+    return f"get(filter({_seq(P)}, w -> {in_degree_sql(adj, 'w')} = {P - 1}), 0)"
 
 
-def in_degree(adj: Column, j: Column) -> Column:
-    return F.aggregate(adj, F.lit(0), lambda c, m: c + _has(m, j).cast("int"))
+def sinks_sql(adj: str, P: int) -> str:
+    """H9 core: nodes with in-degree > 0 and out-degree 0."""
+    return f"filter({_seq(P)}, u -> {adj}[u] = 0 AND {in_degree_sql(adj, 'u')} > 0)"
 
 
-def is_acyclic(adj: Column, P: int) -> Column:
-    """H7 core: peel all sinks (no out-edge into the alive set) P times; a DAG
-    ends with nothing alive."""
-    full = _L((1 << P) - 1)
+# Column versions (take column names)
+def adjacency(R: str, P: int) -> Column:
+    return F.expr(adjacency_sql(R, P))
 
-    def sinks(alive):
-        return F.aggregate(_seq(P), _L(0), lambda s, i: s.bitwiseOR(F.when(
-            (adj[i].bitwiseAND(alive) == 0) & _has(alive, i), _bit(i)).otherwise(_L(0))))
 
-    left = F.aggregate(F.sequence(F.lit(1), F.lit(P)), full, lambda alive, _r: alive.bitwiseAND(F.bitwise_not(sinks(alive))))
-    return left == 0
+def is_acyclic(adj: str, P: int) -> Column:
+    return F.expr(acyclic_sql(adj, P))
 
 
-def condorcet_winner(adj: Column, P: int) -> Column:
-    """H8 core: the node every other node points to (in-degree P-1), else null."""
-    return F.get(F.filter(_seq(P), lambda j: in_degree(adj, j) == P - 1), 0)
+def condorcet_winner(adj: str, P: int) -> Column:
+    return F.expr(condorcet_sql(adj, P))
 
 
-def sink_nodes(adj: Column, P: int) -> Column:
-    """H9 core: nodes with in-degree > 0 and out-degree 0."""
-    return F.filter(_seq(P), lambda i: (adj[i] == 0) & (in_degree(adj, i) > 0))
+def sink_nodes(adj: str, P: int) -> Column:
+    return F.expr(sinks_sql(adj, P))
+
+
+# ---------------------------------------------------------------- operators
+def player_cross(players_long: DataFrame, n_players: int) -> DataFrame:
+    """All ordered player pairs of a (split, attribute, prompt) as a P x P
+    difference matrix in one row (instead of P^2 rows)."""
+    P = n_players
+    g = players_long.groupBy("split", "attribute", "prompt_id").agg(
+        *[F.expr(f"max(CASE WHEN player = {p} THEN reward END) AS _p{p}") for p in range(P)])
+    v = "array(" + ", ".join(f"_p{p}" for p in range(P)) + ")"
+    return g.select("split", "attribute", "prompt_id", F.expr(diff_sql(v, P)).alias("diff"))
+
+
+def bt_probability_mean(players_long: DataFrame, n_players: int,
+                        attributes: Sequence[str] = ATTRIBUTES) -> DataFrame:
+    """(split, prompt_id, prob array<array<double>>) rounded to 6 digits."""
+    m = prompt_matrix(players_long, n_players, attributes)
+    return m.select("split", "prompt_id", F.expr(bt_probability_sql("R", n_players)).alias("prob"))
 
 
 def preference_graph(players_long: DataFrame, n_players: int,
                      attributes: Sequence[str] = ATTRIBUTES) -> DataFrame:
     """H6: (split, prompt_id, adjacency array<bigint>, n_edges)."""
     m = prompt_matrix(players_long, n_players, attributes)
-    adj = adjacency(F.col("R"), n_players)
-    out = _let(adj, lambda a: F.struct(a.alias("adjacency"),
-                                       F.aggregate(a, F.lit(0), lambda c, x: c + F.bit_count(x)).alias("n_edges")))
-    return m.select("split", "prompt_id", out.alias("g")).select("split", "prompt_id", "g.*")
+    # bind the adjacency once as a lambda variable: the optimizer would
+    # otherwise inline its expression at every reference
+    g = (f"transform(array({adjacency_sql('R', n_players)}), a -> named_struct('adjacency', a, "
+         f"'n_edges', aggregate(a, 0, (c, x) -> c + bit_count(x))))[0]")
+    return m.select("split", "prompt_id", F.expr(g).alias("g")).select("split", "prompt_id", "g.*")
 
 
 def graph_report(players_long: DataFrame, n_players: int,
                  attributes: Sequence[str] = ATTRIBUTES) -> DataFrame:
     """H7 + H8 + H9 per prompt: acyclic flag, Condorcet winner, sink nodes."""
     P = n_players
-    g = preference_graph(players_long, P, attributes)
-    # bind the adjacency once as a lambda variable: the optimizer would
-    # otherwise inline its (costly) expression at every reference
-    rep = _let(F.col("adjacency"), lambda a: F.struct(
-        is_acyclic(a, P).alias("acyclic"), condorcet_winner(a, P).alias("condorcet_idx"),
-        sink_nodes(a, P).alias("sinks")))
-    return g.select("split", "prompt_id", rep.alias("r")).select("split", "prompt_id", "r.*")
+    m = prompt_matrix(players_long, P, attributes)
+    rep = (f"transform(array({adjacency_sql('R', P)}), a -> named_struct("
+           f"'acyclic', {acyclic_sql('a', P)}, 'condorcet_idx', {condorcet_sql('a', P)}, "
+           f"'sinks', {sinks_sql('a', P)}))[0]")
+    return m.select("split", "prompt_id", F.expr(rep).alias("r")).select("split", "prompt_id", "r.*")
 
 
 def cycle_stats(report: DataFrame) -> DataFrame:
@@ -160,10 +161,3 @@ def condorcet_histogram(report: DataFrame) -> DataFrame:
     """Winner index counts (the reference's list of winners, as a keyed count)."""
     return (report.filter(F.col("condorcet_idx").isNotNull())
             .groupBy("split", F.col("condorcet_idx").alias("player")).agg(F.count(F.lit(1)).alias("n_wins")))
-
-
-def bt_probability_mean(players_long: DataFrame, n_players: int,
-                        attributes: Sequence[str] = ATTRIBUTES) -> DataFrame:
-    """(split, prompt_id, prob array<array<double>>) rounded to 6 digits."""
-    m = prompt_matrix(players_long, n_players, attributes)
-    return m.select("split", "prompt_id", bt_probability(F.col("R"), n_players).alias("prob"))

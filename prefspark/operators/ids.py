@@ -44,10 +44,29 @@ def dense_ids(df: DataFrame, order_col: str, out: str = "prompt_id") -> DataFram
     return dense_rank_ids(df, [order_col], out)
 
 
+def hash_rank(df: DataFrame, id_col: str, seed: int, out: str) -> DataFrame:
+    """0..n-1 in the order (md5(seed|id), id) without a global sort.
+
+    The 32-bit hash is uniform, so its top 16 bits split the rows into 65,536
+    even buckets: bucket sizes come from one aggregation (at most 65,536 rows,
+    so the prefix-sum window over them and their broadcast are bounded), the
+    rank inside a bucket from ``row_number`` over a window partitioned by the
+    bucket. Deterministic (no partition ids), so no checkpoint is needed.
+    ``id_col`` must be unique.
+    """
+    x = df.withColumn("_h", hash_bigint(F.lit(str(seed)), F.col(id_col))) \
+          .withColumn("_b", F.shiftright("_h", 16))
+    counts = x.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+    starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(
+        Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_b", "_start")
+    w = Window.partitionBy("_b").orderBy("_h", id_col)
+    return (x.withColumn("_rn", F.row_number().over(w)).join(F.broadcast(starts), "_b")
+             .withColumn(out, F.col("_start") + F.col("_rn") - 1).drop("_h", "_b", "_rn", "_start"))
+
+
 def seeded_shuffle(df: DataFrame, id_col: str, seed: int, out: str = "shuffle_rank") -> DataFrame:
     """A reproducible permutation: rank by (md5(seed|id), id)."""
-    x = df.withColumn("_h", hash_bigint(F.lit(str(seed)), F.col(id_col)))
-    return dense_rank_ids(x, ["_h", id_col], out).drop("_h")
+    return hash_rank(df, id_col, seed, out)
 
 
 def top_histogram(keys: DataFrame) -> list[tuple[int, int]]:
