@@ -23,7 +23,13 @@ def _bounded_list(n, lst):
 
 def unflatten_rewards(long: DataFrame, value: str = "reward", keys=("prompt_id",)) -> DataFrame:
     """Long rewards -> per prompt the list of rewards in completion order
-    (keyed regroup, ragged N allowed)."""
+    (keyed regroup, ragged N allowed).
+
+    (keys, completion_idx) is unique and completion_idx < MAX_GROUP is checked
+    row by row before the aggregation, so no list can grow past MAX_GROUP.
+    """
+    long = long.withColumn("completion_idx", F.when(F.col("completion_idx") >= MAX_GROUP, F.raise_error(
+        F.lit("completion_idx beyond MAX_GROUP"))).otherwise(F.col("completion_idx")).cast("int"))
     g = long.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_completions"),
         F.array_sort(F.collect_list(F.struct("completion_idx", F.col(value).alias("v")))).alias("_l"))
@@ -95,3 +101,11 @@ def export_eval_rows(gen: DataFrame, generator: str, dataset: str = "prefspark",
 def write_eval_json(rows: DataFrame, path: str) -> None:
     """A5 sink: JSON lines, one folder per completion index."""
     rows.write.mode("overwrite").partitionBy("completion_idx").json(path)
+
+
+def select_rename(df: DataFrame, rename: dict[str, str] | None = None, keep: list[str] | None = None,
+                  drop: list[str] | None = None) -> DataFrame:
+    """Keep / rename / drop columns in one projection (pruned at the scan)."""
+    rename = rename or {}
+    cols = keep if keep is not None else [c for c in df.columns if c not in (drop or [])]
+    return df.select(*[F.col(c).alias(rename.get(c, c)) for c in cols])

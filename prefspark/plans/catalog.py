@@ -787,3 +787,9 @@ def q_metric_rollup(spark, sf):
 @query("metric_rollup_stream")
 def q_metric_rollup_stream(spark, sf):
     return sm.metric_rollup_stream(spark, f"{sf.rstrip('/')}/events*.parquet")
+
+
+@query("select_rename")
+def q_select_rename(spark, sf):
+    docs = fx.table(spark, sf, "documents")
+    return sh.select_rename(docs, {"doc_id": "prompt_id", "text": "prompt"}, drop=["n_chars", "lang"])

@@ -612,3 +612,4 @@ ROLLUP = """SELECT time_bucket(INTERVAL '1 day', CAST(ts AS TIMESTAMP)) AS windo
 FROM events GROUP BY 1, 2, 3"""
 _o("metric_rollup", ROLLUP)
 _o("metric_rollup_stream", ROLLUP)
+_o("select_rename", "SELECT doc_id AS prompt_id, text AS prompt, source FROM documents")

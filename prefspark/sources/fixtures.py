@@ -132,6 +132,9 @@ def generations(spark: SparkSession, sf_dir: str, max_completions: int = 64) ->
     building a huge array in one task.
     """
     t = conversation_turns(spark, sf_dir)
+    # row-local bound first: a turn index past the bound fails before any list is built
+    t = t.withColumn("turn", F.when(F.col("turn") >= max_completions * 2 + 2, F.raise_error(
+        F.lit("conversation longer than the completion bound"))).otherwise(F.col("turn")))
     g = t.groupBy("conv_id").agg(
         F.min_by("text", F.when(F.col("role") == "user", F.col("turn"))).alias("prompt"),
         F.min_by("text", F.when(F.col("role") == "system", F.col("turn"))).alias("sys"),
