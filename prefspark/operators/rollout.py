@@ -164,23 +164,23 @@ def preference_accuracy(pairs: DataFrame, by=("model", "attribute")) -> DataFram
 
 # ---------------------------------------------------------------- per-step metrics
 def rollout_metrics(leader: DataFrame, follower: DataFrame, beta: float, penalty: float,
-                    kind: str = "k3") -> DataFrame:
+                    kind: str = "k3", pair_keys=("step", "prompt_id", "pair")) -> DataFrame:
     """Per step means of score, KL, loss, log-prob sums, entropies, margin,
     probability, EOS rate and completion length for leader and follower.
 
-    Leader and follower sequences of a prompt are joined on (step, prompt_id);
-    the follower optimises 1 - p (G8)."""
+    Leader and follower sequences of one judged pair are joined on
+    ``pair_keys``; the follower optimises 1 - p (G8)."""
     def side(df, follower_side):
         p = eos_probability_penalty("prob", "has_eos", penalty, follower_side)
         x = df.withColumn("prob_pen", p).withColumnRenamed("prob", "prob_raw").withColumnRenamed("prob_pen", "prob")
         x = policy_loss(x, beta, kind, baseline=0.5, rloo_baseline=True)
-        return x.select("step", "prompt_id", "prob_raw", "seq_loss", "score", "kl",
+        return x.select(*pair_keys, "prob_raw", "seq_loss", "score", "kl",
                         sq.asum(F.col("model_logps")).alias("logp_sum"),
                         F.col("has_eos").cast("double").alias("eos"),
                         F.size("model_logps").cast("double").alias("length"))
     L = side(leader, False)
     Fo = side(follower, True)
-    j = L.alias("l").join(Fo.alias("f"), ["step", "prompt_id"], "inner")
+    j = L.alias("l").join(Fo.alias("f"), list(pair_keys), "inner")
     m = lambda c, n: _r(F.avg(c)).alias(n)
     return j.groupBy("step").agg(
         m(F.col("l.score"), "score_leader"), m(F.col("f.score"), "score_follower"),

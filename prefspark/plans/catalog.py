@@ -536,8 +536,10 @@ def q_normalize_advantage(spark, sf):
 
 def _step_losses(spark, sf):
     x = ro.policy_loss(_roll(spark, sf), BETA, KL_KIND, 0.5, True, None)
-    return x.groupBy("step").agg(F.avg(F.when(F.col("sample_idx") == 0, F.col("seq_loss"))).alias("loss_leader"),
-                                 F.avg(F.when(F.col("sample_idx") == 1, F.col("seq_loss"))).alias("loss_follower"))
+    # even samples are the leader's sequences, odd ones the follower's
+    lead = F.col("sample_idx") % 2 == 0
+    return x.groupBy("step").agg(F.avg(F.when(lead, F.col("seq_loss"))).alias("loss_leader"),
+                                 F.avg(F.when(~lead, F.col("seq_loss"))).alias("loss_follower"))
 
 
 @query("alternating_update")
@@ -555,7 +557,9 @@ def q_clipped_policy_loss(spark, sf):
 @query("rollout_metrics")
 def q_rollout_metrics(spark, sf):
     r = _roll(spark, sf)
-    return ro.rollout_metrics(r.filter(F.col("sample_idx") == 0), r.filter(F.col("sample_idx") == 1),
+    # even samples are leader sequences, odd ones the follower's answer to the same pair
+    r = r.withColumn("pair", (F.col("sample_idx") / 2).cast("int"))
+    return ro.rollout_metrics(r.filter(F.col("sample_idx") % 2 == 0), r.filter(F.col("sample_idx") % 2 == 1),
                               BETA, EOS_PENALTY, KL_KIND)
 
 
@@ -614,24 +618,26 @@ def q_position_debias(spark, sf):
     return p.select("pair_id", "flip", "p")
 
 
+SCHED_KEYS = ["model", "completion_idx"]
+
+
 def _sched_input(spark, sf):
-    return _rl(spark, sf).filter((F.col("model") == BASELINE) & (F.col("completion_idx") == 0)).select(
-        F.col("prompt_id").alias("step"), "split", "attribute", "reward")
+    return _rl(spark, sf).select(F.col("prompt_id").alias("step"), "model", "completion_idx", "attribute", "reward")
 
 
 @query("attribute_schedule")
 def q_attribute_schedule(spark, sf):
-    return jd.attribute_schedule(_sched_input(spark, sf), "step", "round_robin")
+    return jd.attribute_schedule(_sched_input(spark, sf), "step", "round_robin", keys=SCHED_KEYS)
 
 
 @query("attribute_schedule_random")
 def q_attribute_schedule_random(spark, sf):
-    return jd.attribute_schedule(_sched_input(spark, sf), "step", "random", SEED)
+    return jd.attribute_schedule(_sched_input(spark, sf), "step", "random", SEED, keys=SCHED_KEYS)
 
 
 @query("attribute_schedule_average")
 def q_attribute_schedule_average(spark, sf):
-    return jd.attribute_schedule(_sched_input(spark, sf), "step", "average")
+    return jd.attribute_schedule(_sched_input(spark, sf), "step", "average", keys=SCHED_KEYS)
 
 
 # ------------------------------------------------------------ sources / sinks

@@ -480,8 +480,8 @@ _o("normalize_advantage", f"SELECT {ROLL_KEYS}, {r6(norm('advantage', None))} AS
    [("a", adv("rollouts", "score"))])
 _o("alternating_update", f"""SELECT step, {r6('loss_leader')} AS loss_leader, {r6('loss_follower')} AS loss_follower,
        {r6("CASE WHEN (step + 1) % 3 = 0 THEN loss_leader ELSE 0.5::DOUBLE * loss_follower END")} AS total_loss
-FROM (SELECT step, avg(CASE WHEN sample_idx = 0 THEN seq_loss END) AS loss_leader,
-             avg(CASE WHEN sample_idx = 1 THEN seq_loss END) AS loss_follower FROM pl GROUP BY step)""",
+FROM (SELECT step, avg(CASE WHEN sample_idx % 2 = 0 THEN seq_loss END) AS loss_leader,
+             avg(CASE WHEN sample_idx % 2 = 1 THEN seq_loss END) AS loss_follower FROM pl GROUP BY step)""",
    ["rollouts"], [("pa", padj("rollouts")), ("pl", ploss("pa", False))])
 
 
@@ -497,8 +497,9 @@ _o("clipped_policy_loss", f"""SELECT {ROLL_KEYS}, {r6('ratio')} AS ratio, {r6('p
    [("a", adv("rollouts", "score")), ("c", clipped("a"))])
 
 
-def side(name: str, sample: int, prob: str) -> list[tuple[str, str]]:
-    return [(f"{name}_in", f"SELECT * EXCLUDE (prob), prob AS prob_raw, {prob} AS prob FROM rollouts WHERE sample_idx = {sample}"),
+def side(name: str, parity: int, prob: str) -> list[tuple[str, str]]:
+    return [(f"{name}_in", f"SELECT * EXCLUDE (prob), prob AS prob_raw, {prob} AS prob, sample_idx // 2 AS pair "
+                           f"FROM rollouts WHERE sample_idx % 2 = {parity}"),
             (f"{name}_pa", padj(f"{name}_in")), (name, ploss(f"{name}_pa", False))]
 
 
@@ -512,7 +513,8 @@ _m = [("l.score", "score_leader"), ("f.score", "score_follower"), ("l.kl", "kl_l
       ("CAST(len(l.model_logps) AS DOUBLE)", "leader_completion_length"),
       ("CAST(len(f.model_logps) AS DOUBLE)", "follower_completion_length")]
 _o("rollout_metrics", "SELECT l.step, " + ", ".join(f"{r6(f'avg({e})')} AS {n}" for e, n in _m)
-   + " FROM ls l JOIN fs f ON l.step = f.step AND l.prompt_id = f.prompt_id GROUP BY l.step", ["rollouts"],
+   + " FROM ls l JOIN fs f ON l.step = f.step AND l.prompt_id = f.prompt_id AND l.pair = f.pair GROUP BY l.step",
+   ["rollouts"],
    side("ls", 0, f"prob - 1.0::DOUBLE * {NOEOS}") + side("fs", 1, f"(1.0::DOUBLE - prob) - 1.0::DOUBLE * {NOEOS}"))
 _o("policy_metrics", f"""SELECT step, {r6('avg(seq_kl)')} AS kl, {r6(f"avg(-{asum('model_logps')})")} AS entropy,
        {r6('avg(non_score_reward)')} AS non_score_reward, {r6('avg(rlhf_reward)')} AS rlhf_reward,
@@ -556,13 +558,13 @@ FROM (SELECT *, coalesce(exp(lp_a / 1.0::DOUBLE), 0.0::DOUBLE) AS pa, coalesce(e
 _o("judge_probability", JP, ["judge_logprobs"])
 _o("position_debias", f"""SELECT pair_id, flip, CASE WHEN flip THEN 1.0::DOUBLE - p ELSE p END AS p
 FROM (SELECT *, {h('pair_id')} % 2 = 1 AS flip FROM jp)""", ["judge_logprobs"], [("jp", JP)])
-SCHED = "SELECT prompt_id AS step, split, attribute, reward FROM rewards_long WHERE model = 'm0' AND completion_idx = 0"
-_o("attribute_schedule", f"""SELECT step, reward AS scheduled_reward FROM sched
+SCHED = "SELECT prompt_id AS step, model, completion_idx, attribute, reward FROM rewards_long"
+_o("attribute_schedule", f"""SELECT step, model, completion_idx, reward AS scheduled_reward FROM sched
 WHERE attribute = {_ATTR_LIST}[(step % 5) + 1]""", ["rewards_long"], [("sched", SCHED)])
-_o("attribute_schedule_random", f"""SELECT step, reward AS scheduled_reward FROM sched
+_o("attribute_schedule_random", f"""SELECT step, model, completion_idx, reward AS scheduled_reward FROM sched
 WHERE attribute = {_ATTR_LIST}[({h('step')} % 5) + 1]""", ["rewards_long"], [("sched", SCHED)])
-_o("attribute_schedule_average", "SELECT step, avg(reward) AS scheduled_reward FROM sched GROUP BY step", ["rewards_long"],
-   [("sched", SCHED)])
+_o("attribute_schedule_average", """SELECT step, model, completion_idx, avg(reward) AS scheduled_reward FROM sched
+GROUP BY step, model, completion_idx""", ["rewards_long"], [("sched", SCHED)])
 
 
 # ------------------------------------------------------------------ sources / sinks
@@ -605,8 +607,8 @@ SELECT prompt_id, completion_idx, 'lexical_overlap',
               FROM (SELECT prompt_id, prompt, comps, unnest(range(len(comps))) AS i FROM generations)"""),
     ("tk", f"""SELECT prompt_id, completion_idx, regexp_extract_all(prompt, {TOKEN}) AS tp,
                regexp_extract_all(completion, {TOKEN}) AS tc FROM fl""")])
-ROLLUP = """SELECT time_bucket(INTERVAL '1 day', CAST(ts AS TIMESTAMP)) AS window_start,
-       time_bucket(INTERVAL '1 day', CAST(ts AS TIMESTAMP)) + INTERVAL '1 day' AS window_end,
+ROLLUP = """SELECT time_bucket(INTERVAL '1 day', ts) AS window_start,
+       time_bucket(INTERVAL '1 day', ts) + INTERVAL '1 day' AS window_end,
        event_type AS metric, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS sum_cents,
        CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) / (count(*) * 100.0::DOUBLE) AS mean_value
 FROM events GROUP BY 1, 2, 3"""

@@ -19,8 +19,9 @@ METRIC_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type strin
 
 
 def _prepare(df: DataFrame) -> DataFrame:
-    return df.select(F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("run"),
-                     F.col("event_type").alias("metric"), F.col("value"))
+    # windows are taken on the zone-less timestamp, so results do not depend on
+    # the session time zone (only the watermark needs a TIMESTAMP column)
+    return df.select("ts", F.col("user_id").alias("run"), F.col("event_type").alias("metric"), F.col("value"))
 
 
 def _rollup(df: DataFrame, window: str, slide: str | None) -> DataFrame:
@@ -58,7 +59,8 @@ def metric_rollup_stream(spark: SparkSession, source: str, out_path: str | None
         reader = reader.option("basePath", source.rsplit("/", 1)[0])
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    src = _prepare(reader.parquet(source)).withWatermark("ts", watermark)
+    src = (_prepare(reader.parquet(source)).withColumn("event_time", F.col("ts").cast("timestamp"))
+           .withWatermark("event_time", watermark))
     agg = _rollup(src, window, slide)
 
     def sink(batch: DataFrame, epoch: int) -> None:
