@@ -191,38 +191,57 @@ def running_best(rewards: DataFrame, out: str = "best_so_far") -> DataFrame:
     return rewards.withColumn(out, F.max("reward").over(w))
 
 
-def best_of_n_curve(rewards: DataFrame) -> DataFrame:
-    """Mean over prompts of the best reward among the first N completions."""
-    rb = running_best(rewards)
-    return rb.groupBy("model", "split", "attribute", (F.col("completion_idx") + 1).alias("n")).agg(
-        F.avg("best_so_far").alias("mean_best"))
+def _expand_n(rewards: DataFrame, max_n: int) -> DataFrame:
+    """Each completion c contributes to every best-of-N with N > c (N <= max_n)."""
+    return (rewards.filter(F.col("completion_idx") < max_n)
+            .withColumn("n", F.explode(F.sequence(F.col("completion_idx") + 1, F.lit(max_n), F.lit(1)))))
 
 
-def best_of_n_winrate(rewards: DataFrame, baseline: str, models: Sequence[str] | None = None) -> DataFrame:
+def best_of_n_curve(rewards: DataFrame, max_n: int) -> DataFrame:
+    """Mean over prompts of the best reward among the first N completions
+    (N = 1..max_n; a prompt counts for N when it has an N-th completion).
+
+    Plan: explode each completion to the N it contributes to, then ONE keyed
+    partial aggregation per (cell, N) -- no window, so a prompt with very many
+    completions is folded map-side instead of landing in one task. NaN
+    propagates through ``max`` like torch.cummax.
+    """
+    x = _expand_n(rewards, max_n)
+    cell = x.groupBy("model", "split", "attribute", "prompt_id", "n").agg(
+        F.max("reward").alias("best"), F.max("completion_idx").alias("_top"))
+    return (cell.filter(F.col("_top") == F.col("n") - 1)
+            .groupBy("model", "split", "attribute", "n").agg(F.avg("best").alias("mean_best")))
+
+
+def best_of_n_winrate(rewards: DataFrame, baseline: str, models: Sequence[str], max_n: int) -> DataFrame:
     """Per (split, model, attribute, N) share of prompts where the model's
     best-of-N is at least the baseline's best-of-N; attribute 'Average' pools
     all attributes (grouping sets, one pass).
 
-    Plan: one exchange on (split, attribute, prompt_id). The baseline's
-    best-of-N comes from a RANGE frame over completion_idx on that partition
-    (every model's rows with index <= N), the model's own from a finer window
-    whose clustering the same exchange already satisfies; no join.
+    Plan: explode to N as in E6; ONE keyed partial aggregation per
+    (split, attribute, prompt, N) gives every listed model's and the
+    baseline's best-of-N side by side (no join, no window); the wins are then
+    counted per model.
     """
-    coarse = Window.partitionBy("split", "attribute", "prompt_id").orderBy("completion_idx") \
-        .rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    x = rewards.withColumn("base_best", F.max(F.when(F.col("model") == baseline, F.col("reward"))).over(coarse))
-    x = running_best(x)
-    keep = (F.col("model") != baseline) & F.col("base_best").isNotNull()
-    if models is not None:
-        keep = keep & F.col("model").isin(list(models))
-    j = x.filter(keep).select("split", "model", "attribute", (F.col("completion_idx") + 1).alias("n"),
-                              _i(ieee_ge("best_so_far", "base_best")).alias("win"))
+    allm = [baseline, *[m for m in models if m != baseline]]
+    x = _expand_n(rewards.filter(F.col("model").isin(allm)), max_n)
+    aggs = []
+    for k, m in enumerate(allm):
+        hit = F.col("model") == m
+        aggs += [F.max(F.when(hit, F.col("reward"))).alias(f"_b{k}"),
+                 F.max(F.when(hit, F.col("completion_idx"))).alias(f"_t{k}")]
+    cell = x.groupBy("split", "attribute", "prompt_id", "n").agg(*aggs)
+    has = lambda k: F.col(f"_t{k}") == F.col("n") - 1
+    rows = [F.when(has(0) & has(k), F.struct(F.lit(m).alias("model"),
+                                             _i(ieee_ge(F.col(f"_b{k}"), F.col("_b0"))).alias("win")))
+            for k, m in enumerate(allm) if k > 0]
+    j = cell.select("split", "attribute", "n", F.inline(F.array_compact(F.array(*rows))))
     g = j.groupingSets([["split", "model", "n", "attribute"], ["split", "model", "n"]],
                        "split", "model", "n", "attribute").agg(
         F.sum("win").alias("wins"), F.count(F.lit(1)).alias("cnt"), F.grouping("attribute").alias("_g"))
     return g.select("split", "model",
                     F.when(F.col("_g") == 1, F.lit("Average")).otherwise(F.col("attribute")).alias("attribute"),
-                    "n", _ratio(F.col("wins"), F.col("cnt")).alias("winrate"))
+                    F.col("n").cast("int").alias("n"), _ratio(F.col("wins"), F.col("cnt")).alias("winrate"))
 
 
 # ---------------------------------------------------------------- E9 / A8

@@ -44,23 +44,30 @@ def dense_ids(df: DataFrame, order_col: str, out: str = "prompt_id") -> DataFram
     return dense_rank_ids(df, [order_col], out)
 
 
-def hash_rank(df: DataFrame, id_col: str, seed: int, out: str) -> DataFrame:
-    """0..n-1 in the order (md5(seed|id), id) without a global sort.
-
-    The 32-bit hash is uniform, so its top 16 bits split the rows into 65,536
-    even buckets: bucket sizes come from one aggregation (at most 65,536 rows,
-    so the prefix-sum window over them and their broadcast are bounded), the
-    rank inside a bucket from ``row_number`` over a window partitioned by the
-    bucket. Deterministic (no partition ids), so no checkpoint is needed.
-    ``id_col`` must be unique.
+def hash_rank(df: DataFrame, id_col: str, seed: int, out: str, by=(), hash_parts=None) -> DataFrame:
+    """0..n-1 within each ``by`` group in the order (md5(seed|parts), id), without
+    a global sort and without one task per group.
+
+    The 32-bit hash is uniform, so its top 16 bits split every group into up
+    to 65,536 even buckets: bucket sizes come from one aggregation, bucket
+    start offsets from a prefix sum over that (small) counts table, and the
+    rank inside a bucket from ``row_number`` over a window partitioned by
+    (group, bucket) -- even a group holding a third of all rows is spread over
+    65,536 window partitions. With no ``by`` the offsets table has at most
+    65,536 rows and is broadcast. Deterministic (no partition ids), so no
+    checkpoint is needed. ``id_col`` must be unique within a group.
     """
-    x = df.withColumn("_h", hash_bigint(F.lit(str(seed)), F.col(id_col))) \
-          .withColumn("_b", F.shiftright("_h", 16))
-    counts = x.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(
-        Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_b", "_start")
-    w = Window.partitionBy("_b").orderBy("_h", id_col)
-    return (x.withColumn("_rn", F.row_number().over(w)).join(F.broadcast(starts), "_b")
+    by = list(by)
+    parts = hash_parts if hash_parts is not None else [F.col(id_col)]
+    x = df.withColumn("_h", hash_bigint(F.lit(str(seed)), *parts)).withColumn("_b", F.shiftright("_h", 16))
+    counts = x.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    ws = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1) if by else \
+        Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(ws), F.lit(0))).select(*by, "_b", "_start")
+    if not by:
+        starts = F.broadcast(starts)  # at most 65,536 rows
+    w = Window.partitionBy(*by, "_b").orderBy("_h", id_col)
+    return (x.withColumn("_rn", F.row_number().over(w)).join(starts, [*by, "_b"])
              .withColumn(out, F.col("_start") + F.col("_rn") - 1).drop("_h", "_b", "_rn", "_start"))
 
 

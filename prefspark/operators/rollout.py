@@ -34,33 +34,38 @@ def eos_probability_penalty(prob, has_eos, penalty: float, follower: bool = Fals
     return p - F.lit(float(penalty)) * (~F.col(has_eos)).cast("double")
 
 
-# ---------------------------------------------------------------- windows
+# ---------------------------------------------------------------- group statistics
+# Batch (step) and prompt statistics are computed with a keyed aggregation
+# (partial aggregation map-side) and joined back, not with a window: a window
+# partition cannot be split, while the join lets AQE broadcast the small
+# statistics table or split a hot key on the big side.
+def _group_stats(df: DataFrame, keys, *aggs) -> DataFrame:
+    return df.join(df.groupBy(*keys).agg(*aggs), list(keys), "inner")
+
+
 def rloo_advantage(df: DataFrame, value: str, out: str = "advantage", group=("step", "prompt_id")) -> DataFrame:
     """v - (sum_group v - v) / (k - 1) among the k samples of one prompt
     (k = 1 gives NaN)."""
-    w = Window.partitionBy(*group)
-    k = F.count(F.lit(1)).over(w)
-    base = F.when(k > 1, (F.sum(value).over(w) - F.col(value)) / (k - 1)).otherwise(F.lit(float("nan")))
-    return df.withColumn(out, F.col(value) - base)
+    x = _group_stats(df, group, F.sum(value).alias("_gs"), F.count(F.lit(1)).alias("_gk"))
+    base = F.when(F.col("_gk") > 1, (F.col("_gs") - F.col(value)) / (F.col("_gk") - 1)).otherwise(F.lit(float("nan")))
+    return x.withColumn(out, F.col(value) - base).drop("_gs", "_gk")
 
 
 def batch_rloo_baseline(df: DataFrame, value: str, baseline: float | None = 0.5, out: str = "p_adj") -> DataFrame:
     """subtract the constant baseline, then the leave-one-out mean of the batch (step)."""
     v = F.col(value) - F.lit(float(baseline)) if baseline is not None else F.col(value)
-    x = df.withColumn("_v", v)
-    w = Window.partitionBy("step")
-    n = F.count(F.lit(1)).over(w)
-    return x.withColumn(out, F.col("_v") - F.when(n > 1, (F.sum("_v").over(w) - F.col("_v")) / (n - 1))
-                        .otherwise(F.lit(float("nan")))).drop("_v")
+    x = _group_stats(df.withColumn("_v", v), ["step"], F.sum("_v").alias("_bs"), F.count(F.lit(1)).alias("_bn"))
+    return x.withColumn(out, F.col("_v") - F.when(F.col("_bn") > 1, (F.col("_bs") - F.col("_v")) / (F.col("_bn") - 1))
+                        .otherwise(F.lit(float("nan")))).drop("_v", "_bs", "_bn")
 
 
 def normalize(df: DataFrame, value: str, out: str, clip: float | None = None, by: str = "step") -> DataFrame:
     """F4 (with ``clip``) / F5: (x - mean) / (sample std + 1e-8) per batch."""
-    w = Window.partitionBy(by)
-    z = (F.col(value) - F.avg(value).over(w)) / (F.stddev_samp(value).over(w) + F.lit(1e-8))
+    x = _group_stats(df, [by], F.avg(value).alias("_m"), F.stddev_samp(value).alias("_sd"))
+    z = (F.col(value) - F.col("_m")) / (F.col("_sd") + F.lit(1e-8))
     if clip is not None:
         z = F.least(F.greatest(z, F.lit(-float(clip))), F.lit(float(clip)))
-    return df.withColumn(out, z)
+    return x.withColumn(out, z).drop("_m", "_sd")
 
 
 def alternating_update(step_losses: DataFrame, frequency: int, follower_weight: float) -> DataFrame:
@@ -214,11 +219,12 @@ def policy_metrics(df: DataFrame, kl_coef: float, penalty: float, clip: float) -
 def random_permutation_batches(df: DataFrame, seed: int, epochs: int, mini_batch: int, micro_batch: int,
                                key: str = "sample_idx", by: str = "step") -> DataFrame:
     """A fresh seeded permutation of each batch per epoch, cut into mini
-    and micro batches: rank by md5(seed|step|epoch|key) within (step, epoch)."""
-    from prefspark.functions.core import hash_bigint
+    and micro batches: rank by md5(seed|step|epoch|key) within (step, epoch)
+    (bucketed hash rank: no window partition holds a whole batch)."""
+    from prefspark.operators.ids import hash_rank
     x = df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
-    h = hash_bigint(F.lit(str(seed)), F.col(by), F.col("epoch"), F.col(key))
-    w = Window.partitionBy(by, "epoch").orderBy(h, F.col(key))
-    r = F.row_number().over(w) - 1
-    return x.withColumn("perm_rank", r).withColumn("mini_batch", F.floor(F.col("perm_rank") / mini_batch)) \
+    x = hash_rank(x, key, seed, "perm_rank", by=[by, "epoch"],
+                  hash_parts=[F.col(by), F.col("epoch"), F.col(key)])
+    x = x.withColumn("perm_rank", F.col("perm_rank").cast("int"))
+    return x.withColumn("mini_batch", F.floor(F.col("perm_rank") / mini_batch)) \
             .withColumn("micro_batch", F.floor((F.col("perm_rank") % mini_batch) / micro_batch))

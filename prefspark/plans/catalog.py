@@ -73,12 +73,12 @@ def q_running_best(spark, sf):
 
 @query("best_of_n_curve")
 def q_best_of_n_curve(spark, sf):
-    return ev.best_of_n_curve(_rl(spark, sf))
+    return ev.best_of_n_curve(_rl(spark, sf), fx.COMPLETIONS)
 
 
 @query("best_of_n_winrate")
 def q_best_of_n_winrate(spark, sf):
-    return ev.best_of_n_winrate(_rl(spark, sf), BASELINE, OTHERS)
+    return ev.best_of_n_winrate(_rl(spark, sf), BASELINE, OTHERS, fx.COMPLETIONS)
 
 
 @query("correction_matrix")
