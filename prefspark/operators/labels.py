@@ -107,6 +107,49 @@ def disagreement_labels_wide(ann: DataFrame, seed: int = 42, compat: bool = Fals
     return g.select("prompt_id", F.inline(F.array_compact(F.array(*rows))))
 
 
+def rated_pairs(rows: DataFrame, seed: int = 42, compat: bool = False,
+                attributes: Sequence[str] = ATTRIBUTES) -> tuple[DataFrame, DataFrame]:
+    """D1 + E1 in ONE keyed aggregation: rows are (prompt_id, prompt,
+    completion_idx, response, one rating column per attribute), one row per
+    annotator and response. Per prompt the aggregation keeps the prompt and
+    both responses (checked unique per side) and count / sum / sum of squares
+    of every attribute per side; labels ``label_<attribute>`` are then
+    computed row-locally. Returns (pairs, errors)."""
+    side = lambda s_: F.col("completion_idx") == s_
+    aggs = [F.min("prompt").alias("prompt"), (F.min("prompt") == F.max("prompt")).alias("_p1")]
+    for s_ in (0, 1):
+        r = F.when(side(s_), F.col("response"))
+        aggs += [F.min(r).alias(f"response{s_}"), (F.min(r) == F.max(r)).alias(f"_u{s_}")]
+        for a in attributes:
+            x = F.when(side(s_), F.col(a))
+            aggs += [F.count(x).alias(f"n{s_}_{a}"), F.sum(x).alias(f"s{s_}_{a}"), F.sum(x * x).alias(f"q{s_}_{a}")]
+    g = rows.groupBy("prompt_id").agg(*aggs)
+    ok = F.col("_p1") & F.col("_u0") & F.col("_u1")
+    labels = []
+    for a in attributes:
+        st = {}
+        for s_ in (0, 1):
+            n, sm, q = F.col(f"n{s_}_{a}"), F.col(f"s{s_}_{a}"), F.col(f"q{s_}_{a}")
+            mean = sm / n
+            st[s_] = (mean, F.sqrt(F.greatest(q / n - mean * mean, F.lit(0.0))))
+        labels.append(_label_expr(st[0][0], st[1][0], st[0][1], st[1][1], F.lit(a), F.col("prompt_id"), seed,
+                                  compat).alias(f"label_{a}"))
+    pairs = g.filter(ok).select("prompt_id", "prompt", "response0", "response1", *labels)
+    errors = g.filter(~ok.eqNullSafe(True)).select("prompt_id", F.col("_p1").alias("same_prompt"),
+                                                   F.col("_u0").alias("side0_ok"), F.col("_u1").alias("side1_ok"))
+    return pairs, errors
+
+
+def pick_chosen(pairs: DataFrame, attribute: str) -> DataFrame:
+    """D2 on labelled pairs (``label_<attribute>`` column): chosen = response[1 - label],
+    row-local (no join)."""
+    first_wins = F.col(f"label_{attribute}") == 1
+    keep = [c for c in pairs.columns if c not in ("response0", "response1") and not c.startswith("label_")]
+    return pairs.select(*keep,
+                        F.when(first_wins, F.col("response0")).otherwise(F.col("response1")).alias("chosen"),
+                        F.when(first_wins, F.col("response1")).otherwise(F.col("response0")).alias("rejected"))
+
+
 def disagreement_labels(stats: DataFrame, seed: int = 42, compat: bool = False) -> DataFrame:
     """Label 1 when response 0 wins attribute a, else 0.
 

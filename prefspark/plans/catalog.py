@@ -220,9 +220,10 @@ def q_chat_structure(spark, sf):
 
 @query("source_rated_pairs")
 def q_source_rated_pairs(spark, sf):
-    """Preference-set build: pair -> label -> exact split -> chosen/rejected -> chat."""
-    pairs = idx.train_validation_split(_pairs(spark, sf), "prompt_id", TRAIN_FRACTION, SEED)
-    cr = lb.chosen_rejected(pairs, _labels(spark, sf), LABEL_ATTRIBUTE)
+    """Preference-set build: pair + label (one aggregation) -> exact split -> chosen/rejected -> chat."""
+    pairs, _ = lb.rated_pairs(fx.rated_annotations(spark, sf), SEED)
+    pairs = idx.train_validation_split(pairs, "prompt_id", TRAIN_FRACTION, SEED)
+    cr = lb.pick_chosen(pairs, LABEL_ATTRIBUTE)
     pm = ch.user_message(F.col("prompt"))
     return cr.select("prompt_id", "split", ch.with_assistant(pm, F.col("chosen")).alias("chosen"),
                      ch.with_assistant(pm, F.col("rejected")).alias("rejected"))

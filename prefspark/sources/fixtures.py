@@ -86,6 +86,25 @@ def annotations_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def rated_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw rated responses in long form: one row per annotator and response,
+    carrying the prompt, the response text and the five ratings."""
+    li = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_quantity",
+               "l_discount", "l_tax", "l_partkey", "l_suppkey")
+    key, side = F.col("l_orderkey"), (F.col("l_linenumber") % 2)
+    return li.select(
+        key.alias("prompt_id"),
+        F.concat(F.lit("prompt "), key.cast("string")).alias("prompt"),
+        side.cast("int").alias("completion_idx"),
+        F.concat(F.lit("response "), key.cast("string"), F.lit("/"), side.cast("string")).alias("response"),
+        (F.round(F.col("l_tax") * 100) % 5).cast("double").alias("coherence"),
+        (F.col("l_partkey") % 5).cast("double").alias("complexity"),
+        (F.round(F.col("l_discount") * 100) % 5).cast("double").alias("correctness"),
+        (F.col("l_quantity") % 5).cast("double").alias("helpfulness"),
+        (F.col("l_suppkey") % 5).cast("double").alias("verbosity"),
+    )
+
+
 def rated_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw rated responses: (prompt_id, prompt, completion_idx, response)."""
     li = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber")

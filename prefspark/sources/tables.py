@@ -8,9 +8,22 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "embeddings pages benchmark labels conversations").split()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan at least as many partitions as the session has cores.
+
+    A small file with a single row group is read by one task, and the
+    row-local work before the first shuffle (regex token counts, explodes,
+    partial aggregation) would run on one core. Large inputs already arrive in
+    many splits and are left untouched (no shuffle is added for them). The
+    partition count comes from file metadata; no job runs.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     """Read one driver table; selecting ``cols`` right away keeps the scan pruned."""
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return df.select(*cols) if cols else df
+    return spread(df.select(*cols) if cols else df)

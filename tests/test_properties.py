@@ -136,3 +136,14 @@ def test_exact_split_sizes(spark):
     df = spark.range(1234).select(F.col("id").alias("pid"))
     s = idx.train_validation_split(df, "pid", 0.8, 42)
     assert s.filter(F.col("split") == "train").count() == int(0.8 * 1234)
+
+
+def test_fused_rated_pairs_equal_separate_chain(spark):
+    from prefspark.operators import labels as lb
+    fused, errors = lb.rated_pairs(fx.rated_annotations(spark, SF))
+    sep_pairs, sep_err = lb.pair_consecutive(fx.rated_responses(spark, SF))
+    labels = lb.disagreement_labels_wide(fx.annotations_wide(spark, SF))
+    a = {(r["prompt_id"], r["chosen"], r["rejected"]) for r in lb.pick_chosen(fused, "helpfulness").collect()}
+    b = {(r["prompt_id"], r["chosen"], r["rejected"])
+         for r in lb.chosen_rejected(sep_pairs, labels, "helpfulness").collect()}
+    assert a == b and len(a) > 0
