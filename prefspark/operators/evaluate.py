@@ -281,15 +281,19 @@ def pending_work(done: DataFrame, leaders: Sequence[str], followers: Sequence[st
 def align_prompts(tables: dict[str, DataFrame]) -> DataFrame:
     """Which (split, prompt_id) keys are missing from which model's table.
 
-    Full outer joins of the distinct key sets; an empty result means aligned.
+    The key columns of all tables are unioned with a table tag and reduced by
+    ONE aggregation (a presence flag per table, partial aggregation map-side)
+    instead of a chain of full outer joins. An empty result means aligned.
     """
-    keyed = None
     names = list(tables)
+    u = None
     for n in names:
-        k = tables[n].select("split", "prompt_id").distinct().withColumn(f"in_{n}", F.lit(True))
-        keyed = k if keyed is None else keyed.join(k, ["split", "prompt_id"], "full_outer")
-    missing = F.array_compact(F.array(*[F.when(F.col(f"in_{n}").isNull(), F.lit(n)) for n in names]))
-    return keyed.select("split", "prompt_id", missing.alias("missing_in")).filter(F.size("missing_in") > 0)
+        k = tables[n].select("split", "prompt_id", F.lit(n).alias("_t"))
+        u = k if u is None else u.unionByName(k)
+    g = u.groupBy("split", "prompt_id").agg(
+        *[F.max(F.when(F.col("_t") == n, F.lit(1))).alias(f"_in{i}") for i, n in enumerate(names)])
+    missing = F.array_compact(F.array(*[F.when(F.col(f"_in{i}").isNull(), F.lit(n)) for i, n in enumerate(names)]))
+    return g.select("split", "prompt_id", missing.alias("missing_in")).filter(F.size("missing_in") > 0)
 
 
 def stack_players(rewards: DataFrame, models: Sequence[str], per_model: int = 5) -> DataFrame:

@@ -270,3 +270,10 @@ def test_judge_template_is_format_exact(spark):
     df = spark.createDataFrame([("P {response0}", "x", "y")], "p string, a string, b string")
     m = df.select(ch.judge_prompt("Q:{prompt}|{response0}|{response1}", "p", "a", "b").alias("m")).first()["m"]
     assert m[0]["content"] == "Q:P {response0}|x|y"          # single pass, like str.format
+
+
+def test_d9_alignment_reports_missing_keys(spark):
+    a = spark.createDataFrame([("train", 1), ("train", 2)], "split string, prompt_id long")
+    b = spark.createDataFrame([("train", 2), ("train", 3)], "split string, prompt_id long")
+    out = {r["prompt_id"]: list(r["missing_in"]) for r in ev.align_prompts({"a": a, "b": b}).collect()}
+    assert out == {1: ["b"], 3: ["a"]}
