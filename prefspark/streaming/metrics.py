@@ -40,17 +40,25 @@ def metric_rollup(log: DataFrame, window: str = "1 day", slide: str | None = Non
 
 def metric_rollup_stream(spark: SparkSession, source: str, out_path: str | None = None,
                          window: str = "1 day", watermark: str = "1 day", slide: str | None = None,
-                         schema: str = METRIC_SCHEMA, max_files_per_trigger: int | None = None) -> DataFrame:
+                         schema: str = METRIC_SCHEMA, max_files_per_trigger: int | None = None,
+                         output_mode: str = "complete") -> DataFrame:
     """Run the rollup as a Structured Streaming query over the parquet files
     matching ``source`` (a folder, or a glob such as ``dir/events*.parquet``)
     until all available input is processed.
 
-    Complete mode keeps one state row per (window, metric) (bounded by time
-    range x metric count, not by rows); every micro-batch result is written to
-    ``out_path`` (a folder under the shared checkpoint dir by default) through
-    ``foreachBatch``; the streaming checkpoint makes the query restartable.
+    ``complete``: one state row per (window, metric) (bounded by time range x
+    metric count, not by rows); each micro-batch rewrites the result table, so
+    the output equals the batch twin for any file order.
+    ``append``: windows are emitted once the watermark passes their end and
+    their state is dropped; rows older than the watermark are late and
+    dropped; windows still open when the input ends are not emitted yet.
+    Each micro-batch is written to its own ``epoch=<id>`` folder with
+    overwrite, so a retried batch never duplicates rows. The streaming
+    checkpoint (under the shared checkpoint dir) makes the query restartable.
     Returns the written table.
     """
+    if output_mode not in ("complete", "append"):
+        raise ValueError("output_mode must be 'complete' or 'append'")
     base = ensure_checkpoint_dir(spark).rstrip("/")
     run = uuid.uuid4().hex[:12]
     out_path = out_path or f"{base}/metric_rollup/{run}/table"
@@ -61,13 +69,27 @@ def metric_rollup_stream(spark: SparkSession, source: str, out_path: str | None
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     src = (_prepare(reader.parquet(source)).withColumn("event_time", F.col("ts").cast("timestamp"))
            .withWatermark("event_time", watermark))
-    agg = _rollup(src, window, slide)
+    if output_mode == "append":
+        # state eviction needs the window on the watermarked column
+        agg = _rollup(src.withColumn("ts", F.col("event_time")), window, slide).select(
+            F.col("window_start").cast("timestamp_ntz").alias("window_start"),
+            F.col("window_end").cast("timestamp_ntz").alias("window_end"), "metric", "n", "sum_cents", "mean_value")
+    else:
+        agg = _rollup(src, window, slide)
 
     def sink(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(out_path)
+        if output_mode == "complete":
+            batch.write.mode("overwrite").parquet(out_path)
+        else:
+            batch.write.mode("overwrite").parquet(f"{out_path}/epoch={epoch}")
 
-    q = (agg.writeStream.outputMode("complete").foreachBatch(sink)
+    q = (agg.writeStream.outputMode(output_mode).foreachBatch(sink)
          .option("checkpointLocation", f"{base}/metric_rollup/{run}/checkpoint")
          .trigger(availableNow=True).start())
     q.awaitTermination()
+    if output_mode == "append":
+        try:
+            return spark.read.parquet(out_path).drop("epoch")
+        except Exception:  # noqa: BLE001 - nothing closed yet: no folder written
+            return spark.createDataFrame([], agg.schema)
     return spark.read.parquet(out_path)
