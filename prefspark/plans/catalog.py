@@ -743,7 +743,10 @@ def q_score_with(spark, sf):
 
 
 def _length_scorers():
-    return {"length": lambda p, c: c.fillna("").str.split().str.len().astype("float64"),
+    """Example pandas scorers: token count (same token rule as the native
+    columns) and completion/prompt character ratio."""
+    tok = ch.TOKEN_RE
+    return {"length": lambda p, c: c.fillna("").str.count(tok).astype("float64"),
             "prompt_ratio": lambda p, c: c.fillna("").str.len() / (1.0 + p.fillna("").str.len())}
 
 

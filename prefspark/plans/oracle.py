@@ -615,3 +615,20 @@ FROM events GROUP BY 1, 2, 3"""
 _o("metric_rollup", ROLLUP)
 _o("metric_rollup_stream", ROLLUP)
 _o("select_rename", "SELECT doc_id AS prompt_id, text AS prompt, source FROM documents")
+
+_FL = ("fl", """SELECT prompt_id, prompt, CAST(i AS INTEGER) AS completion_idx, comps[i + 1].text AS completion
+              FROM (SELECT prompt_id, prompt, comps, unnest(range(len(comps))) AS i FROM generations)""")
+_o("score_with_udf", f"""SELECT prompt_id, completion_idx, 'length' AS attribute,
+       CAST(len(regexp_extract_all(coalesce(completion, ''), {TOKEN})) AS DOUBLE) AS reward FROM fl
+UNION ALL
+SELECT prompt_id, completion_idx, 'prompt_ratio',
+       length(coalesce(completion, '')) / (1.0::DOUBLE + length(coalesce(prompt, ''))) FROM fl""",
+   ["generations"], [_FL])
+_o("judge_with", f"""SELECT pair_id, flip, CASE WHEN flip THEN 1.0::DOUBLE - p_raw ELSE p_raw END AS p FROM (
+  SELECT pair_id, flip, CASE WHEN length(coalesce(a, '')) > length(coalesce(b, '')) THEN 1.0::DOUBLE
+                             WHEN length(coalesce(a, '')) = length(coalesce(b, '')) THEN 0.5::DOUBLE
+                             ELSE 0.0::DOUBLE END AS p_raw
+  FROM (SELECT pair_id, flip, CASE WHEN flip THEN r1 ELSE r0 END AS a, CASE WHEN flip THEN r0 ELSE r1 END AS b
+        FROM (SELECT prompt_id AS pair_id, comps[1].text AS r0, comps[2].text AS r1,
+                     {h('prompt_id')} % 2 = 1 AS flip FROM generations WHERE len(comps) >= 2)))""",
+   ["generations"])
