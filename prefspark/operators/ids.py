@@ -110,7 +110,7 @@ def kth_smallest_key(keys: DataFrame, k: int, top: list[tuple[int, int]] | None
 
 
 def train_validation_split(df: DataFrame, id_col: str, train_fraction: float = 0.8, seed: int = 42,
-                           exact: bool = True) -> DataFrame:
+                           exact: bool = True, persist_keys: bool = True) -> DataFrame:
     """Add ``split``: the first floor(frac * n) rows of the seeded permutation
     (order by md5(seed|id), then id) are 'train', the rest 'validation'.
 
@@ -118,7 +118,8 @@ def train_validation_split(df: DataFrame, id_col: str, train_fraction: float = 0
     selection (``kth_smallest_key``) on the narrow key, then applied to the
     full table as a plain filter predicate (no join, no shuffle of wide rows).
     ``id_col`` must be unique. ``exact=False`` uses a hash threshold (sizes
-    approximately ``frac``, no extra pass).
+    approximately ``frac``, no extra pass). ``persist_keys=False`` when ``df``
+    is already a cheap columnar read (the passes then just re-read two columns).
     """
     h = hash_bigint(F.lit(str(seed)), F.col(id_col))
     if not exact:
@@ -126,7 +127,9 @@ def train_validation_split(df: DataFrame, id_col: str, train_fraction: float = 0
                              .otherwise(F.lit("validation")))
     # narrow keys, kept for the three small selection passes only (an
     # executor loss just recomputes them from lineage)
-    keys = df.select(h.alias("_h"), F.col(id_col).alias("_id")).persist(StorageLevel.MEMORY_AND_DISK)
+    keys = df.select(h.alias("_h"), F.col(id_col).alias("_id"))
+    if persist_keys:
+        keys = keys.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         top = top_histogram(keys)
         n = sum(c for _, c in top)
@@ -137,6 +140,7 @@ def train_validation_split(df: DataFrame, id_col: str, train_fraction: float = 0
             return df.withColumn("split", F.lit("train"))
         ch, cid = kth_smallest_key(keys, k, top)
     finally:
-        keys.unpersist()
+        if persist_keys:
+            keys.unpersist()
     below = (h < F.lit(ch)) | ((h == F.lit(ch)) & (F.col(id_col) < F.lit(cid)))
     return df.withColumn("split", F.when(below, F.lit("train")).otherwise(F.lit("validation")))

@@ -67,15 +67,44 @@ def pair_consecutive(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pairs, errors
 
 
-def _label_expr(mean0, mean1, std0, std1, attribute, prompt_id, seed: int, compat: bool):
-    md = mean0 - mean1
-    sd = std0 - std1
-    tie_std = (sd <= TIE_EPS) if compat else (F.abs(sd) <= TIE_EPS)
-    toss = coin(seed, prompt_id, attribute)
-    label = (F.when(F.abs(md) <= TIE_EPS,
-                    F.when(tie_std, toss).when(sd > 0, F.lit(0)).otherwise(F.lit(1)))
-             .when(md > 0, F.lit(1)).otherwise(F.lit(0)))
-    return F.when(attribute.isin(list(FLIPPED)), F.lit(1) - label).otherwise(label).cast("int")
+def _coin_sql(seed: int, prompt: str, attribute: str) -> str:
+    """SQL twin of ``functions.core.coin`` (md5 of seed|prompt|attribute, low bit)."""
+    return (f"CAST(CAST(conv(substr(md5(concat_ws('|', '{seed}', CAST({prompt} AS STRING), {attribute})), 1, 8), 16, 10)"
+            f" AS BIGINT) % 2 AS INT)")
+
+
+def _label_sql(mean0: str, mean1: str, std0: str, std1: str, attribute: str, prompt: str, seed: int,
+               compat: bool, flipped: bool | None = None) -> str:
+    """E1 rule as SQL text: higher mean wins; on a mean tie the lower std; on a
+    full tie the seeded coin; verbosity/complexity flipped afterwards.
+    ``flipped`` known at build time (literal attribute) avoids the runtime test."""
+    md, sd = f"({mean0} - {mean1})", f"({std0} - {std1})"
+    tie = f"{sd} <= {TIE_EPS}" if compat else f"abs({sd}) <= {TIE_EPS}"
+    raw = (f"(CASE WHEN abs({md}) <= {TIE_EPS} THEN (CASE WHEN {tie} THEN {_coin_sql(seed, prompt, attribute)} "
+           f"WHEN {sd} > 0 THEN 0 ELSE 1 END) WHEN {md} > 0 THEN 1 ELSE 0 END)")
+    if flipped is None:
+        flip_list = ", ".join(f"'{a}'" for a in FLIPPED)
+        return f"CAST(CASE WHEN {attribute} IN ({flip_list}) THEN 1 - {raw} ELSE {raw} END AS INT)"
+    return f"CAST({'1 - ' if flipped else ''}{raw} AS INT)"
+
+
+def _side_moments_sql(attributes: Sequence[str]) -> list:
+    """count / sum / sum of squares per side and attribute (SQL aggregate text)."""
+    out = []
+    for s_ in (0, 1):
+        for a in attributes:
+            x = f"CASE WHEN completion_idx = {s_} THEN {a} END"
+            out += [F.expr(f"count({x}) AS n{s_}_{a}"), F.expr(f"sum({x}) AS s{s_}_{a}"),
+                    F.expr(f"sum(({x}) * ({x})) AS q{s_}_{a}")]
+    return out
+
+
+def _side_label_sql(a: str, seed: int, compat: bool) -> str:
+    st = {}
+    for s_ in (0, 1):
+        mean = f"(s{s_}_{a} / n{s_}_{a})"
+        st[s_] = (mean, f"sqrt(greatest(q{s_}_{a} / n{s_}_{a} - {mean} * {mean}, 0D))")
+    return _label_sql(st[0][0], st[1][0], st[0][1], st[1][1], f"'{a}'", "prompt_id", seed, compat, a in FLIPPED)
 
 
 def disagreement_labels_wide(ann: DataFrame, seed: int = 42, compat: bool = False,
@@ -86,25 +115,10 @@ def disagreement_labels_wide(ann: DataFrame, seed: int = 42, compat: bool = Fals
     aggregation map-side, so a prompt with very many annotations is folded
     before the shuffle); the labels are then computed row-locally and
     unpivoted to (prompt_id, attribute, label)."""
-    aggs = []
-    for s_ in (0, 1):
-        side = F.col("completion_idx") == s_
-        for a in attributes:
-            x = F.col(a)
-            aggs += [F.count(F.when(side, x)).alias(f"n{s_}_{a}"), F.sum(F.when(side, x)).alias(f"s{s_}_{a}"),
-                     F.sum(F.when(side, x * x)).alias(f"q{s_}_{a}")]
-    g = ann.groupBy("prompt_id").agg(*aggs)
-    rows = []
-    for a in attributes:
-        st = {}
-        for s_ in (0, 1):
-            n, sm, q = F.col(f"n{s_}_{a}"), F.col(f"s{s_}_{a}"), F.col(f"q{s_}_{a}")
-            mean = sm / n
-            st[s_] = (mean, F.sqrt(F.greatest(q / n - mean * mean, F.lit(0.0))), n)
-        lab = _label_expr(st[0][0], st[1][0], st[0][1], st[1][1], F.lit(a), F.col("prompt_id"), seed, compat)
-        rows.append(F.when((st[0][2] > 0) & (st[1][2] > 0),
-                           F.struct(F.lit(a).alias("attribute"), lab.alias("label"))))
-    return g.select("prompt_id", F.inline(F.array_compact(F.array(*rows))))
+    g = ann.groupBy("prompt_id").agg(*_side_moments_sql(attributes))
+    rows = ", ".join(f"IF(n0_{a} > 0 AND n1_{a} > 0, named_struct('attribute', '{a}', 'label', "
+                     f"{_side_label_sql(a, seed, compat)}), NULL)" for a in attributes)
+    return g.select("prompt_id", F.expr(f"inline(array_compact(array({rows})))"))
 
 
 def rated_pairs(rows: DataFrame, seed: int = 42, compat: bool = False,
@@ -115,25 +129,13 @@ def rated_pairs(rows: DataFrame, seed: int = 42, compat: bool = False,
     both responses (checked unique per side) and count / sum / sum of squares
     of every attribute per side; labels ``label_<attribute>`` are then
     computed row-locally. Returns (pairs, errors)."""
-    side = lambda s_: F.col("completion_idx") == s_
-    aggs = [F.min("prompt").alias("prompt"), (F.min("prompt") == F.max("prompt")).alias("_p1")]
+    aggs = [F.expr("min(prompt) AS prompt"), F.expr("min(prompt) = max(prompt) AS _p1")]
     for s_ in (0, 1):
-        r = F.when(side(s_), F.col("response"))
-        aggs += [F.min(r).alias(f"response{s_}"), (F.min(r) == F.max(r)).alias(f"_u{s_}")]
-        for a in attributes:
-            x = F.when(side(s_), F.col(a))
-            aggs += [F.count(x).alias(f"n{s_}_{a}"), F.sum(x).alias(f"s{s_}_{a}"), F.sum(x * x).alias(f"q{s_}_{a}")]
-    g = rows.groupBy("prompt_id").agg(*aggs)
+        r = f"CASE WHEN completion_idx = {s_} THEN response END"
+        aggs += [F.expr(f"min({r}) AS response{s_}"), F.expr(f"min({r}) = max({r}) AS _u{s_}")]
+    g = rows.groupBy("prompt_id").agg(*aggs, *_side_moments_sql(attributes))
     ok = F.col("_p1") & F.col("_u0") & F.col("_u1")
-    labels = []
-    for a in attributes:
-        st = {}
-        for s_ in (0, 1):
-            n, sm, q = F.col(f"n{s_}_{a}"), F.col(f"s{s_}_{a}"), F.col(f"q{s_}_{a}")
-            mean = sm / n
-            st[s_] = (mean, F.sqrt(F.greatest(q / n - mean * mean, F.lit(0.0))))
-        labels.append(_label_expr(st[0][0], st[1][0], st[0][1], st[1][1], F.lit(a), F.col("prompt_id"), seed,
-                                  compat).alias(f"label_{a}"))
+    labels = [F.expr(_side_label_sql(a, seed, compat)).alias(f"label_{a}") for a in attributes]
     pairs = g.filter(ok).select("prompt_id", "prompt", "response0", "response1", *labels)
     errors = g.filter(~ok.eqNullSafe(True)).select("prompt_id", F.col("_p1").alias("same_prompt"),
                                                    F.col("_u0").alias("side0_ok"), F.col("_u1").alias("side1_ok"))
@@ -164,8 +166,7 @@ def disagreement_labels(stats: DataFrame, seed: int = 42, compat: bool = False)
         F.max(F.when(F.col("completion_idx") == 0, F.col("std"))).alias("std0"),
         F.max(F.when(F.col("completion_idx") == 1, F.col("std"))).alias("std1"),
     ).filter(F.col("mean0").isNotNull() & F.col("mean1").isNotNull())
-    label = _label_expr(F.col("mean0"), F.col("mean1"), F.col("std0"), F.col("std1"), F.col("attribute"),
-                        F.col("prompt_id"), seed, compat)
+    label = F.expr(_label_sql("mean0", "mean1", "std0", "std1", "attribute", "prompt_id", seed, compat))
     return p.select("prompt_id", "attribute", label.alias("label"))
 
 

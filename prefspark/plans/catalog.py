@@ -222,7 +222,10 @@ def q_chat_structure(spark, sf):
 def q_source_rated_pairs(spark, sf):
     """Preference-set build: pair + label (one aggregation) -> exact split -> chosen/rejected -> chat."""
     pairs, _ = lb.rated_pairs(fx.rated_annotations(spark, sf), SEED)
-    pairs = idx.train_validation_split(pairs, "prompt_id", TRAIN_FRACTION, SEED)
+    # written once: the split's selection passes and the output read the
+    # table instead of re-aggregating the raw annotation rows
+    pairs = materialize(pairs, "rated_pairs")
+    pairs = idx.train_validation_split(pairs, "prompt_id", TRAIN_FRACTION, SEED, persist_keys=False)
     cr = lb.pick_chosen(pairs, LABEL_ATTRIBUTE)
     pm = ch.user_message(F.col("prompt"))
     return cr.select("prompt_id", "split", ch.with_assistant(pm, F.col("chosen")).alias("chosen"),
@@ -645,7 +648,7 @@ def q_attribute_schedule_average(spark, sf):
 import uuid  # noqa: E402
 
 from prefspark.operators import udf as uf  # noqa: E402
-from prefspark.session import ensure_checkpoint_dir  # noqa: E402
+from prefspark.session import ensure_checkpoint_dir, materialize  # noqa: E402
 from prefspark.sources import io as sio  # noqa: E402
 from prefspark.streaming import metrics as sm  # noqa: E402
 

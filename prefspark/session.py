@@ -47,3 +47,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", conf_dir)
     sc.setCheckpointDir(conf_dir)
     return conf_dir
+
+
+def materialize(df, name: str):
+    """Write ``df`` once as a parquet table under the shared checkpoint folder
+    and return a reader over it: cuts the lineage (survives lost executors),
+    and later passes read only the columns they need."""
+    import uuid
+
+    base = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
+    path = f"{base}/tables/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prefspark.functions.core import ATTRIBUTES, nan, sigmoid
-from prefspark.sources.tables import table
+from prefspark.sources.tables import spread, table
 
 # Fixture models and completions per model.
 MODELS = ["m0", "m1", "m2", "m3"]
@@ -89,8 +89,10 @@ def annotations_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rated_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw rated responses in long form: one row per annotator and response,
     carrying the prompt, the response text and the five ratings."""
-    li = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_quantity",
-               "l_discount", "l_tax", "l_partkey", "l_suppkey")
+    # texts ride through the pairing aggregation (string min/max is a sort-based
+    # aggregate), so the scan gets every core
+    li = spread(table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_quantity",
+                      "l_discount", "l_tax", "l_partkey", "l_suppkey"))
     key, side = F.col("l_orderkey"), (F.col("l_linenumber") % 2)
     return li.select(
         key.alias("prompt_id"),

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
+# Tables whose rows carry whole texts: the row-local work on them (regex token
+# counts, line truncation) is CPU-heavy enough to deserve every core.
+TEXT_TABLES = {"documents", "pages", "conversations", "benchmark"}
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -30,4 +33,5 @@ def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return spread(df.select(*cols) if cols else df)
+    df = df.select(*cols) if cols else df
+    return spread(df) if name in TEXT_TABLES else df
