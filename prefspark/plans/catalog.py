@@ -4,14 +4,28 @@ the inventory over the fixture views of the given scale factor (whole tables).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from prefspark.functions import chat as ch
+from prefspark.functions import seq as sq
+from prefspark.functions.core import ATTRIBUTES as ATTRS
 from prefspark.operators import evaluate as ev
 from prefspark.operators import graph as gr
+from prefspark.operators import ids as idx
+from prefspark.operators import judge as jd
+from prefspark.operators import labels as lb
+from prefspark.operators import rollout as ro
+from prefspark.operators import shape as sh
+from prefspark.operators import text as tx
+from prefspark.operators import udf as uf
+from prefspark.session import ensure_checkpoint_dir, materialize
 from prefspark.sources import fixtures as fx
+from prefspark.sources import io as sio
+from prefspark.streaming import metrics as sm
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -148,11 +162,6 @@ def q_cycle_stats(spark, sf):
 
 
 # ------------------------------------------------------------ label chain
-from prefspark.functions import chat as ch  # noqa: E402
-from prefspark.operators import ids as idx  # noqa: E402
-from prefspark.operators import labels as lb  # noqa: E402
-from prefspark.operators import shape as sh  # noqa: E402
-from prefspark.operators import text as tx  # noqa: E402
 
 SEED = 42
 LABEL_ATTRIBUTE = "helpfulness"
@@ -423,9 +432,6 @@ def q_export_eval_json(spark, sf):
 
 
 # ------------------------------------------------------------ token arrays / rollouts
-from prefspark.functions import seq as sq  # noqa: E402
-from prefspark.operators import judge as jd  # noqa: E402
-from prefspark.operators import rollout as ro  # noqa: E402
 
 EOS, PAD = 0, 9
 BETA = 0.05
@@ -645,12 +651,6 @@ def q_attribute_schedule_average(spark, sf):
 
 
 # ------------------------------------------------------------ sources / sinks
-import uuid  # noqa: E402
-
-from prefspark.operators import udf as uf  # noqa: E402
-from prefspark.session import ensure_checkpoint_dir, materialize  # noqa: E402
-from prefspark.sources import io as sio  # noqa: E402
-from prefspark.streaming import metrics as sm  # noqa: E402
 
 
 def _scratch(spark, name):
@@ -789,9 +789,6 @@ def q_fit_reward_model(spark, sf):
     return coefs
 
 
-from prefspark.functions.core import ATTRIBUTES as ATTRS  # noqa: E402
-
-
 @query("metric_rollup")
 def q_metric_rollup(spark, sf):
     return sm.metric_rollup(fx.table(spark, sf, "events", "ts", "user_id", "event_type", "value"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from prefspark.functions import chat as ch
 from prefspark.functions import seq as sq
-from prefspark.functions.core import ieee_ge
+from prefspark.functions.core import coin, ieee_ge
 from prefspark.operators import evaluate as ev
 from prefspark.operators import graph as gr
 from prefspark.operators import judge as jd
@@ -34,19 +34,19 @@ def test_q1_std_tie_break_doc_and_compat(spark):
     st = _stats(spark, rows)
     doc = _labels(lb.disagreement_labels(st, seed=42))
     lit = _labels(lb.disagreement_labels(st, seed=42, compat=True))
-    coin = {r["p"]: r["c"] for r in spark.range(1, 4).select(
-        F.col("id").alias("p"), lb.coin(42, F.col("id"), F.lit("helpfulness")).alias("c")).collect()}
+    coins = {r["p"]: r["c"] for r in spark.range(1, 4).select(
+        F.col("id").alias("p"), coin(42, F.col("id"), F.lit("helpfulness")).alias("c")).collect()}
     assert doc[(1, "helpfulness")] == 1                      # lower std wins (docstring)
-    assert lit[(1, "helpfulness")] == coin[1]                # literal: unreachable branch -> coin
+    assert lit[(1, "helpfulness")] == coins[1]               # literal: unreachable branch -> coin
     assert doc[(2, "helpfulness")] == 0 and lit[(2, "helpfulness")] == 0
-    assert doc[(3, "helpfulness")] == coin[3] == lit[(3, "helpfulness")]
+    assert doc[(3, "helpfulness")] == coins[3] == lit[(3, "helpfulness")]
     assert doc[(4, "verbosity")] == 0                        # higher mean wins, then flipped
 
 
 def test_q2_coin_is_flipped_for_verbosity(spark):
     rows = [(7, 0, "verbosity", 1, 2.0, 0.0), (7, 1, "verbosity", 1, 2.0, 0.0)]
     lab = _labels(lb.disagreement_labels(_stats(spark, rows), seed=1))
-    c = spark.range(1).select(lb.coin(1, F.lit(7), F.lit("verbosity")).alias("c")).first()["c"]
+    c = spark.range(1).select(coin(1, F.lit(7), F.lit("verbosity")).alias("c")).first()["c"]
     assert lab[(7, "verbosity")] == 1 - c
 
 
