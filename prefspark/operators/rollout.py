@@ -201,19 +201,30 @@ def rollout_metrics(leader: DataFrame, follower: DataFrame, beta: float, penalty
 
 def policy_metrics(df: DataFrame, kl_coef: float, penalty: float, clip: float) -> DataFrame:
     """Per step KL, entropy, non-score reward, RLHF reward, score, clip
-    fraction, approximate KL, policy loss, ratio mean / variance, EOS count."""
+    fraction, approximate KL, policy loss, token ratio mean / variance, EOS count.
+
+    ``ratio`` / ``ratio_var`` are over tokens: exp(new_t - old_t), pooled over
+    the step (sum, sum of squares and count are aggregated, so the statistics
+    are exact for any partitioning)."""
     x = df.withColumn("score_pen", missing_eos_penalty("score", "has_eos", penalty))
     x = kl_penalized_reward(x, kl_coef, "score_pen")
     x = rloo_advantage(x, "rlhf_reward")
     x = clipped_policy_loss(x, "advantage", clip)
+    tok = F.zip_with(F.col("model_logps"), F.col("gen_logps"), lambda a, b: F.exp(a - b))
+    x = x.withColumn("_tr", sq.asum(tok)).withColumn("_tr2", sq.asum(F.transform(tok, lambda r: r * r))) \
+         .withColumn("_tn", F.size("model_logps"))
     m = lambda c, n: _r(F.avg(c)).alias(n)
-    return x.groupBy("step").agg(
+    g = x.groupBy("step").agg(
         m(F.col("seq_kl"), "kl"), m(-sq.asum(F.col("model_logps")), "entropy"),
         m(F.col("non_score_reward"), "non_score_reward"), m(F.col("rlhf_reward"), "rlhf_reward"),
         m(F.col("score_pen"), "scores"), m(F.col("clipped").cast("double"), "clipfrac"),
-        m(F.col("approxkl"), "approxkl"), m(F.col("pg_loss"), "policy_loss"), m(F.col("ratio"), "ratio"),
-        _r(F.var_samp("ratio")).alias("ratio_var"),
+        m(F.col("approxkl"), "approxkl"), m(F.col("pg_loss"), "policy_loss"),
+        F.sum("_tr").alias("_s"), F.sum("_tr2").alias("_s2"), F.sum("_tn").alias("_n"),
         F.sum(F.col("has_eos").cast("long")).alias("num_eos"))
+    var = F.when(F.col("_n") > 1, (F.col("_s2") - F.col("_s") * F.col("_s") / F.col("_n")) / (F.col("_n") - 1))
+    return g.select("step", "kl", "entropy", "non_score_reward", "rlhf_reward", "scores", "clipfrac", "approxkl",
+                    "policy_loss", _r(F.col("_s") / F.col("_n")).alias("ratio"), _r(var).alias("ratio_var"),
+                    "num_eos")
 
 
 def random_permutation_batches(df: DataFrame, seed: int, epochs: int, mini_batch: int, micro_batch: int,

@@ -516,12 +516,17 @@ _o("rollout_metrics", "SELECT l.step, " + ", ".join(f"{r6(f'avg({e})')} AS {n}"
    + " FROM ls l JOIN fs f ON l.step = f.step AND l.prompt_id = f.prompt_id AND l.pair = f.pair GROUP BY l.step",
    ["rollouts"],
    side("ls", 0, f"prob - 1.0::DOUBLE * {NOEOS}") + side("fs", 1, f"(1.0::DOUBLE - prob) - 1.0::DOUBLE * {NOEOS}"))
+_TOKR = "list_transform(range(len(model_logps)), lambda i: exp(model_logps[i + 1] - gen_logps[i + 1]))"
 _o("policy_metrics", f"""SELECT step, {r6('avg(seq_kl)')} AS kl, {r6(f"avg(-{asum('model_logps')})")} AS entropy,
        {r6('avg(non_score_reward)')} AS non_score_reward, {r6('avg(rlhf_reward)')} AS rlhf_reward,
        {r6('avg(score_pen)')} AS scores, {r6('avg(CAST(clipped AS DOUBLE))')} AS clipfrac,
-       {r6('avg(approxkl)')} AS approxkl, {r6('avg(pg_loss)')} AS policy_loss, {r6('avg(ratio)')} AS ratio,
-       {r6('var_samp(ratio)')} AS ratio_var, CAST(sum(CAST(has_eos AS BIGINT)) AS BIGINT) AS num_eos
-FROM c GROUP BY step""", ["rollouts"], [("k", KLR), ("a", adv("k", "rlhf_reward")), ("c", clipped("a"))])
+       {r6('avg(approxkl)')} AS approxkl, {r6('avg(pg_loss)')} AS policy_loss,
+       {r6('sum(tr) / sum(tn)')} AS ratio,
+       {r6('CASE WHEN sum(tn) > 1 THEN (sum(tr2) - sum(tr) * sum(tr) / sum(tn)) / (sum(tn) - 1) END')} AS ratio_var,
+       CAST(sum(CAST(has_eos AS BIGINT)) AS BIGINT) AS num_eos
+FROM (SELECT *, {asum(_TOKR)} AS tr, {asum(f"list_transform({_TOKR}, lambda r: r * r)")} AS tr2,
+             len(model_logps) AS tn FROM c)
+GROUP BY step""", ["rollouts"], [("k", KLR), ("a", adv("k", "rlhf_reward")), ("c", clipped("a"))])
 
 LOGSIG = "(least({d}, 0.0::DOUBLE) - ln(1.0::DOUBLE + exp(-abs({d}))))"
 _D = "(chosen - rejected - margin)"
