@@ -147,3 +147,45 @@ def test_fused_rated_pairs_equal_separate_chain(spark):
     b = {(r["prompt_id"], r["chosen"], r["rejected"])
          for r in lb.chosen_rejected(sep_pairs, labels, "helpfulness").collect()}
     assert a == b and len(a) > 0
+
+
+def _py_graph(R, P):
+    """Reference computation of H6-H9 on one reward matrix R[a][p]."""
+    import math
+    A = len(R)
+    adj = [[False] * P for _ in range(P)]
+    for i in range(P):
+        for j in range(P):
+            votes = sum(1 for a in range(A) if 1 / (1 + math.exp(-(R[a][i] - R[a][j]))) < 0.5)
+            adj[i][j] = votes * 2 > A
+    masks = [sum(1 << j for j in range(P) if adj[i][j]) for i in range(P)]
+    indeg = [sum(adj[i][j] for i in range(P)) for j in range(P)]
+    cond = next((j for j in range(P) if indeg[j] == P - 1), None)
+    sinks = [u for u in range(P) if not any(adj[u]) and indeg[u] > 0]
+    return (not _has_cycle(masks, P)), cond, sinks, sum(map(sum, adj))
+
+
+@pytest.mark.parametrize("P", [70, 130])
+def test_multiword_graphs_match_python(spark, P):
+    rnd = random.Random(P)
+    attrs = ["a0", "a1", "a2"]
+    rows, mats = [], {}
+    for pid in range(6):
+        if pid % 2 == 0:   # transitive: a strict total order on every attribute
+            base = [rnd.random() for _ in range(P)]
+            R = [[b * (k + 1) for b in base] for k in range(3)]
+        else:              # random: cycles likely
+            R = [[float(rnd.randint(0, 9)) for _ in range(P)] for _ in range(3)]
+        mats[pid] = R
+        for a, vec in enumerate(R):
+            for p, r in enumerate(vec):
+                rows.append(("validation", attrs[a], pid, p, float(r)))
+    pl = spark.createDataFrame(rows, "split string, attribute string, prompt_id long, player int, reward double")
+    rep = {r["prompt_id"]: r for r in gr.graph_report(pl, P, attrs).collect()}
+    edges = {r["prompt_id"]: r["n_edges"] for r in gr.preference_graph(pl, P, attrs).collect()}
+    for pid, R in mats.items():
+        acyc, cond, sinks, n_edges = _py_graph(R, P)
+        assert rep[pid]["acyclic"] == acyc
+        assert rep[pid]["condorcet_idx"] == cond
+        assert list(rep[pid]["sinks"]) == sinks
+        assert edges[pid] == n_edges
