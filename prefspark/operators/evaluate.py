@@ -109,10 +109,16 @@ def round_robin_tournament(rewards: DataFrame, players: Sequence[tuple[str, str,
     P = len(players)
     if P < 2:
         raise ValueError("need at least two players")
-    idx, _ = player_index(players)
-    x = rewards.select("split", "attribute", "prompt_id", "reward", idx.alias("p")).filter(F.col("p").isNotNull())
+
+    def q(name):
+        return "'" + name.replace("'", "''") + "'"
+
+    pidx = "CASE " + " ".join(f"WHEN model = {q(m)} AND completion_idx = {c} THEN {k}"
+                              for k, (_, m, c) in enumerate(players)) + " END"
+    x = rewards.select("split", "attribute", "prompt_id", "reward", F.expr(pidx).alias("p")) \
+        .filter(F.col("p").isNotNull())
     cells = x.groupBy("split", "attribute", "prompt_id").agg(
-        *[F.max(F.when(F.col("p") == k, F.col("reward"))).alias(f"r{k}") for k in range(P)])
+        *[F.expr(f"max(CASE WHEN p = {k} THEN reward END) AS r{k}") for k in range(P)])
     # P(P-1)/2 indicator sums; written as SQL text so the plan is built with
     # one call per expression (the Column DSL needs dozens each)
     ge = "CASE WHEN isnan(r{i}) OR isnan(r{j}) THEN 0L ELSE CAST(r{i} >= r{j} AS BIGINT) END"
@@ -124,9 +130,6 @@ def round_robin_tournament(rewards: DataFrame, players: Sequence[tuple[str, str,
             aggs.append(F.expr(f"sum(CAST({both} AS BIGINT)) AS n_{i}_{j}"))
     tot = cells.groupBy("split").agg(*aggs)
 
-    def q(name):
-        return "'" + name.replace("'", "''") + "'"
-
     parts = []
     for i in range(P):
         parts.append(f"{q(players[i][0])}, {q(players[i][0])}, CAST(0.0 AS DOUBLE)")
