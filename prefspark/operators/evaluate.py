@@ -171,15 +171,18 @@ def winrate_vs_baseline(rewards: DataFrame, baseline: str, models: Sequence[str]
     """E5: share of (attribute, prompt) cells where the model's completion ``idx``
     is at least the baseline's completion ``idx`` (ties win), per split.
 
-    Output one row per model with columns ``{role}_{split}``.
+    Output one row per model with columns ``{role}_{split}`` and, as an
+    extra, ``{role}_{split}_tie_rate`` (share of exact ties, which count as wins).
     """
     j = baseline_join(rewards.filter(F.col("completion_idx").isin([r[0] for r in roles])), baseline, models)
+    tie = ~F.isnan("reward") & ~F.isnan("base_reward") & (F.col("reward") == F.col("base_reward"))
     aggs = []
     for c, role in roles:
         for s_ in splits:
             hit = (F.col("completion_idx") == c) & (F.col("split") == s_)
-            aggs.append(_ratio(F.sum(F.when(hit, _i(ieee_ge("reward", "base_reward")))),
-                               F.count(F.when(hit, F.lit(1)))).alias(f"{role}_{s_}"))
+            n = F.count(F.when(hit, F.lit(1)))
+            aggs.append(_ratio(F.sum(F.when(hit, _i(ieee_ge("reward", "base_reward")))), n).alias(f"{role}_{s_}"))
+            aggs.append(_ratio(F.sum(F.when(hit, _i(tie))), n).alias(f"{role}_{s_}_tie_rate"))
     return j.groupBy("model").agg(*aggs)
 
 

@@ -88,9 +88,12 @@ for c, role in ((0, "leader"), (1, "follower")):
     for s in ("train", "validation"):
         _e5_cols.append(f"CAST(sum(win) FILTER (WHERE completion_idx = {c} AND split = '{s}') AS DOUBLE) / "
                         f"count(*) FILTER (WHERE completion_idx = {c} AND split = '{s}') AS {role}_{s}")
+        _e5_cols.append(f"CAST(sum(tie) FILTER (WHERE completion_idx = {c} AND split = '{s}') AS DOUBLE) / "
+                        f"count(*) FILTER (WHERE completion_idx = {c} AND split = '{s}') AS {role}_{s}_tie_rate")
 _o("winrate_vs_baseline", "SELECT model, " + ", ".join(_e5_cols) + " FROM j GROUP BY model", ["rewards_long"], [
     ("j", f"""SELECT o.model, o.split, o.completion_idx,
-              CASE WHEN {ge('o.reward', 'b.reward')} THEN 1 ELSE 0 END AS win
+              CASE WHEN {ge('o.reward', 'b.reward')} THEN 1 ELSE 0 END AS win,
+              CASE WHEN NOT isnan(o.reward) AND NOT isnan(b.reward) AND o.reward = b.reward THEN 1 ELSE 0 END AS tie
               FROM rewards_long o JOIN rewards_long b ON {_CELL_JOIN} AND b.model = 'm0'
               WHERE o.model IN ('m1', 'm2', 'm3') AND o.completion_idx IN (0, 1)""")])
 
