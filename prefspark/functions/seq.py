@@ -42,6 +42,15 @@ def sequence_length(ids, pad: int) -> Column:
     return F.when(pos > 0, pos - 2).otherwise(F.size(ids) - 1)
 
 
+def sequence_length_last_non_pad(ids, ctx, pad: int) -> Column:
+    """G3, second form: context length + index of the last non-PAD completion
+    token + 1 (just the context length when the completion is all PAD)."""
+    comp = completion(ids, ctx)
+    last = F.aggregate(F.sequence(F.lit(0), F.greatest(F.size(comp) - 1, F.lit(0))), F.lit(-1),
+                       lambda acc, i: F.when((i < F.size(comp)) & (F.get(comp, i) != pad), i).otherwise(acc))
+    return _c(ctx) + last + 1
+
+
 def logsumexp(arr) -> Column:
     """Stable log(sum(exp(x))): max first, then the shifted sum."""
     arr = _c(arr)

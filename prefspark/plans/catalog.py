@@ -469,8 +469,9 @@ def q_contains_eos(spark, sf):
 
 @query("sequence_length")
 def q_sequence_length(spark, sf):
-    return fx.token_ids(spark, sf).select("seq_id", sq.sequence_length(sq.completion("ids", "ctx"), PAD)
-                                          .alias("seq_len"))
+    return fx.token_ids(spark, sf).select(
+        "seq_id", sq.sequence_length(sq.completion("ids", "ctx"), PAD).alias("seq_len"),
+        sq.sequence_length_last_non_pad("ids", "ctx", PAD).alias("seq_len_last_non_pad"))
 
 
 @query("selected_log_softmax")

@@ -416,7 +416,9 @@ _o("truncate_at_stop", f"""SELECT seq_id, c AS completion, CAST(len(c) AS INTEGE
                       ELSE {COMP} END AS c FROM token_ids)""", ["token_ids"])
 _o("contains_eos", f"SELECT seq_id, list_contains({COMP}, 0) AS has_eos FROM token_ids", ["token_ids"])
 _o("sequence_length", f"""SELECT seq_id, CAST(CASE WHEN list_position({COMP}, 9) IS NOT NULL THEN list_position({COMP}, 9) - 2
-                  ELSE len({COMP}) - 1 END AS INTEGER) AS seq_len FROM token_ids""", ["token_ids"])
+                  ELSE len({COMP}) - 1 END AS INTEGER) AS seq_len,
+       CAST(ctx + coalesce(list_max(list_filter(range(len({COMP})), lambda i: ({COMP})[i + 1] <> 9)), -1) + 1 AS INTEGER)
+         AS seq_len_last_non_pad FROM token_ids""", ["token_ids"])
 LSE = "(list_max({l}) + ln(list_reduce(list_transform({l}, lambda v: exp(v - list_max({l}))), lambda a, v: a + v, 0.0::DOUBLE)))"
 _o("selected_log_softmax", f"""SELECT seq_id, pos, {r6("s[target + 1] - " + LSE.format(l="s"))} AS logp
 FROM (SELECT seq_id, pos, target, list_transform(logits, lambda v: v / 1.0::DOUBLE) AS s FROM logits)""", ["logits"])

@@ -277,3 +277,11 @@ def test_d9_alignment_reports_missing_keys(spark):
     b = spark.createDataFrame([("train", 2), ("train", 3)], "split string, prompt_id long")
     out = {r["prompt_id"]: list(r["missing_in"]) for r in ev.align_prompts({"a": a, "b": b}).collect()}
     assert out == {1: ["b"], 3: ["a"]}
+
+
+def test_g3_both_length_forms(spark):
+    df = spark.createDataFrame([([5, 5, 1, 2, 9, 3, 9, 9], 2), ([5, 5, 9, 9], 2), ([5, 5, 1, 2], 2)],
+                               "ids array<int>, ctx int")
+    r = df.select(sq.sequence_length(sq.completion("ids", "ctx"), 9).alias("first"),
+                  sq.sequence_length_last_non_pad("ids", "ctx", 9).alias("last")).collect()
+    assert [(x["first"], x["last"]) for x in r] == [(1, 6), (-1, 2), (1, 4)]
