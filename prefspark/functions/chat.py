@@ -33,6 +33,11 @@ def user_message(content) -> Column:
     return F.array(msg("user", content))
 
 
+def assistant_message(content) -> Column:
+    """B1: a completion string as one assistant message."""
+    return F.array(msg("assistant", content))
+
+
 def with_assistant(prompt_msgs, content) -> Column:
     """B1: prompt messages followed by one assistant message."""
     return F.concat(_c(prompt_msgs), F.array(msg("assistant", content)))
@@ -66,6 +71,11 @@ def render_chat(messages, template: str = "<|{role}|>\n{content}\n") -> Column:
         "role": m["role"], "content": m["content"]})), "")
 
 
+def scoring_text(prompt_msgs, completion_msgs, template: str = "<|{role}|>\n{content}\n") -> Column:
+    """The text a scorer sees: rendered prompt followed by the rendered completion."""
+    return F.concat(render_chat(prompt_msgs, template), render_chat(completion_msgs, template))
+
+
 def format_fields(template: str, fields: dict) -> Column:
     """``str.format`` semantics with columns: the template (a user parameter) is
     split into literal text and named fields once, then concatenated."""

@@ -285,3 +285,12 @@ def test_g3_both_length_forms(spark):
     r = df.select(sq.sequence_length(sq.completion("ids", "ctx"), 9).alias("first"),
                   sq.sequence_length_last_non_pad("ids", "ctx", 9).alias("last")).collect()
     assert [(x["first"], x["last"]) for x in r] == [(1, 6), (-1, 2), (1, 4)]
+
+
+def test_b1_b5_completion_and_scoring_text(spark):
+    df = spark.createDataFrame([("q", "a")], "prompt string, completion string")
+    r = df.select(ch.assistant_message(F.col("completion")).alias("c"),
+                  ch.scoring_text(ch.user_message(F.col("prompt")), ch.assistant_message(F.col("completion")))
+                  .alias("t")).first()
+    assert [(m["role"], m["content"]) for m in r["c"]] == [("assistant", "a")]
+    assert r["t"] == "<|user|>\nq\n<|assistant|>\na\n"
