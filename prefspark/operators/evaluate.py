@@ -3,7 +3,9 @@
 Input: ``rewards(model, split, attribute, prompt_id, completion_idx, reward)``,
 one row per cell. Every report is a keyed aggregation (map-side partial
 aggregation first, so a hot prompt or model never piles up raw rows in one
-task) or an equi-join that AQE may broadcast or skew-split. Indicator means
+task). The baseline value of a cell is attached by a window over the full
+cell key (one row per model), never by joining the table with itself; the
+only cumulative window (F1) is the operator's own definition. Indicator means
 are integer sums divided once, so results are exact and engine independent.
 """
 

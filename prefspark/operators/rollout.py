@@ -2,10 +2,10 @@
 
 Input rows are sequences: ``(step, prompt_id, sample_idx, model_logps,
 ref_logps, gen_logps, score, prob, has_eos)``. Token work is row-local array
-arithmetic; batch statistics are windows or aggregations partitioned by
-``step`` (one batch), group statistics by (step, prompt_id). A window's
-partition is one training batch or one prompt's k samples, both bounded by the
-trainer's batch settings.
+arithmetic. Batch statistics (per ``step``) and prompt statistics (per
+(step, prompt_id)) are keyed aggregations joined back to the rows: the
+statistics table is small enough for AQE to broadcast, and a hot step or
+prompt is split by AQE's skew join rather than sorted in one window task.
 """
 
 from __future__ import annotations
