@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prefspark.functions.core import ATTRIBUTES, nan, sigmoid
+from prefspark.operators.shape import MAX_GROUP
 from prefspark.sources.tables import spread, table
 
 # Fixture models and completions per model.
@@ -145,7 +146,7 @@ def conversation_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
 
 
-def generations(spark: SparkSession, sf_dir: str, max_completions: int = 64) -> DataFrame:
+def generations(spark: SparkSession, sf_dir: str, max_completions: int = MAX_GROUP) -> DataFrame:
     """(prompt_id, prompt, sys, comps array<struct<turn, text>>) per conversation.
 
     One keyed aggregation. The completion list of a prompt is bounded by the
