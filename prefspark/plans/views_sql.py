@@ -47,7 +47,7 @@ _v("tldr_raw", """
 SELECT d.doc_id AS id, d.source AS worker,
        CASE WHEN d.doc_id % 7 = 0 THEN 'validation' ELSE 'train' END AS split,
        CASE WHEN d.doc_id % 3 = 0 THEN d.source END AS site,
-       d.lang AS subreddit, substr(d.text, 1, 40) AS title,
+       d.lang AS subreddit, split_part(d.text, chr(10), 1) AS title,
        CASE WHEN d.doc_id % 11 = 0 THEN '' ELSE d.text END AS post,
        d.text AS article,
        split_part(d.text, chr(10), 1) AS s0,

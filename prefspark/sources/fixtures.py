@@ -133,7 +133,7 @@ def tldr_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("doc_id") % 7 == 0, F.lit("validation")).otherwise(F.lit("train")).alias("split"),
         F.when(F.col("doc_id") % 3 == 0, F.col("source")).alias("site"),
         F.col("lang").alias("subreddit"),
-        F.substring("text", 1, 40).alias("title"),
+        F.substring_index("text", "\n", 1).alias("title"),      # the first line is the title
         F.when(F.col("doc_id") % 11 == 0, F.lit("")).otherwise(F.col("text")).alias("post"),
         F.col("text").alias("article"),
         F.substring_index("text", "\n", 1).alias("s0"),
