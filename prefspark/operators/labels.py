@@ -227,11 +227,11 @@ def worker_semi_join(df: DataFrame, min_train: int, worker: str | None = None) -
     if worker is not None:
         if used.filter(F.col("worker") == worker).limit(1).count() == 0:
             raise ValueError(f"worker {worker!r} is absent or has too few annotations")
-        used = used.filter(F.col("worker") == worker)
+        used = F.broadcast(used.filter(F.col("worker") == worker))   # one row at most
     # the worker set is one small aggregation over two columns: count it and
     # broadcast it when its size is proven small, so the rows are never
     # shuffled for the semi join; otherwise a regular (AQE) join
-    if used.count() <= BROADCAST_MAX_WORKERS:
+    elif used.count() <= BROADCAST_MAX_WORKERS:
         used = F.broadcast(used)
     valid = df.filter(F.col("split") == "validation").join(used, "worker", "left_semi")
     return df.filter(F.col("split") != "validation").unionByName(valid.select(*df.columns))
