@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from prefspark.llm import bpe
+from prefspark.llm import bpe, token_index
 from prefspark.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,3 +24,8 @@ def query(name: str):
 @query("op9_bpe_roundtrip")
 def op9_bpe_roundtrip(spark, sf_dir):
     return bpe.bpe_roundtrip(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op10_token_index")
+def op10_token_index(spark, sf_dir):
+    return token_index.token_index(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
