@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from prefspark.llm import bpe, token_index
+from prefspark.llm import bpe, token_index, toxicity
 from prefspark.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,3 +29,8 @@ def op9_bpe_roundtrip(spark, sf_dir):
 @query("op10_token_index")
 def op10_token_index(spark, sf_dir):
     return token_index.token_index(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op6_toxicity")
+def op6_toxicity(spark, sf_dir):
+    return toxicity.toxicity(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "labels", "doc_id", "toxic"))
