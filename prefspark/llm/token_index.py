@@ -22,10 +22,10 @@ shard's index, a text and the word cache.
 
 from __future__ import annotations
 
-import itertools
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,13 +35,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from prefspark.llm.bpe import TwoGenerations
+from prefspark.llm.bpe import TwoGenerations, byte_symbols
 from prefspark.llm.tables import materialize, partitions_for
 from prefspark.session import ensure_checkpoint_dir
 
 MAGIC = 0x3158444E494B4F54
 SHARD_BYTES = 32 << 20
-CACHE_CHUNKS = 250_000
+CACHE_CHUNKS = 150_000
 NULL_KEY = -(2**63)
 GAMMA, LEVELS = 2.0, 64
 
@@ -184,8 +184,9 @@ class ShardReader:
 
 _BLANKS_MEET = re.compile(r"\s (?:\s|\Z)")
 _PLAIN = re.compile(r" ?\S+\Z")
-#: A lone line break, and a stop at a chunk's end after a letter, are pieces of their own.
-_SAFE_BREAK = re.compile(r"(?<=\S)(\n)(?=\S)|(?<=[^\W\d_])([.,;:!?]\Z)|(?<=[^\W\d_])([.,;:!?])(?=\n\S)")
+_LONE_BREAK = re.compile(r"(?<=\S)(\n)(?=\S)")
+#: Latin letters after at most one blank, perhaps a stop: one piece each.
+_WORD = re.compile("( ?[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f]+)([.,;:!?]?)\\Z")
 _SAFE_CUT = re.compile(r"(?<=\S)(?= \S)")
 
 
@@ -204,45 +205,57 @@ class ChunkEncoder:
         self.lib = Tokenizer.from_file(path)
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         self.dtype = "<u2" if self.lib.get_vocab_size() <= 2**16 else "<u4"
+        self.code = self.dtype.replace("<u2", "H").replace("<u4", "I")
+        self.byte_text = dict(enumerate(byte_symbols()))
+        self.stops = {c: self._alone(c) for c in ".,;:!?"}
         self.line_break, = np.frombuffer(self._alone("\n"), self.dtype)
         self.cache = TwoGenerations(self._make, CACHE_CHUNKS)
 
     def _make(self, chunks: list[str]) -> list[bytes]:
-        """Chunks without inner white space go through the library as lines of one text.
-
-        A line break between two such lines is always a piece, and a token, of its own."""
-        parts = {c: [c] if c[-1:].isalpha() and _PLAIN.match(c) else [p for p in _SAFE_BREAK.split(c) if p]
-                 for c in chunks}
-        out: dict[str, bytes] = {"": b""}
-        need = []
-        for p in dict.fromkeys(itertools.chain.from_iterable(parts.values())):
-            got = self.cache.young.get(p) or self.cache.old.get(p)
-            if got:
-                out[p] = got
-            elif p:
-                need.append(p)
+        """A chunk of letters is one piece, as is a stop after it: straight to the library's model.
+
+        Other chunks without inner white space go through the whole tokenizer as lines of one
+        text: a line break between two such lines is always a piece, and a token, of its own."""
+        young, old = self.cache.young, self.cache.old
+        tokenize, word, stops, table = self.lib.model.tokenize, _WORD.match, self.stops, self.byte_text
+        out: dict[str, bytes] = {}
+        rest: dict[str, list[str]] = {}
+        for c in chunks:
+            if not (m := word(c)):
+                rest[c] = [p for p in _LONE_BREAK.split(c) if p]
+                continue
+            body, stop = m.groups()
+            if (got := young.get(body) or old.get(body)) is None:
+                ids = [t.id for t in tokenize(body.encode().decode("latin-1").translate(table))]
+                got = young[body] = array(self.code, ids).tobytes()
+            out[c] = got + stops[stop] if stop else got
+        parts = {p: young.get(p) or old.get(p) for ps in rest.values() for p in ps}
+        need = [p for p, got in parts.items() if got is None]
         plain = [p for p in need if _PLAIN.match(p) and not any(s in p for s in self.special)]
-        for a in range(0, len(plain), 4096):
-            some = plain[a: a + 4096]
-            ids = np.array(self.lib.encode("\n".join(some), add_special_tokens=False).ids, self.dtype)
+        for a in range(0, len(plain), 1024):
+            some = plain[a: a + 1024]
+            got, = self.lib.encode_batch_fast(["\n".join(some)], add_special_tokens=False)
+            ids = np.array(got.ids, self.dtype)
             breaks = np.flatnonzero(ids == self.line_break)
             raw, width = ids.tobytes(), ids.itemsize
             start = [0, *((breaks + 1) * width).tolist()]
             stop = [*(breaks * width).tolist(), len(raw)]
-            out.update((c, raw[x:y]) for c, x, y in zip(some, start, stop, strict=True))
+            parts.update((c, raw[x:y]) for c, x, y in zip(some, start, stop, strict=True))
         for p in need:
-            if p not in out:
-                out[p] = self._alone(p)
-        self.cache.young.update((p, out[p]) for p in need)
-        return [out[ps[0]] if len(ps) == 1 else b"".join([out[p] for p in ps]) for ps in parts.values()]
+            if parts[p] is None:
+                parts[p] = self._alone(p)
+        for c, ps in rest.items():
+            out[c] = b"".join([parts[p] for p in ps])
+        return [out[c] for c in chunks]
 
     def _alone(self, text: str) -> bytes:
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def encode(self, texts: list[str], end_id: int) -> Iterator[bytes]:
+    def encode(self, texts: pa.Array, end_id: int) -> Iterator[bytes]:
+        """Ids of every text, ``end_id`` appended, as bytes."""
         end = np.array([end_id], self.dtype).tobytes()
-        for a in range(0, len(texts), 256):
-            some = [blank_chunks(t) for t in texts[a: a + 256]]
+        for a in range(0, len(texts), 128):
+            some = [blank_chunks(t or "") for t in texts.slice(a, 128).to_pylist()]
             known = self.cache.get(set().union(*some))
             for chunks in some:
                 yield b"".join([known[c] for c in chunks]) + end
@@ -284,8 +297,7 @@ def write_index(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2, i
             return batch
 
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for key, ids in zip(batch.column(0).to_pylist(), enc.encode(texts, end_id)):
+            for key, ids in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1), end_id)):
                 nth = nth + 1 if key == last else 0
                 last = key
                 if writer is None:
