@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from prefspark.llm import bpe, chat_format, token_index, toxicity
+from prefspark.llm import bpe, chat_format, decontaminate, token_index, toxicity
 from prefspark.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +67,19 @@ SELECT conv_id, count(*) AS n_turns,
                    + CASE WHEN i = n OR role <> after THEN 7 ELSE 0 END)::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id
 """
+
+
+@query("op2_decontaminate")
+def op2_decontaminate(spark, sf_dir):
+    return decontaminate.contained_items(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "benchmark"))
+
+
+ORACLE["op2_decontaminate"] = r"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+b AS (SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
+ds AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d)),
+bs AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM b)),
+q AS (SELECT item_id, count(*) AS n_item FROM bs GROUP BY 1)
+SELECT doc_id, item_id, n_item, count(*) AS n_found, count(*) / n_item AS containment
+FROM ds JOIN bs USING (s) JOIN q USING (item_id) GROUP BY doc_id, item_id, n_item HAVING count(*) * 100 >= n_item * 80
+"""
