@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from prefspark.llm import bpe, chat_format, decontaminate, token_index, toxicity
+from prefspark.llm import bpe, chat_format, decontaminate, language, token_index, toxicity
 from prefspark.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +83,8 @@ q AS (SELECT item_id, count(*) AS n_item FROM bs GROUP BY 1)
 SELECT doc_id, item_id, n_item, count(*) AS n_found, count(*) / n_item AS containment
 FROM ds JOIN bs USING (s) JOIN q USING (item_id) GROUP BY doc_id, item_id, n_item HAVING count(*) * 100 >= n_item * 80
 """
+
+
+@query("op5_language_id")
+def op5_language_id(spark, sf_dir):
+    return language.languages(read(spark, sf_dir, "documents", "doc_id", "text", "lang"))
