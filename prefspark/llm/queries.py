@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from prefspark.llm import bpe, chat_format, decontaminate, language, token_index, toxicity
+from prefspark.llm import bpe, chat_format, decontaminate, language, minhash, token_index, toxicity
 from prefspark.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,30 @@ FROM ds JOIN bs USING (s) JOIN q USING (item_id) GROUP BY doc_id, item_id, n_ite
 @query("op5_language_id")
 def op5_language_id(spark, sf_dir):
     return language.languages(read(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+
+
+@query("op1_minhash_dedup")
+def op1_minhash_dedup(spark, sf_dir):
+    return minhash.near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text"), 2)
+
+
+ORACLE["op1_minhash_dedup"] = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                       'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) >= 2 THEN list_sort(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])))
+                          ELSE w END AS s FROM w),
+c AS (SELECT s, min(doc_id) AS rep, len(s) AS n FROM s WHERE len(s) > 0 GROUP BY s),
+e AS (SELECT rep, n, unnest(s) AS t FROM c),
+f AS (SELECT t, count(*) AS df FROM e GROUP BY t),
+r AS (SELECT rep, n, t, row_number() OVER (PARTITION BY rep ORDER BY df, t) AS i FROM e JOIN f USING (t)),
+pre AS (SELECT * FROM r WHERE i <= n - ceil(0.8 * n) + 1),
+cand AS (SELECT DISTINCT x.rep AS a, y.rep AS b FROM pre x JOIN pre y ON x.t = y.t AND x.rep < y.rep
+         AND least(x.n, y.n) * 100 >= greatest(x.n, y.n) * 80),
+hit AS (SELECT a, b, count(*) AS common FROM cand JOIN e x ON x.rep = a JOIN e y ON y.rep = b AND y.t = x.t GROUP BY a, b),
+link AS (SELECT a, b FROM hit JOIN c x ON x.rep = a JOIN c y ON y.rep = b WHERE 100 * common >= 80 * (x.n + y.n - common)),
+edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach(a, b) AS (SELECT rep, rep FROM c UNION SELECT r.a, e.b FROM reach r JOIN edge e ON r.b = e.a),
+comp AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(component_id, doc_id) AS component_id, doc_id = coalesce(component_id, doc_id) AS kept
+FROM s LEFT JOIN c ON c.s = s.s LEFT JOIN comp ON comp.a = c.rep
+"""
