@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from prefspark.llm import bpe, chat_format, decontaminate, language, minhash, token_index, toxicity
+from prefspark.llm import bpe, chat_format, decontaminate, embeddings, language, minhash, repeats, token_index, toxicity
 from prefspark.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +115,27 @@ comp AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
 SELECT doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(component_id, doc_id) AS component_id, doc_id = coalesce(component_id, doc_id) AS kept
 FROM s LEFT JOIN c ON c.s = s.s LEFT JOIN comp ON comp.a = c.rep
 """
+
+
+@query("op3_remove_repeats")
+def op3_remove_repeats(spark, sf_dir):
+    return repeats.remove_repeats(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query("op8_embedding_dedup")
+def op8_embedding_dedup(spark, sf_dir):
+    return embeddings.near_copies(read(spark, sf_dir, "embeddings"))
+
+
+ORACLE["op8_embedding_dedup"] = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS v,
+       label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+       AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS ok FROM embeddings),
+link AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.label = y.label AND x.vec_id <> y.vec_id AND len(x.v) = len(y.v)
+         WHERE x.ok AND y.ok AND list_cosine_similarity(x.v, y.v) >= 0.93),
+reach(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+comp AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+n AS (SELECT a, count(*) AS n_links FROM link GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM v JOIN comp ON comp.a = vec_id LEFT JOIN n ON n.a = vec_id
+"""
