@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from prefspark.llm import bpe, chat_format, decontaminate, embeddings, language, minhash, repeats, token_index, toxicity
+from prefspark.llm import bpe, chat_format, decontaminate, embeddings, language, maxent, minhash, repeats, token_index, toxicity
 from prefspark.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -139,3 +139,8 @@ n AS (SELECT a, count(*) AS n_links FROM link GROUP BY a)
 SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
 FROM v JOIN comp ON comp.a = vec_id LEFT JOIN n ON n.a = vec_id
 """
+
+
+@query("op4_lm_scores")
+def op4_lm_scores(spark, sf_dir):
+    return maxent.lm_scores(read(spark, sf_dir, "documents", "doc_id", "text"))
