@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from prefspark.llm.tables import materialize, row_runs, text_buffers
 
@@ -72,7 +73,7 @@ def text_blocks(docs: DataFrame, *cols: str, block_bytes: int = BLOCK_BYTES) ->
     return materialize(rows.mapInArrow(run, "block long, payload binary"), "blocks")
 
 
-def visit(blocks: DataFrame, replies: DataFrame | None, fn: Callable[[int, pa.Table, list[bytes]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def visit(blocks: DataFrame, replies: DataFrame | None, fn: Callable[[int, pa.Table, list[bytes]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """``fn(block, rows, replies)`` for every block; replies are (block, blob) rows."""
     if replies is None:
         def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,8 +94,7 @@ def visit(blocks: DataFrame, replies: DataFrame | None, fn: Callable[[int, pa.Ta
         return got if got is not None else empty
 
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-    empty = to_arrow_schema(StructType.fromDDL(schema)).empty_table()
+    empty = to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema).empty_table()
     return blocks.groupBy("block").cogroup(replies.select("block", "blob").groupBy("block")).applyInArrow(grouped, schema)
 
 

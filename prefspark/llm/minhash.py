@@ -178,8 +178,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each row of docs: id, n_shingles, component_id, kept (the id is its component's)."""
+def groups(docs: DataFrame, n: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The written signatures (id, n_shingles, cls), and cls, rep, root, component_id of every class."""
     signed = materialize(signatures(docs, n, id_col, text_col), "signatures")
     classes = materialize(signed.where("n_shingles > 0").groupBy("cls").agg(
         F.min("id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")), "classes")
@@ -209,8 +209,43 @@ def near_duplicates(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: s
     roots = components(star_links.union(cross_links)).withColumnRenamed("node", "cls")
     placed_classes = classes.select("cls", "rep").join(roots, "cls", "left").select("cls", "rep", F.coalesce("root", "cls").alias("root"))
     ids = placed_classes.groupBy("root").agg(F.min("rep").alias("component_id"))
-    by_class = placed_classes.join(ids, "root").select("cls", "component_id")
-    out = signed.select("id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("cls")).alias("cls")).join(by_class, "cls", "left")
+    return signed.select("id", "n_shingles", "cls"), placed_classes.join(ids, "root")
+
+
+def near_duplicates(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row for each row of docs: id, n_shingles, component_id, kept (the id is its component's)."""
+    signed, classes = groups(docs, n, id_col, text_col)
+    out = (signed.withColumn("cls", F.when(F.col("n_shingles") > 0, F.col("cls")))
+           .join(classes.select("cls", "component_id"), "cls", "left"))
     component = F.when(F.col("cls").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"),
                       F.coalesce(F.col("id") == component, component.isNull()).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, n: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs with one row of each component: one with its smallest id (null is the largest).
+
+    Rows without shingles stay. Of rows that agree in id and shingle set one stays."""
+    signed, classes = groups(docs, n, id_col, text_col)
+    first = classes.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), F.col("rep"), F.col("cls"))).alias("k"))
+    chosen = first.select(F.col("k.cls").alias("__cls"), F.col("k.rep").alias("__rep"))
+    copies = (signed.join(chosen, [signed.cls == chosen.__cls, signed.id.eqNullSafe(chosen.__rep)], "left_semi")
+              .where("n_shingles > 0").groupBy("cls").agg(F.count("*").alias("__copies")).withColumnRenamed("cls", "__cls"))
+    chosen = chosen.join(copies, "__cls")
+    where = docs.columns.index(text_col)
+
+    def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cls = [set_hash(s) if len(s) else None for s in shingle_sets(batch.column(where), n)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cls, pa.int64())], [*batch.schema.names, "__set"])
+
+    tagged = docs.mapInArrow(tag, _with_set(docs))
+    found = tagged.join(chosen, [tagged.__set == chosen.__cls, tagged[id_col].eqNullSafe(chosen.__rep)], "left")
+    single = found.where("__set is null or __copies = 1").select(*docs.columns)
+    several = found.where("__copies > 1").dropDuplicates(["__set"]).select(*docs.columns)
+    return single.union(several)
+
+
+def _with_set(docs: DataFrame):
+    from pyspark.sql.types import LongType, StructField, StructType
+    return StructType([*docs.schema.fields, StructField("__set", LongType())])

@@ -144,3 +144,9 @@ FROM v JOIN comp ON comp.a = vec_id LEFT JOIN n ON n.a = vec_id
 @query("op4_lm_scores")
 def op4_lm_scores(spark, sf_dir):
     return maxent.lm_scores(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query("pipeline")
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf_dir)

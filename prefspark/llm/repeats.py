@@ -38,6 +38,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from prefspark.llm import blocks as bl
 from prefspark.llm.tables import materialize, partitions_for
@@ -221,8 +222,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     entry = "bucket long, block long, blob binary"
     first = materialize(bl.merge(bl.visit(packed, None, report_phrases, entry), sort_dictionary), "phrase-answers")
     second = materialize(bl.merge(bl.visit(packed, first, report_windows, entry), compare_windows), "window-answers")
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    schema += ", n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string" if with_text else "")
+    own = StructType.fromDDL("n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string" if with_text else ""))
+    schema = StructType([*[StructField(c, docs.schema[c].dataType) for c in keep], *own.fields])
     return bl.visit(packed, first.union(second), lay_over, schema)
 
 

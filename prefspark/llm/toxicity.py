@@ -168,6 +168,19 @@ def score(docs: DataFrame, fm: FactorizationMachine, id_col: str = "doc_id", tex
     return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(run, f"{schema}, score double, predicted int")
 
 
+def clean(docs: DataFrame, fm: FactorizationMachine, text_col: str = "text") -> DataFrame:
+    """The rows of docs that are not predicted toxic."""
+    model, where = docs.sparkSession.sparkContext.broadcast(fm), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [model.value.score(t, f) for t, f in batch_terms(batch.column(where))]
+            if got:
+                yield batch.filter(pa.array(np.concatenate(got) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
     got = score(docs, train(docs, labels))
