@@ -31,21 +31,22 @@ from prefspark.llm.tables import held_out, row_runs, text_buffers
 
 WINDOW, STATE = 64, 8
 SAMPLE_ROWS, SAMPLE_WINDOWS = 400, 3
-EPOCHS, BATCH, RATE = 6, 256, 0.01
+EPOCHS, LEAST_STEPS, BATCH, RATE = 6, 120, 256, 0.01
 COLUMNS = 2048
 FOLDS, FOLD = 5, 0
 UNKNOWN = "und"
 
 
 def windows(raw: np.ndarray, offs: np.ndarray, size: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(size x n) bytes of all windows, their lengths and rows; the last window of a text may be short."""
+    """(size x n) bytes of all windows, their lengths and rows; a text's last window is filled up with zeros."""
     count = -(-np.diff(offs) // size)
     row = np.repeat(np.arange(len(count)), count)
     nth = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
     start = offs[row] + nth * size
     length = np.minimum(size, offs[row + 1] - start)
     at = start + np.arange(size)[:, None]
-    return raw[np.minimum(at, max(0, len(raw) - 1))] if len(row) else np.zeros((size, 0), np.uint8), length, row
+    data = raw[np.minimum(at, max(0, len(raw) - 1))] if len(row) else np.zeros((size, 0), np.uint8)
+    return np.where(np.arange(size)[:, None] < length, data, np.uint8(0)), length, row
 
 
 class ByteNetwork:
@@ -151,7 +152,7 @@ class ByteNetwork:
 
 
 def fit(texts: list[bytes], labels: list[str], epochs: int = EPOCHS, seed: int = 5) -> ByteNetwork | None:
-    """Adam over the windows of the sample."""
+    """Adam over the windows of the sample; a small sample is gone through more often."""
     languages = sorted(set(labels))
     if not languages:
         return None
@@ -161,7 +162,7 @@ def fit(texts: list[bytes], labels: list[str], epochs: int = EPOCHS, seed: int =
         return None
     label = np.array([languages.index(x) for x in labels])[row]
     (m, v), step = ({n: np.zeros_like(w) for n, w in net.p.items()} for _ in range(2)), 0
-    for _ in range(epochs):
+    for _ in range(max(epochs, min(40 * epochs, -(-LEAST_STEPS * BATCH // data.shape[1])))):
         order = rng.permutation(data.shape[1])
         for a in range(0, len(order), BATCH):
             pick = order[a: a + BATCH]
