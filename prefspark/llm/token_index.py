@@ -17,7 +17,7 @@ Defined results: a null text has only the end id; a null key counts as the
 smallest long and is returned as null; repeated keys are told apart by their
 number of occurrence (in no particular order among themselves); an empty table
 gives no rows and no files; other columns are ignored. Memory is bounded by a
-shard's index, a text and the word cache.
+shard's index, a run of texts and the remembered pieces.
 """
 
 from __future__ import annotations
@@ -25,7 +25,6 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,13 +34,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from prefspark.llm.bpe import TwoGenerations, byte_symbols
-from prefspark.llm.tables import materialize, partitions_for
+from prefspark.llm.bpe import byte_symbols
+from prefspark.llm.tables import materialize, partitions_for, row_runs, text_buffers
+from prefspark.llm.words import Substrings
 from prefspark.session import ensure_checkpoint_dir
 
 MAGIC = 0x3158444E494B4F54
 SHARD_BYTES = 32 << 20
-CACHE_CHUNKS = 150_000
+REMEMBERED, RUN_BYTES = 1_500_000, 2 << 20
 NULL_KEY = -(2**63)
 GAMMA, LEVELS = 2.0, 64
 
@@ -182,91 +182,143 @@ class ShardReader:
 
 # ---------------------------------------------------------------- encoding
 
-_BLANKS_MEET = re.compile(r"\s (?:\s|\Z)")
-_PLAIN = re.compile(r" ?\S+\Z")
-_LONE_BREAK = re.compile(r"(?<=\S)(\n)(?=\S)")
-#: Latin letters after at most one blank, perhaps a stop: one piece each.
-_WORD = re.compile("( ?[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f]+)([.,;:!?]?)\\Z")
-_SAFE_CUT = re.compile(r"(?<=\S)(?= \S)")
+LETTER = np.zeros(256, bool)
+LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
+BLANK, QUOTE = 0x20, 0x27
+#: What follows a piece of other characters decides on its last white space.
+ENDS, THEN_BLANK, THEN_LETTER = 0, 1, 2
+SENTINEL = {ENDS: "", THEN_BLANK: " a", THEN_LETTER: "a"}
 
 
-def blank_chunks(text: str) -> list[str]:
-    """Cut before single blanks, where the byte-level splitter always starts a new piece."""
-    if _BLANKS_MEET.search(text):
-        return _SAFE_CUT.split(text)
-    first, *rest = text.split(" ")
-    return [first, *[" " + p for p in rest]] if first else [" " + p for p in rest]
+class PieceEncoder:
+    """Ids of texts by the tokenizers library, each distinct piece encoded once while it is remembered.
 
-
-class ChunkEncoder:
-    """Ids of texts by the tokenizers library, each distinct chunk encoded once while it is cached."""
+    Letters with the blank before them are one piece of the byte-level splitter wherever they
+    stand (but after an apostrophe, with which they may be a contraction). What stands between
+    such pieces is encoded together with a stand-in for what follows. Texts with characters
+    beyond Latin letters, or with special tokens, go through the library as they are."""
 
     def __init__(self, path: str):
         self.lib = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
-        self.dtype = "<u2" if self.lib.get_vocab_size() <= 2**16 else "<u4"
-        self.code = self.dtype.replace("<u2", "H").replace("<u4", "I")
+        self.special = [t.content.encode() for t in self.lib.get_added_tokens_decoder().values()]
+        self.dtype = np.dtype("<u2" if self.lib.get_vocab_size() <= 2**16 else "<u4")
         self.byte_text = dict(enumerate(byte_symbols()))
-        self.stops = {c: self._alone(c) for c in ".,;:!?"}
-        self.line_break, = np.frombuffer(self._alone("\n"), self.dtype)
-        self.cache = TwoGenerations(self._make, CACHE_CHUNKS)
-
-    def _make(self, chunks: list[str]) -> list[bytes]:
-        """A chunk of letters is one piece, as is a stop after it: straight to the library's model.
-
-        Other chunks without inner white space go through the whole tokenizer as lines of one
-        text: a line break between two such lines is always a piece, and a token, of its own."""
-        young, old = self.cache.young, self.cache.old
-        tokenize, word, stops, table = self.lib.model.tokenize, _WORD.match, self.stops, self.byte_text
-        out: dict[str, bytes] = {}
-        rest: dict[str, list[str]] = {}
-        for c in chunks:
-            if not (m := word(c)):
-                rest[c] = [p for p in _LONE_BREAK.split(c) if p]
-                continue
-            body, stop = m.groups()
-            if (got := young.get(body) or old.get(body)) is None:
-                ids = [t.id for t in tokenize(body.encode().decode("latin-1").translate(table))]
-                got = young[body] = array(self.code, ids).tobytes()
-            out[c] = got + stops[stop] if stop else got
-        parts = {p: young.get(p) or old.get(p) for ps in rest.values() for p in ps}
-        need = [p for p, got in parts.items() if got is None]
-        plain = [p for p in need if _PLAIN.match(p) and not any(s in p for s in self.special)]
-        for a in range(0, len(plain), 1024):
-            some = plain[a: a + 1024]
-            got, = self.lib.encode_batch_fast(["\n".join(some)], add_special_tokens=False)
-            ids = np.array(got.ids, self.dtype)
-            breaks = np.flatnonzero(ids == self.line_break)
-            raw, width = ids.tobytes(), ids.itemsize
-            start = [0, *((breaks + 1) * width).tolist()]
-            stop = [*(breaks * width).tolist(), len(raw)]
-            parts.update((c, raw[x:y]) for c, x, y in zip(some, start, stop, strict=True))
-        for p in need:
-            if parts[p] is None:
-                parts[p] = self._alone(p)
-        for c, ps in rest.items():
-            out[c] = b"".join([parts[p] for p in ps])
-        return [out[c] for c in chunks]
-
-    def _alone(self, text: str) -> bytes:
-        return np.array(self.lib.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys, self.start, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.store, self.used = np.zeros(1 << 20, self.dtype), 0
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.lib.encode(text, add_special_tokens=False).ids, self.dtype)
+
+    def _piece(self, piece: bytes, kind: int) -> list[int]:
+        if kind < 0:
+            return [t.id for t in self.lib.model.tokenize(piece.decode("latin-1").translate(self.byte_text))]
+        ids = self.lib.encode(piece.decode() + SENTINEL[kind], add_special_tokens=False).ids
+        return ids[:-1] if SENTINEL[kind] else ids
+
+    def _learn(self, keys: np.ndarray, pieces: list[bytes], kinds: list[int]) -> None:
+        """Add distinct pieces, given in the order of their keys."""
+        got = [self._piece(p, k) for p, k in zip(pieces, kinds)]
+        count = np.array([len(g) for g in got], np.int64)
+        flat = np.fromiter((i for g in got for i in g), self.dtype, count.sum())
+        while self.used + len(flat) > len(self.store):
+            self.store = np.concatenate((self.store, np.zeros_like(self.store)))
+        self.store[self.used: self.used + len(flat)] = flat
+        start = self.used + np.cumsum(count) - count
+        self.used += len(flat)
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.start, self.count = (np.insert(x, at, y) for x, y in ((self.keys, keys), (self.start, start), (self.count, count)))
+
+    def _unusual(self, raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        """Rows that hold more than ASCII and Latin letters of two bytes, or a special token."""
+        high = raw >= 0xC0
+        odd = high & ((raw < 0xC3) | (raw > 0xC9))
+        times = np.flatnonzero(raw[:-1] == 0xC3)
+        odd[times] |= np.isin(raw[times + 1], (0x97, 0xB7))
+        places = np.flatnonzero(odd).tolist()
+        data = raw.tobytes()
+        for s in self.special:
+            at = data.find(s)
+            while at >= 0:
+                places.append(at)
+                at = data.find(s, at + 1)
+        out = np.zeros(len(offs) - 1, bool)
+        out[np.searchsorted(offs, places, "right") - 1] = True
+        return out
+
+    def _plain(self, raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the rows one after the other, and each row's first place in them."""
+        n = len(raw)
+        if not n:
+            return np.zeros(0, self.dtype), np.zeros(len(offs), np.int64)
+        letter = np.zeros(n + 1, bool)
+        letter[:-1] = LETTER[raw]
+        row_start = np.zeros(n + 1, bool)
+        row_start[offs] = True
+        begin = letter.copy()
+        begin[1:] &= ~letter[:-1] | row_start[1:]
+        begin = np.flatnonzero(begin)
+        before = np.where(row_start[begin], 0, raw[begin - 1])
+        begin = (begin - (before == BLANK))[before != QUOTE]
+        after = ~letter
+        after[1:] &= letter[:-1]
+        after[0] = False
+        cut = row_start
+        cut[begin] = True
+        is_word = np.zeros(n + 1, bool)
+        is_word[begin] = True
+        cut |= after
+        cut[n] = False
+        first = np.flatnonzero(cut)
+        last = np.append(first[1:], n)
+        word = is_word[first]
+        kind = np.full(len(first), -1)
+        other = np.flatnonzero(~word)
+        following = np.minimum(last[other], n - 1)
+        ends = np.zeros(n + 1, bool)
+        ends[offs] = True
+        # a contraction's letters end at a boundary whatever follows
+        kind[other] = np.where(ends[last[other]] | letter[last[other] - 1], ENDS, np.where(raw[following] == BLANK, THEN_BLANK, THEN_LETTER))
+        keys = Substrings(raw).hashes(first, last) + (kind + 1).astype(np.uint64)
+        some, sample, which = np.unique(keys, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.keys, some)
+        known = np.zeros(len(some), bool)
+        known[at < len(self.keys)] = self.keys[at[at < len(self.keys)]] == some[at < len(self.keys)]
+        new = sample[~known]
+        data = raw.tobytes()
+        self._learn(some[~known], [data[a:b] for a, b in zip(first[new].tolist(), last[new].tolist())], kind[new].tolist())
+        at = np.searchsorted(self.keys, some)[which]
+        count = self.count[at]
+        stop = np.cumsum(count)
+        take = np.arange(stop[-1]) + np.repeat(self.start[at] - (stop - count), count)
+        place = np.concatenate(([0], stop))
+        return self.store[take], place[np.searchsorted(first, offs)]
 
     def encode(self, texts: pa.Array, end_id: int) -> Iterator[bytes]:
         """Ids of every text, ``end_id`` appended, as bytes."""
         end = np.array([end_id], self.dtype).tobytes()
-        for a in range(0, len(texts), 128):
-            some = [blank_chunks(t or "") for t in texts.slice(a, 128).to_pylist()]
-            known = self.cache.get(set().union(*some))
-            for chunks in some:
-                yield b"".join([known[c] for c in chunks]) + end
+        raw, offs = text_buffers(texts)
+        for a, b in row_runs(offs, RUN_BYTES):
+            if len(self.keys) > REMEMBERED:
+                self.forget()
+            own, part = offs[a: b + 1] - offs[a], raw[offs[a]: offs[b]]
+            odd = self._unusual(part, own)
+            size = np.where(odd, 0, np.diff(own))
+            plain = part[np.repeat(~odd, np.diff(own))] if odd.any() else part
+            ids, first = self._plain(plain, np.concatenate(([0], np.cumsum(size))))
+            for i, whole in enumerate(odd.tolist()):
+                yield (self.whole(part[own[i]: own[i + 1]].tobytes().decode()) if whole else ids[first[i]: first[i + 1]]).tobytes() + end
 
 
-_LOADED: dict[str, ChunkEncoder] = {}
+_LOADED: dict[str, PieceEncoder] = {}
 
 
-def encoder(path: str) -> ChunkEncoder:
+def encoder(path: str) -> PieceEncoder:
+    """One encoder for each Python worker and file."""
     if path not in _LOADED:
-        _LOADED[path] = ChunkEncoder(path)
+        _LOADED[path] = PieceEncoder(path)
     return _LOADED[path]
 
 
