@@ -6,6 +6,7 @@ A chat is ``array<struct<role string, content string>>``.
 from __future__ import annotations
 
 import string
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -66,9 +67,10 @@ def follower_prompt_text(prompt, completion, instruction: str) -> Column:
 
 
 def render_chat(messages, template: str = "<|{role}|>\n{content}\n") -> Column:
-    """Messages -> one text; ``template`` has {role} and {content} fields."""
+    """Messages -> one text; ``template`` has {role} and {content} fields. A null
+    role or content is rendered as an empty one, so no message is lost."""
     return F.array_join(F.transform(_c(messages), lambda m: format_fields(template, {
-        "role": m["role"], "content": m["content"]})), "")
+        "role": F.coalesce(m["role"], F.lit("")), "content": F.coalesce(m["content"], F.lit(""))})), "")
 
 
 def scoring_text(prompt_msgs, completion_msgs, template: str = "<|{role}|>\n{content}\n") -> Column:
@@ -108,18 +110,24 @@ def tldr_prompt(site, subreddit, title, post, article) -> Column:
             .otherwise(F.raise_error(F.lit("neither site nor subreddit set"))))
 
 
-def token_count(text) -> Column:
-    """Default tokenizer: number of whitespace-separated tokens."""
-    return F.regexp_count(_c(text), F.lit(TOKEN_RE))
+#: A tokenizer hook: column of texts -> column of token numbers (native or a pandas UDF).
+Counter = Callable[[Column], Column]
 
 
-def truncate_lines(text, max_tokens: int, suffix: str = TLDR_SUFFIX) -> Column:
+def token_count(text, counter: Counter | None = None) -> Column:
+    """Number of tokens; by default whitespace-separated ones, else what ``counter`` says."""
+    return counter(_c(text)) if counter else F.regexp_count(_c(text), F.lit(TOKEN_RE))
+
+
+def truncate_lines(text, max_tokens: int, suffix: str = TLDR_SUFFIX, counts: Column | None = None) -> Column:
     """Drop trailing lines until the text has <= max_tokens tokens, then append
     ``suffix``. With a per-line additive tokenizer this is: keep the longest
     line prefix whose running token count fits (possibly none: empty text).
-    Whole text is examined; running sums are one array pass."""
+    Whole text is examined; running sums are one array pass. ``counts`` are the
+    tokens of each line by another tokenizer (array<int>)."""
     lines = F.split(_c(text), "\n", -1)
-    counts = F.transform(lines, lambda l: F.regexp_count(l, F.lit(TOKEN_RE)))
+    if counts is None:
+        counts = F.transform(lines, lambda l: F.regexp_count(l, F.lit(TOKEN_RE)))
     run = F.aggregate(counts, F.struct(F.lit(0).alias("s"), F.lit(0).alias("k")),
                       lambda st, c: F.struct((st["s"] + c).alias("s"),
                                              (st["k"] + F.when(st["s"] + c <= max_tokens, 1).otherwise(0))

@@ -71,6 +71,14 @@ def log_sigmoid(x) -> Column:
     return F.least(x, F.lit(0.0)) - F.log1p(F.exp(-F.abs(x)))
 
 
+def clamp(x, low=None, high=None) -> Column:
+    """min/max bounds that keep NaN (and null) as it is, unlike ``least``/``greatest``."""
+    x = _c(x)
+    y = x if low is None else F.greatest(x, F.lit(float(low)))
+    y = y if high is None else F.least(y, F.lit(float(high)))
+    return F.when(x.isNull() | F.isnan(x), x).otherwise(y)
+
+
 def require_columns(df: DataFrame, *cols: str) -> DataFrame:
     missing = [c for c in cols if c not in df.columns]
     if missing:

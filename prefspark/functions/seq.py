@@ -7,6 +7,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from prefspark.functions.core import clamp
+
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -78,16 +80,15 @@ def log_ratio(model, ref) -> Column:
 
 def kl_tokens(model, ref, kind: str = "k3") -> Column:
     """G6 per token: k1 = -logr, k2 = logr^2 / 2, k3 = expm1(c) - c with
-    c = clamp(logr, -40, 40) (the clamp only in k3)."""
+    c = clamp(logr, -40, 40) (the clamp only in k3). A NaN ratio stays NaN."""
     logr = log_ratio(model, ref)
     if kind == "k1":
         return F.transform(logr, lambda x: -x)
     if kind == "k2":
         return F.transform(logr, lambda x: F.lit(0.5) * x * x)
     if kind == "k3":
-        return F.transform(logr, lambda x: F.expm1(F.least(F.greatest(x, F.lit(-40.0)), F.lit(40.0)))
-                           - F.least(F.greatest(x, F.lit(-40.0)), F.lit(40.0)))
-    raise ValueError("kl_estimator must be one of k1, k2, or k3")
+        return F.transform(logr, lambda x: F.expm1(clamp(x, -40, 40)) - clamp(x, -40, 40))
+    raise ValueError(f"unknown KL estimator {kind!r}; known: k1, k2, k3")
 
 
 def kl_estimate(model, ref, kind: str = "k3") -> Column:

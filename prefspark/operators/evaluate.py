@@ -255,7 +255,8 @@ def best_of_n_winrate(rewards: DataFrame, baseline: str, models: Sequence[str],
 # ---------------------------------------------------------------- E9 / A8
 def correction_matrix(corr: DataFrame, models: Sequence[str]) -> DataFrame:
     """Per (leader, follower): mean over (attribute, prompt) of
-    1[r(completion 1) >= r(completion 0)]; a missing cell is NaN.
+    1[r(completion 1) >= r(completion 0)] over the cells that have both
+    completions; a (leader, follower) without such a cell is NaN.
 
     Output: one row per follower, one column per leader (explicit list).
     """
@@ -263,7 +264,7 @@ def correction_matrix(corr: DataFrame, models: Sequence[str]) -> DataFrame:
         F.max(F.when(F.col("completion_idx") == 0, F.col("reward"))).alias("r0"),
         F.max(F.when(F.col("completion_idx") == 1, F.col("reward"))).alias("r1"))
     rate = cell.groupBy("leader", "follower").agg(
-        _ratio(F.sum(_i(ieee_ge("r1", "r0"))), F.count(F.lit(1))).alias("winrate"))
+        _ratio(F.sum(_i(ieee_ge("r1", "r0"))), F.count(F.when(F.col("r0").isNotNull() & F.col("r1").isNotNull(), 1))).alias("winrate"))
     aggs = [F.coalesce(F.max(F.when(F.col("leader") == m, F.col("winrate"))), nan()).alias(m) for m in models]
     wide = rate.groupBy("follower").agg(*aggs)
     # every configured follower gets a row, even without any finished cell

@@ -5,8 +5,8 @@ rewards into a row per (split, prompt) holding an A x P reward matrix
 (``R[a][p]``, conditional max, partial aggregation map-side). All pairwise
 work then happens inside that row with array higher-order functions (no
 shuffle, no self-join, no pair rows). P comes from an explicit player list
-(the bound on what one row holds). A node's out-edges are one bigint bitmask
-for P <= 63 and ceil(P / 64) bigint words beyond that (same rules, exact).
+(the bound on what one row holds). A node's out-edges are ceil(P / 64) bigint
+words of a bitmask; one kernel serves every P.
 
 The kernels are written as Spark SQL text (``F.expr``): the same expressions
 as the Column DSL, but the plan is built with one call instead of hundreds.
@@ -21,9 +21,6 @@ from pyspark.sql import functions as F
 
 from prefspark.functions.core import ATTRIBUTES
 
-WORD_PLAYERS = 63       # one-word bitmasks up to here
-MAX_PLAYERS = 512       # per-row work grows with P^2: a guard against a runaway player list
-
 
 def _seq(P: int) -> str:
     return f"sequence(0, {P - 1})"
@@ -36,11 +33,9 @@ def _sig(x: str) -> str:
 def prompt_matrix(players_long: DataFrame, n_players: int,
                   attributes: Sequence[str] = ATTRIBUTES) -> DataFrame:
     """(split, prompt_id, R array<array<double>>): R[a][p] = reward of player p on attribute a."""
-    if not 1 <= n_players <= MAX_PLAYERS:
-        raise ValueError(f"player count must be 1..{MAX_PLAYERS}, got {n_players}")
+    if n_players < 1:
+        raise ValueError(f"player count must be positive, got {n_players}")
     x = players_long.filter(F.col("attribute").isin(list(attributes)))
-    if n_players > WORD_PLAYERS:
-        return _prompt_matrix_large(x, n_players, attributes)
     aggs = [F.expr(f"max(CASE WHEN attribute = '{a}' AND player = {p} THEN reward END) AS _{ai}_{p}")
             for ai, a in enumerate(attributes) for p in range(n_players)]
     g = x.groupBy("split", "prompt_id").agg(*aggs)
@@ -49,66 +44,19 @@ def prompt_matrix(players_long: DataFrame, n_players: int,
     return g.select("split", "prompt_id", F.expr(f"array({rows})").alias("R"))
 
 
-def _prompt_matrix_large(x: DataFrame, P: int, attributes: Sequence[str]) -> DataFrame:
-    """R for many players: one value per (cell, player) (duplicates folded by a
-    partial aggregate), then a per-prompt list of at most A x P entries -- the
-    bound comes from the explicit attribute and player lists -- turned into
-    the matrix by key lookup."""
-    A = len(attributes)
-    aidx = "CASE attribute " + " ".join(f"WHEN '{a}' THEN {i}" for i, a in enumerate(attributes)) + " END"
-    cells = (x.filter((F.col("player") >= 0) & (F.col("player") < P))
-             .groupBy("split", "prompt_id", "attribute", "player").agg(F.max("reward").alias("reward")))
-    g = cells.groupBy("split", "prompt_id").agg(
-        F.expr(f"map_from_entries(collect_list(struct(CAST(({aidx}) * {P} + player AS INT), reward)))").alias("_m"))
-    R = (f"transform(sequence(0, {A - 1}), a -> transform({_seq(P)}, p -> "
-         f"try_element_at(_m, CAST(a * {P} + p AS INT))))")
-    return g.select("split", "prompt_id", F.expr(R).alias("R"))
-
-
 # ---------------------------------------------------------------- SQL kernels
 def diff_sql(v: str, P: int) -> str:
     """D13 core: D[i][j] = v[i] - v[j]."""
     return f"transform({_seq(P)}, i -> transform({_seq(P)}, j -> {v}[i] - {v}[j]))"
 
 
-def bt_probability_sql(R: str, P: int, digits: int = 6) -> str:
-    """E8 core: P[i][j] = mean over attributes of sigmoid(R[a][i] - R[a][j]) (fixed order)."""
+def bt_probability_sql(R: str, P: int) -> str:
+    """E8 core: P[i][j] = mean over attributes of sigmoid(R[a][i] - R[a][j]) (fixed order);
+    every NaN is the same one, whatever sign the arithmetic gave it."""
     s = f"aggregate({R}, 0D, (acc, v) -> acc + {_sig('v[i] - v[j]')}) / size({R})"
-    return f"transform({_seq(P)}, i -> transform({_seq(P)}, j -> round({s}, {digits})))"
-
-
-def adjacency_sql(R: str, P: int) -> str:
-    """H6 core: out-edge bitmask per node. i -> j when strictly more than half of
-    the attributes give sigmoid(r_i - r_j) < 0.5 (exactly half: no edge)."""
-    votes = f"size(filter({R}, v -> {_sig('v[i] - v[j]')} < 0.5D))"
-    return (f"transform({_seq(P)}, i -> aggregate({_seq(P)}, 0L, "
-            f"(m, j) -> m | IF({votes} * 2 > size({R}), shiftleft(1L, j), 0L)))")
-
-
-def in_degree_sql(adj: str, j: str) -> str:
-    return f"aggregate({adj}, 0, (c, x) -> c + CAST((x & shiftleft(1L, {j})) != 0 AS INT))"
-
-
-def acyclic_sql(adj: str, P: int) -> str:
-    """H7 core: peel all sinks (no out-edge into the alive set) P times; a DAG
-    ends with nothing alive."""
-    full = (1 << P) - 1
-    sinks = (f"aggregate({_seq(P)}, 0L, (s, k) -> s | IF(({adj}[k] & alive) = 0 AND (alive & shiftleft(1L, k)) != 0,"
-             f" shiftleft(1L, k), 0L))")
-    return f"(aggregate(sequence(1, {P}), {full}L, (alive, r) -> alive & ~{sinks}) = 0)"
-
-
-def condorcet_sql(adj: str, P: int) -> str:
-    """H8 core: the node every other node points to (in-degree P-1), else null."""
-    return f"get(filter({_seq(P)}, w -> {in_degree_sql(adj, 'w')} = {P - 1}), 0)"
+    return f"transform({_seq(P)}, i -> transform({_seq(P)}, j -> nanvl({s}, double('NaN'))))"
 
 
-def sinks_sql(adj: str, P: int) -> str:
-    """H9 core: nodes with in-degree > 0 and out-degree 0."""
-    return f"filter({_seq(P)}, u -> {adj}[u] = 0 AND {in_degree_sql(adj, 'u')} > 0)"
-
-
-# ---------------------------------------------------------------- multi-word kernels (P > 63)
 def _words(P: int) -> int:
     return (P + 63) // 64
 
@@ -117,46 +65,48 @@ def _word_range(w: str, P: int) -> str:
     return f"sequence({w} * 64, least({w} * 64 + 63, {P - 1}))"
 
 
-def _has_mw(row: str, j: str) -> str:
+def _has(row: str, j: str) -> str:
     return f"(({row}[{j} div 64] & shiftleft(1L, {j} % 64)) != 0)"
 
 
-def adjacency_mw_sql(R: str, P: int) -> str:
+def adjacency_sql(R: str, P: int) -> str:
+    """H6 core: out-edge words per node. i -> j when strictly more than half of
+    the attributes give sigmoid(r_i - r_j) < 0.5 (exactly half: no edge)."""
     votes = f"size(filter({R}, v -> {_sig('v[i] - v[j]')} < 0.5D))"
     W = _words(P)
     return (f"transform({_seq(P)}, i -> transform(sequence(0, {W - 1}), wd -> aggregate({_word_range('wd', P)}, 0L, "
             f"(m, j) -> m | IF({votes} * 2 > size({R}), shiftleft(1L, j % 64), 0L))))")
 
 
-def in_degree_mw_sql(adj: str, j: str) -> str:
-    return f"aggregate({adj}, 0, (c, row) -> c + CAST({_has_mw('row', j)} AS INT))"
+def in_degree_sql(adj: str, j: str) -> str:
+    return f"aggregate({adj}, 0, (c, row) -> c + CAST({_has('row', j)} AS INT))"
 
 
-def acyclic_mw_sql(adj: str, P: int) -> str:
+def acyclic_sql(adj: str, P: int) -> str:
+    """H7 core: peel all sinks (no out-edge into the alive set) P times; a DAG
+    ends with nothing alive."""
     W = _words(P)
     last = P - 64 * (W - 1)
     full = ", ".join(["-1L"] * (W - 1) + ["-1L" if last == 64 else f"{(1 << last) - 1}L"])
     no_out = f"aggregate(sequence(0, {W - 1}), true, (ok, v) -> ok AND ({adj}[k][v] & alive[v]) = 0)"
     sinks = (f"transform(sequence(0, {W - 1}), wd -> aggregate({_word_range('wd', P)}, 0L, (s, k) -> s | "
-             f"IF({_has_mw('alive', 'k')} AND {no_out}, shiftleft(1L, k % 64), 0L)))")
+             f"IF({_has('alive', 'k')} AND {no_out}, shiftleft(1L, k % 64), 0L)))")
     left = (f"aggregate(sequence(1, {P}), array({full}), "
             f"(alive, r) -> zip_with(alive, {sinks}, (a, b) -> a & ~b))")
     return f"forall({left}, x -> x = 0)"
 
 
-def condorcet_mw_sql(adj: str, P: int) -> str:
-    return f"get(filter({_seq(P)}, w -> {in_degree_mw_sql(adj, 'w')} = {P - 1}), 0)"
+def condorcet_sql(adj: str, P: int) -> str:
+    """H8 core: the node every other node points to (in-degree P-1), else null."""
+    return f"get(filter({_seq(P)}, w -> {in_degree_sql(adj, 'w')} = {P - 1}), 0)"
 
 
-def sinks_mw_sql(adj: str, P: int) -> str:
-    return f"filter({_seq(P)}, u -> forall({adj}[u], x -> x = 0) AND {in_degree_mw_sql(adj, 'u')} > 0)"
+def sinks_sql(adj: str, P: int) -> str:
+    """H9 core: nodes with in-degree > 0 and out-degree 0."""
+    return f"filter({_seq(P)}, u -> forall({adj}[u], x -> x = 0) AND {in_degree_sql(adj, 'u')} > 0)"
 
 
-def _kernels(P: int):
-    if P <= WORD_PLAYERS:
-        return adjacency_sql, acyclic_sql, condorcet_sql, sinks_sql, "aggregate(a, 0, (c, x) -> c + bit_count(x))"
-    return (adjacency_mw_sql, acyclic_mw_sql, condorcet_mw_sql, sinks_mw_sql,
-            "aggregate(a, 0, (c, row) -> c + aggregate(row, 0, (d, x) -> d + bit_count(x)))")
+_EDGES = "aggregate(a, 0, (c, row) -> c + aggregate(row, 0, (d, x) -> d + bit_count(x)))"
 
 
 # Column versions (take column names)
@@ -189,19 +139,18 @@ def player_cross(players_long: DataFrame, n_players: int) -> DataFrame:
 
 def bt_probability_mean(players_long: DataFrame, n_players: int,
                         attributes: Sequence[str] = ATTRIBUTES) -> DataFrame:
-    """(split, prompt_id, prob array<array<double>>) rounded to 6 digits."""
+    """(split, prompt_id, prob array<array<double>>)."""
     m = prompt_matrix(players_long, n_players, attributes)
     return m.select("split", "prompt_id", F.expr(bt_probability_sql("R", n_players)).alias("prob"))
 
 
 def preference_graph(players_long: DataFrame, n_players: int,
                      attributes: Sequence[str] = ATTRIBUTES) -> DataFrame:
-    """H6: (split, prompt_id, adjacency array<bigint>, n_edges)."""
+    """H6: (split, prompt_id, adjacency array<array<bigint>>, n_edges)."""
     m = prompt_matrix(players_long, n_players, attributes)
-    adj_sql, _, _, _, edges = _kernels(n_players)
     # bind the adjacency once as a lambda variable: the optimizer would
     # otherwise inline its expression at every reference
-    g = f"transform(array({adj_sql('R', n_players)}), a -> named_struct('adjacency', a, 'n_edges', {edges}))[0]"
+    g = f"transform(array({adjacency_sql('R', n_players)}), a -> named_struct('adjacency', a, 'n_edges', {_EDGES}))[0]"
     return m.select("split", "prompt_id", F.expr(g).alias("g")).select("split", "prompt_id", "g.*")
 
 
@@ -210,10 +159,9 @@ def graph_report(players_long: DataFrame, n_players: int,
     """H7 + H8 + H9 per prompt: acyclic flag, Condorcet winner, sink nodes."""
     P = n_players
     m = prompt_matrix(players_long, P, attributes)
-    adj_sql, acy_sql, cond_sql, sink_sql, _ = _kernels(P)
-    rep = (f"transform(array({adj_sql('R', P)}), a -> named_struct("
-           f"'acyclic', {acy_sql('a', P)}, 'condorcet_idx', {cond_sql('a', P)}, "
-           f"'sinks', {sink_sql('a', P)}))[0]")
+    rep = (f"transform(array({adjacency_sql('R', P)}), a -> named_struct("
+           f"'acyclic', {acyclic_sql('a', P)}, 'condorcet_idx', {condorcet_sql('a', P)}, "
+           f"'sinks', {sinks_sql('a', P)}))[0]")
     return m.select("split", "prompt_id", F.expr(rep).alias("r")).select("split", "prompt_id", "r.*")
 
 

@@ -57,7 +57,7 @@ def judge_probability(logprobs: DataFrame, temperature: float = 1.0, key: str =
     pa = F.coalesce(F.exp(F.col("lp_a") / t), F.lit(0.0))
     pb = F.coalesce(F.exp(F.col("lp_b") / t), F.lit(0.0))
     p = F.when(F.col("_failed") == 1, F.lit(0.5)).otherwise(pa / (pa + pb + F.lit(PROB_EPS)))
-    return g.select(key, F.round(p, 6).alias("p"),
+    return g.select(key, p.alias("p"),
                     (F.col("lp_a").isNull() & F.col("lp_b").isNull() & (F.col("_failed") == 0)).alias("both_missing"),
                     (F.col("_failed") == 1).alias("call_failed"))
 
@@ -93,5 +93,5 @@ def attribute_schedule(rewards: DataFrame, step: str, mode: str, seed: int = 42,
     elif mode == "round_robin":
         pick = F.element_at(arr, (F.pmod(F.col(step), F.lit(len(attributes))) + 1).cast("int"))
     else:
-        raise ValueError(f"Unknown sampling strategy: {mode}")
+        raise ValueError(f"unknown schedule {mode!r}; known: fixed, random, round_robin, average")
     return rewards.filter(F.col("attribute") == pick).select(*group, F.col("reward").alias("scheduled_reward"))

@@ -2,7 +2,7 @@
 disagreement, pick chosen/rejected.
 
 Ratings are kept long (one row per annotator rating) and reduced with keyed
-aggregations (count / sum / sum of squares, partial aggregation map-side), so
+aggregations (count, mean, centred moments, partial aggregation map-side), so
 a prompt with a huge number of ratings never becomes one big list.
 """
 
@@ -18,36 +18,46 @@ from prefspark.functions.core import ATTRIBUTES
 # Attributes whose label is flipped (lower is better).
 FLIPPED = ("verbosity", "complexity")
 TIE_EPS = 1e-8
-BROADCAST_MAX_WORKERS = 100_000   # worker ids broadcast to every task below this count
 
 
 def side_stats(ratings: DataFrame) -> DataFrame:
     """(prompt_id, completion_idx, attribute, n, mean, std) from long ratings;
-    population std as in ``np.std``."""
-    r = F.col("rating")
-    g = ratings.groupBy("prompt_id", "completion_idx", "attribute").agg(
-        F.count(r).alias("n"), F.sum(r).alias("_s"), F.sum(r * r).alias("_s2"))
-    mean = F.col("_s") / F.col("n")
-    var = F.col("_s2") / F.col("n") - mean * mean
-    return g.select("prompt_id", "completion_idx", "attribute", "n", mean.alias("mean"),
-                    F.sqrt(F.greatest(var, F.lit(0.0))).alias("std"))
+    population std as in ``np.std``. The deviation is merged from centred moments,
+    so equal ratings have a deviation of exactly 0."""
+    return ratings.groupBy("prompt_id", "completion_idx", "attribute").agg(
+        F.count("rating").alias("n"), F.avg("rating").alias("mean"), F.stddev_pop("rating").alias("std"))
 
 
 def side_stats_from_arrays(rows: DataFrame, attributes: Sequence[str] = ATTRIBUTES) -> DataFrame:
     """Same statistics when each response row carries its rating lists
-    (row-local array aggregation, no shuffle)."""
+    (row-local array aggregation in two passes, no shuffle)."""
     out = []
     for a in attributes:
         arr = F.col(a)
         n = F.size(arr)
-        s = F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + x)
-        s2 = F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + x * x)
-        mean = s / n
+        mean = F.when(n > 0, F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + x) / n)
+        # equal ratings have no deviation, whatever the rounding of their mean
+        centre = F.when(F.array_min(arr) == F.array_max(arr), F.array_min(arr).cast("double")).otherwise(mean)
+        squares = F.aggregate(F.transform(arr, lambda x: (x - centre) * (x - centre)), F.lit(0.0), lambda acc, x: acc + x)
         out.append(F.struct(F.lit(a).alias("attribute"), n.alias("n"), mean.alias("mean"),
-                            F.sqrt(F.greatest(s2 / n - mean * mean, F.lit(0.0))).alias("std")))
+                            F.when(n > 0, F.sqrt(squares / n)).alias("std")))
     return rows.select("prompt_id", "completion_idx", F.inline(F.array(*out)))
 
 
+def pair_rows(rows: DataFrame, order: str, attributes: Sequence[str] = ATTRIBUTES, text: str = "response",
+              prompt: str = "prompt") -> tuple[DataFrame, DataFrame]:
+    """D1 on the raw table: rows 2k and 2k + 1 in ``order`` (a dense position, as
+    ``ids.dense_ids`` gives) are the two responses of prompt k; every other column
+    is carried along by side. Returns (responses, errors): responses as
+    (prompt_id, completion_idx, prompt, response, rating lists), errors for
+    positions whose two rows don't share their prompt or that lack a row."""
+    x = rows.select(F.floor(F.col(order) / 2).cast("long").alias("prompt_id"), (F.col(order) % 2).cast("int").alias("completion_idx"),
+                    F.col(prompt).alias("prompt"), F.col(text).alias("response"), *attributes)
+    g = x.groupBy("prompt_id").agg(F.count(F.lit(1)).alias("n_rows"), F.min("prompt").eqNullSafe(F.max("prompt")).alias("same_prompt"))
+    bad = g.where((F.col("n_rows") != 2) | ~F.col("same_prompt"))
+    return x.join(bad.select("prompt_id"), "prompt_id", "left_anti"), bad
+
+
 def pair_consecutive(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The two responses of a prompt become one row (response0, response1).
 
@@ -90,22 +100,20 @@ def _label_sql(mean0: str, mean1: str, std0: str, std1: str, attribute: str, pro
 
 
 def _side_moments_sql(attributes: Sequence[str]) -> list:
-    """count / sum / sum of squares per side and attribute (SQL aggregate text)."""
+    """Count, mean and centred deviation per side and attribute (SQL aggregate text)."""
     out = []
     for s_ in (0, 1):
         for a in attributes:
             x = f"CASE WHEN completion_idx = {s_} THEN {a} END"
-            out += [F.expr(f"count({x}) AS n{s_}_{a}"), F.expr(f"sum({x}) AS s{s_}_{a}"),
-                    F.expr(f"sum(({x}) * ({x})) AS q{s_}_{a}")]
+            out += [F.expr(f"count({x}) AS n{s_}_{a}"), F.expr(f"avg({x}) AS m{s_}_{a}"),
+                    F.expr(f"stddev_pop({x}) AS d{s_}_{a}")]
     return out
 
 
 def _side_label_sql(a: str, seed: int, compat: bool) -> str:
-    st = {}
-    for s_ in (0, 1):
-        mean = f"(s{s_}_{a} / n{s_}_{a})"
-        st[s_] = (mean, f"sqrt(greatest(q{s_}_{a} / n{s_}_{a} - {mean} * {mean}, 0D))")
-    return _label_sql(st[0][0], st[1][0], st[0][1], st[1][1], f"'{a}'", "prompt_id", seed, compat, a in FLIPPED)
+    """The label, null where a side has no rating."""
+    label = _label_sql(f"m0_{a}", f"m1_{a}", f"d0_{a}", f"d1_{a}", f"'{a}'", "prompt_id", seed, compat, a in FLIPPED)
+    return f"CASE WHEN n0_{a} > 0 AND n1_{a} > 0 THEN {label} END"
 
 
 def disagreement_labels_wide(ann: DataFrame, seed: int = 42, compat: bool = False,
@@ -145,7 +153,8 @@ def rated_pairs(rows: DataFrame, seed: int = 42, compat: bool = False,
 
 def pick_chosen(pairs: DataFrame, attribute: str) -> DataFrame:
     """D2 on labelled pairs (``label_<attribute>`` column): chosen = response[1 - label],
-    row-local (no join)."""
+    row-local (no join). Pairs without a label (a side without ratings) are left out."""
+    pairs = pairs.where(F.col(f"label_{attribute}").isNotNull())
     first_wins = F.col(f"label_{attribute}") == 1
     keep = [c for c in pairs.columns if c not in ("response0", "response1") and not c.startswith("label_")]
     return pairs.select(*keep,
@@ -222,16 +231,14 @@ def worker_semi_join(df: DataFrame, min_train: int, worker: str | None = None) -
     """Keep validation rows whose worker has >= ``min_train`` train rows and
     also occurs in validation; train rows are untouched. A given ``worker`` must
     be in that set (checked on the small per-worker table) and is then the
-    only validation worker kept."""
+    only validation worker kept.
+
+    One left join with the per-worker table carries a flag to the rows; Spark
+    broadcasts that table by its measured size, else shuffles."""
     used = workers_used(df, min_train)
     if worker is not None:
-        if used.filter(F.col("worker") == worker).limit(1).count() == 0:
+        used = used.filter(F.col("worker") == worker)
+        if used.limit(1).count() == 0:
             raise ValueError(f"worker {worker!r} is absent or has too few annotations")
-        used = F.broadcast(used.filter(F.col("worker") == worker))   # one row at most
-    # the worker set is one small aggregation over two columns: count it and
-    # broadcast it when its size is proven small, so the rows are never
-    # shuffled for the semi join; otherwise a regular (AQE) join
-    elif used.count() <= BROADCAST_MAX_WORKERS:
-        used = F.broadcast(used)
-    valid = df.filter(F.col("split") == "validation").join(used, "worker", "left_semi")
-    return df.filter(F.col("split") != "validation").unionByName(valid.select(*df.columns))
+    flagged = df.join(used.withColumn("_used", F.lit(True)), "worker", "left")
+    return flagged.filter((F.col("split") != "validation") | F.col("_used")).select(*df.columns)

@@ -14,13 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prefspark.functions import seq as sq
-from prefspark.functions.core import ieee_gt, log_sigmoid, sigmoid
-
-DIGITS = 6
-
-
-def _r(c: Column) -> Column:
-    return F.round(c, DIGITS)
+from prefspark.functions.core import clamp, ieee_gt, log_sigmoid, nan, sigmoid
 
 
 def missing_eos_penalty(score, has_eos, penalty: float) -> Column:
@@ -40,7 +34,13 @@ def eos_probability_penalty(prob, has_eos, penalty: float, follower: bool = Fals
 # partition cannot be split, while the join lets AQE broadcast the small
 # statistics table or split a hot key on the big side.
 def _group_stats(df: DataFrame, keys, *aggs) -> DataFrame:
-    return df.join(df.groupBy(*keys).agg(*aggs), list(keys), "inner")
+    """Rows with their group's statistics; a null key is a group of its own. The
+    statistics read only the keys and the aggregated columns."""
+    keys = list(keys)
+    stats = df.groupBy(*keys).agg(*aggs)
+    stats = stats.withColumnsRenamed({k: f"_key{i}" for i, k in enumerate(keys)})
+    on = [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)]
+    return df.join(stats, on, "inner").drop(*[f"_key{i}" for i in range(len(keys))])
 
 
 def rloo_advantage(df: DataFrame, value: str, out: str = "advantage", group=("step", "prompt_id")) -> DataFrame:
@@ -60,22 +60,30 @@ def batch_rloo_baseline(df: DataFrame, value: str, baseline: float | None = 0.5,
 
 
 def normalize(df: DataFrame, value: str, out: str, clip: float | None = None, by: str = "step") -> DataFrame:
-    """F4 (with ``clip``) / F5: (x - mean) / (sample std + 1e-8) per batch."""
-    x = _group_stats(df, [by], F.avg(value).alias("_m"), F.stddev_samp(value).alias("_sd"))
+    """F4 (with ``clip``) / F5: (x - mean) / (sample std + 1e-8) per batch.
+
+    A batch of one has no sample deviation and one NaN makes the batch's mean
+    NaN: both give NaN, clipped or not."""
+    sd = F.when(F.count(value) > 1, F.stddev_samp(value)).otherwise(nan())
+    x = _group_stats(df, [by], F.avg(value).alias("_m"), sd.alias("_sd"))
     z = (F.col(value) - F.col("_m")) / (F.col("_sd") + F.lit(1e-8))
     if clip is not None:
-        z = F.least(F.greatest(z, F.lit(-float(clip))), F.lit(float(clip)))
+        z = clamp(z, -clip, clip)
     return x.withColumn(out, z).drop("_m", "_sd")
 
 
-def alternating_update(step_losses: DataFrame, frequency: int, follower_weight: float) -> DataFrame:
+def alternating_update(step_losses: DataFrame, frequency: int, follower_weight: float,
+                       separate_models: bool = False) -> DataFrame:
     """which loss counts at a step: L + w*F when frequency is 1; L alone when
-    (step + 1) % frequency == 0; else w*F. Input (step, loss_leader, loss_follower)."""
+    (step + 1) % frequency == 0; else w*F. With ``separate_models`` both are
+    updated at every step and the total is (L + F) / 2. Input (step, loss_leader, loss_follower)."""
     if frequency < 1:
         raise ValueError("leader_update_frequency must be >= 1")
     L, Fo = F.col("loss_leader"), F.col("loss_follower")
     w = F.lit(float(follower_weight))
-    if frequency == 1:
+    if separate_models:
+        total = (L + Fo) / 2
+    elif frequency == 1:
         total = L + w * Fo
     else:
         total = F.when(F.pmod(F.col("step") + 1, F.lit(frequency)) == 0, L).otherwise(w * Fo)
@@ -104,7 +112,7 @@ def policy_loss(df: DataFrame, beta: float, kind: str = "k3", baseline: float |
     per_tok = F.zip_with(kl, F.col("model_logps"), lambda k, lp: (F.lit(float(beta)) * k - p) * lp)
     if tis_threshold is not None:
         tis = F.zip_with(F.col("model_logps"), F.col("gen_logps"),
-                         lambda lp, g: F.least(F.exp(lp - g), F.lit(float(tis_threshold))))
+                         lambda lp, g: clamp(F.exp(lp - g), high=tis_threshold))
         per_tok = F.zip_with(per_tok, tis, lambda a, b: a * b)
     return (x.withColumn("seq_loss", sq.asum(per_tok))
              .withColumn("score", p * sq.asum(F.col("model_logps")))
@@ -128,7 +136,7 @@ def clipped_policy_loss(df: DataFrame, advantage: str, clip: float,
     x = df.withColumn("logprobs_diff", diff).withColumn("ratio", F.exp("logprobs_diff"))
     A = F.col(advantage)
     pg1 = -A * F.col("ratio")
-    pg2 = -A * F.least(F.greatest(F.col("ratio"), F.lit(1.0 - clip)), F.lit(1.0 + clip))
+    pg2 = -A * clamp("ratio", 1.0 - clip, 1.0 + clip)
     return (x.withColumn("pg_loss", F.greatest(pg1, pg2)).withColumn("clipped", pg2 > pg1)
              .withColumn("approxkl", F.lit(0.5) * F.col("logprobs_diff") * F.col("logprobs_diff")))
 
@@ -144,7 +152,7 @@ def bradley_terry_loss(pairs: DataFrame, center_coef: float | None = None, by=("
     if center_coef is not None:
         s = F.col("chosen") + F.col("rejected")
         loss = loss + F.lit(float(center_coef)) * F.avg(s * s)
-    return pairs.groupBy(*by).agg(_r(loss).alias("bt_loss"), F.count(F.lit(1)).alias("n_pairs"))
+    return pairs.groupBy(*by).agg(loss.alias("bt_loss"), F.count(F.lit(1)).alias("n_pairs"))
 
 
 def weighted_bce_loss(rows: DataFrame, logit: str = "chosen", by=("model", "attribute"),
@@ -156,7 +164,7 @@ def weighted_bce_loss(rows: DataFrame, logit: str = "chosen", by=("model", "attr
     y = F.col("label").cast("double")
     l = F.greatest(x, F.lit(0.0)) - x * y + F.log1p(F.exp(-F.abs(x)))
     loss = F.avg(l) if compat else F.sum(F.col("loss_weight") * l) / F.sum("loss_weight")
-    return rows.groupBy(*by).agg(_r(loss).alias("bce_loss"))
+    return rows.groupBy(*by).agg(loss.alias("bce_loss"))
 
 
 def preference_accuracy(pairs: DataFrame, by=("model", "attribute")) -> DataFrame:
@@ -164,7 +172,7 @@ def preference_accuracy(pairs: DataFrame, by=("model", "attribute")) -> DataFram
     where chosen beats rejected, and the mean preference probability."""
     return pairs.groupBy(*by).agg(
         (F.sum(ieee_gt("chosen", "rejected").cast("long")) / F.count(F.lit(1))).alias("accuracy"),
-        _r(F.avg(sigmoid(F.col("chosen") - F.col("rejected")))).alias("mean_p_chosen"))
+        F.avg(sigmoid(F.col("chosen") - F.col("rejected"))).alias("mean_p_chosen"))
 
 
 # ---------------------------------------------------------------- per-step metrics
@@ -186,7 +194,7 @@ def rollout_metrics(leader: DataFrame, follower: DataFrame, beta: float, penalty
     L = side(leader, False)
     Fo = side(follower, True)
     j = L.alias("l").join(Fo.alias("f"), list(pair_keys), "inner")
-    m = lambda c, n: _r(F.avg(c)).alias(n)
+    m = lambda c, n: F.avg(c).alias(n)
     return j.groupBy("step").agg(
         m(F.col("l.score"), "score_leader"), m(F.col("f.score"), "score_follower"),
         m(F.col("l.kl"), "kl_leader"), m(F.col("f.kl"), "kl_follower"),
@@ -204,16 +212,16 @@ def policy_metrics(df: DataFrame, kl_coef: float, penalty: float, clip: float) -
     fraction, approximate KL, policy loss, token ratio mean / variance, EOS count.
 
     ``ratio`` / ``ratio_var`` are over tokens: exp(new_t - old_t), pooled over
-    the step (sum, sum of squares and count are aggregated, so the statistics
-    are exact for any partitioning)."""
+    the step. Ratios lie near 1, so the moments are taken of ratio - 1: the sum of
+    squares then has nothing to cancel."""
     x = df.withColumn("score_pen", missing_eos_penalty("score", "has_eos", penalty))
     x = kl_penalized_reward(x, kl_coef, "score_pen")
     x = rloo_advantage(x, "rlhf_reward")
     x = clipped_policy_loss(x, "advantage", clip)
-    tok = F.zip_with(F.col("model_logps"), F.col("gen_logps"), lambda a, b: F.exp(a - b))
+    tok = F.zip_with(F.col("model_logps"), F.col("gen_logps"), lambda a, b: F.expm1(a - b))
     x = x.withColumn("_tr", sq.asum(tok)).withColumn("_tr2", sq.asum(F.transform(tok, lambda r: r * r))) \
          .withColumn("_tn", F.size("model_logps"))
-    m = lambda c, n: _r(F.avg(c)).alias(n)
+    m = lambda c, n: F.avg(c).alias(n)
     g = x.groupBy("step").agg(
         m(F.col("seq_kl"), "kl"), m(-sq.asum(F.col("model_logps")), "entropy"),
         m(F.col("non_score_reward"), "non_score_reward"), m(F.col("rlhf_reward"), "rlhf_reward"),
@@ -223,7 +231,7 @@ def policy_metrics(df: DataFrame, kl_coef: float, penalty: float, clip: float) -
         F.sum(F.col("has_eos").cast("long")).alias("num_eos"))
     var = F.when(F.col("_n") > 1, (F.col("_s2") - F.col("_s") * F.col("_s") / F.col("_n")) / (F.col("_n") - 1))
     return g.select("step", "kl", "entropy", "non_score_reward", "rlhf_reward", "scores", "clipfrac", "approxkl",
-                    "policy_loss", _r(F.col("_s") / F.col("_n")).alias("ratio"), _r(var).alias("ratio_var"),
+                    "policy_loss", (1 + F.col("_s") / F.col("_n")).alias("ratio"), var.alias("ratio_var"),
                     "num_eos")
 
 

@@ -5,10 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Largest per-prompt list built by a regroup; the lists are the reference's
-# own output shape (N completions per prompt) and N is a generation setting.
-MAX_GROUP = 1024
-
 
 def flatten_completions(gen: DataFrame, comps: str = "comps", outer: bool = False) -> DataFrame:
     """One row per completion (prompt_id, prompt, completion_idx, completion)."""
@@ -17,35 +13,35 @@ def flatten_completions(gen: DataFrame, comps: str = "comps", outer: bool = Fals
         "prompt_id", "prompt", "completion_idx", F.col("c.text").alias("completion"))
 
 
-def _bounded_list(n, lst):
-    return F.when(n > MAX_GROUP, F.raise_error(F.lit("group larger than MAX_GROUP"))).otherwise(lst)
-
-
-def unflatten_rewards(long: DataFrame, value: str = "reward", keys=("prompt_id",)) -> DataFrame:
+def unflatten_rewards(long: DataFrame, value: str = "reward", keys=("prompt_id",), most: int | None = None) -> DataFrame:
     """Long rewards -> per prompt the list of rewards in completion order
     (keyed regroup, ragged N allowed).
 
-    (keys, completion_idx) is unique and completion_idx < MAX_GROUP is checked
-    row by row before the aggregation, so no list can grow past MAX_GROUP.
+    A prompt's list is one row of the output, so its length is the caller's
+    number of completions; ``most`` makes a larger completion_idx an error,
+    row by row before any list is built.
     """
-    long = long.withColumn("completion_idx", F.when(F.col("completion_idx") >= MAX_GROUP, F.raise_error(
-        F.lit("completion_idx beyond MAX_GROUP"))).otherwise(F.col("completion_idx")).cast("int"))
+    if most is not None:
+        long = long.withColumn("completion_idx", F.when(F.col("completion_idx") >= most, F.raise_error(
+            F.lit(f"completion_idx beyond {most}"))).otherwise(F.col("completion_idx")).cast("int"))
     g = long.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_completions"),
         F.array_sort(F.collect_list(F.struct("completion_idx", F.col(value).alias("v")))).alias("_l"))
     return g.select(*keys, "n_completions",
-                    _bounded_list(F.col("n_completions"), F.transform("_l", lambda x: x["v"])).alias(value + "s"))
+                    F.transform("_l", lambda x: x["v"]).alias(value + "s"))
 
 
 def group_return_sequences(flat: DataFrame, k: int, order: str = "seq_idx", value: str = "text") -> DataFrame:
     """A flat list of generations (k per prompt, consecutive) -> list of k
-    per prompt; with k == 1 the values stay flat."""
+    per prompt; with k == 1 the values stay flat. A group without exactly k
+    sequences is an error."""
     if k <= 1:
         return flat.select((F.col(order)).alias("prompt_idx"), F.col(value).alias("completions"))
     g = flat.groupBy(F.floor(F.col(order) / k).alias("prompt_idx")).agg(
         F.count(F.lit(1)).alias("_n"), F.array_sort(F.collect_list(F.struct(order, value))).alias("_l"))
-    return g.select("prompt_idx", _bounded_list(F.col("_n"), F.transform("_l", lambda x: x[value]))
-                    .alias("completions"))
+    whole = F.when(F.col("_n") == k, F.transform("_l", lambda x: x[value])).otherwise(
+        F.raise_error(F.concat(F.lit(f"a prompt without {k} sequences: "), F.col("prompt_idx").cast("string"))))
+    return g.select("prompt_idx", whole.alias("completions"))
 
 
 def repeat_rows(df: DataFrame, k: int, out: str = "repeat_idx") -> DataFrame:

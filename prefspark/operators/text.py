@@ -10,10 +10,12 @@ from prefspark.operators import labels as lb
 from prefspark.operators.ids import seeded_shuffle
 
 
-def filter_prompt_length(df: DataFrame, max_tokens: int, col: str = "prompt") -> tuple[DataFrame, DataFrame]:
+def filter_prompt_length(df: DataFrame, max_tokens: int, col: str = "prompt",
+                         counter: ch.Counter | None = None) -> tuple[DataFrame, DataFrame]:
     """Keep prompts with <= max_tokens tokens; stats = one aggregation
-    (kept, removed, removed percent) computed from the same scan."""
-    n = ch.token_count(F.col(col))
+    (kept, removed, removed percent) computed from the same scan. A null prompt
+    has no tokens and is kept."""
+    n = F.coalesce(ch.token_count(F.col(col), counter), F.lit(0))
     keep = df.filter(n <= max_tokens)
     stats = df.agg(F.count(F.lit(1)).alias("n_rows"),
                    F.sum((n > max_tokens).cast("long")).alias("n_removed")).select(
@@ -22,14 +24,16 @@ def filter_prompt_length(df: DataFrame, max_tokens: int, col: str = "prompt") ->
     return keep, stats
 
 
-def filter_pair_length(df: DataFrame, max_tokens: int, a: str = "chosen", b: str = "rejected") -> DataFrame:
+def filter_pair_length(df: DataFrame, max_tokens: int, a: str = "chosen", b: str = "rejected",
+                       counter: ch.Counter | None = None) -> DataFrame:
     """Keep a pair only when BOTH texts have <= max_tokens tokens."""
-    return df.filter((ch.token_count(F.col(a)) <= max_tokens) & (ch.token_count(F.col(b)) <= max_tokens))
+    return df.filter((ch.token_count(F.col(a), counter) <= max_tokens) & (ch.token_count(F.col(b), counter) <= max_tokens))
 
 
-def filter_message_length(df: DataFrame, max_tokens: int, col: str = "messages") -> DataFrame:
+def filter_message_length(df: DataFrame, max_tokens: int, col: str = "messages",
+                          counter: ch.Counter | None = None) -> DataFrame:
     """Single-sequence form of C2."""
-    return df.filter(ch.token_count(F.col(col)) <= max_tokens)
+    return df.filter(ch.token_count(F.col(col), counter) <= max_tokens)
 
 
 def filter_empty_post(df: DataFrame, compat: bool = False, prompt: str = "prompt", post: str = "post") -> DataFrame:
@@ -40,10 +44,14 @@ def filter_empty_post(df: DataFrame, compat: bool = False, prompt: str = "prompt
     return df.filter(F.col(post).isNull() | (F.length(F.trim(F.col(post))) > 0) | F.col("site").isNotNull())
 
 
-def tldr_prompts(raw: DataFrame, max_prompt_tokens: int) -> DataFrame:
-    """B7 + B8: rendered, line-truncated TL;DR prompt per row (column ``prompt``)."""
+def tldr_prompts(raw: DataFrame, max_prompt_tokens: int, line_counter: ch.Counter | None = None) -> DataFrame:
+    """B7 + B8: rendered, line-truncated TL;DR prompt per row (column ``prompt``).
+
+    ``line_counter`` is a tokenizer hook over the array of lines (array<string> ->
+    array<int>), such as a pandas UDF around a subword tokenizer."""
     p = ch.tldr_prompt("site", "subreddit", "title", "post", "article")
-    return raw.withColumn("prompt", ch.truncate_lines(p, max_prompt_tokens))
+    counts = line_counter(F.split(p, "\n", -1)) if line_counter else None
+    return raw.withColumn("prompt", ch.truncate_lines(p, max_prompt_tokens, counts=counts))
 
 
 def source_annotated_summaries(raw: DataFrame, min_annotation_per_worker: int, max_prompt_tokens: int,

@@ -6,7 +6,8 @@ around it (pairing, flips, aggregation) stays in native expressions.
 
 from __future__ import annotations
 
-import zlib
+import hashlib
+import re
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from prefspark.functions import chat as ch
+from prefspark.functions.chat import TOKEN_RE
 from prefspark.functions.core import coin
 
 # ---------------------------------------------------------------- U1 scorers
@@ -82,13 +84,25 @@ def length_judge() -> Callable[[pd.Series, pd.Series, pd.Series], pd.Series]:
 
 # ---------------------------------------------------------------- U3 tokenizers
 def hashing_tokenizer(vocab: int = 50_000) -> Callable[[pd.Series], list[list[int]]]:
-    """Stand-in tokenizer: whitespace tokens mapped to crc32 % vocab. A real
-    subword tokenizer plugs in through the same signature."""
+    """Stand-in tokenizer: whitespace tokens mapped to the first 32 bits of their md5
+    modulo ``vocab``, each distinct token of a batch hashed once. A real subword
+    tokenizer plugs in through the same signature; :func:`hash_token_ids` is the native twin."""
+    split = re.compile(TOKEN_RE)
+
     def tok(texts: pd.Series) -> list[list[int]]:
-        return [[zlib.crc32(t.encode("utf-8")) % vocab for t in (s or "").split()] for s in texts]
+        words = [split.findall(s or "") for s in texts]
+        ids = {t: int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % vocab for t in set().union(*words)}
+        return [[ids[t] for t in ws] for ws in words]
     return tok
 
 
+def hash_token_ids(text, vocab: int = 50_000) -> Column:
+    """The stand-in tokenizer as a native column (no Python on the executors)."""
+    c = F.col(text) if isinstance(text, str) else text
+    return F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(TOKEN_RE), F.lit(0)), lambda t: (
+        F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("bigint") % vocab).cast("int"))
+
+
 def tokenize_with(df: DataFrame, col: str, make_tokenizer: Callable[[], Callable[[pd.Series], list[list[int]]]],
                   out: str = "input_ids") -> DataFrame:
     """Pluggable batched tokenizer -> ``array<int>`` (built once per task)."""

@@ -44,6 +44,11 @@ def query(name: str):
     return deco
 
 
+def rounded(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
+    """Columns rounded for the comparison with SQL; the operators themselves don't round."""
+    return df.withColumns({c: F.round(c, digits) for c in cols})
+
+
 def _rl(spark, sf):
     return fx.rewards_long(spark, sf)
 
@@ -133,7 +138,8 @@ def q_player_cross(spark, sf):
 
 @query("bt_probability_mean")
 def q_bt_probability_mean(spark, sf):
-    return gr.bt_probability_mean(_players(spark, sf), N_PLAYERS)
+    p = gr.bt_probability_mean(_players(spark, sf), N_PLAYERS)
+    return p.withColumn("prob", F.transform("prob", lambda row: F.transform(row, lambda x: F.round(x, 6))))
 
 
 @query("preference_graph")
@@ -161,6 +167,11 @@ def q_cycle_stats(spark, sf):
     return gr.cycle_stats(gr.graph_report(_players(spark, sf), N_PLAYERS))
 
 
+@query("condorcet_histogram")
+def q_condorcet_histogram(spark, sf):
+    return gr.condorcet_histogram(gr.graph_report(_players(spark, sf), N_PLAYERS))
+
+
 # ------------------------------------------------------------ label chain
 
 SEED = 42
@@ -187,6 +198,25 @@ def q_pair_consecutive(spark, sf):
     return _pairs(spark, sf)
 
 
+@query("pair_consecutive_errors")
+def q_pair_consecutive_errors(spark, sf):
+    """D1's error table: prompts that don't have exactly one response for each side."""
+    return lb.pair_consecutive(fx.rated_responses(spark, sf))[1]
+
+
+@query("pair_rows")
+def q_pair_rows(spark, sf):
+    """D1 by position on the raw table, its rows in source order, with rating lists."""
+    return lb.pair_rows(fx.rated_rows(spark, sf), "position")[0]
+
+
+@query("disagreement_labels_arrays")
+def q_disagreement_labels_arrays(spark, sf):
+    """D1 by position, then E1 on the rating lists."""
+    responses, _ = lb.pair_rows(fx.rated_rows(spark, sf), "position")
+    return lb.disagreement_labels(lb.side_stats_from_arrays(responses), SEED)
+
+
 @query("disagreement_labels")
 def q_disagreement_labels(spark, sf):
     return _labels(spark, sf)
@@ -559,6 +589,12 @@ def q_alternating_update(spark, sf):
     return x.select("step", *[_R(F.col(c)).alias(c) for c in ("loss_leader", "loss_follower", "total_loss")])
 
 
+@query("alternating_update_separate")
+def q_alternating_update_separate(spark, sf):
+    x = ro.alternating_update(_step_losses(spark, sf), LEADER_FREQ, FOLLOWER_WEIGHT, separate_models=True)
+    return x.select("step", *[_R(F.col(c)).alias(c) for c in ("loss_leader", "loss_follower", "total_loss")])
+
+
 @query("clipped_policy_loss")
 def q_clipped_policy_loss(spark, sf):
     x = ro.clipped_policy_loss(ro.rloo_advantage(_roll(spark, sf), "score"), "advantage", CLIP)
@@ -570,13 +606,15 @@ def q_rollout_metrics(spark, sf):
     r = _roll(spark, sf)
     # even samples are leader sequences, odd ones the follower's answer to the same pair
     r = r.withColumn("pair", (F.col("sample_idx") / 2).cast("int"))
-    return ro.rollout_metrics(r.filter(F.col("sample_idx") % 2 == 0), r.filter(F.col("sample_idx") % 2 == 1),
-                              BETA, EOS_PENALTY, KL_KIND)
+    m = ro.rollout_metrics(r.filter(F.col("sample_idx") % 2 == 0), r.filter(F.col("sample_idx") % 2 == 1),
+                           BETA, EOS_PENALTY, KL_KIND)
+    return rounded(m, *[c for c in m.columns if c != "step"])
 
 
 @query("policy_metrics")
 def q_policy_metrics(spark, sf):
-    return ro.policy_metrics(_roll(spark, sf), KL_COEF, EOS_PENALTY, CLIP)
+    m = ro.policy_metrics(_roll(spark, sf), KL_COEF, EOS_PENALTY, CLIP)
+    return rounded(m, *[c for c in m.columns if c not in ("step", "num_eos")])
 
 
 def _pairs_sc(spark, sf):
@@ -585,17 +623,17 @@ def _pairs_sc(spark, sf):
 
 @query("bradley_terry_loss")
 def q_bradley_terry_loss(spark, sf):
-    return ro.bradley_terry_loss(_pairs_sc(spark, sf), CENTER_COEF)
+    return rounded(ro.bradley_terry_loss(_pairs_sc(spark, sf), CENTER_COEF), "bt_loss")
 
 
 @query("weighted_bce_loss")
 def q_weighted_bce_loss(spark, sf):
-    return ro.weighted_bce_loss(_pairs_sc(spark, sf))
+    return rounded(ro.weighted_bce_loss(_pairs_sc(spark, sf)), "bce_loss")
 
 
 @query("preference_accuracy")
 def q_preference_accuracy(spark, sf):
-    return ro.preference_accuracy(_pairs_sc(spark, sf))
+    return rounded(ro.preference_accuracy(_pairs_sc(spark, sf)), "mean_p_chosen")
 
 
 # ------------------------------------------------------------ judging
@@ -620,13 +658,13 @@ def q_sampled_attribute_vote(spark, sf):
 
 @query("judge_probability")
 def q_judge_probability(spark, sf):
-    return jd.judge_probability(fx.judge_logprobs(spark, sf))
+    return rounded(jd.judge_probability(fx.judge_logprobs(spark, sf)), "p")
 
 
 @query("position_debias")
 def q_position_debias(spark, sf):
-    p = jd.position_unflip(jd.position_flip(jd.judge_probability(fx.judge_logprobs(spark, sf)), SEED))
-    return p.select("pair_id", "flip", "p")
+    judged = rounded(jd.judge_probability(fx.judge_logprobs(spark, sf)), "p")
+    return jd.position_unflip(jd.position_flip(judged, SEED)).select("pair_id", "flip", "p")
 
 
 SCHED_KEYS = ["model", "completion_idx"]
@@ -660,7 +698,7 @@ def _scratch(spark, name):
 
 @query("read_table")
 def q_read_table(spark, sf):
-    return sio.read_table(spark, sf, "documents", "doc_id", "lang", "source", "n_chars")
+    return sio.read_table(spark, sf, "documents", "doc_id", "text", "lang", "source", "n_chars")
 
 
 @query("write_splits")
@@ -773,31 +811,63 @@ def q_tokenize_with(spark, sf):
                             ).select("doc_id", F.size("input_ids").alias("n_ids"), "input_ids")
 
 
-@query("fit_reward_model")
-def q_fit_reward_model(spark, sf):
-    """Linear BT reward model on annotation means: chosen/rejected by the helpfulness label."""
+REWARD_FEATURES = [c for c in ATTRS if c != LABEL_ATTRIBUTE]
+
+
+def _rated_features(spark, sf):
+    """chosen_<f>, rejected_<f> annotation means of each pair, by the helpfulness label."""
     st = lb.side_stats(fx.annotation_ratings(spark, sf))
     wide = st.groupBy("prompt_id").agg(*[F.max(F.when((F.col("completion_idx") == s) & (F.col("attribute") == a),
                                                       F.col("mean"))).alias(f"s{s}_{a}")
                                          for s in (0, 1) for a in ATTRS])
     lab = _labels(spark, sf).filter(F.col("attribute") == LABEL_ATTRIBUTE).select("prompt_id", "label")
-    j = wide.join(lab, "prompt_id").dropna()
-    first = F.col("label") == 1
-    feats = [c for c in ATTRS if c != LABEL_ATTRIBUTE]
-    pairs = j.select(*[F.when(first, F.col(f"s0_{a}")).otherwise(F.col(f"s1_{a}")).alias(f"chosen_{a}") for a in feats],
+    j = wide.join(lab, "prompt_id")
+    first, feats = F.col("label") == 1, REWARD_FEATURES
+    return j.select("prompt_id", *[F.when(first, F.col(f"s0_{a}")).otherwise(F.col(f"s1_{a}")).alias(f"chosen_{a}") for a in feats],
                      *[F.when(first, F.col(f"s1_{a}")).otherwise(F.col(f"s0_{a}")).alias(f"rejected_{a}") for a in feats])
-    _, coefs = uf.fit_reward_model(pairs, feats, max_iter=50)
-    return coefs
+
+
+@query("fit_reward_model")
+def q_fit_reward_model(spark, sf):
+    """Coefficients of the linear BT reward model on annotation means."""
+    pairs = _rated_features(spark, sf)
+    return uf.fit_reward_model(pairs.drop("prompt_id").dropna(), REWARD_FEATURES, max_iter=50)[1]
+
+
+@query("reward_model_scores")
+def q_reward_model_scores(spark, sf):
+    """Every pair's scores under the fitted model (null where a side lacks a feature)."""
+    pairs = materialize(_rated_features(spark, sf), "reward-pairs")
+    _, coefs = uf.fit_reward_model(pairs.drop("prompt_id").dropna(), REWARD_FEATURES, max_iter=50)
+    w = {r.feature: r.weight for r in coefs.collect()}      # a row for each feature
+    return pairs.select("prompt_id", *[uf.reward_scores(pairs, w, f"{side}_").alias(f"{side}_score") for side in ("chosen", "rejected")])
+
+
+#: A sum of doubles depends on the order of its terms in the last digits.
+ROLLED = ("sum_value", "mean_value")
 
 
 @query("metric_rollup")
 def q_metric_rollup(spark, sf):
-    return sm.metric_rollup(fx.table(spark, sf, "events", "ts", "user_id", "event_type", "value"))
+    return rounded(sm.metric_rollup(fx.table(spark, sf, "events", "ts", "user_id", "event_type", "value")), *ROLLED)
+
+
+@query("metric_rollup_sliding")
+def q_metric_rollup_sliding(spark, sf):
+    log = fx.table(spark, sf, "events", "ts", "user_id", "event_type", "value")
+    return rounded(sm.metric_rollup(log, "2 days", "1 day"), *ROLLED)
 
 
 @query("metric_rollup_stream")
 def q_metric_rollup_stream(spark, sf):
-    return sm.metric_rollup_stream(spark, f"{sf.rstrip('/')}/events*.parquet")
+    return rounded(sm.metric_rollup_stream(spark, f"{sf.rstrip('/')}/events*.parquet"), *ROLLED)
+
+
+@query("metric_rollup_append")
+def q_metric_rollup_append(spark, sf):
+    """Windows closed by the watermark once the whole log has been read."""
+    out = sm.metric_rollup_stream(spark, f"{sf.rstrip('/')}/events*.parquet", watermark="1 day", output_mode="append")
+    return rounded(out, *ROLLED)
 
 
 @query("select_rename")

@@ -78,10 +78,14 @@ UNION ALL SELECT DISTINCT split, name, name, 0.0::DOUBLE FROM x""", ["rewards_lo
 # ------------------------------------------------------------------ D11 / E5
 _CELL_JOIN = ("o.split = b.split AND o.attribute = b.attribute AND o.prompt_id = b.prompt_id "
               "AND o.completion_idx = b.completion_idx")
-_o("baseline_join", f"""
-SELECT o.model, o.split, o.attribute, o.prompt_id, o.completion_idx, o.reward, b.reward AS base_reward
-FROM rewards_long o JOIN rewards_long b ON {_CELL_JOIN} AND b.model = 'm0'
-WHERE o.model IN ('m1', 'm2', 'm3')""", ["rewards_long"])
+# one grouped pass over the cells, no join of two expansions of the base table
+_CELLS = """SELECT split, attribute, prompt_id, completion_idx, list({'m': model, 'r': reward}) AS l
+FROM rewards_long GROUP BY split, attribute, prompt_id, completion_idx"""
+_o("baseline_join", """
+SELECT a.m AS model, split, attribute, prompt_id, completion_idx, a.r AS reward, base.r AS base_reward
+FROM (SELECT *, unnest(l) AS a, unnest(list_filter(l, lambda x: x.m = 'm0')) AS one,
+             list_filter(l, lambda x: x.m = 'm0')[1] AS base FROM cells)
+WHERE a.m IN ('m1', 'm2', 'm3') AND base IS NOT NULL""", ["rewards_long"], [("cells", _CELLS)])
 
 _e5_cols = []
 for c, role in ((0, "leader"), (1, "follower")):
@@ -123,7 +127,8 @@ FROM (VALUES ('m0'), ('m1'), ('m2'), ('m3')) f(m) LEFT JOIN rate r ON r.follower
                    max(CASE WHEN completion_idx = 1 THEN reward END) AS r1
                    FROM correction_rewards GROUP BY leader, follower, attribute, prompt_id"""),
        ("rate", f"""SELECT leader, follower,
-                    CAST(sum(CASE WHEN {ge('r1', 'r0')} THEN 1 ELSE 0 END) AS DOUBLE) / count(*) AS winrate
+                    CAST(sum(CASE WHEN {ge('r1', 'r0')} THEN 1 ELSE 0 END) AS DOUBLE)
+                      / count(CASE WHEN r0 IS NOT NULL AND r1 IS NOT NULL THEN 1 END) AS winrate
                     FROM cell GROUP BY leader, follower""")])
 _o("pending_work", """SELECT l.m AS leader, f.m AS follower
 FROM (VALUES ('m0'), ('m1'), ('m2'), ('m3')) l(m), (VALUES ('m0'), ('m1'), ('m2'), ('m3')) f(m)
@@ -141,10 +146,10 @@ PLAYERS_SQL = f"""SELECT split, attribute, prompt_id,
 FROM rewards_long WHERE completion_idx < {COMPLETIONS} AND model IN ('m0', 'm1', 'm2', 'm3')"""
 _o("stack_players", PLAYERS_SQL, ["rewards_long"])
 _o("model_pair_theta_join", f"""
-SELECT a.split, a.attribute, a.prompt_id, a.completion_idx, a.model AS model_a, b.model AS model_b,
-       a.reward AS reward_a, b.reward AS reward_b, {ge('a.reward', 'b.reward')} AS a_ge_b
-FROM rewards_long a JOIN rewards_long b ON a.split = b.split AND a.attribute = b.attribute
- AND a.prompt_id = b.prompt_id AND a.completion_idx = b.completion_idx AND a.model < b.model""", ["rewards_long"])
+SELECT split, attribute, prompt_id, completion_idx, a.m AS model_a, b.m AS model_b,
+       a.r AS reward_a, b.r AS reward_b, {ge('a.r', 'b.r')} AS a_ge_b
+FROM (SELECT * EXCLUDE l, unnest(l) AS b FROM (SELECT *, unnest(l) AS a FROM cells))
+WHERE a.m < b.m""", ["rewards_long"], [("cells", _CELLS)])
 
 # ------------------------------------------------------------------ graph chain
 P = N_PLAYERS
@@ -158,8 +163,9 @@ _VEC = ("SELECT split, prompt_id, attribute, list(reward ORDER BY player) AS vec
 _RM = "SELECT split, prompt_id, list(vec ORDER BY attribute) AS R FROM v GROUP BY split, prompt_id"
 _o("bt_probability_mean", f"""SELECT split, prompt_id,
   list_transform(range({P}), lambda i: list_transform(range({P}), lambda j:
+    CASE WHEN len(list_filter(R, lambda v: isnan(v[i + 1] - v[j + 1]))) > 0 THEN 'NaN'::DOUBLE ELSE
     round(list_reduce(R, lambda acc, v: acc + 1.0::DOUBLE / (1.0::DOUBLE + exp(-(v[i + 1] - v[j + 1]))), 0.0::DOUBLE)
-          / len(R), 6))) AS prob
+          / len(R), 6) END)) AS prob
 FROM rm""", ["rewards_long"], [("pl", PLAYERS_SQL), ("v", _VEC), ("rm", _RM)])
 
 _EDGES = f"""SELECT a.split, a.prompt_id, a.player AS i, b.player AS j,
@@ -171,7 +177,7 @@ _GRAPH_CTES = [("pl", PLAYERS_SQL), ("e", _EDGES),
                ("nodes", "SELECT DISTINCT split, prompt_id, i FROM e"),
                ("prompts", "SELECT DISTINCT split, prompt_id FROM e"),
                ("ed", "SELECT split, prompt_id, i, j FROM e WHERE edge")]
-_o("preference_graph", """SELECT split, prompt_id, list(mask ORDER BY i) AS adjacency,
+_o("preference_graph", """SELECT split, prompt_id, list([mask] ORDER BY i) AS adjacency,
        CAST(sum(bit_count(mask)) AS INTEGER) AS n_edges
 FROM (SELECT split, prompt_id, i, CAST(bit_or(CASE WHEN edge THEN (1::BIGINT << j) ELSE 0::BIGINT END) AS BIGINT) AS mask
       FROM e GROUP BY split, prompt_id, i)
@@ -194,6 +200,8 @@ CONDORCET = f"""SELECT p.split, p.prompt_id, CAST(min(d.i) AS INTEGER) AS condor
 LEFT JOIN indeg d ON d.split = p.split AND d.prompt_id = p.prompt_id AND d.indeg = {P - 1}
 GROUP BY p.split, p.prompt_id"""
 _o("condorcet_winner", CONDORCET, ["rewards_long"], _GRAPH_CTES + [INDEG])
+_o("condorcet_histogram", "SELECT split, condorcet_idx AS player, count(*) AS n_wins FROM c WHERE condorcet_idx IS NOT NULL GROUP BY 1, 2",
+   ["rewards_long"], _GRAPH_CTES + [INDEG, ("c", CONDORCET)])
 _o("sink_nodes", """SELECT p.split, p.prompt_id,
        coalesce(list(CAST(d.i AS INTEGER) ORDER BY d.i) FILTER (WHERE d.i IS NOT NULL), []::INTEGER[]) AS sinks
 FROM prompts p LEFT JOIN (SELECT a.split, a.prompt_id, a.i FROM indeg a JOIN outdeg b
@@ -225,9 +233,7 @@ HAVING count(*) = 2 AND count(DISTINCT prompt) = 1
 _o("pair_consecutive", PAIRS, ["rated_responses"])
 
 STATS = """SELECT prompt_id, completion_idx, attribute, count(rating) AS n,
-       sum(rating) / count(rating) AS mean,
-       sqrt(greatest(sum(rating * rating) / count(rating) - (sum(rating) / count(rating)) * (sum(rating) / count(rating)),
-                     0.0::DOUBLE)) AS std
+       avg(rating) AS mean, stddev_pop(rating) AS std
 FROM annotation_ratings GROUP BY prompt_id, completion_idx, attribute"""
 SIDES = """SELECT prompt_id, attribute,
        max(CASE WHEN completion_idx = 0 THEN mean END) AS mean0, max(CASE WHEN completion_idx = 1 THEN mean END) AS mean1,
@@ -248,6 +254,19 @@ LABEL_CTES = [("stats", STATS), ("sides", SIDES)]
 _o("disagreement_labels", _labels_sql(False), ["annotation_ratings"], LABEL_CTES)
 _o("disagreement_labels_compat", _labels_sql(True), ["annotation_ratings"], LABEL_CTES)
 _o("disagreement_labels_long", _labels_sql(False), ["annotation_ratings"], LABEL_CTES)
+_o("pair_consecutive_errors", """SELECT prompt_id, count(*) AS n_rows, count(DISTINCT prompt) = 1 AS same_prompt
+FROM rated_responses GROUP BY prompt_id
+HAVING NOT (count(*) = 2 AND count(DISTINCT prompt) = 1
+   AND count(CASE WHEN completion_idx = 0 THEN response END) > 0 AND count(CASE WHEN completion_idx = 1 THEN response END) > 0)""",
+   ["rated_responses"])
+_RATED = [(a, f"list_transform(embedding[{3 * i + 1}:{3 * i + 3}], lambda x: floor(abs(x::DOUBLE) * 8) % 5) AS {a}")
+          for i, a in enumerate(ATTRS)]
+RAW_PAIRS = f"""SELECT vec_id // 2 AS prompt_id, CAST(vec_id % 2 AS INTEGER) AS completion_idx, 'prompt ' || (vec_id // 2) AS prompt,
+       'response ' || vec_id AS response, {', '.join(sql for _, sql in _RATED)}
+FROM embeddings WHERE (vec_id // 2) % 17 <> 3 AND vec_id // 2 IN (SELECT vec_id // 2 FROM embeddings GROUP BY 1 HAVING count(*) = 2)"""
+_o("pair_rows", RAW_PAIRS)
+_o("disagreement_labels_arrays", _labels_sql(False), [], [("raw_pairs", RAW_PAIRS), ("annotation_ratings", " UNION ALL ".join(
+    f"SELECT prompt_id, completion_idx, '{a}' AS attribute, unnest({a}) AS rating FROM raw_pairs" for a in ATTRS)), *LABEL_CTES])
 
 _o("dense_ids", "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS prompt_id FROM documents")
 _o("seeded_shuffle", f"""SELECT doc_id, row_number() OVER (ORDER BY hh, doc_id) - 1 AS shuffle_rank
@@ -488,6 +507,11 @@ _o("alternating_update", f"""SELECT step, {r6('loss_leader')} AS loss_leader, {r
 FROM (SELECT step, avg(CASE WHEN sample_idx % 2 = 0 THEN seq_loss END) AS loss_leader,
              avg(CASE WHEN sample_idx % 2 = 1 THEN seq_loss END) AS loss_follower FROM pl GROUP BY step)""",
    ["rollouts"], [("pa", padj("rollouts")), ("pl", ploss("pa", False))])
+_o("alternating_update_separate", f"""SELECT step, {r6('loss_leader')} AS loss_leader, {r6('loss_follower')} AS loss_follower,
+       {r6("(loss_leader + loss_follower) / 2")} AS total_loss
+FROM (SELECT step, avg(CASE WHEN sample_idx % 2 = 0 THEN seq_loss END) AS loss_leader,
+             avg(CASE WHEN sample_idx % 2 = 1 THEN seq_loss END) AS loss_follower FROM pl GROUP BY step)""",
+   ["rollouts"], [("pa", padj("rollouts")), ("pl", ploss("pa", False))])
 
 
 def clipped(src: str) -> str:
@@ -578,7 +602,7 @@ GROUP BY step, model, completion_idx""", ["rewards_long"], [("sched", SCHED)])
 
 
 # ------------------------------------------------------------------ sources / sinks
-_o("read_table", "SELECT doc_id, lang, source, n_chars FROM documents")
+_o("read_table", "SELECT doc_id, text, lang, source, n_chars FROM documents")
 _o("write_splits", "SELECT id, worker, split FROM tldr_raw", ["tldr_raw"])
 _o("read_splits", "SELECT id, worker, split FROM tldr_raw WHERE split = 'validation'", ["tldr_raw"])
 _o("read_jsonl", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
@@ -619,11 +643,16 @@ SELECT prompt_id, completion_idx, 'lexical_overlap',
                regexp_extract_all(completion, {TOKEN}) AS tc FROM fl""")])
 ROLLUP = """SELECT time_bucket(INTERVAL '1 day', ts) AS window_start,
        time_bucket(INTERVAL '1 day', ts) + INTERVAL '1 day' AS window_end,
-       event_type AS metric, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS sum_cents,
-       CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) / (count(*) * 100.0::DOUBLE) AS mean_value
+       event_type AS metric, count(*) AS n, round(sum(value), 6) AS sum_value, round(avg(value), 6) AS mean_value
 FROM events GROUP BY 1, 2, 3"""
 _o("metric_rollup", ROLLUP)
 _o("metric_rollup_stream", ROLLUP)
+_o("metric_rollup_sliding", """SELECT d - INTERVAL (k) DAY AS window_start, d - INTERVAL (k) DAY + INTERVAL '2 days' AS window_end,
+       event_type AS metric, count(*) AS n, round(sum(value), 6) AS sum_value, round(avg(value), 6) AS mean_value
+FROM (SELECT *, time_bucket(INTERVAL '1 day', ts) AS d, unnest([0, 1]) AS k FROM events) GROUP BY 1, 2, 3""")
+# windows whose end the watermark (last event less one day) has passed
+_o("metric_rollup_append", f"""SELECT * FROM ({ROLLUP})
+WHERE window_end <= (SELECT max(ts) - INTERVAL '1 day' FROM events)""")
 _o("select_rename", "SELECT doc_id AS prompt_id, text AS prompt, source FROM documents")
 
 _FL = ("fl", """SELECT prompt_id, prompt, CAST(i AS INTEGER) AS completion_idx, comps[i + 1].text AS completion
@@ -642,3 +671,6 @@ _o("judge_with", f"""SELECT pair_id, flip, CASE WHEN flip THEN 1.0::DOUBLE - p_r
         FROM (SELECT prompt_id AS pair_id, comps[1].text AS r0, comps[2].text AS r1,
                      {h('prompt_id')} % 2 = 1 AS flip FROM generations WHERE len(comps) >= 2)))""",
    ["generations"])
+_o("tokenize_with", f"""SELECT doc_id, CAST(len(ids) AS INTEGER) AS n_ids, ids AS input_ids FROM (SELECT doc_id,
+  CAST(list_transform(regexp_extract_all(coalesce(text, ''), {TOKEN}),
+                      lambda t: ('0x' || substr(md5(t), 1, 8))::BIGINT % 50000) AS INTEGER[]) AS ids FROM documents)""")

@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prefspark.functions.core import ATTRIBUTES, nan, sigmoid
-from prefspark.operators.shape import MAX_GROUP
 from prefspark.sources.tables import spread, table
 
 # Fixture models and completions per model.
@@ -108,6 +107,19 @@ def rated_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def rated_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw rating table in source order: (position, prompt, response, a list of ratings
+    for each attribute). Rows 2k and 2k + 1 share a prompt, but for every 17th pair."""
+    emb = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    pair = F.expr("vec_id div 2")
+    prompt = F.when((pair % 17 == 3) & (F.col("vec_id") % 2 == 1), F.lit("another prompt")).otherwise(
+        F.concat(F.lit("prompt "), pair.cast("string")))
+    ratings = [F.transform(F.slice("embedding", 3 * i + 1, 3), lambda x: F.floor(F.abs(x.cast("double")) * 8).cast("double") % 5).alias(a)
+               for i, a in enumerate(ATTRIBUTES)]
+    return emb.select(F.col("vec_id").alias("position"), prompt.alias("prompt"),
+                      F.concat(F.lit("response "), F.col("vec_id").cast("string")).alias("response"), *ratings)
+
+
 def rated_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw rated responses: (prompt_id, prompt, completion_idx, response)."""
     li = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber")
@@ -146,29 +158,19 @@ def conversation_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
 
 
-def generations(spark: SparkSession, sf_dir: str, max_completions: int = MAX_GROUP) -> DataFrame:
+def generations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(prompt_id, prompt, sys, comps array<struct<turn, text>>) per conversation.
 
-    One keyed aggregation. The completion list of a prompt is bounded by the
-    number of generated completions; a larger group fails loudly instead of
-    building a huge array in one task.
+    One keyed aggregation; a conversation's completions are one row of the view.
     """
     t = conversation_turns(spark, sf_dir)
-    # row-local bound first: a turn index past the bound fails before any list is built
-    t = t.withColumn("turn", F.when(F.col("turn") >= max_completions * 2 + 2, F.raise_error(
-        F.lit("conversation longer than the completion bound"))).otherwise(F.col("turn")))
     g = t.groupBy("conv_id").agg(
         F.min_by("text", F.when(F.col("role") == "user", F.col("turn"))).alias("prompt"),
         F.min_by("text", F.when(F.col("role") == "system", F.col("turn"))).alias("sys"),
-        F.count(F.when(F.col("role") == "assistant", 1)).alias("_n"),
         F.array_sort(F.collect_list(F.when(F.col("role") == "assistant",
                                            F.struct("turn", "text")))).alias("comps"),
     )
-    return g.select(
-        F.col("conv_id").alias("prompt_id"), "prompt", "sys",
-        F.when(F.col("_n") > max_completions,
-               F.raise_error(F.lit("too many completions for one prompt"))
-               ).otherwise(F.col("comps")).alias("comps"))
+    return g.select(F.col("conv_id").alias("prompt_id"), "prompt", "sys", "comps")
 
 
 def rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -82,7 +82,7 @@ def test_bitmask_peel_matches_dfs_on_random_graphs(spark):
             if rnd.random() < 0.15:
                 adj[i] |= 1 << j
         graphs.append((g, adj))
-    df = spark.createDataFrame(graphs, "g long, adj array<bigint>")
+    df = spark.createDataFrame([(g, [[m] for m in adj]) for g, adj in graphs], "g long, adj array<array<bigint>>")
     got = {r["g"]: r["a"] for r in df.select("g", gr.is_acyclic("adj", n).alias("a")).collect()}
     for g, adj in graphs:
         assert got[g] == (not _has_cycle(adj, n))
@@ -101,7 +101,7 @@ def test_tie_free_complete_tournament(spark):
             else:
                 adj[j] |= 1 << i
         rows.append((g, adj))
-    df = spark.createDataFrame(rows, "g long, adj array<bigint>")
+    df = spark.createDataFrame([(g, [[m] for m in adj]) for g, adj in rows], "g long, adj array<array<bigint>>")
     got = {r["g"]: r["a"] for r in df.select("g", gr.is_acyclic("adj", n).alias("a")).collect()}
     for g, adj in rows:
         outdeg = sorted(bin(m).count("1") for m in adj)

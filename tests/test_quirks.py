@@ -210,7 +210,7 @@ def _players(spark, prompts):
 def test_h6_exact_half_gives_no_edge(spark):
     pl = _players(spark, {1: [[0, 1], [0, 1], [1, 0], [1, 0]]})
     g = gr.preference_graph(pl, 2, ["a0", "a1", "a2", "a3"]).first()
-    assert list(g["adjacency"]) == [0, 0] and g["n_edges"] == 0
+    assert list(g["adjacency"]) == [[0], [0]] and g["n_edges"] == 0
 
 
 def test_h7_h8_h9_cycle_dag_and_sink(spark):
@@ -232,7 +232,7 @@ def test_sink_that_is_not_condorcet(spark):
     # players 0,1,2: 0 -> 1 only (1 beats 0); 2 ties with everyone -> no Condorcet winner, sink 1
     pl = _players(spark, {1: [[0, 1, 5], [0, 1, 5], [0, 1, 5]]})
     adj = gr.preference_graph(pl, 3, ["a0", "a1", "a2"]).first()["adjacency"]
-    assert list(adj) == [0b110, 0b100, 0]
+    assert list(adj) == [[0b110], [0b100], [0]]
     pl2 = _players(spark, {1: [[0, 1, 1], [0, 1, 1], [0, 1, 1]]})
     rep = gr.graph_report(pl2, 3, ["a0", "a1", "a2"]).first()
     assert rep["condorcet_idx"] is None and sorted(rep["sinks"]) == [1, 2]

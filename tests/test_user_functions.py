@@ -1,6 +1,6 @@
 """U3 / U4 (no SQL twin): checked against brute force on small inputs."""
 
-import zlib
+import hashlib
 
 import numpy as np
 import pytest
@@ -14,7 +14,9 @@ def test_tokenize_with_matches_python(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
     got = {r["id"]: list(r["input_ids"]) for r in uf.tokenize_with(df, "text", uf.hashing_tokenizer).collect()}
     for i, t in enumerate(texts):
-        assert got[i] == [zlib.crc32(w.encode()) % 50_000 for w in (t or "").split()]
+        assert got[i] == [int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 50_000 for w in (t or "").split()]
+    native = {r["id"]: list(r["ids"]) for r in df.select("id", uf.hash_token_ids("text").alias("ids")).collect()}
+    assert native == got
 
 
 def test_reward_model_matches_newton_solution(spark):
