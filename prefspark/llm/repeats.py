@@ -47,7 +47,7 @@ from prefspark.llm.words import Substrings, mixed
 LENGTH = 50
 GRAM, STEP = 7, 22                    # LENGTH - GRAM + 1 = 2 * STEP grams in a window
 TRIGGER = LENGTH - STEP + 1
-SEGMENT = 1 << 22
+SEGMENT = 1 << 17
 NULL_ID = -(2**63)
 
 
