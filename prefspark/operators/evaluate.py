@@ -104,9 +104,9 @@ def round_robin_tournament(rewards: DataFrame, players: Sequence[tuple[str, str,
     (split, player_i, player_j, win_rate).
 
     Plan: one shuffle groups each (split, attribute, prompt) cell into a row of
-    P player rewards (conditional max, partial aggregation map-side); then one
-    small aggregation sums the P(P-1)/2 indicators per split. No self-join and
-    no pair rows are materialised.
+    P player rewards (conditional max, partial aggregation map-side); each cell
+    then gives its P(P-1)/2 indicators to a hash aggregation on (split, i, j),
+    which folds them before the shuffle. No self-join.
     """
     P = len(players)
     if P < 2:
@@ -121,26 +121,20 @@ def round_robin_tournament(rewards: DataFrame, players: Sequence[tuple[str, str,
         .filter(F.col("p").isNotNull())
     cells = x.groupBy("split", "attribute", "prompt_id").agg(
         *[F.expr(f"max(CASE WHEN p = {k} THEN reward END) AS r{k}") for k in range(P)])
-    # P(P-1)/2 indicator sums; written as SQL text so the plan is built with
-    # one call per expression (the Column DSL needs dozens each)
-    ge = "CASE WHEN isnan(r{i}) OR isnan(r{j}) THEN 0L ELSE CAST(r{i} >= r{j} AS BIGINT) END"
-    aggs = []
-    for i in range(P):
-        for j in range(i + 1, P):
-            both = f"r{i} IS NOT NULL AND r{j} IS NOT NULL"
-            aggs.append(F.expr(f"sum(CASE WHEN {both} THEN {ge.format(i=i, j=j)} END) AS w_{i}_{j}"))
-            aggs.append(F.expr(f"sum(CAST({both} AS BIGINT)) AS n_{i}_{j}"))
-    tot = cells.groupBy("split").agg(*aggs)
-
-    parts = []
-    for i in range(P):
-        parts.append(f"{q(players[i][0])}, {q(players[i][0])}, CAST(0.0 AS DOUBLE)")
-        for j in range(i + 1, P):
-            w = f"CASE WHEN n_{i}_{j} > 0 THEN CAST(w_{i}_{j} AS DOUBLE) / n_{i}_{j} END"
-            parts.append(f"{q(players[i][0])}, {q(players[j][0])}, {w}")
-            parts.append(f"{q(players[j][0])}, {q(players[i][0])}, 1.0D - ({w})")
-    stack = f"stack({len(parts)}, {', '.join(parts)}) AS (player_i, player_j, win_rate)"
-    return tot.selectExpr("split", stack)
+    # written as SQL text so the plan is built with one call per expression
+    # (the Column DSL needs dozens each)
+    pair = ("named_struct('i', {i}, 'j', {j}, 'n', CAST(r{i} IS NOT NULL AND r{j} IS NOT NULL AS BIGINT), 'w', "
+            "CAST(coalesce(NOT isnan(r{i}) AND NOT isnan(r{j}) AND r{i} >= r{j}, false) AS BIGINT))")
+    pairs = ", ".join(pair.format(i=i, j=j) for i in range(P) for j in range(i + 1, P))
+    tot = (cells.select("split", F.expr(f"inline(array({pairs}))"))
+           .groupBy("split", "i", "j").agg(F.sum("w").alias("w"), F.sum("n").alias("n")))
+    names = f"array({', '.join(q(p[0]) for p in players)})"
+    rate = "CASE WHEN n > 0 THEN CAST(w AS DOUBLE) / n END"
+    both = tot.selectExpr("split", f"inline(array(named_struct('player_i', {names}[i], 'player_j', {names}[j], 'win_rate', {rate}), "
+                                   f"named_struct('player_i', {names}[j], 'player_j', {names}[i], 'win_rate', 1.0D - ({rate}))))")
+    same = tot.where("i = 0 AND j = 1").selectExpr("split", f"explode({names}) AS player_i").selectExpr(
+        "split", "player_i", "player_i AS player_j", "CAST(0.0 AS DOUBLE) AS win_rate")
+    return both.unionByName(same)
 
 
 def tournament_matrix(long: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -199,25 +193,33 @@ def running_best(rewards: DataFrame, out: str = "best_so_far") -> DataFrame:
     return rewards.withColumn(out, F.max("reward").over(w))
 
 
-def _expand_n(rewards: DataFrame, max_n: int) -> DataFrame:
-    """Each completion c contributes to every best-of-N with N > c (N <= max_n)."""
-    return (rewards.filter(F.col("completion_idx") < max_n)
-            .withColumn("n", F.explode(F.sequence(F.col("completion_idx") + 1, F.lit(max_n), F.lit(1)))))
+def _completions(max_n: int, hit=None, name: str = "") -> list[Column]:
+    """Reward and presence of each of the first ``max_n`` completions (of the rows that ``hit``)."""
+    out = []
+    for c in range(max_n):
+        here = F.col("completion_idx") == c if hit is None else hit & (F.col("completion_idx") == c)
+        out += [F.max(F.when(here, F.col("reward"))).alias(f"_v{name}_{c}"), F.count(F.when(here, 1)).alias(f"_c{name}_{c}")]
+    return out
+
+
+def _best(n: int, name: str = "") -> Column:
+    """The best of the first n completions; NaN propagates (it orders above every number)."""
+    vals = [F.col(f"_v{name}_{c}") for c in range(n)]
+    return vals[0] if n == 1 else F.greatest(*vals)
 
 
 def best_of_n_curve(rewards: DataFrame, max_n: int) -> DataFrame:
     """Mean over prompts of the best reward among the first N completions
     (N = 1..max_n; a prompt counts for N when it has an N-th completion).
 
-    Plan: explode each completion to the N it contributes to, then ONE keyed
-    partial aggregation per (cell, N) -- no window, so a prompt with very many
-    completions is folded map-side instead of landing in one task. NaN
-    propagates through ``max`` like torch.cummax.
+    Plan: ONE keyed partial aggregation per cell into its first max_n
+    completions (conditional max, folded map-side), the best of each N
+    row-local, then the means. No window and no row is multiplied before the
+    first shuffle.
     """
-    x = _expand_n(rewards, max_n)
-    cell = x.groupBy("model", "split", "attribute", "prompt_id", "n").agg(
-        F.max("reward").alias("best"), F.max("completion_idx").alias("_top"))
-    return (cell.filter(F.col("_top") == F.col("n") - 1)
+    cell = rewards.groupBy("model", "split", "attribute", "prompt_id").agg(*_completions(max_n))
+    rows = [F.when(F.col(f"_c_{n - 1}") > 0, F.struct(F.lit(n).alias("n"), _best(n).alias("best"))) for n in range(1, max_n + 1)]
+    return (cell.select("model", "split", "attribute", F.inline(F.array_compact(F.array(*rows))))
             .groupBy("model", "split", "attribute", "n").agg(F.avg("best").alias("mean_best")))
 
 
@@ -226,24 +228,17 @@ def best_of_n_winrate(rewards: DataFrame, baseline: str, models: Sequence[str],
     best-of-N is at least the baseline's best-of-N; attribute 'Average' pools
     all attributes (grouping sets, one pass).
 
-    Plan: explode to N as in E6; ONE keyed partial aggregation per
-    (split, attribute, prompt, N) gives every listed model's and the
-    baseline's best-of-N side by side (no join, no window); the wins are then
-    counted per model.
+    Plan: as E6, ONE keyed partial aggregation per (split, attribute, prompt)
+    holds every listed model's and the baseline's completions side by side (no
+    join, no window); the wins of each N are row-local, then counted per model.
     """
     allm = [baseline, *[m for m in models if m != baseline]]
-    x = _expand_n(rewards.filter(F.col("model").isin(allm)), max_n)
-    aggs = []
-    for k, m in enumerate(allm):
-        hit = F.col("model") == m
-        aggs += [F.max(F.when(hit, F.col("reward"))).alias(f"_b{k}"),
-                 F.max(F.when(hit, F.col("completion_idx"))).alias(f"_t{k}")]
-    cell = x.groupBy("split", "attribute", "prompt_id", "n").agg(*aggs)
-    has = lambda k: F.col(f"_t{k}") == F.col("n") - 1
-    rows = [F.when(has(0) & has(k), F.struct(F.lit(m).alias("model"),
-                                             _i(ieee_ge(F.col(f"_b{k}"), F.col("_b0"))).alias("win")))
-            for k, m in enumerate(allm) if k > 0]
-    j = cell.select("split", "attribute", "n", F.inline(F.array_compact(F.array(*rows))))
+    aggs = [c for k, m in enumerate(allm) for c in _completions(max_n, F.col("model") == m, str(k))]
+    cell = rewards.filter(F.col("model").isin(allm)).groupBy("split", "attribute", "prompt_id").agg(*aggs)
+    has = lambda k, n: F.col(f"_c{k}_{n - 1}") > 0
+    rows = [F.when(has(0, n) & has(k, n), F.struct(F.lit(n).alias("n"), F.lit(m).alias("model"), _i(ieee_ge(_best(n, str(k)), _best(n, "0"))).alias("win")))
+            for n in range(1, max_n + 1) for k, m in enumerate(allm) if k > 0]
+    j = cell.select("split", "attribute", F.inline(F.array_compact(F.array(*rows))))
     g = j.groupingSets([["split", "model", "n", "attribute"], ["split", "model", "n"]],
                        "split", "model", "n", "attribute").agg(
         F.sum("win").alias("wins"), F.count(F.lit(1)).alias("cnt"), F.grouping("attribute").alias("_g"))

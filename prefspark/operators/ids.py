@@ -1,9 +1,9 @@
 """Dense 0..n-1 ids in a total order, without a global window or the driver.
 
 Plan: range-partition + sort within partitions on a total key, stamp each
-row with (partition id, monotonically increasing id) and checkpoint that to
-the reliable checkpoint folder (so a lost executor cannot re-derive other
-offsets), then add per-partition start offsets. The offsets table has one row
+row with (partition id, monotonically increasing id) and write that once as a
+table in the shared folder (so a lost executor cannot re-derive other offsets,
+and columns the caller drops are not read again), then add per-partition start offsets. The offsets table has one row
 per partition (its size is bounded by the partition count, so broadcasting it
 is safe) and is the only thing ever ordered globally.
 """
@@ -17,20 +17,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from prefspark.functions.core import hash_bigint
-from prefspark.session import ensure_checkpoint_dir
+from prefspark.session import materialize
 
 
 def dense_rank_ids(df: DataFrame, order_by: list, out: str = "row_id",
                    num_partitions: int | None = None) -> DataFrame:
     """Add ``out`` = 0..n-1 following ``order_by`` (must be a total order)."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cols = [F.col(c) if isinstance(c, str) else c for c in order_by]
     s = (df.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
          .withColumn("_pid", F.spark_partition_id())
-         .withColumn("_mid", F.monotonically_increasing_id())
-         .checkpoint(eager=True))
+         .withColumn("_mid", F.monotonically_increasing_id()))
+    s = materialize(s, "dense-ids")
     offs = s.groupBy("_pid").agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offs = offs.withColumn("_start", F.coalesce(F.sum("_n").over(w), F.lit(0)))
@@ -72,8 +70,14 @@ def hash_rank(df: DataFrame, id_col: str, seed: int, out: str, by=(), hash_parts
 
 
 def seeded_shuffle(df: DataFrame, id_col: str, seed: int, out: str = "shuffle_rank") -> DataFrame:
-    """A reproducible permutation: rank by (md5(seed|id), id)."""
-    return hash_rank(df, id_col, seed, out)
+    """A reproducible permutation: rank by (md5(seed|id), id).
+
+    Only the ids are ranked; other columns meet their rank in one join and never
+    pass through a window. ``id_col`` must be unique and not null. A ``df`` that is
+    dear to compute should be a written table: it is read three times, twice for
+    the ids alone."""
+    ranks = hash_rank(df.select(id_col), id_col, seed, out)
+    return ranks if df.columns == [id_col] else df.join(ranks, id_col)
 
 
 def top_histogram(keys: DataFrame) -> list[tuple[int, int]]:

@@ -29,11 +29,22 @@ def attribute_votes(scores: DataFrame, keys: Sequence[str], penalty: float | Non
         "vote", ieee_ge("s0", "s1").cast("int"))
 
 
-def multi_attribute_vote(scores: DataFrame, keys: Sequence[str], penalty: float | None = None) -> DataFrame:
-    """H1: preference probability = mean over attributes of the votes."""
-    v = attribute_votes(scores, keys, penalty)
-    return v.groupBy(*keys).agg((F.sum("vote") / F.count(F.lit(1))).alias("p"),
-                                F.count(F.lit(1)).alias("n_attributes"))
+def multi_attribute_vote(scores: DataFrame, keys: Sequence[str], penalty: float | None = None,
+                         attributes: Sequence[str] = ATTRIBUTES) -> DataFrame:
+    """H1: preference probability = mean over ``attributes`` of the votes (as in
+    :func:`attribute_votes`; an attribute without both scores doesn't vote).
+
+    One aggregation per pair holds both scores of every attribute: one shuffle."""
+    s = F.col("score")
+    if penalty is not None:
+        s = s - F.lit(float(penalty)) * (~F.col("has_eos")).cast("double")
+    side = lambda a, c: F.max(F.when((F.col("attribute") == a) & (F.col("completion_idx") == c), s))
+    g = scores.groupBy(*keys).agg(*[side(a, c).alias(f"_s{c}_{i}") for i, a in enumerate(attributes) for c in (0, 1)])
+    votes = [F.when(F.col(f"_s0_{i}").isNotNull() & F.col(f"_s1_{i}").isNotNull(), ieee_ge(f"_s0_{i}", f"_s1_{i}").cast("int")) for i in range(len(attributes))]
+    cast = F.array_compact(F.array(*votes))
+    total = F.aggregate(cast, F.lit(0), lambda n, v: n + v)
+    return (g.select(*keys, cast.alias("_cast"), total.alias("_wins")).where(F.size("_cast") > 0)
+            .select(*keys, (F.col("_wins") / F.size("_cast")).alias("p"), F.size("_cast").cast("long").alias("n_attributes")))
 
 
 def sampled_attribute_vote(scores: DataFrame, keys: Sequence[str], seed: int,

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from prefspark.functions import chat as ch
 from prefspark.operators import labels as lb
 from prefspark.operators.ids import seeded_shuffle
+from prefspark.session import materialize
 
 
 def filter_prompt_length(df: DataFrame, max_tokens: int, col: str = "prompt",
@@ -59,18 +60,19 @@ def source_annotated_summaries(raw: DataFrame, min_annotation_per_worker: int, m
                                target_weight: float = 1.0, compat_empty_post: bool = False) -> DataFrame:
     """Worker filter (D4) -> prompt (B7, B8) -> empty-post filter (C4) ->
     pairs by choice (D3) -> pair length filter (C2) -> chat structure (B1) ->
-    seeded shuffle rank (C6) -> loss weight on train (B14)."""
+    seeded shuffle rank (C6) -> loss weight on train (B14).
+
+    The filtered rows are written once; their ids are ranked without the texts,
+    and the messages are built after the ranks have been joined."""
     x = lb.worker_semi_join(raw, min_annotation_per_worker, worker_id)
     x = tldr_prompts(x, max_prompt_tokens)
     x = filter_empty_post(x, compat=compat_empty_post)
     x = lb.choice_pairs(x)
     x = filter_pair_length(x, max_response_tokens)
-    pm = ch.user_message(F.col("prompt"))
-    x = x.select(F.col("id").alias("prompt_id"), "split", "worker",
-                 pm.alias("prompt"),
-                 ch.with_assistant(pm, F.col("chosen")).alias("chosen"),
-                 ch.with_assistant(pm, F.col("rejected")).alias("rejected"))
+    x = materialize(x.select(F.col("id").alias("prompt_id"), "split", "worker", "prompt", "chosen", "rejected"), "annotated-summaries")
     x = seeded_shuffle(x, "prompt_id", seed)
+    pm = ch.user_message(F.col("prompt"))
+    x = x.withColumns({"prompt": pm, "chosen": ch.with_assistant(pm, F.col("chosen")), "rejected": ch.with_assistant(pm, F.col("rejected"))})
     if worker_id is not None:
         x = lb.loss_weight(x, worker_id, target_weight)
     return x

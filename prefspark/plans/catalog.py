@@ -717,14 +717,21 @@ def q_read_splits(spark, sf):
 
 @query("read_jsonl")
 def q_read_jsonl(spark, sf):
-    ev = fx.table(spark, sf, "events", "event_id", "props")
-    return sio.parse_json_records(ev, "props", "k long").select("event_id", "k")
+    """Records written as JSON lines, then read with a declared schema."""
+    path = _scratch(spark, "jsonl")
+    log = fx.table(spark, sf, "events", "event_id", "props")
+    sio.parse_json_records(log, "props", "k long").select("event_id", "k").write.json(path)
+    return sio.read_jsonl(spark, path, "event_id long, k long")
 
 
 @query("expand_attribute_paths")
 def q_expand_attribute_paths(spark, sf):
-    tagged = sio.read_attribute_tables(spark, f"{sf.rstrip('/')}/(labels|documents).parquet", ["doc_id"])
-    return tagged.groupBy("attribute").agg(F.count(F.lit(1)).alias("n_rows"))
+    """One reward table for each attribute, written first, read back through the template."""
+    path, rl = _scratch(spark, "attributes"), _rl(spark, sf)
+    for a in ATTRS:
+        rl.where(F.col("attribute") == a).drop("attribute").write.parquet(f"{path}/{a}.parquet")
+    tagged = sio.read_attribute_tables(spark, f"{path}/({'|'.join(ATTRS)}).parquet")
+    return tagged.groupBy("attribute", "model").agg(F.count(F.lit(1)).alias("n_rows"), F.max("reward").alias("best"))
 
 
 @query("split_row_counts")

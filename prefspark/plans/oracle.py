@@ -606,8 +606,8 @@ _o("read_table", "SELECT doc_id, text, lang, source, n_chars FROM documents")
 _o("write_splits", "SELECT id, worker, split FROM tldr_raw", ["tldr_raw"])
 _o("read_splits", "SELECT id, worker, split FROM tldr_raw WHERE split = 'validation'", ["tldr_raw"])
 _o("read_jsonl", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
-_o("expand_attribute_paths", """SELECT 'labels' AS attribute, count(*) AS n_rows FROM labels
-UNION ALL SELECT 'documents', count(*) FROM documents""")
+_o("expand_attribute_paths", """SELECT attribute, model, count(*) AS n_rows, max(reward) AS best
+FROM rewards_long GROUP BY attribute, model""", ["rewards_long"])
 _o("split_row_counts", """SELECT split, count(*) AS n_rows, 'raw' AS stage FROM tldr_raw GROUP BY split
 UNION ALL SELECT split, count(*), 'worker_filter' FROM kept GROUP BY split""", ["tldr_raw"],
    [("wc", WC), ("kept", SEMI.format(min_n=43, only=""))])
