@@ -130,11 +130,13 @@ def round_robin_tournament(rewards: DataFrame, players: Sequence[tuple[str, str,
            .groupBy("split", "i", "j").agg(F.sum("w").alias("w"), F.sum("n").alias("n")))
     names = f"array({', '.join(q(p[0]) for p in players)})"
     rate = "CASE WHEN n > 0 THEN CAST(w AS DOUBLE) / n END"
-    both = tot.selectExpr("split", f"inline(array(named_struct('player_i', {names}[i], 'player_j', {names}[j], 'win_rate', {rate}), "
-                                   f"named_struct('player_i', {names}[j], 'player_j', {names}[i], 'win_rate', 1.0D - ({rate}))))")
-    same = tot.where("i = 0 AND j = 1").selectExpr("split", f"explode({names}) AS player_i").selectExpr(
-        "split", "player_i", "player_i AS player_j", "CAST(0.0 AS DOUBLE) AS win_rate")
-    return both.unionByName(same)
+    row = "named_struct('player_i', {names}[{i}], 'player_j', {names}[{j}], 'win_rate', {rate})"
+    rows = [row.format(names=names, i="i", j="j", rate=rate), row.format(names=names, i="j", j="i", rate=f"1.0D - ({rate})")]
+    # a player against itself comes with its first pair, the last player's with the last pair
+    zero = "CAST(0.0 AS DOUBLE)"
+    rows += [f"IF(j = i + 1, {row.format(names=names, i='i', j='i', rate=zero)}, NULL)",
+             f"IF(i = {P - 2} AND j = {P - 1}, {row.format(names=names, i='j', j='j', rate=zero)}, NULL)"]
+    return tot.selectExpr("split", f"inline(array_compact(array({', '.join(rows)})))")
 
 
 def tournament_matrix(long: DataFrame, names: Sequence[str]) -> DataFrame:

@@ -8,11 +8,12 @@ import pytest
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "scripts"))
 
 import __spark_entry__ as E  # noqa: E402
+from prefspark.plans.catalog import QUERIES  # noqa: E402
 from oracle_check import duck, rows_of  # noqa: E402
 
 SF = os.environ.get("PREFSPARK_TEST_SF", "/root/testdata/sf0.001")
 ORACLE = E.oracle_sql()
-NAMES = sorted(E.queries())
+NAMES = sorted(QUERIES)
 
 
 @pytest.fixture(scope="module")

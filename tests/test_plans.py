@@ -7,11 +7,13 @@ import io
 import pytest
 
 import __spark_entry__ as E
+from prefspark.plans.catalog import QUERIES
 
 SF = "/root/testdata/sf0.001"
 JOINS = ("SortMergeJoin", "BroadcastHashJoin", "ShuffledHashJoin", "CartesianProduct", "BroadcastNestedLoopJoin")
 PYTHON = ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas", "PythonUDF")
-USER_FUNCTIONS = {"score_with_udf", "judge_with", "tokenize_with", "fit_reward_model", "metric_rollup_stream"}
+USER_FUNCTIONS = {"score_with_udf", "judge_with", "tokenize_with", "fit_reward_model", "reward_model_scores",
+                  "metric_rollup_stream", "metric_rollup_append"}
 
 
 def plan(spark, name):
@@ -50,8 +52,26 @@ def test_top_k_is_pushed_below_the_shuffle(spark):
 
 
 def test_no_python_outside_user_functions(spark):
-    for name in E.queries():
+    for name in QUERIES:
         if name in USER_FUNCTIONS:
             continue
         p = plan(spark, name)
         assert not any(x in p for x in PYTHON), name
+
+
+def _scans(spark, name):
+    p = plan(spark, name).split("\n\n(")[0]
+    return p.count("Scan parquet")
+
+
+@pytest.mark.parametrize("name,most", [("round_robin_tournament", 1), ("best_of_n_winrate", 1), ("multi_attribute_vote", 1),
+                                       ("rloo_advantage", 2), ("normalize_reward", 2), ("source_annotated_summaries", 3)])
+def test_scan_count(spark, name, most):
+    assert _scans(spark, name) <= most, plan(spark, name)
+
+
+def test_no_text_in_the_shuffle_rank(spark):
+    """The seeded shuffle of the annotated summaries ranks ids alone."""
+    p = plan(spark, "source_annotated_summaries")
+    windows = [b for b in p.split("\n\n") if "Window" in b.split("\n")[0] and "Input" in b]
+    assert windows and not any("chosen" in b for b in windows)

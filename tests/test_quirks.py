@@ -241,7 +241,7 @@ def test_sink_that_is_not_condorcet(spark):
 def test_player_bound_is_checked(spark):
     pl = _players(spark, {1: [[0, 1]]})
     with pytest.raises(ValueError):
-        gr.prompt_matrix(pl, 513)
+        gr.prompt_matrix(pl, 0)
 
 
 def test_schedule_modes(spark):
