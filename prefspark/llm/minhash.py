@@ -16,10 +16,11 @@ pairs in common:
 * the rest are confirmed on the full shingle sets.
 
 No group is expanded into all its pairs. First every member of a list is paired
-with the list's smallest member only; links found that way give provisional
-components. Then members of a list are paired only with members of other
-provisional components (not at all where the list lies in one), which finds
-every link that can still join two components.
+with one member only, the one in the middle (its pivot). Members of one pivot
+are then compared by what they differ in from the pivot, again merged on their
+rarest differences; members that are linked with the pivot are of one component
+and need no comparison. Only what has another component and another pivot is
+paired within a list, which finds every link that can still join two components.
 
 Defined results: null or white-space-only texts have no shingles, link with
 nothing and are their own components; fewer words than a shingle make one
@@ -42,7 +43,7 @@ from prefspark.llm.components import components
 from prefspark.llm.tables import materialize, row_runs, text_buffers
 from prefspark.llm.words import mixed, word_hashes
 
-COORDINATES, MATCHES = 64, 36
+COORDINATES, MATCHES, PIVOT_MATCHES = 64, 36, 16
 SIMILAR_PERCENT = 80
 
 _rng = np.random.default_rng(20240607)
@@ -90,7 +91,7 @@ def set_hash(shingles: np.ndarray) -> int:
 
 
 def signatures(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
-    """id, n_shingles, cls (hash of the shingle set), sig (binary; null for an empty set)."""
+    """id, text_key (hash of the text), n_shingles, cls (hash of the shingle set), sig (binary; null for an empty set)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size, cls, sig = [], [], []
@@ -98,11 +99,12 @@ def signatures(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame
                 size.append(len(s))
                 cls.append(set_hash(s))
                 sig.append(signature(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(cls, pa.int64()), pa.array(sig, pa.binary())],
-                                             ["id", "n_shingles", "cls", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(size, pa.int64()), pa.array(cls, pa.int64()), pa.array(sig, pa.binary())],
+                                             ["id", "text_key", "n_shingles", "cls", "sig"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_shingles long, cls long, sig binary")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key"))
+    return rows.mapInArrow(run, f"id {kind}, text_key long, n_shingles long, cls long, sig binary")
 
 
 def posted(classes: DataFrame) -> DataFrame:
@@ -120,30 +122,37 @@ def posted(classes: DataFrame) -> DataFrame:
 
 
 def merged_prefixes(classes: DataFrame) -> DataFrame:
-    """(key, cls) of the lists that are merged: of each class the rarest pairs, as far as others have them too."""
+    """(key, cls, score) of the lists that are merged: of each class the rarest pairs, as far as others
+    have them too. The score is how often its pairs occur: a group's middle has the largest."""
     shared = posted(classes).groupBy("key").count().where("count > 1")
     lists = posted(classes).join(shared, "key")
     rarest = F.array_sort(F.collect_list(F.struct("count", "key")))       # at most COORDINATES entries
     # pairs that only this class has come first and take up places of the prefix
     prefix = COORDINATES - MATCHES + 1
-    return (lists.groupBy("cls").agg(rarest.alias("own"))
-            .select("cls", F.explode(F.slice("own", F.lit(1), F.greatest(F.size("own") - (COORDINATES - prefix), F.lit(0)))).alias("own"))
-            .select(F.col("own.key").alias("key"), "cls"))
+    return (lists.groupBy("cls").agg(rarest.alias("own"), F.sum("count").alias("score"))
+            .select("cls", "score", F.explode(F.slice("own", F.lit(1), F.greatest(F.size("own") - (COORDINATES - prefix), F.lit(0)))).alias("own"))
+            .select(F.col("own.key").alias("key"), "cls", "score"))
 
 
-def enough_collisions(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose whole signatures agree in ``MATCHES`` coordinates and whose sizes allow a link."""
+def collisions(pairs: DataFrame, classes: DataFrame, least: int) -> DataFrame:
+    """(a, b, matches, n_a, n_b) of the pairs whose whole signatures agree in ``least`` coordinates."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(-1, COORDINATES) for i in (2, 3))
-                keep = pa.array((x == y).sum(1) >= MATCHES)
-                yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(-1, COORDINATES) for i in (4, 5))
+                same = (x == y).sum(1)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(same), *batch.columns[2:4]], names).filter(pa.array(same >= least))
 
+    names = ["a", "b", "matches", "n_a", "n_b"]
     x = classes.select(F.col("cls").alias("a"), F.col("sig").alias("sig_a"), F.col("n_shingles").alias("n_a"))
     y = classes.select(F.col("cls").alias("b"), F.col("sig").alias("sig_b"), F.col("n_shingles").alias("n_b"))
-    sized = pairs.join(x, "a").join(y, "b").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * SIMILAR_PERCENT)
-    return sized.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
+    both = pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "n_a", "n_b", "sig_a", "sig_b")
+    return both.mapInArrow(run, "a long, b long, matches long, n_a long, n_b long")
+
+
+def may_link(pairs: DataFrame) -> DataFrame:
+    """Pairs with enough collisions whose sizes allow a link."""
+    return pairs.where((F.col("matches") >= MATCHES) & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * SIMILAR_PERCENT))
 
 
 def class_sets(docs: DataFrame, wanted: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
@@ -153,12 +162,12 @@ def class_sets(docs: DataFrame, wanted: DataFrame, n: int, id_col: str, text_col
             for a in range(0, batch.num_rows, 500):
                 part = batch.slice(a, 500)
                 sets = list(shingle_sets(part.column(1), n))
-                # another row of the same id may hold another text
                 keep = [s.tobytes() if set_hash(s) == c else None for s, c in zip(sets, part.column(0).to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keep, pa.binary())], ["cls", "shingles"])
 
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = texts.join(wanted.select("cls", "rep"), F.col("id").eqNullSafe(F.col("rep")))
+    # ids may be null or occur with several texts: the text's hash tells them apart
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("key"))
+    rows = texts.join(wanted.select("cls", "rep", "rep_key"), F.col("id").eqNullSafe(F.col("rep")) & (F.col("key") == F.col("rep_key")))
     return rows.select("cls", "text").mapInArrow(run, "cls long, shingles binary").where("shingles is not null").dropDuplicates(["cls"])
 
 
@@ -174,39 +183,105 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
+    return with_sets(pairs, sets).mapInArrow(run, "a long, b long")
+
+
+def with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     x, y = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("cls").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y")
+
+
+def differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, n_a, n_b, n, element): a row for each shingle that only one of a and its pivot b has; n is their number."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint64) for c in (2, 3))
+                only = np.setxor1d(x, y, assume_unique=True).view(np.int64)
+                const = [pa.array(np.full(len(only), v, np.int64)) for v in (batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), len(x), len(y), len(only))]
+                yield pa.RecordBatch.from_arrays([*const, pa.array(only)], ["a", "b", "n_a", "n_b", "n", "element"])
+
+    return with_sets(pairs, sets).mapInArrow(run, "a long, b long, n_a long, n_b long, n long, element long")
+
+
+def around_pivots(pivots: DataFrame, links: DataFrame, sets: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) among members of one pivot of which at least one isn't linked with the pivot.
+
+    With D the shingles in which a member differs from the pivot, two members x and y are linked if
+    and only if |D_x| + |D_y| - 2 |D_x and D_y| <= (|x| + |y|) / 9 (for 80 percent). A member that is
+    not linked with the pivot has |D_x| > (|x| + |pivot|) / 9, so its partners share differences with
+    it, and by a lower bound each member need only be merged on its rarest differences. Members that
+    are both linked with the pivot are of one component anyway."""
+    linked = links.select("a", "b").withColumn("linked", F.lit(True))
+    members = pivots.join(linked, ["a", "b"], "left").select("a", "b", F.coalesce("linked", F.lit(False)).alias("linked"))
+    loose = members.where(~F.col("linked")).select("b").distinct()
+    members = materialize(members.join(loose, "b", "left_semi"), "pivot-members")
+    own = materialize(differences(members, sets), "differences")
+    shared = own.groupBy("b", "element").agg(F.count("*").alias("count")).where("count > 1")
+    # d shared of the larger set's share: links allow |x| + |y| over this many differences
+    over = (100 + SIMILAR_PERCENT) / (100 - SIMILAR_PERCENT)
+    rows = (own.join(shared, ["b", "element"]).groupBy("a", "b", "n_a", "n_b", "n")
+            .agg(F.array_sort(F.collect_list(F.struct("count", "element"))).alias("own"))
+            .join(members, ["a", "b"]))
+    n, x, p = F.col("n"), F.col("n_a"), F.col("n_b")
+    with_linked = F.greatest(F.ceil((n - (x + p) / over) / 2 - 1e-9), F.lit(1))       # least overlap of a loose member with a linked one
+    with_loose = F.greatest(F.ceil((n + (p - x) / over) / 2 - 1e-9), F.lit(1))        # of any member with a loose one
+    merged = lambda least: F.explode(F.slice("own", F.lit(1), F.greatest(
+        (n - least + 1 - (n - F.size("own"))).cast("int"), F.lit(0)))).alias("own")
+    post = lambda rows, least, name: rows.select("b", merged(least), F.col("a").alias(name)).select("b", F.col("own.element").alias("element"), name)
+    is_loose = rows.where(~F.col("linked"))
+    to_linked = post(is_loose, with_linked, "x").join(post(rows.where("linked"), with_loose, "y"), ["b", "element"])
+    to_loose = post(is_loose, with_loose, "x").join(post(is_loose, with_loose, "y"), ["b", "element"]).where("x > y")
+    pairs = to_linked.select("x", "y").union(to_loose.select("x", "y"))
+    return pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
 
 def groups(docs: DataFrame, n: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """The written signatures (id, n_shingles, cls), and cls, rep, root, component_id of every class."""
     signed = materialize(signatures(docs, n, id_col, text_col), "signatures")
+    smallest = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_key")).alias("k")
     classes = materialize(signed.where("n_shingles > 0").groupBy("cls").agg(
-        F.min("id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")), "classes")
+        smallest, F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
+        .select("cls", F.col("k.id").alias("rep"), F.col("k.text_key").alias("rep_key"), "n_shingles", "sig"), "classes")
     lists = materialize(merged_prefixes(classes), "lists")
 
-    # 1: every member of a list with the list's smallest member
-    heads = lists.groupBy("key").agg(F.min("cls").alias("b"), F.count("*").alias("m")).where("m > 1").select("key", "b")
+    sets = lambda pairs, name: materialize(class_sets(docs, classes.join(
+        pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "cls", "left_semi"), n, id_col, text_col), name)
+
+    # 1: every member of a list with the member in the list's middle, its pivot
+    heads = (lists.groupBy("key").agg(F.max(F.struct("score", "cls")).alias("head"), F.count("*").alias("m"))
+             .where("m > 1").select("key", F.col("head.cls").alias("b"), F.col("head.score").alias("score")))
     stars = lists.join(heads, "key").where("cls <> b").select(F.col("cls").alias("a"), "b").distinct()
-    stars = materialize(enough_collisions(stars, classes), "star-pairs")
-    sets = lambda pairs: class_sets(docs, classes.join(
-        pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "cls", "left_semi"), n, id_col, text_col)
-    star_links = materialize(confirmed(stars, materialize(sets(stars), "star-sets")), "star-links")
-    first = components(star_links)
-
-    # 2: members of a list with those of other provisional components
-    placed = materialize(lists.join(first.withColumnRenamed("node", "cls"), "cls", "left")
-                         .select("key", "cls", F.coalesce("root", "cls").alias("root")), "placed")
-    mixed_lists = placed.groupBy("key").agg(F.min("root").alias("home"), F.max("root").alias("other")).where("home <> other").select("key", "home")
-    inside = placed.join(mixed_lists, "key")
-    away = inside.where("root <> home").select("key", F.col("cls").alias("a"), F.col("root").alias("root_a"))
-    cross = (away.join(placed.select("key", F.col("cls").alias("b"), F.col("root").alias("root_b")), "key")
-             .where("root_a <> root_b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    known = stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    cross = materialize(enough_collisions(cross.join(known, ["a", "b"], "left_anti"), classes), "cross-pairs")
-    cross_links = materialize(confirmed(cross, materialize(sets(cross), "cross-sets")), "cross-links")
-
-    roots = components(star_links.union(cross_links)).withColumnRenamed("node", "cls")
+    stars = materialize(collisions(stars, classes, PIVOT_MATCHES), "star-pairs")
+    # of the heads that a class meets, the one that most have in common: a group gets one pivot
+    standing = heads.select("b", "score").distinct()
+    pivots = materialize(stars.join(standing, "b").groupBy("a").agg(F.max(F.struct("score", "b")).alias("k"))
+                         .select("a", F.col("k.b").alias("b")), "pivots")
+    star_sets = sets(may_link(stars).select("a", "b").union(pivots), "star-sets")
+    links = materialize(confirmed(may_link(stars), star_sets), "star-links")
+
+    # 2: members of one pivot by their differences from it
+    near = materialize(around_pivots(pivots, links, star_sets), "pivot-pairs")
+    links = materialize(links.union(confirmed(may_link(collisions(near, classes, MATCHES)), star_sets)), "pivot-links")
+    first = components(links)
+
+    # 3: members of a list with those of other components and pivots
+    of_pivot = pivots.select(F.col("a").alias("cls"), F.col("b").alias("pivot"))
+    placed = materialize(lists.select("key", "cls").join(first.withColumnRenamed("node", "cls"), "cls", "left").join(of_pivot, "cls", "left")
+                         .select("key", "cls", F.coalesce("root", "cls").alias("root"), F.coalesce("pivot", "cls").alias("pivot")), "placed")
+    # the side that isn't of the list's commonest kind is paired with all of the list
+    kinds = placed.groupBy("key", "root", "pivot").agg(F.count("*").alias("m"))
+    home = (kinds.groupBy("key").agg(F.max(F.struct("m", "root", "pivot")).alias("k"), F.count("*").alias("kinds"))
+            .where("kinds > 1").select("key", F.col("k.root").alias("home_root"), F.col("k.pivot").alias("home_pivot")))
+    away = (placed.join(home, "key").where("root <> home_root or pivot <> home_pivot")
+            .select("key", F.col("cls").alias("a"), F.col("root").alias("root_a"), F.col("pivot").alias("pivot_a")))
+    other = placed.select("key", F.col("cls").alias("b"), F.col("root").alias("root_b"), F.col("pivot").alias("pivot_b"))
+    cross = (away.join(other, "key").where("root_a <> root_b and pivot_a <> pivot_b and a <> pivot_b and b <> pivot_a")
+             .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    cross = materialize(may_link(collisions(cross, classes, MATCHES)).select("a", "b"), "cross-pairs")
+    cross_links = materialize(confirmed(cross, sets(cross, "cross-sets")), "cross-links")
+
+    roots = components(links.union(cross_links)).withColumnRenamed("node", "cls")
     placed_classes = classes.select("cls", "rep").join(roots, "cls", "left").select("cls", "rep", F.coalesce("root", "cls").alias("root"))
     ids = placed_classes.groupBy("root").agg(F.min("rep").alias("component_id"))
     return signed.select("id", "n_shingles", "cls"), placed_classes.join(ids, "root")

@@ -218,3 +218,25 @@ def test_count_threshold_is_calibrated():
     rng = np.random.default_rng(0)
     hits = (np.abs(rng.normal(size=(200_000, embeddings.PROJECTIONS))) <= embeddings.HALF_WIDTH).sum(1)
     assert 15 < c < 30 and (hits < c).mean() < 1e-4
+
+
+def test_minhash_many_null_ids(docs_of):
+    rng = random.Random(8)
+    base = [" ".join(rng.choices([f"w{i}" for i in range(400)], k=120)) for _ in range(12)]
+    rows = [(None, varied(rng, b, c)) for b in base for c in (0, 0, 1, 2)] + [(1, base[0]), (1, base[1])]
+    got = minhash.near_duplicates(docs_of(rows), 2).collect()
+    assert sorted((str(r.component_id), r.kept) for r in got) == sorted([("1", False)] * 8 + [("1", True)] * 2 + [("None", True)] * 40)
+    assert minhash.deduplicated(docs_of(rows)).count() == 12
+
+
+def test_minhash_star_of_loose_members(docs_of):
+    """Members that hardly resemble each other but a middle one, some of them linked by shared changes."""
+    rng = random.Random(11)
+    base = " ".join(rng.choices([f"w{i}" for i in range(500)], k=150))
+    loose = [varied(rng, base, c) for c in (6, 8, 10, 12, 14, 16, 18, 20) for _ in range(6)]
+    rows = [(i, t) for i, t in enumerate([base, *loose, *[varied(rng, t, 3) for t in loose[20:]]])]
+    sets = {i: shingles(t, 2) for i, t in rows}
+    links = [(a, b) for a, b in itertools.combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    want = brute_components(sets, links)
+    assert 1 < len(set(want.values())) < len(rows) - 1
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs_of(rows), 2).collect()} == want
