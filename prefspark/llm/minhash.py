@@ -269,11 +269,11 @@ def groups(docs: DataFrame, n: int, id_col: str, text_col: str) -> tuple[DataFra
     of_pivot = pivots.select(F.col("a").alias("cls"), F.col("b").alias("pivot"))
     placed = materialize(lists.select("key", "cls").join(first.withColumnRenamed("node", "cls"), "cls", "left").join(of_pivot, "cls", "left")
                          .select("key", "cls", F.coalesce("root", "cls").alias("root"), F.coalesce("pivot", "cls").alias("pivot")), "placed")
-    # the side that isn't of the list's commonest kind is paired with all of the list
-    kinds = placed.groupBy("key", "root", "pivot").agg(F.count("*").alias("m"))
-    home = (kinds.groupBy("key").agg(F.max(F.struct("m", "root", "pivot")).alias("k"), F.count("*").alias("kinds"))
-            .where("kinds > 1").select("key", F.col("k.root").alias("home_root"), F.col("k.pivot").alias("home_pivot")))
-    away = (placed.join(home, "key").where("root <> home_root or pivot <> home_pivot")
+    # of two members with different pivots one hasn't the list's commonest: that side is paired with all of the list
+    kinds = placed.groupBy("key", "pivot").agg(F.count("*").alias("m"))
+    home = (kinds.groupBy("key").agg(F.max(F.struct("m", "pivot")).alias("k"), F.count("*").alias("kinds"))
+            .where("kinds > 1").select("key", F.col("k.pivot").alias("home_pivot")))
+    away = (placed.join(home, "key").where("pivot <> home_pivot")
             .select("key", F.col("cls").alias("a"), F.col("root").alias("root_a"), F.col("pivot").alias("pivot_a")))
     other = placed.select("key", F.col("cls").alias("b"), F.col("root").alias("root_b"), F.col("pivot").alias("pivot_b"))
     cross = (away.join(other, "key").where("root_a <> root_b and pivot_a <> pivot_b and a <> pivot_b and b <> pivot_a")
