@@ -18,7 +18,7 @@ from pyspark.sql.types import StructType
 
 from prefspark.llm.tables import materialize, row_runs, text_buffers
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 
 
 def pack(table: pa.Table | pa.RecordBatch) -> bytes:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-CACHE_WORDS = 200_000
+CACHE_WORDS = 120_000
 MATRIX_WIDTH = 48
 NO_RANK = np.int32(2**31 - 1)
 
@@ -66,6 +66,10 @@ class ForcedBoundaryBpe:
         self._pair_table([(vocab[a], vocab[b], vocab[a + b]) for a, b in
                           (m if isinstance(m, list) else m.split(" ") for m in model["merges"])])
         self.joined = self._inside_pairs(vocab, symbols, suffix, size)
+        self.forget()
+
+    def forget(self) -> None:
+        """Empty the caches."""
         self.word_cache = TwoGenerations(self._encoded, CACHE_WORDS)
         self.chunk_cache = TwoGenerations(self._composed, CACHE_WORDS)
 
@@ -268,6 +272,12 @@ def _chunks(text: str) -> list[str]:
     return [c for c in re.split("[\t-\r \x85\xa0]+", text) if c] if _SEPARATORS.search(text) else text.split()
 
 
+def texts_of(col: pa.Array, rows: int = 256) -> Iterator[str | None]:
+    """A column's texts, a few at a time."""
+    for a in range(0, len(col), rows):
+        yield from col.slice(a, rows).to_pylist()
+
+
 _LOADED: dict[str, ForcedBoundaryBpe] = {}
 
 
@@ -288,7 +298,7 @@ def bpe_roundtrip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
         for batch in batches:
             n, ids, dec = [], [], []
             hid, hdec = [], []
-            for k, i, d in bpe.digests(t or "" for t in batch.column(1).to_pylist()):
+            for k, i, d in bpe.digests(t or "" for t in texts_of(batch.column(1))):
                 n.append(k)
                 hid.append(hashlib.sha256(i.encode()).hexdigest())
                 hdec.append(hashlib.sha256(d.encode()).hexdigest())
@@ -300,6 +310,7 @@ def bpe_roundtrip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
             if keep_texts:
                 cols, names = [*cols, pa.array(ids, pa.string()), pa.array(dec, pa.string())], [*names, "ids", "decoded"]
             yield pa.RecordBatch.from_arrays(cols, names)
+        bpe.forget()        # the worker lives on; its memory is for the next task's work
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"{id_col} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"

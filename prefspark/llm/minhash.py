@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prefspark.llm.components import components
-from prefspark.llm.tables import materialize, row_runs, text_buffers
+from prefspark.llm.tables import materialize, row_runs, small_batches, text_buffers
 from prefspark.llm.words import mixed, word_hashes
 
 COORDINATES, MATCHES, PIVOT_MATCHES = 64, 36, 16
@@ -216,7 +216,8 @@ def around_pivots(pivots: DataFrame, links: DataFrame, sets: DataFrame) -> DataF
     members = pivots.join(linked, ["a", "b"], "left").select("a", "b", F.coalesce("linked", F.lit(False)).alias("linked"))
     loose = members.where(~F.col("linked")).select("b").distinct()
     members = materialize(members.join(loose, "b", "left_semi"), "pivot-members")
-    own = materialize(differences(members, sets), "differences")
+    with small_batches(pivots.sparkSession):
+        own = materialize(differences(members, sets), "differences")
     shared = own.groupBy("b", "element").agg(F.count("*").alias("count")).where("count > 1")
     # d shared of the larger set's share: links allow |x| + |y| over this many differences
     over = (100 + SIMILAR_PERCENT) / (100 - SIMILAR_PERCENT)
@@ -258,11 +259,14 @@ def groups(docs: DataFrame, n: int, id_col: str, text_col: str) -> tuple[DataFra
     pivots = materialize(stars.join(standing, "b").groupBy("a").agg(F.max(F.struct("score", "b")).alias("k"))
                          .select("a", F.col("k.b").alias("b")), "pivots")
     star_sets = sets(may_link(stars).select("a", "b").union(pivots), "star-sets")
-    links = materialize(confirmed(may_link(stars), star_sets), "star-links")
+    spark = docs.sparkSession
+    with small_batches(spark):
+        links = materialize(confirmed(may_link(stars), star_sets), "star-links")
 
     # 2: members of one pivot by their differences from it
     near = materialize(around_pivots(pivots, links, star_sets), "pivot-pairs")
-    links = materialize(links.union(confirmed(may_link(collisions(near, classes, MATCHES)), star_sets)), "pivot-links")
+    with small_batches(spark):
+        links = materialize(links.union(confirmed(may_link(collisions(near, classes, MATCHES)), star_sets)), "pivot-links")
     first = components(links)
 
     # 3: members of a list with those of other components and pivots
@@ -279,7 +283,9 @@ def groups(docs: DataFrame, n: int, id_col: str, text_col: str) -> tuple[DataFra
     cross = (away.join(other, "key").where("root_a <> root_b and pivot_a <> pivot_b and a <> pivot_b and b <> pivot_a")
              .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     cross = materialize(may_link(collisions(cross, classes, MATCHES)).select("a", "b"), "cross-pairs")
-    cross_links = materialize(confirmed(cross, sets(cross, "cross-sets")), "cross-links")
+    cross_sets = sets(cross, "cross-sets")
+    with small_batches(spark):
+        cross_links = materialize(confirmed(cross, cross_sets), "cross-links")
 
     roots = components(links.union(cross_links)).withColumnRenamed("node", "cls")
     placed_classes = classes.select("cls", "rep").join(roots, "cls", "left").select("cls", "rep", F.coalesce("root", "cls").alias("root"))

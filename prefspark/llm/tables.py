@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from prefspark.session import materialize
 
-__all__ = ["read", "held_out", "text_buffers", "row_runs", "materialize", "partitions_for"]
+__all__ = ["read", "held_out", "text_buffers", "row_runs", "materialize", "partitions_for", "small_batches"]
 
 
 def read(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
@@ -25,6 +26,18 @@ def held_out(id_col: str, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds == fold, F.lit(True))
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 500):
+    """Rows with large binary values go to Python in small batches while this lasts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def partitions_for(df: DataFrame) -> int:
     """The session's shuffle partition count (the cluster sizes it to its input)."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

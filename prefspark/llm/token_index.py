@@ -363,6 +363,7 @@ def write_index(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2, i
                     yield rows()
         if writer is not None:
             totals[-1] = writer.close()
+        enc.forget()        # the worker lives on; its memory is for the next task's work
         if keys:
             yield rows()
 

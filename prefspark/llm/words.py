@@ -29,7 +29,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n."""
     if len(_powers.get("up", ())) < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length())
+        size = -(-n // 65536) * 65536
         for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 2**64))):
             p = np.full(size, base, np.uint64)
             p[0] = 1
