@@ -156,6 +156,31 @@ def test_toxicity_learns_pairs(spark, docs_of):
     assert toxicity.toxicity(df.limit(0), lab).collect() == []
 
 
+def test_toxicity_learns_pairs_of_neutral_terms():
+    rng, plain, p = random.Random(3), [f"w{i}" for i in range(200)], 0.3
+    texts, kinds = [], []
+    for _ in range(3000):
+        insult, group = rng.random() < p, rng.random() < p
+        other = not insult and not group and rng.random() < p / (1 - p)
+        words = rng.choices(plain, k=rng.randrange(5, 60)) + ["zork"] * insult + ["them"] * group + ["vile"] * other
+        rng.shuffle(words)
+        texts.append(" ".join(words))
+        kinds.append((insult and group, int(insult and group or other)))
+    terms = [t[x:y] for t, f in toxicity.batch_terms(pa.array(texts)) for x, y in zip(f, f[1:])]
+    samples = [(t, y) for t, (_, y) in zip(terms, kinds)]
+    fm = toxicity.fit(samples[:2000])
+    scores = [fm.score(t, np.array([0, len(t)]))[0] for t in terms]
+    # either term alone is toxic as often as any text
+    rate = sum(y for _, y in kinds[:2000]) / 2000
+    for word in ("zork", "them"):
+        own = [y for t, (_, y) in zip(texts[:2000], kinds) if word in t.split()]
+        assert abs(sum(own) / len(own) - rate) < 3 * math.sqrt(rate * (1 - rate) / len(own))
+    held = list(zip(scores, kinds))[2000:]
+    pairs = [s for s, (both, _) in held if both]
+    assert len(pairs) > 50 and sum(s >= 0.5 for s in pairs) / len(pairs) > 0.9
+    assert sum((s >= 0.5) == y for s, (_, y) in held) / len(held) > 0.95
+
+
 def test_language_gradient():
     net = language.ByteNetwork(["a", "b"])
     net.p = {k: w.astype(np.float64) for k, w in net.p.items()}
