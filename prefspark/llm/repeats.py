@@ -149,12 +149,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         key = mixed((anchor << np.uint64(32) | e["low"]) + (e["high"].astype(np.uint64) << np.uint64(40)) * np.uint64(0x9E3779B97F4A7C15))
         head, number, least = least_per(key, e["id"])
         removed = e["id"] > least
-        # triggers with several contents, of several ids: the first holder of each content shows its windows
+        # triggers with several contents, of several ids: the holders of each content with its smallest id
+        # show their windows (rows of equal id can lie in several blocks)
         _, trigger, least_of_trigger = least_per(anchor[head], e["id"][head])
         contents = np.bincount(trigger, minlength=1)
         several = np.bincount(trigger, e["id"][head] > least_of_trigger, len(contents)) > 0
-        shown = np.zeros(len(key), bool)
-        shown[head] = ((contents > 1) & several)[trigger]
+        shown = ((contents > 1) & several)[trigger][number] & (e["id"] == least)
         either = removed | shown
         yield either, {"phrase": e["phrase"], "whole": removed.astype(np.uint8)}
 

@@ -135,6 +135,19 @@ def test_repeats_equal_brute_force(docs_of, monkeypatch):
     assert {i: sorted(v) for i, v in got.items()} == brute_repeats(rows)
 
 
+def test_repeats_of_equal_ids_in_two_partitions(docs_of):
+    rng = random.Random(5)
+    passage = "".join(rng.choices("abcdefghij ", k=75))
+    other = lambda: "".join(rng.choices("klmnopqrst ", k=120))
+    fifth = other() + passage + other()
+    rows = [(1, other() + passage + other()), (5, fifth), (5, fifth), (5, other() + fifth)]
+    got = {}
+    for r in repeats.remove_repeats(docs_of(rows).repartitionByRange(4, "text").union(docs_of([(5, fifth)]))).collect():
+        got.setdefault(r.doc_id, []).append((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256))
+    want = brute_repeats([*rows, (5, fifth)])
+    assert {i: sorted(v) for i, v in got.items()} == want and min(w[1] for w in want[5]) >= 75
+
+
 def test_repeats_text_and_empty(spark, docs_of):
     text = "Ein schöner Satz über Äpfel, lang genug für fünfzig Bytes und mehr. "
     got = {r.doc_id: r.kept_text for r in repeats.remove_repeats(docs_of([(1, "vor " + text), (2, "é" + text + "ü"), (3, None)]), with_text=True).collect()}
