@@ -13,10 +13,10 @@ places. Phrases therefore decide everything:
    content hash, smallest id). The dictionary is sorted by trigger, content and
    id: a phrase that a smaller id has too is removed as a whole, with all its
    windows. Highly repetitive text ends here, a phrase for about 15 bytes.
-2. Suffixes. A trigger with different contents has matches that begin or end
-   inside a phrase. Only of such phrases the windows (the dictionary's suffixes
-   cut at ``LENGTH``) are reported, sorted in corpus order of their hashes, and
-   each is compared with the smallest id that has it.
+2. Windows. A trigger with different contents has matches that begin or end
+   inside a phrase. Only of such phrases the windows of ``LENGTH`` bytes are
+   reported as hashes (no suffix array is built), and each is compared with the
+   smallest id that has it.
 3. Parse. Every block is parsed again, the answers for its phrases and windows
    are laid over the text, and overlapping strings merge into spans.
 
