@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from prefspark.session import materialize
 
-__all__ = ["read", "held_out", "text_buffers", "row_runs", "materialize", "partitions_for", "small_batches"]
+__all__ = ["read", "held_out", "text_buffers", "row_runs", "materialize", "partitions_for", "small_batches", "discard"]
 
 
 def read(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
@@ -43,6 +43,14 @@ def partitions_for(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def discard(table: DataFrame) -> None:
+    """Delete the files of a materialized table that nothing reads any more."""
+    jvm, conf = table.sparkSession._jvm, table.sparkSession._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def text_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and the n+1 row offsets into them.
 

@@ -248,6 +248,22 @@ def test_lm_model_is_a_distribution():
     assert abs(total - 1) < 1e-4
 
 
+def test_lm_context_gain_holds_as_the_corpus_grows(docs_of):
+    gains = []
+    for n in (200, 800):
+        rng, words, rows = random.Random(n), 5 * n, []
+        after = rng.sample(range(words), words)
+        for i in range(n):
+            w, own = rng.randrange(words), []
+            for _ in range(100):
+                own.append(f"w{w}")
+                w = after[w] if rng.random() < 0.9 else rng.randrange(words)
+            rows.append((i, " ".join(own)))
+        held = [r for r in maxent.lm_scores(docs_of(rows)).collect() if r.held_out]
+        gains.append(sum(r.score - r.base_score for r in held) / sum(r.n_tokens for r in held))
+    assert gains[1] > gains[0] > 1.6, gains
+
+
 def test_lm_cases(spark, docs_of):
     got = {r.doc_id: r for r in maxent.lm_scores(docs_of([(1, None), (2, ""), (None, "a b"), (3, "a  B\ta"), (4, "z " * 20_000)])).collect()}
     assert got[1][2:] == got[2][2:] and got[1].n_tokens == 1 and got[None].held_out and got[4].n_tokens == 20_001
