@@ -9,7 +9,8 @@ normalized); its language is the most probable one.
 
 The network is trained in numpy by backpropagation through time on at most
 ``SAMPLE_ROWS`` documents for each language outside the held-out fold, picked by a
-hash of the id; only text and language of those rows are read. Prediction is one
+hash of the id, from ``SAMPLE_WINDOWS`` windows of each at places drawn by a hash
+over the whole text; only text and language of those rows are read. Prediction is one
 pass over all whole texts without a shuffle.
 
 Defined results: a null or empty text, or one without a letter, is ``und`` with
@@ -184,10 +185,10 @@ def train(docs: DataFrame, most: int = SAMPLE_ROWS, id_col: str = "doc_id", text
     share = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1 << 20, 2 * most * (1 << 20) // n))])
     mark = F.pmod(F.xxhash64("id", F.lit(23)), F.lit(1 << 20))
     picked = own.where(mark < share[F.col("lang")])
-    # training windows at fixed places of a document: its start, its middle and its end
+    # a training window from each third of a document, at a place drawn by a hash of the id: any byte can be learned from
     length = F.octet_length("text")
-    cuts = [F.substring(F.encode("text", "UTF-8"), (F.greatest(length - WINDOW, F.lit(0)) * i / (SAMPLE_WINDOWS - 1)).cast("int") + 1, WINDOW)
-            for i in range(SAMPLE_WINDOWS)]
+    drawn = [(F.pmod(F.xxhash64("id", F.lit(i)), F.lit(1 << 20)) / (1 << 20) + i) / SAMPLE_WINDOWS for i in range(SAMPLE_WINDOWS)]
+    cuts = [F.substring(F.encode("text", "UTF-8"), (F.greatest(length - WINDOW + 1, F.lit(1)) * u).cast("int") + 1, WINDOW) for u in drawn]
     rows = sorted(picked.select("lang", "id", F.array(*cuts).alias("cuts"), mark.alias("mark")).where("text is not null")
                   .limit(4 * most * len(counts)).collect(), key=lambda r: (r.lang, r.mark, str(r.id)))
     texts, labels, taken = [], [], dict.fromkeys(counts, 0)

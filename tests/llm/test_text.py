@@ -217,6 +217,18 @@ def test_language_cases(spark, docs_of):
     assert language.languages(unknown.limit(0)).collect() == []
 
 
+def test_language_learns_from_the_whole_text(docs_of):
+    rng, rows = random.Random(8), []
+    words = {"aa": ["kali", "mora", "tipu"], "bb": ["schwert", "zwolf", "grun"]}
+    for i in range(400):
+        x, same = rng.choice([*words]), "1234 5678 " * 12
+        part = lambda: " ".join(rng.choices(words[x], k=150))[:600]
+        rows.append((i, same + part() + same + part() + same, x))       # start, middle and end are the same in both
+    got = {r.doc_id: r for r in language.languages(docs_of(rows)).collect()}
+    held = [(got[i].lang_pred, x) for i, _, x in rows if got[i].held_out]
+    assert len(held) > 50 and sum(a == b for a, b in held) / len(held) > 0.95
+
+
 def test_lm_base_and_gain(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
     lower = {c: c + 32 for c in range(65, 91)}
