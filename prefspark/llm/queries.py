@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from prefspark.llm import bpe, chat_format, decontaminate, embeddings, language, maxent, minhash, repeats, token_index, toxicity
+from prefspark.llm import bpe, chat_format, decontaminate, embeddings, language, line_dedup, maxent, minhash, repeats, spelling, token_index, toxicity, whitening
 from prefspark.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -146,6 +147,34 @@ def op4_lm_scores(spark, sf_dir):
     return maxent.lm_scores(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+@query("op11_spelling_variants")
+def op11_spelling_variants(spark, sf_dir):
+    return spelling.spelling_forms(spelling.contract_words(read(spark, sf_dir, "documents", "doc_id", "text")))
+
+
+@query("op12_line_dedup")
+def op12_line_dedup(spark, sf_dir):
+    got = line_dedup.drop_repeated_lines(read(spark, sf_dir, "documents", "doc_id", "text"))
+    return got.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+ORACLE["op12_line_dedup"] = r"""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                  generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+o AS (SELECT *, length(key) >= 10 AND min(doc_id) OVER (PARTITION BY key) < doc_id AS gone FROM k)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM o GROUP BY doc_id
+"""
+
+
+@query("op13_embedding_whitening")
+def op13_embedding_whitening(spark, sf_dir):
+    return whitening.whiten(read(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 @query("pipeline")
 def pipeline(spark, sf_dir):
     import corpus_pipeline
