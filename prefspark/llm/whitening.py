@@ -19,7 +19,8 @@ batch and a d by d sum; the sums of the tasks meet row by row of the matrix.
 
 Defined results: a vector that is null, or holds null or non-finite entries, is
 dropped; shorter vectors are filled with zeros to the longest length; entries
-beyond a long's range become its limits; rows with equal or null ids are rows of
+beyond a long's range become its limits, a deviation of more than 38 digits (in the
+query: beyond a long's range) is null; rows with equal or null ids are rows of
 their own, and so are equal vectors, which count once in the fit. Components without
 variance (fewer distinct vectors than dimensions, constant entries) have explained
 0, whitened null, and no part in identity_error (0 if there is no other). An empty
