@@ -7,17 +7,20 @@ around it (pairing, flips, aggregation) stays in native expressions.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, StructField, StructType
 
 from prefspark.functions import chat as ch
 from prefspark.functions.chat import TOKEN_RE
 from prefspark.functions.core import coin
+from prefspark.session import materialize
 
 # ---------------------------------------------------------------- U1 scorers
 
@@ -74,6 +77,51 @@ def judge_with(pairs: DataFrame, make_judge: Callable[[], Callable[[pd.Series, p
     return x.withColumn("p", F.when(F.col("flip"), F.lit(1.0) - F.col("p_raw")).otherwise(F.col("p_raw")))
 
 
+def judge_each_with(pairs: DataFrame, make_judge: Callable[[], Callable[[str, str, str], float]], seed: int, key: str = "pair_id",
+                    threads: int = 8, attempts: int = 1) -> DataFrame:
+    """U2 for a judge that answers one pair at a time and may fail: ``j(prompt, first, second) -> p(first wins)``.
+
+    The calls of a batch run in a pool of ``threads`` threads a task and keep their order. A call
+    that raises, or returns nothing or NaN, is repeated up to ``attempts`` times in all; then
+    the pair's probability is 0.5 and ``failed`` is true. ``calls`` is the number of calls
+    made. Answers are written as a table, so no later use of them calls the judge again.
+    Around it is the seeded position flip (H3), as in :func:`judge_with`."""
+    if threads < 1 or attempts < 1:
+        raise ValueError("threads and attempts must be at least 1")
+
+    @F.pandas_udf(StructType([StructField("p", DoubleType()), StructField("failed", BooleanType()), StructField("calls", IntegerType())]))
+    def _judge(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        judge = make_judge()
+
+        def ask(pair: tuple[str, str, str]) -> tuple[float, bool, int]:
+            for n in range(1, attempts + 1):
+                try:
+                    p = float(judge(*pair))
+                except Exception:  # noqa: BLE001 - whatever a judge raises is a failed call
+                    continue
+                if not math.isnan(p):
+                    return p, False, n
+            return 0.5, True, attempts
+
+        with ThreadPoolExecutor(threads) as pool:
+            for p, a, b in batches:
+                rows = zip(*(s.astype(object).where(s.notna(), None) for s in (p, a, b)))
+                yield pd.DataFrame(list(pool.map(ask, rows)), columns=["p", "failed", "calls"])
+
+    x = pairs.withColumn("flip", coin(seed, F.col(key)) == 1)
+    first = F.when(F.col("flip"), F.col("response1")).otherwise(F.col("response0"))
+    second = F.when(F.col("flip"), F.col("response0")).otherwise(F.col("response1"))
+    x = materialize(x.withColumn("_a", _judge(F.col("prompt"), first, second)), "judged")
+    p = F.col("_a.p")
+    return x.withColumns({"p": F.when(F.col("flip"), F.lit(1.0) - p).otherwise(p), "failed": F.col("_a.failed"), "calls": F.col("_a.calls")}).drop("_a")
+
+
+def judge_failures(judged: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., n_pairs, n_failed, n_calls) of answers."""
+    return judged.groupBy(*by).agg(F.count(F.lit(1)).alias("n_pairs"), F.coalesce(F.sum(F.col("failed").cast("long")), F.lit(0)).alias("n_failed"),
+                                   F.coalesce(F.sum("calls"), F.lit(0)).alias("n_calls"))
+
+
 def length_judge() -> Callable[[pd.Series, pd.Series, pd.Series], pd.Series]:
     """Example judge: prefers the longer response (1.0 / 0.0 / 0.5 on ties)."""
     def j(p: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
