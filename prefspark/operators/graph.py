@@ -154,6 +154,13 @@ def preference_graph(players_long: DataFrame, n_players: int,
     return m.select("split", "prompt_id", F.expr(g).alias("g")).select("split", "prompt_id", "g.*")
 
 
+def edge_rows(graph: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys..., src, dst): a row for each bit of the adjacency words."""
+    words = graph.select(*keys, F.posexplode("adjacency").alias("src", "_words")).select(*keys, "src", F.posexplode("_words").alias("_w", "_mask"))
+    bits = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda j: F.getbit("_mask", j) == 1)
+    return words.select(*keys, "src", "_w", F.explode(bits).alias("_j")).select(*keys, "src", (F.col("_w") * 64 + F.col("_j")).alias("dst"))
+
+
 def graph_report(players_long: DataFrame, n_players: int,
                  attributes: Sequence[str] = ATTRIBUTES) -> DataFrame:
     """H7 + H8 + H9 per prompt: acyclic flag, Condorcet winner, sink nodes."""
