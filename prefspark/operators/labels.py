@@ -44,29 +44,43 @@ def side_stats_from_arrays(rows: DataFrame, attributes: Sequence[str] = ATTRIBUT
     return rows.select("prompt_id", "completion_idx", F.inline(F.array(*out)))
 
 
+def _same(col: str, rows: str = "count(1)") -> str:
+    """All rows of a group hold one value, null being a value (SQL aggregate text)."""
+    return f"(count({col}) = 0 OR (count({col}) = {rows} AND min({col}) = max({col})))"
+
+
 def pair_rows(rows: DataFrame, order: str, attributes: Sequence[str] = ATTRIBUTES, text: str = "response",
               prompt: str = "prompt") -> tuple[DataFrame, DataFrame]:
     """D1 on the raw table: rows 2k and 2k + 1 in ``order`` (a dense position, as
-    ``ids.dense_ids`` gives) are the two responses of prompt k; every other column
-    is carried along by side. Returns (responses, errors): responses as
-    (prompt_id, completion_idx, prompt, response, rating lists), errors for
-    positions whose two rows don't share their prompt or that lack a row."""
+    ``ids.dense_ids`` gives) are the two responses of prompt k. Returns (responses, errors):
+    responses as (prompt_id, completion_idx, prompt, response, rating lists), errors for
+    positions whose two rows don't share their prompt (a null prompt equals only
+    another null), that lack a row or hold one twice, and for null positions.
+
+    One aggregation carries each side as a struct; good pairs are unfolded again, so
+    the table is scanned and shuffled once for either result."""
+    side = F.struct(F.col(prompt).alias("prompt"), F.col(text).alias("response"), *attributes)
     x = rows.select(F.floor(F.col(order) / 2).cast("long").alias("prompt_id"), (F.col(order) % 2).cast("int").alias("completion_idx"),
-                    F.col(prompt).alias("prompt"), F.col(text).alias("response"), *attributes)
-    g = x.groupBy("prompt_id").agg(F.count(F.lit(1)).alias("n_rows"), F.min("prompt").eqNullSafe(F.max("prompt")).alias("same_prompt"))
-    bad = g.where((F.col("n_rows") != 2) | ~F.col("same_prompt"))
-    return x.join(bad.select("prompt_id"), "prompt_id", "left_anti"), bad
+                    F.col(prompt).alias("prompt"), side.alias("side"))
+    of = lambda k: F.when(F.col("completion_idx") == k, F.col("side"))
+    g = x.groupBy("prompt_id").agg(F.count(F.lit(1)).alias("n_rows"), F.expr(_same("prompt")).alias("same_prompt"),
+                                   F.count(of(0)).alias("n0"), F.count(of(1)).alias("n1"),
+                                   F.first(of(0), ignorenulls=True).alias("s0"), F.first(of(1), ignorenulls=True).alias("s1"))
+    ok = (F.col("n0") == 1) & (F.col("n1") == 1) & F.col("same_prompt") & F.col("prompt_id").isNotNull()
+    both = F.array(F.struct(F.lit(0).alias("completion_idx"), "s0.*"), F.struct(F.lit(1).alias("completion_idx"), "s1.*"))
+    return g.where(ok).select("prompt_id", F.inline(both)), g.where(~ok).select("prompt_id", "n_rows", "same_prompt")
 
 
 def pair_consecutive(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The two responses of a prompt become one row (response0, response1).
 
     Keyed pairing (not by row position): a prompt that does not have exactly
-    one response per side goes to the error table instead of failing the job.
+    one response per side, or whose rows differ in their prompt (null equals only null),
+    goes to the error table instead of failing the job.
     """
     g = responses.groupBy("prompt_id").agg(
         F.count(F.lit(1)).alias("n_rows"),
-        (F.min("prompt") == F.max("prompt")).alias("same_prompt"),
+        F.expr(_same("prompt")).alias("same_prompt"),
         F.max(F.when(F.col("completion_idx") == 0, F.col("prompt"))).alias("prompt"),
         F.max(F.when(F.col("completion_idx") == 0, F.col("response"))).alias("response0"),
         F.max(F.when(F.col("completion_idx") == 1, F.col("response"))).alias("response1"),
@@ -138,7 +152,7 @@ def rated_pairs(rows: DataFrame, seed: int = 42, compat: bool = False,
     both responses (checked unique per side) and count / sum / sum of squares
     of every attribute per side; labels ``label_<attribute>`` are then
     computed row-locally. Returns (pairs, errors)."""
-    aggs = [F.expr("min(prompt) AS prompt"), F.expr("min(prompt) = max(prompt) AS _p1")]
+    aggs = [F.expr("min(prompt) AS prompt"), F.expr(f"{_same('prompt')} AS _p1")]
     for s_ in (0, 1):
         r = f"CASE WHEN completion_idx = {s_} THEN response END"
         aggs += [F.expr(f"min({r}) AS response{s_}"), F.expr(f"min({r}) = max({r}) AS _u{s_}")]

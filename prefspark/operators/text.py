@@ -27,14 +27,16 @@ def filter_prompt_length(df: DataFrame, max_tokens: int, col: str = "prompt",
 
 def filter_pair_length(df: DataFrame, max_tokens: int, a: str = "chosen", b: str = "rejected",
                        counter: ch.Counter | None = None) -> DataFrame:
-    """Keep a pair only when BOTH texts have <= max_tokens tokens."""
-    return df.filter((ch.token_count(F.col(a), counter) <= max_tokens) & (ch.token_count(F.col(b), counter) <= max_tokens))
+    """Keep a pair only when BOTH texts have <= max_tokens tokens. A null text has
+    no tokens, as in C1."""
+    fits = lambda c: F.coalesce(ch.token_count(F.col(c), counter), F.lit(0)) <= max_tokens
+    return df.filter(fits(a) & fits(b))
 
 
 def filter_message_length(df: DataFrame, max_tokens: int, col: str = "messages",
                           counter: ch.Counter | None = None) -> DataFrame:
-    """Single-sequence form of C2."""
-    return df.filter(ch.token_count(F.col(col), counter) <= max_tokens)
+    """Single-sequence form of C2; a null text has no tokens."""
+    return df.filter(F.coalesce(ch.token_count(F.col(col), counter), F.lit(0)) <= max_tokens)
 
 
 def filter_empty_post(df: DataFrame, compat: bool = False, prompt: str = "prompt", post: str = "post") -> DataFrame:

@@ -7,6 +7,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,11 +19,16 @@ from prefspark.operators import graph as gr
 from prefspark.operators import ids as idx
 from prefspark.operators import judge as jd
 from prefspark.operators import labels as lb
+from prefspark.operators import peel as pl
+from prefspark.operators import reward_fit as rf
 from prefspark.operators import rollout as ro
+from prefspark.operators import rounds as rd
 from prefspark.operators import shape as sh
+from prefspark.operators import subword as sw
 from prefspark.operators import text as tx
 from prefspark.operators import udf as uf
 from prefspark.session import ensure_checkpoint_dir, materialize
+from prefspark.sources import eval_json as ej
 from prefspark.sources import fixtures as fx
 from prefspark.sources import io as sio
 from prefspark.streaming import metrics as sm
@@ -152,6 +158,13 @@ def q_acyclic(spark, sf):
     return gr.graph_report(_players(spark, sf), N_PLAYERS).select("split", "prompt_id", "acyclic")
 
 
+@query("acyclic_check_edges")
+def q_acyclic_edges(spark, sf):
+    """H7 on edge tables: the same graphs, an edge a row."""
+    graph = gr.preference_graph(_players(spark, sf), N_PLAYERS)
+    return pl.acyclic_graphs(gr.edge_rows(graph, ["split", "prompt_id"]), ["split", "prompt_id"], graphs=graph)
+
+
 @query("condorcet_winner")
 def q_condorcet(spark, sf):
     return gr.graph_report(_players(spark, sf), N_PLAYERS).select("split", "prompt_id", "condorcet_idx")
@@ -394,6 +407,25 @@ def q_correction_rounds(spark, sf):
     return tx.correction_rounds(_gen(spark, sf), FOLLOWER_INSTRUCTION)
 
 
+def _digest_answer(p):
+    """A deterministic generator: an answer that depends on all it was asked."""
+    return F.concat(F.lit("answer "), F.md5(ch.render_chat(p)))
+
+
+@query("correction_loop")
+def q_correction_loop(spark, sf):
+    """Three rounds a prompt by a generator, each a written table."""
+    g = _gen(spark, sf).select("prompt_id", ch.user_message(F.col("prompt")).alias("prompt"))
+    return rd.correction_loop(g, _digest_answer, FOLLOWER_INSTRUCTION, 3).select("prompt_id", "completions")
+
+
+@query("correction_loop_given")
+def q_correction_loop_given(spark, sf):
+    """B4 on plain texts, where a leader's completion exists with that as round 0."""
+    g = _gen(spark, sf).select("prompt_id", "prompt", ch.first_completion("comps")["text"].alias("leader_completion"))
+    return rd.correction_loop(g, lambda p: F.concat(F.lit("answer "), F.md5(p)), FOLLOWER_INSTRUCTION, 3).select("prompt_id", "completions")
+
+
 @query("render_chat")
 def q_render_chat(spark, sf):
     g = _gen(spark, sf)
@@ -461,6 +493,15 @@ def q_export_eval_json(spark, sf):
     return sh.export_eval_rows(_gen(spark, sf).select("prompt_id", "prompt", "comps"), "prefspark")
 
 
+@query("export_eval_json_files")
+def q_export_eval_json_files(spark, sf):
+    """A5 with its sink: one JSON array file a completion index, read back."""
+    path = _scratch(spark, "eval-arrays")
+    ej.write_eval_arrays(sh.export_eval_rows(_gen(spark, sf).select("prompt_id", "prompt", "comps"), "prefspark"), path)
+    got = ej.read_eval_arrays(spark, path, "instruction string, output string, generator string, dataset string, datasplit string")
+    return got.withColumn("completion_idx", F.regexp_extract("file", r"_completion_(\d+)\.json$", 1).cast("int")).drop("file")
+
+
 # ------------------------------------------------------------ token arrays / rollouts
 
 EOS, PAD = 0, 9
@@ -571,8 +612,8 @@ def q_normalize_reward(spark, sf):
 
 @query("normalize_advantage")
 def q_normalize_advantage(spark, sf):
-    x = ro.rloo_advantage(_roll(spark, sf), "score")
-    return ro.normalize(x, "advantage", "adv_norm").select(*ROLL_KEYS, _R(F.col("adv_norm")).alias("adv_norm"))
+    x = ro.normalized_rloo_advantage(_roll(spark, sf), "score")
+    return x.select(*ROLL_KEYS, _R(F.col("adv_norm")).alias("adv_norm"))
 
 
 def _step_losses(spark, sf):
@@ -606,8 +647,7 @@ def q_rollout_metrics(spark, sf):
     r = _roll(spark, sf)
     # even samples are leader sequences, odd ones the follower's answer to the same pair
     r = r.withColumn("pair", (F.col("sample_idx") / 2).cast("int"))
-    m = ro.rollout_metrics(r.filter(F.col("sample_idx") % 2 == 0), r.filter(F.col("sample_idx") % 2 == 1),
-                           BETA, EOS_PENALTY, KL_KIND)
+    m = ro.rollout_metrics(r, F.col("sample_idx") % 2 == 1, BETA, EOS_PENALTY, KL_KIND)
     return rounded(m, *[c for c in m.columns if c != "step"])
 
 
@@ -745,10 +785,18 @@ def _bench_items(spark, sf):
     return fx.table(spark, sf, "benchmark", "item_id", "text")
 
 
+def _mixture(spark, sf):
+    return lb.choice_pairs(_tldr(spark, sf)).select("id", F.col("article").alias("prompt"), "chosen", "rejected")
+
+
 @query("source_preference_mixture")
 def q_source_preference_mixture(spark, sf):
-    cp = lb.choice_pairs(_tldr(spark, sf)).select("id", F.col("title").alias("prompt"), "chosen", "rejected")
-    return sio.normalize_source("preference_mixture", cp, prompts_only=True)
+    return sio.normalize_source("preference_mixture", _mixture(spark, sf), prompts_only=True)
+
+
+@query("source_preference_mixture_pairs")
+def q_source_preference_mixture_pairs(spark, sf):
+    return sio.normalize_source("preference_mixture", _mixture(spark, sf))
 
 
 @query("source_instruction_eval")
@@ -762,15 +810,32 @@ def q_source_constraint_eval(spark, sf):
                                 prompts_only=True)
 
 
+def _eval_items(spark, sf):
+    """Evaluation items as their source has them: with the fields that the adapter drops and others."""
+    text = F.col("text")
+    return _bench_items(spark, sf).select("item_id", text.alias("instruction"), F.upper(text).alias("output"), F.lit("m0").alias("generator"),
+                                          F.length(text).alias("n_chars"))
+
+
+@query("source_instruction_eval_columns")
+def q_source_instruction_eval_columns(spark, sf):
+    """A6d: output and generator go, other columns stay."""
+    return sio.normalize_source("instruction_eval", _eval_items(spark, sf))
+
+
+@query("source_constraint_eval_columns")
+def q_source_constraint_eval_columns(spark, sf):
+    """A6e with all columns."""
+    return sio.normalize_source("constraint_eval", _eval_items(spark, sf).select("item_id", F.col("instruction").alias("prompt"), "n_chars"))
+
+
 @query("normalize_source")
 def q_normalize_source(spark, sf):
-    """All prompt-only sources in one common schema (source, prompt_id, prompt, split)."""
+    """All four prompt-only sources in one common schema (source, prompt_id, prompt, split)."""
     items = _bench_items(spark, sf)
-    a = sio.normalize_source("Instruction_Eval", items.withColumnRenamed("text", "instruction")).withColumn(
-        "source", F.lit("instruction_eval"))
     pairs = idx.train_validation_split(_pairs(spark, sf), "prompt_id", TRAIN_FRACTION, SEED)
-    b = sio.normalize_source("rated_pairs", pairs, prompts_only=True).withColumn("source", F.lit("rated_pairs"))
-    return a.unionByName(b).select("source", "prompt_id", "prompt", "split")
+    return sio.prompt_sources({"Instruction_Eval": items.withColumnRenamed("text", "instruction"), "rated_pairs": pairs,
+                               "preference_mixture": _mixture(spark, sf), "constraint_eval": items.withColumnRenamed("text", "prompt")})
 
 
 @query("random_permutation_batches")
@@ -781,6 +846,13 @@ def q_random_permutation_batches(spark, sf):
         "step", "row_key", "sample_idx", "epoch", "perm_rank", "mini_batch", "micro_batch")
 
 
+@query("permuted_batches")
+def q_permuted_batches(spark, sf):
+    """C9 by a keyed permutation of positions: no sort and no window over the rows."""
+    r = _roll(spark, sf).select("step", "sample_idx", (F.col("prompt_id") * 4 + F.col("sample_idx") - F.col("step") * 64).alias("position"))
+    return ro.permuted_batches(r, SEED, 2, 16, 4, "position")
+
+
 @query("instruction_accuracy")
 def q_instruction_accuracy(spark, sf):
     return ev.instruction_accuracy(fx.instruction_results(spark, sf))
@@ -812,6 +884,46 @@ def q_judge_with(spark, sf):
     return uf.judge_with(g, uf.length_judge, SEED).select("pair_id", "flip", "p")
 
 
+def _unsure_judge():
+    """Example of a judge that fails: it doesn't answer where both responses begin alike, and shares by length."""
+    def j(prompt: str, a: str, b: str) -> float:
+        if (a or "")[:1] == (b or "")[:1]:
+            raise TimeoutError("no answer")
+        return (len(a or "") + 1.0) / (len(a or "") + len(b or "") + 2.0)
+    return j
+
+
+def _judged(spark, sf):
+    g = _gen(spark, sf).filter(F.size("comps") >= 2).select(
+        F.col("prompt_id").alias("pair_id"), "prompt", F.col("comps")[0]["text"].alias("response0"), F.col("comps")[1]["text"].alias("response1"))
+    return uf.judge_each_with(g, _unsure_judge, SEED, attempts=2)
+
+
+@query("judge_with_failures")
+def q_judge_with_failures(spark, sf):
+    return rounded(_judged(spark, sf), "p").select("pair_id", "flip", "p", "failed", "calls")
+
+
+@query("judge_failures")
+def q_judge_failures(spark, sf):
+    return uf.judge_failures(_judged(spark, sf), ["flip"])
+
+
+@query("tokenize_subword")
+def q_tokenize_subword(spark, sf):
+    """U3 with two public tokenizers: token numbers and ids of every document."""
+    docs = fx.table(spark, sf, "documents", "doc_id", "text")
+    return docs.select("doc_id", sw.library_ids("text", public_tokenizers.path("word_bpe_49k.json")).alias("word_ids"),
+                       sw.library_ids("text", public_tokenizers.path("byte_bpe_50k.json")).alias("byte_ids"))
+
+
+@query("truncate_lines_subword")
+def q_truncate_lines_subword(spark, sf):
+    """B7 and B8 by a subword tokenizer, whose counts don't add up by line."""
+    raw = _tldr(spark, sf).select("id", ch.tldr_prompt("site", "subreddit", "title", "post", "article").alias("prompt"))
+    return sw.truncate_lines_library(raw, "prompt", MAX_PROMPT_TOKENS, public_tokenizers.path("word_bpe_49k.json"))
+
+
 @query("tokenize_with")
 def q_tokenize_with(spark, sf):
     return uf.tokenize_with(fx.table(spark, sf, "documents", "doc_id", "text"), "text", uf.hashing_tokenizer
@@ -834,6 +946,33 @@ def _rated_features(spark, sf):
                      *[F.when(first, F.col(f"s1_{a}")).otherwise(F.col(f"s0_{a}")).alias(f"rejected_{a}") for a in feats])
 
 
+REWARD_REG = 0.1
+
+
+def _rated_features_by_attribute(spark, sf):
+    """(attribute, prompt_id, chosen_<f>, rejected_<f>): annotation means of each pair, chosen by the attribute's own label."""
+    st = lb.side_stats(fx.annotation_ratings(spark, sf))
+    wide = st.groupBy("prompt_id").agg(*[F.max(F.when((F.col("completion_idx") == s) & (F.col("attribute") == a), F.col("mean"))).alias(f"s{s}_{a}")
+                                         for s in (0, 1) for a in ATTRS])
+    j = _labels(spark, sf).join(wide, "prompt_id")
+    first = F.col("label") == 1
+    return j.select("attribute", "prompt_id", *[F.when(first, F.col(f"s0_{a}")).otherwise(F.col(f"s1_{a}")).alias(f"chosen_{a}") for a in ATTRS],
+                    *[F.when(first, F.col(f"s1_{a}")).otherwise(F.col(f"s0_{a}")).alias(f"rejected_{a}") for a in ATTRS])
+
+
+@query("fit_reward_models")
+def q_fit_reward_models(spark, sf):
+    """U4: a Bradley-Terry model for each attribute, fitted to the end."""
+    fitted = rf.fit_reward_models(_rated_features_by_attribute(spark, sf), ATTRS, reg=REWARD_REG)
+    return rounded(rf.weights_table(spark, fitted, ATTRS), "weight", "loss")
+
+
+@query("reward_newton_steps")
+def q_reward_newton_steps(spark, sf):
+    """U4: four Newton steps of the same fit on two features."""
+    return rounded(rf.newton_steps(_rated_features_by_attribute(spark, sf), ["coherence", "verbosity"], 4, reg=REWARD_REG), "weight")
+
+
 @query("fit_reward_model")
 def q_fit_reward_model(spark, sf):
     """Coefficients of the linear BT reward model on annotation means."""

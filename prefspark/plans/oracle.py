@@ -189,6 +189,7 @@ _REACH = ("reach", """SELECT split, prompt_id, i AS src, j AS dst FROM ed
 ACYCLIC = """SELECT p.split, p.prompt_id, NOT EXISTS (SELECT 1 FROM reach r WHERE r.split = p.split
               AND r.prompt_id = p.prompt_id AND r.src = r.dst) AS acyclic FROM prompts p"""
 _o("acyclic_check", ACYCLIC, ["rewards_long"], _GRAPH_CTES + [_REACH], recursive=True)
+_o("acyclic_check_edges", ACYCLIC, ["rewards_long"], _GRAPH_CTES + [_REACH], recursive=True)
 
 INDEG = ("indeg", """SELECT n.split, n.prompt_id, n.i, count(ed.j) AS indeg FROM nodes n
                      LEFT JOIN ed ON ed.split = n.split AND ed.prompt_id = n.prompt_id AND ed.j = n.i
@@ -334,8 +335,8 @@ _o("prompt_length_stats", f"""SELECT count(*) AS n_rows,
 CHOICE = ("SELECT *, CASE WHEN choice = 0 THEN s0 ELSE s1 END AS chosen, "
           "CASE WHEN choice = 0 THEN s1 ELSE s0 END AS rejected FROM {src}")
 _o("filter_pair_length", f"""SELECT id, chosen, rejected FROM ({CHOICE.format(src='tldr_raw')})
-WHERE {ntok('chosen')} <= 64 AND {ntok('rejected')} <= 64""", ["tldr_raw"])
-_o("filter_message_length", f"SELECT conv_id, turn FROM conversations WHERE {ntok('text')} <= 100")
+WHERE coalesce({ntok('chosen')}, 0) <= 64 AND coalesce({ntok('rejected')}, 0) <= 64""", ["tldr_raw"])
+_o("filter_message_length", f"SELECT conv_id, turn FROM conversations WHERE coalesce({ntok('text')}, 0) <= 100")
 EMPTY_POST = "(post IS NULL OR length(trim(post)) > 0 OR site IS NOT NULL)"
 _o("filter_empty_post", f"SELECT id FROM tldr_raw WHERE {EMPTY_POST}", ["tldr_raw"])
 _o("choice_pairs", f"SELECT id, chosen, rejected FROM ({CHOICE.format(src='tldr_raw')})", ["tldr_raw"])
@@ -355,7 +356,7 @@ _o("source_annotated_summaries", f"""SELECT prompt_id, split, worker, prompt, ch
 FROM (SELECT id AS prompt_id, split, worker, {umsg('prompt')} AS prompt,
              list_concat({umsg('prompt')}, [{amsg('chosen')}]) AS chosen,
              list_concat({umsg('prompt')}, [{amsg('rejected')}]) AS rejected
-      FROM ({CHOICE.format(src='tp')}) WHERE {EMPTY_POST} AND {ntok('chosen')} <= 64 AND {ntok('rejected')} <= 64)""",
+      FROM ({CHOICE.format(src='tp')}) WHERE {EMPTY_POST} AND coalesce({ntok('chosen')}, 0) <= 64 AND coalesce({ntok('rejected')}, 0) <= 64)""",
    ["tldr_raw"], [("wc", WC), ("kept", SEMI.format(min_n=1, only="AND worker = 'src3'"))] + trunc_ctes("kept", 512))
 _o("head_n", """SELECT id, split FROM (SELECT id, split, row_number() OVER (PARTITION BY split ORDER BY id) AS rn
 FROM tldr_raw) WHERE rn <= 50""", ["tldr_raw"])
@@ -382,6 +383,15 @@ _o("correction_rounds", f"""SELECT prompt_id, 0 AS round, [{umsg1('prompt')}] AS
 UNION ALL
 SELECT prompt_id, CAST(i + 1 AS INTEGER) AS round, [{umsg1('prompt')}, {amsg('comps[i + 1].text')}, {umsg1(FOLLOW)}]
 FROM (SELECT prompt_id, prompt, comps, unnest(range(len(comps))) AS i FROM generations)""", ["generations"])
+_T = "'<|user|>' || chr(10) || coalesce(prompt, '') || chr(10)"
+_NEXT = f"{_T} || '<|assistant|>' || chr(10) || {{last}} || chr(10) || '<|user|>' || chr(10) || {FOLLOW} || chr(10)"
+_o("correction_loop", f"""SELECT prompt_id, [[{amsg('c0')}], [{amsg('c1')}], [{amsg('c2')}]] AS completions FROM (
+  SELECT *, 'answer ' || md5({_NEXT.format(last='c1')}) AS c2 FROM (
+    SELECT *, 'answer ' || md5({_NEXT.format(last='c0')}) AS c1 FROM (SELECT *, 'answer ' || md5({_T}) AS c0 FROM generations)))""", ["generations"])
+_o("correction_loop_given", f"""SELECT prompt_id, [c0, c1, c2] AS completions FROM (
+  SELECT *, 'answer ' || md5(coalesce(prompt, '') || coalesce(c1, '') || {FOLLOW}) AS c2 FROM (
+    SELECT *, 'answer ' || md5(coalesce(prompt, '') || coalesce(c0, '') || {FOLLOW}) AS c1 FROM (
+      SELECT *, coalesce(comps[1].text, 'answer ' || md5(prompt)) AS c0 FROM generations)))""", ["generations"])
 _o("render_chat", f"""SELECT prompt_id, '<|system|>' || chr(10) || {SYS} || chr(10) || '<|user|>' || chr(10) || prompt
        || chr(10) AS text FROM generations""", ["generations"])
 JT = (f"'Which response answers the prompt better?' || {NL2} || 'Prompt: ' || prompt || {NL2} || "
@@ -408,6 +418,11 @@ _o("export_eval_json", """SELECT prompt_id, prompt AS instruction, comps[i + 1].
        CAST(i AS INTEGER) AS completion_idx
 FROM (SELECT prompt_id, prompt, comps, unnest(range(len(comps))) AS i FROM generations)""", ["generations"])
 
+_o("export_eval_json_files", """SELECT prompt AS instruction, comps[i + 1].text AS output,
+       'prefspark_completion_' || CAST(i AS VARCHAR) AS generator, 'prefspark' AS dataset, 'eval' AS datasplit,
+       CAST(i AS INTEGER) AS completion_idx
+FROM (SELECT prompt, comps, unnest(range(len(comps))) AS i FROM generations)""", ["generations"])
+
 
 # ------------------------------------------------------------------ token arrays / rollouts
 def asum(x: str) -> str:
@@ -611,14 +626,41 @@ FROM rewards_long GROUP BY attribute, model""", ["rewards_long"])
 _o("split_row_counts", """SELECT split, count(*) AS n_rows, 'raw' AS stage FROM tldr_raw GROUP BY split
 UNION ALL SELECT split, count(*), 'worker_filter' FROM kept GROUP BY split""", ["tldr_raw"],
    [("wc", WC), ("kept", SEMI.format(min_n=43, only=""))])
-_o("source_preference_mixture", f"SELECT id AS prompt_id, {umsg('title')} AS prompt FROM tldr_raw", ["tldr_raw"])
+MIXTURE = f"SELECT id AS prompt_id, {umsg('article')} AS prompt FROM tldr_raw"
+_o("source_preference_mixture", MIXTURE, ["tldr_raw"])
+_o("source_preference_mixture_pairs", f"SELECT id AS prompt_id, chosen, rejected FROM ({CHOICE.format(src='tldr_raw')})", ["tldr_raw"])
 IEVAL = f"""SELECT row_number() OVER (ORDER BY item_id) - 1 AS prompt_id, {umsg('text')} AS prompt,
        'validation' AS split FROM benchmark"""
 _o("source_instruction_eval", IEVAL)
 _o("source_constraint_eval", IEVAL)
-_o("normalize_source", f"""SELECT 'instruction_eval' AS source, prompt_id, prompt, split FROM ({IEVAL})
-UNION ALL SELECT 'rated_pairs', prompt_id, {umsg('prompt')}, split FROM sp""", ["rated_responses"],
+IEVAL_COLUMNS = f"""SELECT row_number() OVER (ORDER BY item_id) - 1 AS prompt_id, {umsg('text')} AS prompt,
+       CAST(length(text) AS INTEGER) AS n_chars, 'validation' AS split FROM benchmark"""
+_o("source_instruction_eval_columns", IEVAL_COLUMNS)
+_o("source_constraint_eval_columns", IEVAL_COLUMNS)
+_o("normalize_source", f"""SELECT 'instruction_eval' AS source, CAST(prompt_id AS VARCHAR) AS prompt_id, prompt, split FROM ({IEVAL})
+UNION ALL SELECT 'rated_pairs', CAST(prompt_id AS VARCHAR), {umsg('prompt')}, split FROM sp
+UNION ALL SELECT 'preference_mixture', CAST(prompt_id AS VARCHAR), prompt, 'train' FROM ({MIXTURE})
+UNION ALL SELECT 'constraint_eval', CAST(prompt_id AS VARCHAR), prompt, split FROM ({IEVAL})""", ["rated_responses", "tldr_raw"],
    [("pairs", PAIRS), ("sp", SPLIT)])
+
+
+def feistel(x: str) -> str:
+    """One pass of six alternating rounds on (x // b, x % b), as columns l and r of nested selects."""
+    sql = f"SELECT *, {x} // b AS l, {x} % b AS r FROM {{src}}"
+    for k in range(6):
+        key = h("step", "epoch", str(k), "l" if k % 2 else "r")
+        new = f"(r + {key}) % b AS r" if k % 2 else f"(l + {key}) % a AS l"
+        sql = f"SELECT * REPLACE ({new}) FROM ({sql})"
+    return f"SELECT * REPLACE (l * b + r AS x) FROM ({sql})"
+
+
+_PERMUTED = """SELECT step, sample_idx, prompt_id * 4 + sample_idx - step * 64 AS position, CAST(e AS INTEGER) AS epoch,
+       count(*) OVER (PARTITION BY step, e) AS n FROM rollouts, range(2) t(e)"""
+_o("permuted_batches", """SELECT step, sample_idx, position, epoch, CAST(x AS INTEGER) AS perm_rank,
+       CAST(floor(x / 16) AS BIGINT) AS mini_batch, CAST(floor((x % 16) / 4) AS BIGINT) AS micro_batch FROM walk WHERE x < n""", ["rollouts"], [
+    ("start", f"""SELECT *, CAST(ceil(n / CAST(ceil(sqrt(n)) AS BIGINT)) AS BIGINT) AS b, CAST(ceil(sqrt(n)) AS BIGINT) AS a, position AS x FROM ({_PERMUTED})"""),
+    ("walk", f"""SELECT step, sample_idx, position, epoch, n, a, b, x FROM ({feistel('x').format(src='start')})
+UNION ALL SELECT step, sample_idx, position, epoch, n, a, b, x FROM ({feistel('x').format(src="(SELECT * FROM walk WHERE x >= n)")})""")], recursive=True)
 _o("random_permutation_batches", f"""SELECT step, row_key, sample_idx, epoch, perm_rank,
        CAST(floor(perm_rank / 16) AS BIGINT) AS mini_batch, CAST(floor((perm_rank % 16) / 4) AS BIGINT) AS micro_batch
 FROM (SELECT step, row_key, sample_idx, epoch,
@@ -671,6 +713,38 @@ _o("judge_with", f"""SELECT pair_id, flip, CASE WHEN flip THEN 1.0::DOUBLE - p_r
         FROM (SELECT prompt_id AS pair_id, comps[1].text AS r0, comps[2].text AS r1,
                      {h('prompt_id')} % 2 = 1 AS flip FROM generations WHERE len(comps) >= 2)))""",
    ["generations"])
+_UNSURE = f"""SELECT pair_id, flip, left(coalesce(a, ''), 1) = left(coalesce(b, ''), 1) AS failed,
+       (length(coalesce(a, '')) + 1.0::DOUBLE) / (length(coalesce(a, '')) + length(coalesce(b, '')) + 2.0::DOUBLE) AS share
+FROM (SELECT pair_id, flip, CASE WHEN flip THEN r1 ELSE r0 END AS a, CASE WHEN flip THEN r0 ELSE r1 END AS b
+      FROM (SELECT prompt_id AS pair_id, comps[1].text AS r0, comps[2].text AS r1, {h('prompt_id')} % 2 = 1 AS flip
+            FROM generations WHERE len(comps) >= 2))"""
+_o("judge_with_failures", """SELECT pair_id, flip, round(CASE WHEN failed THEN 0.5::DOUBLE WHEN flip THEN 1.0::DOUBLE - share ELSE share END, 6) AS p,
+       failed, CAST(CASE WHEN failed THEN 2 ELSE 1 END AS INTEGER) AS calls FROM u""", ["generations"], [("u", _UNSURE)])
+_o("judge_failures", """SELECT flip, count(*) AS n_pairs, CAST(sum(CAST(failed AS INTEGER)) AS BIGINT) AS n_failed,
+       CAST(sum(CASE WHEN failed THEN 2 ELSE 1 END) AS BIGINT) AS n_calls FROM u GROUP BY flip""", ["generations"], [("u", _UNSURE)])
+
+
+def newton_ctes(steps: int, reg: float) -> list[tuple[str, str]]:
+    """Weights (w0, w1) of each attribute after 0, 1, ... steps, by Cramer's rule on two features."""
+    out = [("wt0", "SELECT DISTINCT attribute, 0.0::DOUBLE AS w0, 0.0::DOUBLE AS w1 FROM dd")]
+    for k in range(steps):
+        out.append((f"sy{k}", f"""SELECT attribute, w0, w1, -sum((1 - p) * d0) / count(*) + {reg}::DOUBLE * w0 AS g0, -sum((1 - p) * d1) / count(*) + {reg}::DOUBLE * w1 AS g1,
+       sum(p * (1 - p) * d0 * d0) / count(*) + {reg}::DOUBLE AS h00, sum(p * (1 - p) * d0 * d1) / count(*) AS h01, sum(p * (1 - p) * d1 * d1) / count(*) + {reg}::DOUBLE AS h11
+FROM (SELECT dd.*, w0, w1, 1.0::DOUBLE / (1.0::DOUBLE + exp(-(w0 * d0 + w1 * d1))) AS p FROM dd JOIN wt{k} USING (attribute)) GROUP BY attribute, w0, w1"""))
+        out.append((f"wt{k + 1}", f"""SELECT attribute, w0 - (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01) AS w0,
+       w1 - (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) AS w1 FROM sy{k}"""))
+    return out
+
+
+_DIFF = """SELECT l.attribute, CASE WHEN l.label = 1 THEN c0 - c1 ELSE c1 - c0 END AS d0, CASE WHEN l.label = 1 THEN v0 - v1 ELSE v1 - v0 END AS d1
+FROM labels l JOIN (SELECT prompt_id, max(CASE WHEN attribute = 'coherence' AND completion_idx = 0 THEN mean END) AS c0,
+                           max(CASE WHEN attribute = 'coherence' AND completion_idx = 1 THEN mean END) AS c1,
+                           max(CASE WHEN attribute = 'verbosity' AND completion_idx = 0 THEN mean END) AS v0,
+                           max(CASE WHEN attribute = 'verbosity' AND completion_idx = 1 THEN mean END) AS v1
+                    FROM stats GROUP BY prompt_id) USING (prompt_id) WHERE c0 IS NOT NULL AND c1 IS NOT NULL AND v0 IS NOT NULL AND v1 IS NOT NULL"""
+_o("reward_newton_steps", """SELECT attribute, 'coherence' AS feature, round(w0, 6) AS weight FROM wt4
+UNION ALL SELECT attribute, 'verbosity', round(w1, 6) FROM wt4""", ["annotation_ratings"], _LCTES + [("dd", _DIFF), *newton_ctes(4, 0.1)])
+
 _o("tokenize_with", f"""SELECT doc_id, CAST(len(ids) AS INTEGER) AS n_ids, ids AS input_ids FROM (SELECT doc_id,
   CAST(list_transform(regexp_extract_all(coalesce(text, ''), {TOKEN}),
                       lambda t: ('0x' || substr(md5(t), 1, 8))::BIGINT % 50000) AS INTEGER[]) AS ids FROM documents)""")

@@ -50,14 +50,14 @@ SELECT d.doc_id AS id, d.source AS worker,
        d.lang AS subreddit, split_part(d.text, chr(10), 1) AS title,
        CASE WHEN d.doc_id % 11 = 0 THEN '' ELSE d.text END AS post,
        d.text AS article,
-       split_part(d.text, chr(10), 1) AS s0,
-       (string_split(d.text, chr(10)))[-1] AS s1,
+       array_to_string((string_split(d.text, chr(10)))[1:(len(string_split(d.text, chr(10))) + 1) // 2], chr(10)) AS s0,
+       array_to_string((string_split(d.text, chr(10)))[(len(string_split(d.text, chr(10))) + 1) // 2 + 1:], chr(10)) AS s1,
        CAST(coalesce(l.quality, d.doc_id % 2) AS INTEGER) AS choice
 FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
 
 _v("generations", """
 SELECT conv_id AS prompt_id,
-       arg_min(text, CASE WHEN role = 'user' THEN turn END) AS prompt,
+       string_agg(text, chr(10) ORDER BY turn, text) FILTER (WHERE role = 'user') AS prompt,
        arg_min(text, CASE WHEN role = 'system' THEN turn END) AS sys,
        coalesce(list({'turn': turn, 'text': text} ORDER BY turn) FILTER (WHERE role = 'assistant'), []) AS comps
 FROM conversations GROUP BY conv_id""")

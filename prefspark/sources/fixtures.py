@@ -133,7 +133,11 @@ def rated_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tldr_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Annotated summaries: one row per document, labels joined by doc_id."""
+    """Annotated summaries: one row per document, labels joined by doc_id.
+
+    The tables hold no summaries; the two halves of a text by lines stand in for them."""
+    lines = F.split("text", "\n", -1)
+    half = F.ceil(F.size(lines) / 2).cast("int")
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
     labels = table(spark, sf_dir, "labels", "doc_id", "quality")
     d = docs.join(labels, "doc_id", "left")
@@ -148,8 +152,8 @@ def tldr_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.substring_index("text", "\n", 1).alias("title"),      # the first line is the title
         F.when(F.col("doc_id") % 11 == 0, F.lit("")).otherwise(F.col("text")).alias("post"),
         F.col("text").alias("article"),
-        F.substring_index("text", "\n", 1).alias("s0"),
-        F.substring_index("text", "\n", -1).alias("s1"),
+        F.array_join(F.slice(lines, F.lit(1), half), "\n").alias("s0"),
+        F.array_join(F.slice(lines, half + 1, F.size(lines)), "\n").alias("s1"),
         F.coalesce(F.col("quality"), (F.col("doc_id") % 2).cast("int")).alias("choice"),
     )
 
@@ -161,16 +165,20 @@ def conversation_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def generations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(prompt_id, prompt, sys, comps array<struct<turn, text>>) per conversation.
 
-    One keyed aggregation; a conversation's completions are one row of the view.
+    The prompt is all user turns in order, a line each. One keyed aggregation; a
+    conversation's turns are one row of the view.
     """
+    def turns(role):
+        return F.array_sort(F.collect_list(F.when(F.col("role") == role, F.struct("turn", "text"))))
+
+    asked = F.transform("asked", lambda x: x["text"])
     t = conversation_turns(spark, sf_dir)
     g = t.groupBy("conv_id").agg(
-        F.min_by("text", F.when(F.col("role") == "user", F.col("turn"))).alias("prompt"),
+        turns("user").alias("asked"),
         F.min_by("text", F.when(F.col("role") == "system", F.col("turn"))).alias("sys"),
-        F.array_sort(F.collect_list(F.when(F.col("role") == "assistant",
-                                           F.struct("turn", "text")))).alias("comps"),
+        turns("assistant").alias("comps"),
     )
-    return g.select(F.col("conv_id").alias("prompt_id"), "prompt", "sys", "comps")
+    return g.select(F.col("conv_id").alias("prompt_id"), F.when(F.size("asked") > 0, F.array_join(asked, "\n")).alias("prompt"), "sys", "comps")
 
 
 def rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -78,9 +78,11 @@ def source_preference_mixture(df: DataFrame, prompts_only: bool) -> DataFrame:
 
 def source_instruction_eval(df: DataFrame) -> DataFrame:
     """A6d: instruction -> prompt, dense ids in source order, one user message,
-    a single 'validation' split. Input (order key ``item_id``, ``instruction``)."""
-    x = idx.dense_ids(df.select("item_id", "instruction"), "item_id", "prompt_id")
-    return x.select("prompt_id", ch.user_message(F.col("instruction")).alias("prompt"),
+    a single 'validation' split. Input (order key ``item_id``, ``instruction``, further columns):
+    ``output`` and ``generator`` are dropped, all others stay."""
+    x = idx.dense_ids(df.drop("output", "generator"), "item_id", "prompt_id")
+    kept = [F.col(f"`{c}`") for c in x.columns if c not in ("item_id", "instruction", "prompt_id", "split")]
+    return x.select("prompt_id", ch.user_message(F.col("instruction")).alias("prompt"), *kept,
                     F.lit("validation").alias("split"))
 
 
@@ -88,8 +90,7 @@ def source_constraint_eval(df: DataFrame, prompts_only: bool) -> DataFrame:
     """A6e: dense ids, one user message; prompts only keeps (prompt_id, prompt);
     a single 'validation' split."""
     x = idx.dense_ids(df, "item_id", "prompt_id").withColumn("prompt", ch.user_message(F.col("prompt")))
-    if prompts_only:
-        x = x.select("prompt_id", "prompt")
+    x = x.select("prompt_id", "prompt") if prompts_only else x.drop("item_id")
     return x.withColumn("split", F.lit("validation"))
 
 
@@ -104,6 +105,20 @@ def source_rated_pairs(pairs: DataFrame, prompts_only: bool, labels: DataFrame |
                      ch.with_assistant(pm, F.col("rejected")).alias("rejected"))
 
 
+def prompt_sources(named: dict[str, DataFrame]) -> DataFrame:
+    """The prompt-only sources in one schema (source, prompt_id string, prompt, split).
+
+    ``named`` maps source names to their raw tables. A source without splits of its
+    own is all 'train'. Ids are texts, since sources number their prompts differently."""
+    out = None
+    for name, raw in named.items():
+        x = normalize_source(name, raw, prompts_only=True)
+        split = F.col("split") if "split" in x.columns else F.lit("train")
+        x = x.select(F.lit(name.lower()).alias("source"), F.col("prompt_id").cast("string").alias("prompt_id"), "prompt", split.alias("split"))
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
 SOURCES: dict[str, Callable[..., DataFrame]] = {
     "rated_pairs": source_rated_pairs,
     "annotated_summaries": tx.source_annotated_summaries,
@@ -113,10 +128,16 @@ SOURCES: dict[str, Callable[..., DataFrame]] = {
 }
 
 
+#: Sources that exist only as raw rows and have to be paired and split first.
+UNSPLIT = ("rated_responses",)
+
+
 def normalize_source(name: str, *args, prompts_only: bool = False, **kwargs) -> DataFrame:
-    """Dispatch a dataset name (case-insensitive) to its adapter; unknown
-    names and unsupported modes raise."""
+    """Dispatch a dataset name (case-insensitive) to its adapter; unknown names, a
+    source that must be split first and unsupported modes raise."""
     key = name.lower()
+    if key in UNSPLIT:
+        raise ValueError(f"{name} has to be split for training and validation first (A6a, C7)")
     if key not in SOURCES:
         raise ValueError(f"Dataset not supported: {name}")
     if key == "annotated_summaries":

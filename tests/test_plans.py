@@ -12,7 +12,8 @@ from prefspark.plans.catalog import QUERIES
 SF = "/root/testdata/sf0.001"
 JOINS = ("SortMergeJoin", "BroadcastHashJoin", "ShuffledHashJoin", "CartesianProduct", "BroadcastNestedLoopJoin")
 PYTHON = ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas", "PythonUDF")
-USER_FUNCTIONS = {"score_with_udf", "judge_with", "tokenize_with", "fit_reward_model", "reward_model_scores",
+USER_FUNCTIONS = {"score_with_udf", "judge_with", "judge_with_failures", "judge_failures", "tokenize_with", "tokenize_subword",
+                  "truncate_lines_subword", "fit_reward_model", "reward_model_scores",
                   "metric_rollup_stream", "metric_rollup_append"}
 
 
