@@ -7,12 +7,12 @@ if it has at least ``share`` of the item's distinct shingles.
 Items are partitioned by their number q of shingles: such an item must have
 ``r = ceil(share * q)`` shingles in the document, so of any ``q - r + 1`` of its
 shingles one is there. Each item posts its ``q - r + 1`` smallest shingle hashes
-(its bottom-k MinHash sketch, k by size). Documents are partitioned by size too:
-one with fewer than r shingles is never joined with the item, however long the
-others are. A document's shingles meet the posted hashes in one equi-join; the
-pairs found are complete (no candidate is missed by chance). They are then
-verified by exact containment on the shingles as text, of candidate documents
-only.
+(its bottom-k MinHash sketch, k by size). A document has no sketch of its own, since a
+sketch of a long text says little of a short item; all its shingles meet the posted
+hashes in one equi-join, whose condition also leaves out documents of fewer than r
+shingles. The pairs found are complete (no candidate is missed by chance). They are
+then verified by exact containment on the shingles as text, of candidate
+documents only.
 
 The join side of the items is broadcast up to ``BROADCAST_ROWS`` posted hashes
 (counted first) and shuffled beyond that. A passage that many documents share
@@ -20,9 +20,10 @@ costs each of them a row for each of its few posted hashes.
 
 Defined results: null or empty texts, documents of fewer than ``n`` terms and
 items of fewer than ``n`` terms match nothing; an item whose text occurs twice is
-matched under both ids; rows with one doc_id (null included) are one document
-for which the row with the largest share counts; empty tables give no rows;
-other columns are ignored.
+matched under both ids; rows of items with one item_id (null included) are versions of one
+item, each searched for by itself; rows with one doc_id (null included) are one document; of the
+versions and rows of a pair the one with the largest share counts (of equal shares
+the longest version); empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -57,11 +58,11 @@ def shingle_texts(column: str, n: int) -> Column:
 
 
 def sketches(items: DataFrame, n: int, percent: int) -> DataFrame:
-    """item_id, hash, least: the posted hashes and the shingles a document must have."""
-    hashes = shingle_rows(items.select("item_id", "terms"), n).groupBy("item_id").agg(F.array_sort(F.collect_set("hash")).alias("all"))
+    """version, hash, least: the posted hashes and the shingles a document must have."""
+    hashes = shingle_rows(items.select("version", "terms"), n).groupBy("version").agg(F.array_sort(F.collect_set("hash")).alias("all"))
     least = F.ceil(F.size("all") * percent / 100).cast("int")
     return (hashes.withColumn("least", least)
-            .select("item_id", "least", F.explode(F.slice("all", F.lit(1), F.size("all") - F.col("least") + 1)).alias("hash")))
+            .select("version", "least", F.explode(F.slice("all", F.lit(1), F.size("all") - F.col("least") + 1)).alias("hash")))
 
 
 def contained_items(docs: DataFrame, items: DataFrame, n: int = SHINGLE, percent: int = SHARE_PERCENT,
@@ -69,20 +70,22 @@ def contained_items(docs: DataFrame, items: DataFrame, n: int = SHINGLE, percent
                     item_text_col: str = "text") -> DataFrame:
     """doc_id, item_id, n_item (distinct shingles of the item), n_found (those in the document)."""
     own = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
-    listed = items.select(F.col(item_col).alias("item_id"), terms(F.col(item_text_col)).alias("terms"))
+    # versions get a number of their own, written once, so that ids may be null or occur several times
+    listed = materialize(items.select(F.col(item_col).alias("item_id"), terms(F.col(item_text_col)).alias("terms")).where(F.size("terms") >= n).distinct()
+                         .withColumn("version", F.monotonically_increasing_id()), "item-versions")
     posted = materialize(sketches(listed, n, percent), "item-sketches")
     if posted.count() <= BROADCAST_ROWS:
         posted = F.broadcast(posted)
     sized = own.select("doc", terms(F.col("text")).alias("terms")).withColumn("size", F.size("terms") - (n - 1)).where("size > 0")
     candidates = materialize(
-        shingle_rows(sized, n).join(posted, "hash").where("size >= least").select("doc", "item_id").distinct(), "leak-candidates")
+        shingle_rows(sized, n).alias("d").join(posted.alias("i"), F.expr("d.hash = i.hash AND size >= least")).select("doc", "version").distinct(), "leak-candidates")
     texts = own.join(candidates.select("doc").distinct().withColumnRenamed("doc", "found"), F.col("doc").eqNullSafe(F.col("found")), "left_semi")
     pairs = texts.join(candidates.withColumnRenamed("doc", "found"), F.col("doc").eqNullSafe(F.col("found"))).select(
-        "doc", "item_id", terms(F.col("text")).alias("terms"))
-    exact = listed.select("item_id", shingle_texts("terms", n).alias("item_shingles"))
+        "doc", "version", terms(F.col("text")).alias("terms"))
+    exact = listed.select("version", "item_id", shingle_texts("terms", n).alias("item_shingles"))
     found = F.size(F.array_intersect("item_shingles", shingle_texts("terms", n)))
-    return (pairs.join(exact, "item_id").select("doc", "item_id", F.size("item_shingles").cast("long").alias("n_item"), found.cast("long").alias("n_found"))
+    best = F.max(F.struct((F.col("n_found") / F.col("n_item")).alias("containment"), "n_item", "n_found")).alias("best")
+    return (pairs.join(exact, "version").select("doc", "item_id", F.size("item_shingles").cast("long").alias("n_item"), found.cast("long").alias("n_found"))
             .where(F.col("n_found") * 100 >= F.col("n_item") * percent)
-            .groupBy("doc", "item_id", "n_item").agg(F.max("n_found").alias("n_found"))
-            .select(F.col("doc").alias(id_col), F.col("item_id").alias(item_col), "n_item", "n_found",
-                    (F.col("n_found") / F.col("n_item")).alias("containment")))
+            .groupBy("doc", "item_id").agg(best)
+            .select(F.col("doc").alias(id_col), F.col("item_id").alias(item_col), "best.n_item", "best.n_found", "best.containment"))

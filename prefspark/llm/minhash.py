@@ -38,9 +38,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from prefspark.llm.components import components
-from prefspark.llm.tables import materialize, row_runs, small_batches, text_buffers
+from prefspark.llm.tables import materialize, release, row_runs, small_batches, text_buffers
 from prefspark.llm.words import mixed, word_hashes
 
 COORDINATES, MATCHES, PIVOT_MATCHES = 64, 36, 16
@@ -101,6 +102,7 @@ def signatures(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame
                 sig.append(signature(s).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(size, pa.int64()), pa.array(cls, pa.int64()), pa.array(sig, pa.binary())],
                                              ["id", "text_key", "n_shingles", "cls", "sig"])
+        release()
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key"))
@@ -239,7 +241,8 @@ def around_pivots(pivots: DataFrame, links: DataFrame, sets: DataFrame) -> DataF
 
 def groups(docs: DataFrame, n: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """The written signatures (id, n_shingles, cls), and cls, rep, root, component_id of every class."""
-    signed = materialize(signatures(docs, n, id_col, text_col), "signatures")
+    with small_batches(docs.sparkSession, 2000):
+        signed = materialize(signatures(docs, n, id_col, text_col), "signatures")
     smallest = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_key")).alias("k")
     classes = materialize(signed.where("n_shingles > 0").groupBy("cls").agg(
         smallest, F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
@@ -313,20 +316,17 @@ def deduplicated(docs: DataFrame, n: int = 5, id_col: str = "doc_id", text_col:
     copies = (signed.join(chosen, [signed.cls == chosen.__cls, signed.id.eqNullSafe(chosen.__rep)], "left_semi")
               .where("n_shingles > 0").groupBy("cls").agg(F.count("*").alias("__copies")).withColumnRenamed("cls", "__cls"))
     chosen = chosen.join(copies, "__cls")
-    where = docs.columns.index(text_col)
 
-    def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cls = [set_hash(s) if len(s) else None for s in shingle_sets(batch.column(where), n)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cls, pa.int64())], [*batch.schema.names, "__set"])
-
-    tagged = docs.mapInArrow(tag, _with_set(docs))
-    found = tagged.join(chosen, [tagged.__set == chosen.__cls, tagged[id_col].eqNullSafe(chosen.__rep)], "left")
-    single = found.where("__set is null or __copies = 1").select(*docs.columns)
-    several = found.where("__copies > 1").dropDuplicates(["__set"]).select(*docs.columns)
+    @F.arrow_udf(LongType())
+    def class_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for text in batches:
+            yield pa.array([set_hash(s) if len(s) else None for s in shingle_sets(text, n)], pa.int64())
+        release()
+
+    # only the text goes to Python
+    tagged = docs.withColumn("__set", class_of(F.col(f"`{text_col}`")))
+    found = tagged.join(chosen, [tagged.__set == chosen.__cls, tagged[f"`{id_col}`"].eqNullSafe(chosen.__rep)], "left")
+    kept = [F.col(f"`{c}`") for c in docs.columns]
+    single = found.where("__set is null or __copies = 1").select(*kept)
+    several = found.where("__copies > 1").dropDuplicates(["__set"]).select(*kept)
     return single.union(several)
-
-
-def _with_set(docs: DataFrame):
-    from pyspark.sql.types import LongType, StructField, StructType
-    return StructType([*docs.schema.fields, StructField("__set", LongType())])

@@ -77,12 +77,15 @@ def op2_decontaminate(spark, sf_dir):
 
 ORACLE["op2_decontaminate"] = r"""
 WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
-b AS (SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
+b AS (SELECT item_id, v, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w
+      FROM (SELECT *, row_number() OVER () AS v FROM benchmark)),
 ds AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d)),
-bs AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM b)),
-q AS (SELECT item_id, count(*) AS n_item FROM bs GROUP BY 1)
-SELECT doc_id, item_id, n_item, count(*) AS n_found, count(*) / n_item AS containment
-FROM ds JOIN bs USING (s) JOIN q USING (item_id) GROUP BY doc_id, item_id, n_item HAVING count(*) * 100 >= n_item * 80
+bs AS (SELECT DISTINCT item_id, v, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT item_id, v, w, unnest(range(1, len(w) - 3)) AS i FROM b)),
+q AS (SELECT item_id, v, count(*) AS n_item FROM bs GROUP BY item_id, v),
+f AS (SELECT ds.doc_id, q.item_id, q.v, q.n_item, count(*) AS n_found FROM ds JOIN bs USING (s) JOIN q ON q.v = bs.v
+      GROUP BY ds.doc_id, q.item_id, q.v, q.n_item HAVING count(*) * 100 >= q.n_item * 80)
+SELECT doc_id, item_id, n_item, n_found, n_found / n_item AS containment
+FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_found / n_item DESC, n_item DESC) AS place FROM f) WHERE place = 1
 """
 
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from prefspark.session import materialize
 
-__all__ = ["read", "held_out", "text_buffers", "row_runs", "materialize", "partitions_for", "small_batches", "discard"]
+__all__ = ["read", "held_out", "text_buffers", "row_runs", "materialize", "partitions_for", "small_batches", "discard", "release"]
 
 
 def read(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
@@ -51,6 +52,13 @@ def discard(table: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def release() -> None:
+    """Give freed memory back to the system: a Python worker is kept for the tasks of later stages."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):                  # not the GNU C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def text_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and the n+1 row offsets into them.
 

@@ -29,8 +29,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
-from prefspark.llm.tables import held_out, row_runs, text_buffers
+from prefspark.llm.tables import held_out, release, row_runs, text_buffers
 from prefspark.llm.words import NO_TERM, word_hashes
 
 BITS, FACTORS = 18, 8
@@ -139,7 +140,10 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
            .where(~held_out("id", FOLDS, FOLD)).groupBy("id").agg(F.max("y").cast("int").alias("y")))
     n = own.count()
     share = min(1.0, most / max(1, n))
-    picked = own.where(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 20)) < int(share * (1 << 20))).limit(most)
+    # a little more than ``most`` by hash, then the first ``most`` in the hash's order: the same rows in any layout
+    drawn = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 30))
+    picked = own.withColumn("drawn", drawn).where(F.col("drawn") < int(min(1.0, 1.1 * share + 100 / max(1, n)) * (1 << 30)))
+    picked = picked.orderBy("drawn", "id").limit(most).select("id", "y")
     # at most ``most`` narrow rows: a proven bound
     sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id")
 
@@ -149,7 +153,9 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(terms, pa.binary()), batch.column(2)], ["id", "terms", "y"])
 
     id_type = sample.schema["id"].dataType.simpleString()
-    rows = sample.select("id", "text", "y").mapInArrow(run, f"id {id_type}, terms binary, y int").limit(2 * most).collect()
+    rows = sample.select("id", "text", "y").mapInArrow(run, f"id {id_type}, terms binary, y int")
+    # ids that occur in several rows: the first rows in the order of the ids' hash
+    rows = rows.orderBy(F.xxhash64("id", F.lit(11)), "id", "terms").limit(2 * most).collect()
     rows.sort(key=lambda r: (r.id, bytes(r.terms)))        # the same order on every run
     return fit([(np.frombuffer(r.terms, np.int32).astype(np.int64), r.y) for r in rows])
 
@@ -175,15 +181,16 @@ def score(docs: DataFrame, fm: FactorizationMachine, id_col: str = "doc_id", tex
 
 def clean(docs: DataFrame, fm: FactorizationMachine, text_col: str = "text") -> DataFrame:
     """The rows of docs that are not predicted toxic."""
-    model, where = docs.sparkSession.sparkContext.broadcast(fm), docs.columns.index(text_col)
+    model = docs.sparkSession.sparkContext.broadcast(fm)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = [model.value.score(t, f) for t, f in batch_terms(batch.column(where))]
-            if got:
-                yield batch.filter(pa.array(np.concatenate(got) < 0.5))
+    @F.arrow_udf(BooleanType())
+    def harmless(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for text in batches:
+            got = [model.value.score(t, f) for t, f in batch_terms(text)]
+            yield pa.array(np.concatenate(got) < 0.5 if got else np.zeros(0, bool))
+        release()
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(harmless(F.col(f"`{text_col}`")))      # only the text goes to Python
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:

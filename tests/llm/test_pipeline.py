@@ -1,5 +1,7 @@
 """The pipeline's stages against brute force on whole small tables."""
 
+import re
+
 import corpus_pipeline as cp
 import __spark_entry__ as E
 
@@ -14,6 +16,34 @@ def staged(spark, docs, tmp_path):
     return out
 
 
+def terms5(text):
+    w = [x for x in re.split(r"[\W_]+", text.lower()) if x]
+    return {tuple(w[i:i + 5]) for i in range(len(w) - 4)}
+
+
+def brute_cut(texts):
+    """Texts without the characters all of whose bytes lie in a 50-byte string of a smaller id."""
+    seen, out = {}, {}
+    for i in sorted(texts):
+        b = texts[i].encode()
+        for k in range(len(b) - 49):
+            seen.setdefault(b[k:k + 50], i)
+    for i, text in texts.items():
+        b = text.encode()
+        cut = bytearray(len(b))
+        for k in range(len(b) - 49):
+            if seen[b[k:k + 50]] < i:
+                cut[k:k + 50] = b"\1" * 50
+        at, kept = 0, []
+        for c in text:
+            n = len(c.encode())
+            if not all(cut[at:at + n]):
+                kept.append(c)
+            at += n
+        out[i] = "".join(kept)
+    return out
+
+
 def test_stages(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     first, clean, single, cut, fair, coded = staged(spark, docs, tmp_path)
@@ -22,15 +52,19 @@ def test_stages(spark, tmp_path):
     ids = lambda df: {r.doc_id for r in df.select("doc_id").collect()}
     scores = {r.doc_id: r.predicted for r in E.queries()["op6_toxicity"](spark, SF).collect()}
     assert ids(clean) == {i for i, p in scores.items() if not p}
-    from tests.llm.test_dedup import brute_components, brute_repeats, shingles
+    from tests.llm.test_dedup import brute_components, shingles
     import itertools
     sets = {r.doc_id: shingles(r.text, 5) for r in clean.collect()}
     links = [(a, b) for a, b in itertools.combinations(sets, 2) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
     assert ids(single) == {i for i, r in brute_components(sets, links).items() if i == r}
-    removed = brute_repeats([(r.doc_id, r.text) for r in single.collect()])
-    for r in cut.collect():
-        assert len(r.text.encode()) >= removed[r.doc_id][0][0] - removed[r.doc_id][0][1] and (r.n_chars == len(r.text) or not removed[r.doc_id][0][1])
-    assert ids(fair) <= ids(cut) and ids(coded) == ids(fair) and coded.count() == fair.count()
+    before = {r.doc_id: r.text for r in single.collect()}
+    kept = brute_cut(before)
+    assert {r.doc_id: r.text for r in cut.collect()} == kept and kept != before
+    assert all(r.n_chars == len(r.text) for r in cut.collect() if r.text != before[r.doc_id])
+    items = [terms5(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    fine = {i for i, t in kept.items() if not any(q and 100 * len(terms5(t) & q) >= 80 * len(q) for q in items)}
+    assert ids(fair) == fine and {r.doc_id: r.text for r in fair.collect()} == {i: kept[i] for i in fine}
+    assert ids(coded) == ids(fair) and coded.count() == fair.count()
 
 
 def test_stages_with_odd_rows(spark, tmp_path):
