@@ -7,8 +7,8 @@ pairs of terms: two terms that are harmless apart can count together (an insult
 and a group's name), which additive weights miss. The pair sum is linear in the
 number of terms: half of (squared sum of factors - sum of squares).
 
-Training takes at most ``SAMPLE_ROWS`` labelled rows outside the held-out fold,
-picked by a hash of the id; terms of fewer than ``LEAST_ROWS`` of them get no
+Training takes at most ``SAMPLE_ROWS`` labelled ids outside the held-out fold, picked by a
+hash of the id, and about twice as many of their rows at most, if ids are repeated; terms of fewer than ``LEAST_ROWS`` of them get no
 weight. All others get factors, so a pair of terms that are each ordinary alone
 can count; a linear weight only those whose share of toxic rows lies at least
 ``LEAST_LEAN`` standard errors from the sample's. The factors of the rest shrink
@@ -88,8 +88,9 @@ def logistic(x: np.ndarray) -> np.ndarray:
 def fit(samples: list[tuple[np.ndarray, int]], seed: int = 7, epochs: int = EPOCHS) -> FactorizationMachine:
     """AdaGrad over (distinct term numbers, label) rows."""
     rng, labels = np.random.default_rng(seed), np.array([y for _, y in samples], np.float64)
-    df = np.bincount(np.concatenate([t for t, _ in samples] or [np.zeros(0, np.int64)]), minlength=1 << BITS)
-    hits = np.bincount(np.concatenate([t for t, y in samples if y] or [np.zeros(0, np.int64)]), minlength=1 << BITS)
+    none = [np.zeros(0, np.int32)]
+    df = np.bincount(np.concatenate([t for t, _ in samples] or none), minlength=1 << BITS)
+    hits = np.bincount(np.concatenate([t for t, y in samples if y] or none), minlength=1 << BITS)
     rate = (labels.sum() + 0.5) / (len(labels) + 1)
     # how far a term's share of label 1 lies from the sample's, in standard errors
     lean = np.abs(hits - rate * df) / np.sqrt(rate * (1 - rate) * np.maximum(df, 1))
@@ -102,7 +103,7 @@ def fit(samples: list[tuple[np.ndarray, int]], seed: int = 7, epochs: int = EPOC
         return FactorizationMachine(known, -60.0, np.zeros(0), np.zeros((0, FACTORS)))
     fm = FactorizationMachine(known, float(np.log(rate / (1 - rate))), np.zeros(len(used)), rng.normal(0, 0.02, (len(used), FACTORS)))
     heavy = np.sqrt((1 - rate) / rate)
-    data = [known[t][known[t] >= 0] for t, _ in samples]
+    data = [at[at >= 0].astype(np.int32) for at in (known[t] for t, _ in samples)]
     g_bias, g_lin, g_fac = 1e-8, np.full(len(used), 1e-8), np.full((len(used), FACTORS), FACTOR_START)
     for _ in range(epochs):
         order = rng.permutation(len(data))
@@ -153,11 +154,18 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(terms, pa.binary()), batch.column(2)], ["id", "terms", "y"])
 
     id_type = sample.schema["id"].dataType.simpleString()
-    rows = sample.select("id", "text", "y").mapInArrow(run, f"id {id_type}, terms binary, y int")
-    # ids that occur in several rows: the first rows in the order of the ids' hash
-    rows = rows.orderBy(F.xxhash64("id", F.lit(11)), "id", "terms").limit(2 * most).collect()
+    # ids may occur in several rows, even in most of them: then rows are drawn by a hash of id and text
+    several = docs.select(F.col(id_col).alias("id")).join(F.broadcast(picked.select("id")), "id").count()
+    if several > 2 * most:
+        sample = sample.where(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) < int(2 * most / several * (1 << 30)))
+    rows = sample.select("id", "text", "y").mapInArrow(run, f"id {id_type}, terms binary, y int").collect()
     rows.sort(key=lambda r: (r.id, bytes(r.terms)))        # the same order on every run
-    return fit([(np.frombuffer(r.terms, np.int32).astype(np.int64), r.y) for r in rows])
+    samples = [(np.frombuffer(r.terms, np.int32), r.y) for r in rows]
+    del rows
+    model = fit(samples)
+    del samples
+    release()
+    return model
 
 
 def score(docs: DataFrame, fm: FactorizationMachine, id_col: str = "doc_id", text_col: str = "text",
