@@ -16,10 +16,11 @@ pairs in common:
 * the rest are confirmed on the full shingle sets.
 
 No group is expanded into all its pairs. First every member of a list is paired
-with one member only, the one in the middle (its pivot). Members of one pivot
-are then compared by what they differ in from the pivot, again merged on their
-rarest differences; members that are linked with the pivot are of one component
-and need no comparison. Only what has another component and another pivot is
+with one member only, the one in the middle (its pivot). Members that are linked with
+their pivot are of one component and need no comparison. The other members of a pivot are
+compared with all of its members by what they differ in from the pivot, in tiles of bounded
+blocks whose products give exact set overlaps; a tile returns a spanning forest of its
+links, not pairs. Only what has another component and another pivot is
 paired within a list, which finds every link that can still join two components.
 
 Defined results: null or white-space-only texts have no shingles, link with
@@ -41,11 +42,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from prefspark.llm.components import components
-from prefspark.llm.tables import materialize, release, row_runs, small_batches, text_buffers
+from prefspark.llm.tables import materialize, partitions_for, release, row_runs, small_batches, text_buffers
 from prefspark.llm.words import mixed, word_hashes
 
 COORDINATES, MATCHES, PIVOT_MATCHES = 64, 36, 16
 SIMILAR_PERCENT = 80
+TILE_MEMBERS, TILE_BYTES, TILE_COLUMNS = 1024, 16 << 20, 4096
 
 _rng = np.random.default_rng(20240607)
 _FLIP = _rng.integers(0, 2**64, COORDINATES, np.uint64)
@@ -194,49 +196,120 @@ def with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, n_a, n_b, n, element): a row for each shingle that only one of a and its pivot b has; n is their number."""
+    """(a, b, n_a, only): the size of a's set and the sorted shingles that only one of a and its pivot b has."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint64) for c in (2, 3))
-                only = np.setxor1d(x, y, assume_unique=True).view(np.int64)
-                const = [pa.array(np.full(len(only), v, np.int64)) for v in (batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), len(x), len(y), len(only))]
-                yield pa.RecordBatch.from_arrays([*const, pa.array(only)], ["a", "b", "n_a", "n_b", "n", "element"])
-
-    return with_sets(pairs, sets).mapInArrow(run, "a long, b long, n_a long, n_b long, n long, element long")
+            size, only = [], []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                size.append(len(x))
+                only.append(np.setxor1d(x, y, assume_unique=True).tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(size, pa.int64()), pa.array(only, pa.binary())], ["a", "b", "n_a", "only"])
+
+    return with_sets(pairs, sets).mapInArrow(run, "a long, b long, n_a long, only binary")
+
+
+def forest(i: np.ndarray, j: np.ndarray, m: int) -> np.ndarray:
+    """The smallest number in each one's component, of links between numbers below m."""
+    label = np.arange(m)
+    while len(i):
+        low = np.minimum(label[i], label[j])
+        np.minimum.at(label, label[i], low)
+        np.minimum.at(label, label[j], low)
+        while (label[label] != label).any():
+            label = label[label]
+        apart = label[i] != label[j]
+        i, j = i[apart], j[apart]
+    return label
+
+
+def tile_links(n: np.ndarray, loose: np.ndarray, only: list[np.ndarray], side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a spanning forest of them) among one pivot's members in a tile: between the members of
+    side 0 and those of side 1, or among all if there is one side only.
+
+    x and y differ in |D_x| + |D_y| - 2 |D_x and D_y| shingles, D being what only one of a member and the
+    pivot has; the common parts are products of 0/1 matrices over the elements that several members share."""
+    d = np.array([len(o) for o in only], np.int64)
+    rows, cols = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if (side == 1).any() else (np.arange(len(n)), np.arange(len(n)))
+    value, owner = np.concatenate(only), np.repeat(np.arange(len(n)), d)
+    order = np.argsort(value, kind="stable")
+    value, owner = value[order], owner[order]
+    new = np.append(True, value[1:] != value[:-1]) if len(value) else np.zeros(0, bool)
+    column = np.cumsum(new) - 1
+    shared = np.bincount(column) > 1 if len(value) else np.zeros(0, bool)
+    number = np.cumsum(shared) - 1
+    keep = shared[column] if len(value) else new
+    column, owner = number[column[keep]], owner[keep]
+    common = np.zeros((len(rows), len(cols)), np.float32)
+    cuts = np.searchsorted(column, np.arange(0, (column[-1] + 1 if len(column) else 0) + TILE_COLUMNS, TILE_COLUMNS))
+    for x, y in zip(cuts, cuts[1:]):
+        if x < y:
+            part = np.zeros((len(n), TILE_COLUMNS), np.float32)
+            part[owner[x:y], column[x:y] % TILE_COLUMNS] = 1
+            common += part[rows] @ part[cols].T
+    apart = d[rows][:, None] + d[cols][None, :] - 2 * common.astype(np.int64)
+    both = n[rows][:, None] + n[cols][None, :]
+    linked = ((100 + SIMILAR_PERCENT) * apart <= (100 - SIMILAR_PERCENT) * both) & (loose[rows][:, None] | loose[cols][None, :])
+    i, j = np.nonzero(linked)
+    i, j = rows[i], cols[j]
+    label = forest(i[i != j], j[i != j], len(n))
+    own = np.flatnonzero(label != np.arange(len(n)))
+    return own, label[own]
+
+
+def tiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b) links of rows (pivot, ti, tj, block, a, loose, n_a, only) that are sorted by tile."""
+    def links(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        keys = np.stack([rows.column(c).to_numpy() for c in ("pivot", "ti", "tj")])
+        cuts = [*np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(0))).tolist(), rows.num_rows]
+        a, n = rows.column("a").to_numpy(), rows.column("n_a").to_numpy()
+        loose, block = rows.column("loose").to_numpy(), rows.column("block").to_numpy()
+        only = [np.frombuffer(v.as_buffer(), np.uint64) for v in rows.column("only")]
+        for x, y in zip(cuts, cuts[1:]):
+            if loose[x:y].any():
+                u, v = tile_links(n[x:y], loose[x:y], only[x:y], (block[x:y] != keys[1, x]).astype(int))
+                if len(u):
+                    yield pa.RecordBatch.from_arrays([pa.array(a[x:y][u]), pa.array(a[x:y][v])], ["a", "b"])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        if sum(b.num_rows for b in held) < TILE_MEMBERS:
+            continue
+        table = pa.Table.from_batches(held)
+        keys = np.stack([table.column(c).to_numpy() for c in ("pivot", "ti", "tj")])
+        other = np.flatnonzero((keys[:, :-1] != keys[:, -1:]).any(0))
+        if len(other):
+            end = int(other[-1]) + 1
+            yield from links(table.slice(0, end))
+            held = table.slice(end).to_batches()
+    if held:
+        yield from links(pa.Table.from_batches(held))
+    release()
 
 
 def around_pivots(pivots: DataFrame, links: DataFrame, sets: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) among members of one pivot of which at least one isn't linked with the pivot.
+    """Links (a, b) that join the components of members of one pivot, at least one of them not linked with the pivot.
 
-    With D the shingles in which a member differs from the pivot, two members x and y are linked if
-    and only if |D_x| + |D_y| - 2 |D_x and D_y| <= (|x| + |y|) / 9 (for 80 percent). A member that is
-    not linked with the pivot has |D_x| > (|x| + |pivot|) / 9, so its partners share differences with
-    it, and by a lower bound each member need only be merged on its rarest differences. Members that
-    are both linked with the pivot are of one component anyway."""
+    Members that are both linked with the pivot are of one component anyway. Members are
+    compared in tiles: a pivot's members are dealt in blocks of at most ``TILE_MEMBERS`` members and
+    ``TILE_BYTES`` bytes, about, and each two blocks are compared as matrices. A tile returns a spanning forest
+    of its links, a row a member at most, never its pairs."""
     linked = links.select("a", "b").withColumn("linked", F.lit(True))
     members = pivots.join(linked, ["a", "b"], "left").select("a", "b", F.coalesce("linked", F.lit(False)).alias("linked"))
-    loose = members.where(~F.col("linked")).select("b").distinct()
-    members = materialize(members.join(loose, "b", "left_semi"), "pivot-members")
+    several = members.groupBy("b").agg(F.count("*").alias("m"), F.min("linked").alias("all_linked")).where("m > 1 AND NOT all_linked")
+    members = materialize(members.join(several.select("b"), "b", "left_semi"), "pivot-members")
     with small_batches(pivots.sparkSession):
-        own = materialize(differences(members, sets), "differences")
-    shared = own.groupBy("b", "element").agg(F.count("*").alias("count")).where("count > 1")
-    # d shared of the larger set's share: links allow |x| + |y| over this many differences
-    over = (100 + SIMILAR_PERCENT) / (100 - SIMILAR_PERCENT)
-    rows = (own.join(shared, ["b", "element"]).groupBy("a", "b", "n_a", "n_b", "n")
-            .agg(F.array_sort(F.collect_list(F.struct("count", "element"))).alias("own"))
-            .join(members, ["a", "b"]))
-    n, x, p = F.col("n"), F.col("n_a"), F.col("n_b")
-    with_linked = F.greatest(F.ceil((n - (x + p) / over) / 2 - 1e-9), F.lit(1))       # least overlap of a loose member with a linked one
-    with_loose = F.greatest(F.ceil((n + (p - x) / over) / 2 - 1e-9), F.lit(1))        # of any member with a loose one
-    merged = lambda least: F.explode(F.slice("own", F.lit(1), F.greatest(
-        (n - least + 1 - (n - F.size("own"))).cast("int"), F.lit(0)))).alias("own")
-    post = lambda rows, least, name: rows.select("b", merged(least), F.col("a").alias(name)).select("b", F.col("own.element").alias("element"), name)
-    is_loose = rows.where(~F.col("linked"))
-    to_linked = post(is_loose, with_linked, "x").join(post(rows.where("linked"), with_loose, "y"), ["b", "element"])
-    to_loose = post(is_loose, with_loose, "x").join(post(is_loose, with_loose, "y"), ["b", "element"]).where("x > y")
-    pairs = to_linked.select("x", "y").union(to_loose.select("x", "y"))
-    return pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+        own = materialize(differences(members.select("a", "b"), sets), "differences").join(members, ["a", "b"])
+    blocks = own.groupBy("b").agg(F.greatest(F.ceil(F.count("*") / TILE_MEMBERS), F.ceil(F.sum(F.octet_length("only")) / TILE_BYTES)).cast("int").alias("blocks"))
+    dealt = own.join(blocks, "b").withColumn("block", F.pmod(F.xxhash64("a", F.lit(3)), F.col("blocks")).cast("int"))
+    tile = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tile = tile.select(F.col("b").alias("pivot"), F.least("block", "other").alias("ti"), F.greatest("block", "other").alias("tj"), "block", "a",
+                       (~F.col("linked")).alias("loose"), "n_a", "only")
+    tasks = max(pivots.sparkSession.sparkContext.defaultParallelism, partitions_for(pivots))
+    return tile.repartition(tasks, "pivot", "ti", "tj").sortWithinPartitions("pivot", "ti", "tj").mapInArrow(tiled, "a long, b long")
 
 
 def groups(docs: DataFrame, n: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -267,9 +340,8 @@ def groups(docs: DataFrame, n: int, id_col: str, text_col: str) -> tuple[DataFra
         links = materialize(confirmed(may_link(stars), star_sets), "star-links")
 
     # 2: members of one pivot by their differences from it
-    near = materialize(around_pivots(pivots, links, star_sets), "pivot-pairs")
     with small_batches(spark):
-        links = materialize(links.union(confirmed(may_link(collisions(near, classes, MATCHES)), star_sets)), "pivot-links")
+        links = materialize(links.union(around_pivots(pivots, links, star_sets)), "pivot-links")
     first = components(links)
 
     # 3: members of a list with those of other components and pivots

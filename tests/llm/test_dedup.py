@@ -253,3 +253,35 @@ def test_minhash_star_of_loose_members(docs_of):
     want = brute_components(sets, links)
     assert 1 < len(set(want.values())) < len(rows) - 1
     assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs_of(rows), 2).collect()} == want
+
+
+@pytest.mark.parametrize("members", [1024, 8])
+def test_minhash_group_of_loose_copies_in_tiles(docs_of, monkeypatch, members):
+    """A group many of whose members aren't linked with its middle; small tiles cut it into many block pairs."""
+    monkeypatch.setattr(minhash, "TILE_MEMBERS", members)
+    rng = random.Random(12)
+    base = " ".join(f"w{i}" for i in range(200))
+    rows = [(i, varied(rng, base, rng.choice((3, 9, 14, 18, 22)))) for i in range(160)]
+    sets = {i: shingles(t, 2) for i, t in rows}
+    links = [(a, b) for a, b in itertools.combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    want = brute_components(sets, links)
+    assert 5 < len(set(want.values())) < 140
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs_of(rows), 2).collect()} == want
+
+
+def test_tile_links_equal_pairs_and_grow_with_the_members():
+    rng = np.random.default_rng(1)
+    for trial in range(60):
+        m = int(rng.integers(2, 30))
+        only = [np.unique(rng.integers(0, 60, rng.integers(0, 40))).astype(np.uint64) for _ in range(m)]
+        n, loose = rng.integers(40, 200, m), rng.random(m) < 0.5
+        side = (rng.random(m) < 0.5).astype(int) if trial % 2 else np.zeros(m, int)
+        pairs = []
+        for i, j in itertools.combinations(range(m), 2):
+            apart, both = len(np.setxor1d(only[i], only[j])), n[i] + n[j]
+            if (not side.any() or side[i] != side[j]) and (loose[i] or loose[j]) and 100 * (both - apart) >= 80 * (both + apart):
+                pairs.append((i, j))
+        u, v = minhash.tile_links(n, loose, only, side)
+        got = np.arange(m)
+        got[u] = v
+        assert dict(enumerate(got.tolist())) == brute_components(range(m), pairs) and len(u) < m
