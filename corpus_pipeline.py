@@ -5,6 +5,10 @@ as Parquet and read again as the next stage's docs. All but the last return the
 columns of documents; rows that a stage doesn't reject keep all their columns.
 Nulls, empty texts, repeated rows and further columns pass through as the
 operators' docstrings say. There is no SQL twin: the classifier is trained.
+
+Stages pass whole texts to Python, so each sets Arrow batches of at most
+``ROWS_A_BATCH`` rows in the session. The setting stays, since a stage's result is written
+after it has returned; it bounds what a task holds and changes no result.
 """
 
 from __future__ import annotations
@@ -20,15 +24,26 @@ from prefspark.llm.tables import read
 from prefspark.session import ensure_checkpoint_dir
 
 ORACLE_SQL = None
+ROWS_A_BATCH = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most ``ROWS_A_BATCH`` rows from here on."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if not 0 < now <= ROWS_A_BATCH:
+        spark.conf.set(key, str(ROWS_A_BATCH))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score of 0.5 or more go."""
+    small_batches(spark)
     return toxicity.clean(docs, toxicity.train(docs, read(spark, sf_dir, "labels", "doc_id", "toxic")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document stays of those linked by a similarity of 0.8 of five-word shingles."""
+    small_batches(spark)
     return minhash.deduplicated(docs, 5)
 
 
@@ -36,6 +51,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Strings of 50 bytes that a document with a smaller id has too are cut out of the texts.
 
     A character stays if a byte of it stays; null texts stay null; n_chars follows the text."""
+    small_batches(spark)
     others = [c for c in docs.columns if c != "text"]
     rest = F.struct(*[F.col(f"`{c}`") for c in others], F.col("text").isNull().alias("__null"))
     got = repeats.remove_repeats(docs.select("doc_id", rest.alias("rest"), "text"), keep=("rest",), with_text=True)
@@ -51,6 +67,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents that hold 80 percent of a benchmark item's five-word shingles go.
 
     Documents are told apart by their text's digest, so null and repeated ids do no harm."""
+    small_batches(spark)
     keyed = docs.select(F.md5("text").alias("__key"), "text").where("text is not null")
     leaks = decontaminate.contained_items(keyed, read(spark, sf_dir, "benchmark"), id_col="__key").select(F.col("__key").alias("__leak")).distinct()
     return docs.join(leaks, F.md5(docs["text"]) == leaks["__leak"], "left_anti")
@@ -58,6 +75,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and the digests of the ids and of what they decode to."""
+    small_batches(spark)
     return bpe.bpe_roundtrip(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
