@@ -20,8 +20,9 @@ with one member only, the one in the middle (its pivot). Members that are linked
 their pivot are of one component and need no comparison. The other members of a pivot are
 compared with all of its members by what they differ in from the pivot, in tiles of bounded
 blocks whose products give exact set overlaps; a tile returns a spanning forest of its
-links, not pairs. Only what has another component and another pivot is
-paired within a list, which finds every link that can still join two components.
+links, not pairs. What has another component and another pivot is compared within a
+list, again in tiles, by signatures: only pairs with enough collisions leave a tile,
+which finds every link that can still join two components.
 
 Defined results: null or white-space-only texts have no shingles, link with
 nothing and are their own components; fewer words than a shingle make one
@@ -257,20 +258,8 @@ def tile_links(n: np.ndarray, loose: np.ndarray, only: list[np.ndarray], side: n
     return own, label[own]
 
 
-def tiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b) links of rows (pivot, ti, tj, block, a, loose, n_a, only) that are sorted by tile."""
-    def links(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        keys = np.stack([rows.column(c).to_numpy() for c in ("pivot", "ti", "tj")])
-        cuts = [*np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(0))).tolist(), rows.num_rows]
-        a, n = rows.column("a").to_numpy(), rows.column("n_a").to_numpy()
-        loose, block = rows.column("loose").to_numpy(), rows.column("block").to_numpy()
-        only = [np.frombuffer(v.as_buffer(), np.uint64) for v in rows.column("only")]
-        for x, y in zip(cuts, cuts[1:]):
-            if loose[x:y].any():
-                u, v = tile_links(n[x:y], loose[x:y], only[x:y], (block[x:y] != keys[1, x]).astype(int))
-                if len(u):
-                    yield pa.RecordBatch.from_arrays([pa.array(a[x:y][u]), pa.array(a[x:y][v])], ["a", "b"])
-
+def by_tile(batches: Iterator[pa.RecordBatch], names: tuple[str, ...], fn) -> Iterator[pa.RecordBatch]:
+    """``fn`` of runs of whole tiles, of sorted rows whose tile is told by the columns ``names``."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
@@ -279,17 +268,34 @@ def tiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if sum(b.num_rows for b in held) < TILE_MEMBERS:
             continue
         table = pa.Table.from_batches(held)
-        keys = np.stack([table.column(c).to_numpy() for c in ("pivot", "ti", "tj")])
+        keys = np.stack([table.column(c).to_numpy() for c in names])
         other = np.flatnonzero((keys[:, :-1] != keys[:, -1:]).any(0))
         if len(other):
             end = int(other[-1]) + 1
-            yield from links(table.slice(0, end))
+            yield from fn(table.slice(0, end))
             held = table.slice(end).to_batches()
     if held:
-        yield from links(pa.Table.from_batches(held))
+        yield from fn(pa.Table.from_batches(held))
     release()
 
 
+def tiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b) links of rows (pivot, ti, tj, block, a, loose, n_a, only) that are sorted by tile."""
+    def links(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        keys = np.stack([rows.column(c).to_numpy() for c in ("pivot", "ti", "tj")])
+        cuts = [*np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(0))).tolist(), rows.num_rows]
+        a, n = rows.column("a").to_numpy(), rows.column("n_a").to_numpy()
+        loose, block = rows.column("loose").to_numpy(), rows.column("block").to_numpy()
+        only = [np.frombuffer(v.as_buffer(), np.uint64) for v in rows.column("only")]
+        for x, y in zip(cuts, cuts[1:]):
+            if loose[x:y].any():
+                u, v = tile_links(n[x:y], loose[x:y], only[x:y], (block[x:y] != keys[1, x]).astype(int))
+                if len(u):
+                    yield pa.RecordBatch.from_arrays([pa.array(a[x:y][u]), pa.array(a[x:y][v])], ["a", "b"])
+
+    yield from by_tile(batches, ("pivot", "ti", "tj"), links)
+
+
 def around_pivots(pivots: DataFrame, links: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (a, b) that join the components of members of one pivot, at least one of them not linked with the pivot.
 
@@ -312,6 +318,51 @@ def around_pivots(pivots: DataFrame, links: DataFrame, sets: DataFrame) -> DataF
     return tile.repartition(tasks, "pivot", "ti", "tj").sortWithinPartitions("pivot", "ti", "tj").mapInArrow(tiled, "a long, b long")
 
 
+def matching(sig: np.ndarray, n: np.ndarray, cls: np.ndarray, root: np.ndarray, pivot: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs in a tile of a list (of side 0 and side 1, or all if there is one side only) that no earlier step has
+    settled, whose signatures agree in ``MATCHES`` coordinates and whose sizes allow a link."""
+    two, out = bool((side == 1).any()), ([], [])
+    for i in range(len(cls) - 1):
+        rest = np.arange(i + 1, len(cls))
+        ask = (root[rest] != root[i]) & (pivot[rest] != pivot[i]) & (cls[rest] != pivot[i]) & (pivot[rest] != cls[i])
+        ask &= (np.minimum(n[rest], n[i]) * 100 >= np.maximum(n[rest], n[i]) * SIMILAR_PERCENT) & (not two or side[rest] != side[i])
+        rest = rest[ask]
+        rest = rest[(sig[rest] == sig[i]).sum(1) >= MATCHES]
+        out[0].append(np.full(len(rest), i))
+        out[1].append(rest)
+    return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
+
+
+def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b) pairs of rows (key, ti, tj, block, cls, root, pivot, n_shingles, sig) that are sorted by tile."""
+    def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        c = {name: rows.column(name).to_numpy() for name in ("key", "ti", "tj", "block", "cls", "root", "pivot", "n_shingles")}
+        keys = np.stack([c["key"], c["ti"], c["tj"]])
+        cuts = [*np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(0))).tolist(), rows.num_rows]
+        sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint32).reshape(-1, COORDINATES)
+        for x, y in zip(cuts, cuts[1:]):
+            own = slice(x, y)
+            i, j = matching(sig[own], c["n_shingles"][own], c["cls"][own], c["root"][own], c["pivot"][own], (c["block"][own] != c["ti"][x]).astype(int))
+            if len(i):
+                one, other = c["cls"][own][i], c["cls"][own][j]
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(one, other)), pa.array(np.minimum(one, other))], ["a", "b"])
+
+    yield from by_tile(batches, ("key", "ti", "tj"), pairs)
+
+
+def list_pairs(placed: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of members of one list with different components and pivots that may be linked, by comparing
+    signatures in tiles: only pairs with enough collisions leave a tile."""
+    mixed_lists = placed.groupBy("key").agg(F.count("*").alias("m"), F.min("pivot").alias("p"), F.max("pivot").alias("q"), F.min("root").alias("r"), F.max("root").alias("s"))
+    mixed_lists = mixed_lists.where("p <> q AND r <> s").select("key", F.ceil(F.col("m") / TILE_MEMBERS).cast("int").alias("blocks"))
+    rows = placed.join(mixed_lists, "key").join(classes.select("cls", "n_shingles", "sig"), "cls")
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("cls", F.lit(7)), F.col("blocks")).cast("int"))
+    tile = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tile = tile.select("key", F.least("block", "other").alias("ti"), F.greatest("block", "other").alias("tj"), "block", "cls", "root", "pivot", "n_shingles", "sig")
+    tasks = max(placed.sparkSession.sparkContext.defaultParallelism, partitions_for(placed))
+    return tile.repartition(tasks, "key", "ti", "tj").sortWithinPartitions("key", "ti", "tj").mapInArrow(matched, "a long, b long")
+
+
 def groups(docs: DataFrame, n: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """The written signatures (id, n_shingles, cls), and cls, rep, root, component_id of every class."""
     with small_batches(docs.sparkSession, 2000):
@@ -348,16 +399,8 @@ def groups(docs: DataFrame, n: int, id_col: str, text_col: str) -> tuple[DataFra
     of_pivot = pivots.select(F.col("a").alias("cls"), F.col("b").alias("pivot"))
     placed = materialize(lists.select("key", "cls").join(first.withColumnRenamed("node", "cls"), "cls", "left").join(of_pivot, "cls", "left")
                          .select("key", "cls", F.coalesce("root", "cls").alias("root"), F.coalesce("pivot", "cls").alias("pivot")), "placed")
-    # of two members with different pivots one hasn't the list's commonest: that side is paired with all of the list
-    kinds = placed.groupBy("key", "pivot").agg(F.count("*").alias("m"))
-    home = (kinds.groupBy("key").agg(F.max(F.struct("m", "pivot")).alias("k"), F.count("*").alias("kinds"))
-            .where("kinds > 1").select("key", F.col("k.pivot").alias("home_pivot")))
-    away = (placed.join(home, "key").where("pivot <> home_pivot")
-            .select("key", F.col("cls").alias("a"), F.col("root").alias("root_a"), F.col("pivot").alias("pivot_a")))
-    other = placed.select("key", F.col("cls").alias("b"), F.col("root").alias("root_b"), F.col("pivot").alias("pivot_b"))
-    cross = (away.join(other, "key").where("root_a <> root_b and pivot_a <> pivot_b and a <> pivot_b and b <> pivot_a")
-             .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    cross = materialize(may_link(collisions(cross, classes, MATCHES)).select("a", "b"), "cross-pairs")
+    with small_batches(spark):
+        cross = materialize(list_pairs(placed, classes).distinct(), "cross-pairs")
     cross_sets = sets(cross, "cross-sets")
     with small_batches(spark):
         cross_links = materialize(confirmed(cross, cross_sets), "cross-links")
