@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from prefspark.llm.tables import materialize, row_runs, text_buffers
+from prefspark.llm.tables import materialize, release, row_runs, text_buffers
 
 BLOCK_BYTES = 2 << 20
 
@@ -67,6 +67,8 @@ def text_blocks(docs: DataFrame, *cols: str, block_bytes: int = BLOCK_BYTES) ->
                 size += own
         if held:
             yield full()
+        held.clear()
+        release()
 
     *others, text = cols
     rows = docs.select(*others, F.coalesce(F.col(text), F.lit("")).alias(text))
@@ -80,6 +82,7 @@ def visit(blocks: DataFrame, replies: DataFrame | None, fn: Callable[[int, pa.Ta
             for batch in batches:
                 for block, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
                     yield from fn(block, unpack(payload.as_buffer()), [])
+            release()
 
         return blocks.mapInArrow(alone, schema)
 
@@ -91,6 +94,7 @@ def visit(blocks: DataFrame, replies: DataFrame | None, fn: Callable[[int, pa.Ta
 
     def grouped(left: pa.Table, right: pa.Table) -> pa.Table:
         got = together(left, right)
+        release()
         return got if got is not None else empty
 
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -113,6 +117,8 @@ def merge(entries: DataFrame, fn: Callable[[dict[str, np.ndarray]], Iterator[tup
             for x, y in zip(cuts, [*cuts[1:], len(at)]):
                 out_block.append(block[order_of[at[x]]])
                 out_blob.append(arrays(**{n: np.ascontiguousarray(v[at[x:y]]) for n, v in columns.items()}))
+        del rows
+        release()
         return pa.table({"block": pa.array(out_block, pa.int64()), "blob": pa.array(out_blob, pa.binary())})
 
     return entries.groupBy("bucket").applyInArrow(run, "block long, blob binary")

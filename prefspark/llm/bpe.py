@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
+from prefspark.llm.tables import release
+
 CACHE_WORDS = 120_000
 MATRIX_WIDTH = 48
 NO_RANK = np.int32(2**31 - 1)
@@ -311,6 +313,7 @@ def bpe_roundtrip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                 cols, names = [*cols, pa.array(ids, pa.string()), pa.array(dec, pa.string())], [*names, "ids", "decoded"]
             yield pa.RecordBatch.from_arrays(cols, names)
         bpe.forget()        # the worker lives on; its memory is for the next task's work
+        release()
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"{id_col} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
