@@ -7,8 +7,8 @@ Nulls, empty texts, repeated rows and further columns pass through as the
 operators' docstrings say. There is no SQL twin: the classifier is trained.
 
 Stages pass whole texts to Python, so each sets Arrow batches of at most
-``ROWS_A_BATCH`` rows in the session. The setting stays, since a stage's result is written
-after it has returned; it bounds what a task holds and changes no result.
+``ROWS_A_BATCH`` rows and about ``BYTES_A_BATCH`` bytes in the session. The settings stay, since a
+stage's result is written after it has returned; they bound what a task holds and change no result.
 """
 
 from __future__ import annotations
@@ -24,15 +24,15 @@ from prefspark.llm.tables import read
 from prefspark.session import ensure_checkpoint_dir
 
 ORACLE_SQL = None
-ROWS_A_BATCH = 1000
+ROWS_A_BATCH, BYTES_A_BATCH = 1000, 8 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most ``ROWS_A_BATCH`` rows from here on."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if not 0 < now <= ROWS_A_BATCH:
-        spark.conf.set(key, str(ROWS_A_BATCH))
+    """Arrow batches of at most ``ROWS_A_BATCH`` rows and about ``BYTES_A_BATCH`` bytes from here on."""
+    rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    if not 0 < rows <= ROWS_A_BATCH:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_A_BATCH))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BYTES_A_BATCH}b")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
