@@ -32,16 +32,30 @@ def unpack(data: bytes) -> pa.Table:
     return pa.ipc.open_stream(data).read_all()
 
 
+def _column(v: np.ndarray) -> pa.Array:
+    """A vector, or the rows of a byte matrix as binary values of one width."""
+    if v.ndim == 1:
+        return pa.array(v)
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(v.shape[1]), len(v), [None, pa.py_buffer(np.ascontiguousarray(v))])
+
+
+def _vector(v: pa.Array) -> np.ndarray:
+    if not pa.types.is_fixed_size_binary(v.type):
+        return v.to_numpy(zero_copy_only=False)
+    width = v.type.byte_width
+    return np.frombuffer(v.buffers()[1], np.uint8)[v.offset * width: (v.offset + len(v)) * width].reshape(-1, width)
+
+
 def arrays(**columns: np.ndarray) -> bytes:
     """Named arrays of one length as a compressed value."""
-    return pack(pa.RecordBatch.from_arrays([pa.array(v) for v in columns.values()], list(columns)))
+    return pack(pa.RecordBatch.from_arrays([_column(v) for v in columns.values()], list(columns)))
 
 
 def unpacked(blobs: Iterator[bytes]) -> dict[str, np.ndarray]:
     """The same of several values, one after the other; ``blob`` tells the value each row came from."""
     tables = [unpack(b) for b in blobs]
     out = pa.concat_tables(tables).combine_chunks()
-    return {n: out.column(n).to_numpy() for n in out.column_names} | {"blob": np.repeat(np.arange(len(tables)), [t.num_rows for t in tables])}
+    return {n: _vector(out.column(n).combine_chunks()) for n in out.column_names} | {"blob": np.repeat(np.arange(len(tables)), [t.num_rows for t in tables])}
 
 
 def text_blocks(docs: DataFrame, *cols: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:

@@ -148,6 +148,40 @@ def test_repeats_of_equal_ids_in_two_partitions(docs_of):
     assert {i: sorted(v) for i, v in got.items()} == want and min(w[1] for w in want[5]) >= 75
 
 
+def test_suffix_ranks_follow_byte_order():
+    rng = np.random.default_rng(4)
+    rows = rng.choice(np.frombuffer(b"ab\xff\0", np.uint8), (200, repeats.WIDTH))
+    rows[120:, :56] = rows[:80, :56]
+    rows[:, repeats.LENGTH + repeats.SIDE - 1:] = 0
+    strings = [r[j: j + repeats.LENGTH].tobytes() for r in rows for j in range(repeats.SIDE)]
+    place = {v: i for i, v in enumerate(sorted(set(strings)))}
+    assert repeats.suffix_ranks(rows).ravel().tolist() == [place[v] for v in strings]
+    assert repeats.suffix_ranks(rows[:0]).shape == (0, repeats.SIDE)
+
+
+def test_parts_cover_each_window_once_and_hold_their_anchor():
+    raw = np.random.default_rng(2).integers(97, 101, 5000).astype(np.uint8)
+    p = repeats.Parse(raw, np.array([0, 30, 2000, 2049, 5000]))
+    _, begin, end, anchor = p.parts(np.arange(len(p.first)))
+    covered = np.concatenate([np.arange(a, b + 1) for a, b in zip(begin, end)])
+    whole = [s for a, b in zip(p.offs[:-1], p.offs[1:]) for s in range(a, b - repeats.LENGTH + 1)]
+    assert sorted(covered.tolist()) == whole
+    assert (end - begin < repeats.SIDE).all() and (anchor >= end).all() and (anchor + repeats.ANCHOR <= begin + repeats.LENGTH).all()
+
+
+def test_repeats_around_one_hot_string(docs_of, monkeypatch):
+    monkeypatch.setattr(repeats, "SLICE", 8)
+    rng = random.Random(3)
+    hot = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=29))
+    side = lambda: ["".join(rng.choices("xyz ", k=n)) for n in (5, 11, 21, 40)]
+    left, right = side() + side(), side() + side()
+    rows = [(rng.randrange(200), rng.choice(left) + hot + rng.choice(right)) for _ in range(250)]
+    got = {}
+    for r in repeats.remove_repeats(docs_of(rows)).collect():
+        got.setdefault(r.doc_id, []).append((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256))
+    assert {i: sorted(v) for i, v in got.items()} == brute_repeats(rows)
+
+
 def test_repeats_text_and_empty(spark, docs_of):
     text = "Ein schöner Satz über Äpfel, lang genug für fünfzig Bytes und mehr. "
     got = {r.doc_id: r.kept_text for r in repeats.remove_repeats(docs_of([(1, "vor " + text), (2, "é" + text + "ü"), (3, None)]), with_text=True).collect()}
