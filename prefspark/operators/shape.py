@@ -31,17 +31,19 @@ def unflatten_rewards(long: DataFrame, value: str = "reward", keys=("prompt_id",
                     F.transform("_l", lambda x: x["v"]).alias(value + "s"))
 
 
-def group_return_sequences(flat: DataFrame, k: int, order: str = "seq_idx", value: str = "text") -> DataFrame:
+def group_return_sequences(flat: DataFrame, k: int, order: str = "seq_idx", value: str = "text", whole_only: bool = True) -> DataFrame:
     """A flat list of generations (k per prompt, consecutive) -> list of k
     per prompt; with k == 1 the values stay flat. A group without exactly k
-    sequences is an error."""
+    sequences is an error, unless ``whole_only`` is false: then it gives those it has."""
     if k <= 1:
         return flat.select((F.col(order)).alias("prompt_idx"), F.col(value).alias("completions"))
     g = flat.groupBy(F.floor(F.col(order) / k).alias("prompt_idx")).agg(
         F.count(F.lit(1)).alias("_n"), F.array_sort(F.collect_list(F.struct(order, value))).alias("_l"))
-    whole = F.when(F.col("_n") == k, F.transform("_l", lambda x: x[value])).otherwise(
-        F.raise_error(F.concat(F.lit(f"a prompt without {k} sequences: "), F.col("prompt_idx").cast("string"))))
-    return g.select("prompt_idx", whole.alias("completions"))
+    values = F.transform("_l", lambda x: x[value])
+    if whole_only:
+        values = F.when(F.col("_n") == k, values).otherwise(F.raise_error(F.concat(
+            F.lit(f"a prompt without {k} sequences: "), F.coalesce(F.col("prompt_idx").cast("string"), F.lit("null")))))
+    return g.select("prompt_idx", values.alias("completions"))
 
 
 def repeat_rows(df: DataFrame, k: int, out: str = "repeat_idx") -> DataFrame:

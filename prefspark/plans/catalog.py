@@ -467,7 +467,7 @@ def q_unflatten_rewards(spark, sf):
 def q_group_return_sequences(spark, sf):
     flat = fx.table(spark, sf, "embeddings", "vec_id", "label").select(
         F.col("vec_id").alias("seq_idx"), F.col("label").cast("string").alias("text"))
-    return sh.group_return_sequences(flat, 4)
+    return sh.group_return_sequences(flat, 4, whole_only=False)     # as the SQL: ids may have gaps
 
 
 @query("repeat_rows")

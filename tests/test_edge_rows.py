@@ -125,3 +125,14 @@ def test_token_counter_hook(spark):
     assert sorted(r.id for r in keep.collect()) == [2, 3] and stats.first().n_removed == 1
     lines = F.transform(F.split(F.lit("ab\nc\nd"), "\n"), F.length)
     assert df.select(ch.truncate_lines(F.lit("ab\nc\nd"), 3, "", lines).alias("t")).first().t == "ab\nc"
+
+
+def test_groups_with_too_few_or_too_many_sequences(spark, tmp_path):
+    from prefspark.plans.catalog import QUERIES
+    rows = [(0, 5), (1, 6), (2, None), (3, 8), (3, 9), (6, 1), (5, 2), (None, 7)]
+    spark.createDataFrame(rows, "vec_id long, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.prompt_idx: r.completions for r in QUERIES["group_return_sequences"](spark, str(tmp_path)).collect()}
+    assert got == {0: ["5", "6", None, "8", "9"], 1: ["2", "1"], None: ["7"]}
+    flat = spark.createDataFrame(rows, "seq_idx long, text int")
+    with pytest.raises(PySparkException):
+        sh.group_return_sequences(flat.where("seq_idx is null"), 4).collect()
