@@ -144,6 +144,15 @@ def disagreement_labels_wide(ann: DataFrame, seed: int = 42, compat: bool = Fals
     return g.select("prompt_id", F.expr(f"inline(array_compact(array({rows})))"))
 
 
+def side_means_and_labels(ann: DataFrame, seed: int = 42, compat: bool = False, attributes: Sequence[str] = ATTRIBUTES) -> DataFrame:
+    """(prompt_id, s0_<a>, s1_<a>, label_<a>): mean ratings of both sides and the E1 label of each
+    attribute, null where a side has no rating; rows without a prompt are left out. From wide annotator
+    rows in the one aggregation of :func:`disagreement_labels_wide`, so no side is paired or joined later."""
+    g = ann.where("prompt_id is not null").groupBy("prompt_id").agg(*_side_moments_sql(attributes))
+    return g.select("prompt_id", *[F.col(f"m{s}_{a}").alias(f"s{s}_{a}") for s in (0, 1) for a in attributes],
+                    *[F.expr(_side_label_sql(a, seed, compat)).alias(f"label_{a}") for a in attributes])
+
+
 def rated_pairs(rows: DataFrame, seed: int = 42, compat: bool = False,
                 attributes: Sequence[str] = ATTRIBUTES) -> tuple[DataFrame, DataFrame]:
     """D1 + E1 in ONE keyed aggregation: rows are (prompt_id, prompt,

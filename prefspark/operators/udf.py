@@ -172,13 +172,16 @@ def fit_reward_model(pairs: DataFrame, features: Sequence[str], weight: str | No
     pair becomes two rows (d, 1) and (-d, 0) with d = chosen - rejected, and a
     weighted logistic regression without intercept is fitted (distributed
     L-BFGS in ``pyspark.ml``). Returns (model, coefficients DataFrame).
+    The fit reads its rows several times, so the differences are written as a table first
+    and what ``pairs`` takes to build is done once.
     """
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
 
     d = [(F.col(f"chosen_{f}") - F.col(f"rejected_{f}")).alias(f"d_{f}") for f in features]
     w = F.col(weight) if weight else F.lit(1.0)
-    pos = pairs.select(*d, F.lit(1.0).alias("label"), w.alias("w"))
+    diffs = materialize(pairs.select(*d, w.alias("w")), "reward-diffs")
+    pos = diffs.select(*[f"d_{f}" for f in features], F.lit(1.0).alias("label"), "w")
     neg = pos.select(*[(-F.col(f"d_{f}")).alias(f"d_{f}") for f in features], F.lit(0.0).alias("label"), "w")
     data = VectorAssembler(inputCols=[f"d_{f}" for f in features], outputCol="features").transform(pos.union(neg))
     lr = LogisticRegression(featuresCol="features", labelCol="label", weightCol="w", fitIntercept=False,

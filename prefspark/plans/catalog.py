@@ -933,17 +933,17 @@ def q_tokenize_with(spark, sf):
 REWARD_FEATURES = [c for c in ATTRS if c != LABEL_ATTRIBUTE]
 
 
+def _by_label(label, attributes):
+    """chosen_<f>, rejected_<f> of a pair: side 0 is chosen where the label is 1."""
+    first = F.col(label) == 1
+    return [F.when(first, F.col(f"s{s}_{a}")).otherwise(F.col(f"s{1 - s}_{a}")).alias(f"{side}_{a}")
+            for s, side in enumerate(("chosen", "rejected")) for a in attributes]
+
+
 def _rated_features(spark, sf):
     """chosen_<f>, rejected_<f> annotation means of each pair, by the helpfulness label."""
-    st = lb.side_stats(fx.annotation_ratings(spark, sf))
-    wide = st.groupBy("prompt_id").agg(*[F.max(F.when((F.col("completion_idx") == s) & (F.col("attribute") == a),
-                                                      F.col("mean"))).alias(f"s{s}_{a}")
-                                         for s in (0, 1) for a in ATTRS])
-    lab = _labels(spark, sf).filter(F.col("attribute") == LABEL_ATTRIBUTE).select("prompt_id", "label")
-    j = wide.join(lab, "prompt_id")
-    first, feats = F.col("label") == 1, REWARD_FEATURES
-    return j.select("prompt_id", *[F.when(first, F.col(f"s0_{a}")).otherwise(F.col(f"s1_{a}")).alias(f"chosen_{a}") for a in feats],
-                     *[F.when(first, F.col(f"s1_{a}")).otherwise(F.col(f"s0_{a}")).alias(f"rejected_{a}") for a in feats])
+    means, label = lb.side_means_and_labels(fx.annotations_wide(spark, sf), SEED), f"label_{LABEL_ATTRIBUTE}"
+    return means.where(F.col(label).isNotNull()).select("prompt_id", *_by_label(label, REWARD_FEATURES))
 
 
 REWARD_REG = 0.1
@@ -951,13 +951,10 @@ REWARD_REG = 0.1
 
 def _rated_features_by_attribute(spark, sf):
     """(attribute, prompt_id, chosen_<f>, rejected_<f>): annotation means of each pair, chosen by the attribute's own label."""
-    st = lb.side_stats(fx.annotation_ratings(spark, sf))
-    wide = st.groupBy("prompt_id").agg(*[F.max(F.when((F.col("completion_idx") == s) & (F.col("attribute") == a), F.col("mean"))).alias(f"s{s}_{a}")
-                                         for s in (0, 1) for a in ATTRS])
-    j = _labels(spark, sf).join(wide, "prompt_id")
-    first = F.col("label") == 1
-    return j.select("attribute", "prompt_id", *[F.when(first, F.col(f"s0_{a}")).otherwise(F.col(f"s1_{a}")).alias(f"chosen_{a}") for a in ATTRS],
-                    *[F.when(first, F.col(f"s1_{a}")).otherwise(F.col(f"s0_{a}")).alias(f"rejected_{a}") for a in ATTRS])
+    means = lb.side_means_and_labels(fx.annotations_wide(spark, sf), SEED)
+    own = [F.when(F.col(f"label_{a}").isNotNull(), F.struct(F.lit(a).alias("attribute"), *_by_label(f"label_{a}", ATTRS))) for a in ATTRS]
+    x = means.select("prompt_id", F.inline(F.array_compact(F.array(*own))))
+    return x.select("attribute", "prompt_id", *[c for c in x.columns if c not in ("attribute", "prompt_id")])
 
 
 @query("fit_reward_models")

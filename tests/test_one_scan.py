@@ -169,3 +169,26 @@ def test_sources(spark):
     assert sorted((r.prompt_id, r.prompt[0].content, r.n, r.tag, r.split) for r in got.collect()) == [(0, "be", 2, None, "validation"), (1, "do", 1, "x", "validation")]
     both = sio.prompt_sources({"Instruction_Eval": items, "constraint_eval": items.withColumnRenamed("instruction", "prompt")})
     assert both.columns == ["source", "prompt_id", "prompt", "split"] and both.count() == 4
+
+
+def test_side_means_and_labels_are_those_of_the_joined_form(spark):
+    rng = random.Random(5)
+    rate = lambda: rng.choice([None, 0.0, 1.0, 2.0, 4.0])
+    rows = [(rng.choice([None, *range(40)]), rng.choice([None, -1, 0, 1]), *[rate() for _ in lb.ATTRIBUTES]) for _ in range(300)]
+    ann = spark.createDataFrame(rows, "prompt_id long, completion_idx int, " + ", ".join(f"{a} double" for a in lb.ATTRIBUTES))
+    st = lb.side_stats(ann.unpivot(["prompt_id", "completion_idx"], list(lb.ATTRIBUTES), "attribute", "rating")).collect()
+    mean = {(r.prompt_id, r.completion_idx, r.attribute): r.mean for r in st}
+    label = {(r.prompt_id, r.attribute): r.label for r in lb.disagreement_labels(spark.createDataFrame(st), 3).collect()}
+    got = lb.side_means_and_labels(ann, 3).collect()
+    assert {r.prompt_id for r in got} == {r[0] for r in rows} - {None} and len(got) == len({r.prompt_id for r in got})
+    for r in got:
+        for a in lb.ATTRIBUTES:
+            assert [r[f"s{s}_{a}"] for s in (0, 1)] == [mean.get((r.prompt_id, s, a)) for s in (0, 1)]
+            assert r[f"label_{a}"] == label.get((r.prompt_id, a))
+
+
+def test_reward_features_take_one_shuffle_of_the_annotations(spark):
+    from prefspark.plans import catalog as ct
+    for df in (ct._rated_features(spark, SF), ct._rated_features_by_attribute(spark, SF)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange ") == 1 and "Join" not in plan

@@ -53,3 +53,20 @@ def test_native_scores_shape(spark):
     out = {r["attribute"]: r["reward"] for r in uf.score_native(df).collect()}
     assert out == {"length": 4.0, "lexical_overlap": pytest.approx(2 / 3)}
     assert uf.score_native(df).filter(F.col("reward") < 0).count() == 0
+
+
+def test_fit_builds_its_pairs_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    rows = [(float(i % 7), float(i % 5), float(i % 3), float(i % 2)) for i in range(60)]
+    raw = spark.createDataFrame(rows, "chosen_x double, rejected_x double, chosen_y double, rejected_y double")
+    once = raw.withColumn("chosen_x", counted("chosen_x"))
+    _, coefs = uf.fit_reward_model(once, ["x", "y"], max_iter=30)
+    assert seen.value == len(rows)
+    plain = {r.feature: r.weight for r in uf.fit_reward_model(raw, ["x", "y"], max_iter=30)[1].collect()}
+    assert {r.feature: r.weight for r in coefs.collect()} == pytest.approx(plain)
