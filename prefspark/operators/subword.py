@@ -1,18 +1,23 @@
 """Subword tokenizers behind the token hooks: ids of texts (U3), line truncation by any token count.
 
 Both run in Arrow batches. A tokenizer is loaded once a Python worker and kept for its
-later tasks. Texts go through it in runs of bounded size, and lists of ids are Arrow lists
-built from one flat array and offsets.
+later tasks. Texts become Python strings and go through it in runs of bounded size, lists of ids are
+Arrow lists built from one flat array and offsets, and freed memory goes back to the system after
+each batch. The ids of several tokenizers of one table are made in one worker a task.
 """
 
 from __future__ import annotations
 
+import ctypes
 import os
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import suppress
+from functools import partial
 from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
@@ -56,14 +61,20 @@ class LibraryTokenizer:
     def counts(self, texts: Sequence[str]) -> list[int]:
         return [len(e) for e in self.model.encode_batch(list(texts), add_special_tokens=False)]
 
+    def measured(self, texts: Sequence[str]) -> list[tuple[int, Callable[[Sequence[int]], np.ndarray]]]:
+        """Tokens of each text with its ``least``, from one encoding."""
+        return [(len(e), partial(self._least, e)) for e in self.model.encode_batch(list(texts), add_special_tokens=False)]
+
     def least(self, text: str, ends: Sequence[int]) -> np.ndarray:
         """Tokens of the pieces (of the pre-tokenizer) that are over before the end.
 
         A piece depends on the text before it, itself and the character after it, and
         is tokenized by itself, so it is the same in the shorter text."""
+        return self._least(self.model.encode(text, add_special_tokens=False), ends)
+
+    def _least(self, e, ends: Sequence[int]) -> np.ndarray:
         if self.model.pre_tokenizer is None:
             return np.zeros(len(ends), np.int64)
-        e = self.model.encode(text, add_special_tokens=False)
         stop = np.array([b for _, b in e.offsets], np.int64)
         if not len(stop):
             return np.zeros(len(ends), np.int64)
@@ -85,15 +96,31 @@ def runs(texts: Sequence[str], most: int = RUN_CHARS) -> Iterator[tuple[int, int
         yield a, len(texts)
 
 
+def text_runs(batch: pa.Array, most: int = RUN_CHARS) -> Iterator[list[str]]:
+    """The texts of a string array (null: empty) in runs of about ``most`` bytes; a longer text stands alone."""
+    size = pc.binary_length(batch).fill_null(0).to_numpy(zero_copy_only=False)
+    total, a = np.cumsum(size, dtype=np.int64), 0
+    while a < len(total):
+        b = max(a + 1, int(np.searchsorted(total, total[a] - size[a] + most, "right")))
+        yield batch.slice(a, b - a).fill_null("").to_pylist()
+        a = b
+
+
+def release() -> None:
+    """Give freed memory back to the system: a Python worker is kept for later tasks."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):                  # not the GNU C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 # ---------------------------------------------------------------- U3
 
 
 def id_lists(batch: pa.Array, ids: Callable[[Sequence[str]], list[list[int]]]) -> pa.Array:
     """Token ids of a string array as a list array; a null text has no tokens."""
-    texts = batch.fill_null("").to_pylist()
     flat, sizes = [], [0]
-    for a, b in runs(texts):
-        some = ids(texts[a:b])
+    for texts in text_runs(batch):
+        some = ids(texts)
         sizes += [len(x) for x in some]
         flat.append(np.fromiter((i for x in some for i in x), np.int32))
     values = np.concatenate(flat) if flat else np.zeros(0, np.int32)
@@ -101,12 +128,14 @@ def id_lists(batch: pa.Array, ids: Callable[[Sequence[str]], list[list[int]]]) -
 
 
 def library_ids(text: str | Column, path: str) -> Column:
-    """Ids of a text by a model file of the tokenizers library (array<int>; a null text has none)."""
+    """Ids of a text by a model file of the tokenizers library (array<int>; a null text has none).
+
+    No iterator of batches: Spark gives each such function a Python worker of its own."""
     @F.arrow_udf(ArrayType(IntegerType()))
-    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        model = LibraryTokenizer.load(path)
-        for batch in batches:
-            yield id_lists(batch, model.ids)
+    def encode(batch: pa.Array) -> pa.Array:
+        out = id_lists(batch, LibraryTokenizer.load(path).ids)
+        release()
+        return out
 
     return encode(F.col(text) if isinstance(text, str) else text)
 
@@ -126,6 +155,13 @@ def library_counter(path: str) -> Callable[[Column], Column]:
 # ---------------------------------------------------------------- B8
 
 
+def measured(counter: TokenCounter, texts: Sequence[str]) -> Sequence[tuple[int, Callable[[Sequence[int]], Sequence[int]]]]:
+    """Tokens of each text with its ``least``: by the counter's own ``measured`` if it has one, which needs one pass."""
+    if hasattr(counter, "measured"):
+        return counter.measured(texts)
+    return [(n, partial(counter.least, t)) for n, t in zip(counter.counts(texts), texts)]
+
+
 def longest_fitting(texts: Sequence[str], limit: int, counter: TokenCounter) -> list[str]:
     """Each text without as many of its last lines as it takes to have ``limit`` tokens or fewer.
 
@@ -135,14 +171,13 @@ def longest_fitting(texts: Sequence[str], limit: int, counter: TokenCounter) ->
     out = list(texts)
     left: dict[int, list[int]] = {}
     for a, b in runs(texts):
-        for k, n in enumerate(counter.counts(texts[a:b]), a):
+        for k, (n, bound) in enumerate(measured(counter, texts[a:b]), a):
             if n > limit:
                 text, ends, at = texts[k], [], len(texts[k])
                 while (at := text.rfind("\n", 0, at)) >= 0:
                     ends.append(at)
                 ends.append(0)                              # no line at all: the last resort, whatever it counts
-                least = counter.least(text, ends)
-                left[k] = [e for e, m in zip(ends, least) if m <= limit or e == 0]
+                left[k] = [e for e, m in zip(ends, bound(ends)) if m <= limit or e == 0]
     width = 1
     while left:
         asked = [(k, e) for k, ends in left.items() for e in ends[:width]]

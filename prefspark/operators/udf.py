@@ -20,6 +20,7 @@ from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, S
 from prefspark.functions import chat as ch
 from prefspark.functions.chat import TOKEN_RE
 from prefspark.functions.core import coin
+from prefspark.operators.subword import release, runs
 from prefspark.session import materialize
 
 # ---------------------------------------------------------------- U1 scorers
@@ -153,12 +154,16 @@ def hash_token_ids(text, vocab: int = 50_000) -> Column:
 
 def tokenize_with(df: DataFrame, col: str, make_tokenizer: Callable[[], Callable[[pd.Series], list[list[int]]]],
                   out: str = "input_ids") -> DataFrame:
-    """Pluggable batched tokenizer -> ``array<int>`` (built once per task)."""
+    """Pluggable batched tokenizer -> ``array<int>`` (built once per task).
+
+    It gets an Arrow batch in runs of bounded size, so a task holds the words and ids of one run."""
     @F.pandas_udf(ArrayType(IntegerType()))
     def _tok(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         tok = make_tokenizer()
         for texts in batches:
-            yield pd.Series(tok(texts))
+            for a, b in runs([t if isinstance(t, str) else "" for t in texts]):
+                yield pd.Series(tok(texts.iloc[a:b].reset_index(drop=True)))
+            release()
 
     return df.withColumn(out, _tok(F.col(col)))
 

@@ -93,3 +93,42 @@ def test_library_counter_in_the_length_filter(spark):
     df = spark.createDataFrame([("a b c",), ("a b c d e",), (None,)], "prompt string")
     keep, stats = tx.filter_prompt_length(df, 4, counter=sw.library_counter(path))
     assert sorted(str(r.prompt) for r in keep.collect()) == ["None", "a b c"] and stats.first().n_removed == 1
+
+
+class Watched:
+    """A model that remembers how many characters went through it."""
+
+    def __init__(self, model):
+        self.model, self.seen = model, 0
+        self.pre_tokenizer = model.pre_tokenizer
+
+    def encode(self, text, **kw):
+        self.seen += len(text)
+        return self.model.encode(text, **kw)
+
+    def encode_batch(self, texts, **kw):
+        self.seen += sum(map(len, texts))
+        return self.model.encode_batch(texts, **kw)
+
+
+def test_a_long_text_is_encoded_whole_only_once():
+    tok = sw.LibraryTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    text = "\n".join(f"line number {k} of a long text" for k in range(200))
+    want = literal(text, 100, lambda t: tok.counts([t])[0])
+    tok.model = Watched(tok.model)
+    assert sw.longest_fitting([text], 100, tok) == [want]
+    assert tok.model.seen < len(text) + 2 * len(want) + 200
+
+
+def test_ids_of_two_tokenizers_share_a_worker(spark):
+    df = spark.createDataFrame([("a b",), (None,)], "text string")
+    both = df.select(*[sw.library_ids("text", public_tokenizers.path(f)).alias(f[:4]) for f in FILES])
+    assert both._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
+def test_text_runs_are_bounded():
+    import pyarrow as pa
+    texts = ["", None, "abc", "é" * 30, "de", "f" * 9, None, "g"]
+    got = list(sw.text_runs(pa.array(["skipped", *texts]).slice(1), 10))
+    assert [t for r in got for t in r] == [t or "" for t in texts]
+    assert all(len(r) == 1 or sum(len(t.encode()) for t in r) <= 10 for r in got) and list(sw.text_runs(pa.array([], pa.string()))) == []

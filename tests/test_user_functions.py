@@ -70,3 +70,16 @@ def test_fit_builds_its_pairs_once(spark):
     assert seen.value == len(rows)
     plain = {r.feature: r.weight for r in uf.fit_reward_model(raw, ["x", "y"], max_iter=30)[1].collect()}
     assert {r.feature: r.weight for r in coefs.collect()} == pytest.approx(plain)
+
+
+def test_tokenize_with_gets_runs_of_bounded_size(spark):
+    def make():
+        def tok(texts):
+            size = sum(len(t or "") for t in texts)
+            assert len(texts) == 1 or size <= 1 << 20, size
+            return [[len(t or "")] for t in texts]
+        return tok
+
+    df = spark.range(12).select("id", F.when(F.col("id") != 3, F.repeat(F.lit("x"), 400_000 + F.col("id").cast("int"))).alias("text")).coalesce(1)
+    got = {r.id: list(r.n) for r in uf.tokenize_with(df, "text", make, "n").select("id", "n").collect()}
+    assert got == {i: [0 if i == 3 else 400_000 + i] for i in range(12)}
