@@ -18,6 +18,8 @@ from prefspark.functions.core import ATTRIBUTES
 # Attributes whose label is flipped (lower is better).
 FLIPPED = ("verbosity", "complexity")
 TIE_EPS = 1e-8
+#: Annotation rows that a task folds by prompt at most, unless a single prompt has more.
+ROWS_EACH = 1_500_000
 
 
 def side_stats(ratings: DataFrame) -> DataFrame:
@@ -114,32 +116,58 @@ def _label_sql(mean0: str, mean1: str, std0: str, std1: str, attribute: str, pro
 
 
 def _side_moments_sql(attributes: Sequence[str]) -> list:
-    """Count, mean and centred deviation per side and attribute (SQL aggregate text)."""
+    """Mean and centred deviation per side and attribute, null without ratings (SQL aggregate text)."""
     out = []
     for s_ in (0, 1):
         for a in attributes:
             x = f"CASE WHEN completion_idx = {s_} THEN {a} END"
-            out += [F.expr(f"count({x}) AS n{s_}_{a}"), F.expr(f"avg({x}) AS m{s_}_{a}"),
-                    F.expr(f"stddev_pop({x}) AS d{s_}_{a}")]
+            out += [F.expr(f"avg({x}) AS m{s_}_{a}"), F.expr(f"stddev_pop({x}) AS d{s_}_{a}")]
     return out
 
 
+def _hot_prompts(ann: DataFrame, rows: int) -> list:
+    """Prompts (null may be one) with more than ``ROWS_EACH`` of the rows, of which there are few."""
+    candidates = ann.stat.freqItems(["prompt_id"], max(ROWS_EACH / rows, 1e-4)).first()[0]
+    asked = F.col("prompt_id").isNull() | F.col("prompt_id").isin([c for c in candidates if c is not None])
+    return [r[0] for r in ann.where(asked).groupBy("prompt_id").count().where(F.col("count") > ROWS_EACH).select("prompt_id").collect()]
+
+
+def _moments_by_prompt(ann: DataFrame, attributes: Sequence[str]) -> DataFrame:
+    """A row for each prompt: the moments of both sides of every attribute, from wide annotator rows.
+
+    A prompt's sums take half a kilobyte, its rows a few numbers each. Folding before the shuffle
+    keeps the sums of all prompts of an input split at once and spills where splits are large. So from
+    ``ROWS_EACH`` rows on, the rows are dealt by prompt, into as many parts as their count needs, and
+    folded there; only prompts that alone have more rows than a part are folded before the shuffle."""
+    fold = lambda x: x.groupBy("prompt_id").agg(*_side_moments_sql(attributes))
+    ann = ann.select("prompt_id", "completion_idx", *attributes)
+    rows = ann.count()
+    if rows <= ROWS_EACH:
+        return fold(ann)
+    parts = max(ann.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS_EACH))
+    dealt = lambda x: fold(x.repartition(parts, "prompt_id"))
+    hot = _hot_prompts(ann, rows)
+    if not hot:
+        return dealt(ann)
+    is_hot = F.coalesce(F.col("prompt_id").isin([h for h in hot if h is not None]), F.lit(False)) | (F.col("prompt_id").isNull() & F.lit(None in hot))
+    return dealt(ann.where(~is_hot)).unionByName(fold(ann.where(is_hot)))
+
+
 def _side_label_sql(a: str, seed: int, compat: bool) -> str:
     """The label, null where a side has no rating."""
     label = _label_sql(f"m0_{a}", f"m1_{a}", f"d0_{a}", f"d1_{a}", f"'{a}'", "prompt_id", seed, compat, a in FLIPPED)
-    return f"CASE WHEN n0_{a} > 0 AND n1_{a} > 0 THEN {label} END"
+    return f"CASE WHEN m0_{a} IS NOT NULL AND m1_{a} IS NOT NULL THEN {label} END"
 
 
 def disagreement_labels_wide(ann: DataFrame, seed: int = 42, compat: bool = False,
                              attributes: Sequence[str] = ATTRIBUTES) -> DataFrame:
     """E1 from wide annotator rows (one row per annotator and response, one
-    column per attribute): ONE keyed aggregation per prompt collects count,
-    sum and sum of squares for both sides of every attribute (partial
-    aggregation map-side, so a prompt with very many annotations is folded
-    before the shuffle); the labels are then computed row-locally and
-    unpivoted to (prompt_id, attribute, label)."""
-    g = ann.groupBy("prompt_id").agg(*_side_moments_sql(attributes))
-    rows = ", ".join(f"IF(n0_{a} > 0 AND n1_{a} > 0, named_struct('attribute', '{a}', 'label', "
+    column per attribute): ONE keyed aggregation per prompt collects the
+    moments of both sides of every attribute (:func:`_moments_by_prompt`); the
+    labels are then computed row-locally and unpivoted to (prompt_id,
+    attribute, label)."""
+    g = _moments_by_prompt(ann, attributes)
+    rows = ", ".join(f"IF(m0_{a} IS NOT NULL AND m1_{a} IS NOT NULL, named_struct('attribute', '{a}', 'label', "
                      f"{_side_label_sql(a, seed, compat)}), NULL)" for a in attributes)
     return g.select("prompt_id", F.expr(f"inline(array_compact(array({rows})))"))
 
@@ -148,7 +176,7 @@ def side_means_and_labels(ann: DataFrame, seed: int = 42, compat: bool = False,
     """(prompt_id, s0_<a>, s1_<a>, label_<a>): mean ratings of both sides and the E1 label of each
     attribute, null where a side has no rating; rows without a prompt are left out. From wide annotator
     rows in the one aggregation of :func:`disagreement_labels_wide`, so no side is paired or joined later."""
-    g = ann.where("prompt_id is not null").groupBy("prompt_id").agg(*_side_moments_sql(attributes))
+    g = _moments_by_prompt(ann.where("prompt_id is not null"), attributes)
     return g.select("prompt_id", *[F.col(f"m{s}_{a}").alias(f"s{s}_{a}") for s in (0, 1) for a in attributes],
                     *[F.expr(_side_label_sql(a, seed, compat)).alias(f"label_{a}") for a in attributes])
 
