@@ -24,7 +24,7 @@ from prefspark.llm.tables import read
 from prefspark.session import ensure_checkpoint_dir
 
 ORACLE_SQL = None
-ROWS_A_BATCH, BYTES_A_BATCH = 1000, 8 << 20
+ROWS_A_BATCH, BYTES_A_BATCH = 500, 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:

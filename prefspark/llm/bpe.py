@@ -15,6 +15,8 @@ instead of a matrix row. The word cache is bounded and only saves time.
 
 from __future__ import annotations
 
+import functools
+import gc
 import hashlib
 import heapq
 import itertools
@@ -29,7 +31,7 @@ from tokenizers import Tokenizer
 
 from prefspark.llm.tables import release
 
-CACHE_WORDS = 120_000
+CACHE_WORDS, TEXTS_AT_ONCE = 40_000, 64
 MATRIX_WIDTH = 48
 NO_RANK = np.int32(2**31 - 1)
 
@@ -53,29 +55,43 @@ class ForcedBoundaryBpe:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        model, self.lib = spec["model"], Tokenizer.from_file(path)
+        model = spec["model"]
+        # the library normalizes and splits only, so it gets no vocabulary: a worker keeps what is loaded
+        self.lib = Tokenizer.from_str(json.dumps(spec | {"added_tokens": [], "post_processor": None, "model": model | {"vocab": {}, "merges": [], "unk_token": None}}))
         suffix, vocab = model["end_of_word_suffix"] or "", model["vocab"]
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_cut = re.compile("(" + "|".join(map(re.escape, self.specials)) + ")") if self.specials else None
-        self.token = {i: t for t, i in (vocab | self.specials).items()}
-        self.id_text = {i: f" {i}" for i in self.token}
-        self.token_text = {i: f" {t}" for i, t in self.token.items()}
+        size = max([*vocab.values(), *self.specials.values()]) + 1
+        self.id_text, self.token_text = [f" {i}" for i in range(size)], [""] * size
+        for t, i in (vocab | self.specials).items():
+            self.token_text[i] = f" {t}"
         symbols = byte_symbols()
         # symbol ids: bytes inside a word, then bytes that end one; the vocabulary's ids are reused
         self.inner = np.array([vocab[s] for s in symbols], np.int32)
         self.last = np.array([vocab[s + suffix] for s in symbols], np.int32)
-        size = max(self.token) + 1
         self._pair_table([(vocab[a], vocab[b], vocab[a + b]) for a, b in
                           (m if isinstance(m, list) else m.split(" ") for m in model["merges"])])
-        self.joined = self._inside_pairs(vocab, symbols, suffix, size)
+        self.joined = self._inside_pairs(vocab, symbols, suffix)
         self.forget()
 
     def forget(self) -> None:
         """Empty the caches."""
+        for name in ("rank_of", "token"):
+            self.__dict__.pop(name, None)
         self.word_cache = TwoGenerations(self._encoded, CACHE_WORDS)
         self.chunk_cache = TwoGenerations(self._composed, CACHE_WORDS)
 
-    def _inside_pairs(self, vocab, symbols, suffix, size) -> np.ndarray:
+    @functools.cached_property
+    def rank_of(self) -> dict[tuple[int, int], int]:
+        """Pair of ids -> merge rank, made when a long fragment asks for it."""
+        at = np.flatnonzero(self.keys >= 0)
+        return {(k >> 20, k & 0xFFFFF): r for k, r in zip(self.keys[at].tolist(), self.ranks[at].tolist())}
+
+    @functools.cached_property
+    def token(self) -> dict[int, str]:
+        return {i: t[1:] for i, t in enumerate(self.token_text) if t}
+
+    def _inside_pairs(self, vocab, symbols, suffix) -> np.ndarray:
         """joined[x, y]: byte x is followed by byte y (y + 256 if it ends the word) in some token."""
         byte = {s: b for b, s in enumerate(symbols)}
         joined = np.zeros((256, 512), bool)
@@ -92,11 +108,9 @@ class ForcedBoundaryBpe:
         self.keys = np.full(1 << self.bits, -1, np.int64)
         self.ranks = np.full(1 << self.bits, NO_RANK, np.int32)
         self.merged = np.array([m[2] for m in merges] + [0], np.int32)
-        self.rank_of = {}
         mask = (1 << self.bits) - 1
         for rank, (a, b, _) in enumerate(merges):
             key = a << 20 | b
-            self.rank_of[(a, b)] = rank
             slot = int(self._slot(np.array([key], np.int64))[0])
             while self.keys[slot] not in (-1, key):
                 slot = (slot + 1) & mask
@@ -240,7 +254,7 @@ class ForcedBoundaryBpe:
     def digests(self, texts: Iterable[str]) -> Iterator[tuple[int, str, str]]:
         """(number of ids, ids joined by a blank, decoded text) of each text."""
         texts = iter(texts)
-        while some := [_chunks(t) for t in itertools.islice(texts, 256)]:
+        while some := [_chunks(t) for t in itertools.islice(texts, TEXTS_AT_ONCE)]:
             known = self.chunk_cache.get(set().union(*some))
             for chunks in some:
                 both = [known[c] for c in chunks]
@@ -313,6 +327,7 @@ def bpe_roundtrip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                 cols, names = [*cols, pa.array(ids, pa.string()), pa.array(dec, pa.string())], [*names, "ids", "decoded"]
             yield pa.RecordBatch.from_arrays(cols, names)
         bpe.forget()        # the worker lives on; its memory is for the next task's work
+        gc.collect()
         release()
 
     kind = docs.schema[id_col].dataType.simpleString()

@@ -50,6 +50,18 @@ def test_bpe_small_cache(fuzz, monkeypatch):
     assert list(bpe.ForcedBoundaryBpe(path).digests(fuzz)) == list(bpe.loaded(path).digests(fuzz))
 
 
+def test_bpe_keeps_little_between_tasks():
+    """What a worker holds of the tokenizer while other stages run: no second vocabulary, no pair table but the arrays."""
+    own = bpe.ForcedBoundaryBpe(P.path("word_bpe_49k.json"))
+    assert own.lib.get_vocab_size() == 0
+    long = "".join(random.Random(1).choices("abcdefghij%", k=4000))
+    texts = [long, *(" ".join(f"w{i}x{k}" for k in range(500)) for i in range(400))]
+    entries = max(len(cache.young) + len(cache.old) for _ in own.digests(texts) for cache in (own.word_cache, own.chunk_cache))
+    assert entries <= 2 * (bpe.CACHE_WORDS + 500 * bpe.TEXTS_AT_ONCE) < 200_000
+    own.forget()
+    assert not {"rank_of", "token"} & vars(own).keys() and not own.word_cache.young and not own.chunk_cache.young
+
+
 def test_bpe_rows(docs_of):
     got = {r.doc_id: r for r in bpe.bpe_roundtrip(docs_of([(1, None), (2, ""), (3, "a"), (None, "a")]), P.path("word_bpe_49k.json")).collect()}
     nothing = hashlib.sha256(b"").hexdigest()
